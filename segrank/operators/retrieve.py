@@ -49,21 +49,24 @@ def impact_index(doc_impacts: DataFrame, path: str | None = None, buckets: int =
     return spark.table(name)
 
 
-def dot_scores(query_vec: DataFrame, doc_vec: DataFrame, doc_keys=("doc_id",)) -> DataFrame:
+def dot_scores(query_vec: DataFrame, doc_vec: DataFrame, doc_keys=("doc_id",),
+               bounded: bool | None = None) -> DataFrame:
     """Sum of ``qw * w`` over shared terms for every (query, doc) pair."""
-    q = broadcast_if_small(query_vec.select("qid", "term", "qw"), QUERY_SIDE_MAX_ROWS)
+    q = broadcast_if_small(query_vec.select("qid", "term", "qw"), QUERY_SIDE_MAX_ROWS, bounded)
     joined = doc_vec.select(*doc_keys, "term", "w").join(q, "term")
     return joined.groupBy("qid", *doc_keys).agg(r6(F.sum(F.col("qw") * F.col("w"))).alias("score"))
 
 
-def retrieve(query_vec: DataFrame, doc_vec: DataFrame, k: int = 1000) -> DataFrame:
+def retrieve(query_vec: DataFrame, doc_vec: DataFrame, k: int = 1000,
+             bounded: bool | None = None) -> DataFrame:
     """R2: top-k documents by dot product -> run ``(qid, doc_id, rank, score)``."""
-    return top_k(dot_scores(query_vec, doc_vec), k).select("qid", "doc_id", "rank", "score")
+    return top_k(dot_scores(query_vec, doc_vec, bounded=bounded), k).select("qid", "doc_id", "rank", "score")
 
 
-def retrieve_passages(query_vec: DataFrame, psg_vec: DataFrame, k: int = 10000) -> DataFrame:
+def retrieve_passages(query_vec: DataFrame, psg_vec: DataFrame, k: int = 10000,
+                      bounded: bool | None = None) -> DataFrame:
     """Top-k passages -> ``(qid, doc_id, psg, rank, score)``."""
-    s = dot_scores(query_vec, psg_vec, ("doc_id", "psg"))
+    s = dot_scores(query_vec, psg_vec, ("doc_id", "psg"), bounded)
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc(), F.col("psg").asc())
     return s.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k) \
         .select("qid", "doc_id", "psg", "rank", "score")
@@ -99,22 +102,23 @@ def bm25_unit_scores(units: DataFrame, stats: DataFrame,
     return u.select("qid", "doc_id", s.alias("s"))
 
 
-def _query_term_postings(doc_tokens: DataFrame, qterms: DataFrame) -> DataFrame:
-    terms = broadcast_if_small(qterms.select("term").distinct(), QUERY_SIDE_MAX_ROWS)
+def _query_term_postings(doc_tokens: DataFrame, qterms: DataFrame, bounded: bool | None = None) -> DataFrame:
+    terms = broadcast_if_small(qterms.select("term").distinct(), QUERY_SIDE_MAX_ROWS, bounded)
     return doc_tokens.join(terms, "term", "left_semi")
 
 
-def bm25_term_units(doc_tokens: DataFrame, query_weights: DataFrame) -> DataFrame:
+def bm25_term_units(doc_tokens: DataFrame, query_weights: DataFrame,
+                    bounded: bool | None = None) -> DataFrame:
     """Unigram units: ``query_weights(qid, term, qweight)`` x tf."""
-    post = _query_term_postings(doc_tokens, query_weights)
+    post = _query_term_postings(doc_tokens, query_weights, bounded)
     tf = post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    q = broadcast_if_small(query_weights, QUERY_SIDE_MAX_ROWS)
+    q = broadcast_if_small(query_weights, QUERY_SIDE_MAX_ROWS, bounded)
     return tf.join(q, "term").select("qid", F.col("term").alias("unit"), "qweight", "doc_id", "tf", "dl")
 
 
 def bm25_scores(doc_tokens: DataFrame, docs: DataFrame, query_weights: DataFrame,
-                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    units = bm25_term_units(doc_tokens, query_weights)
+                k1: float = BM25_K1, b: float = BM25_B, bounded: bool | None = None) -> DataFrame:
+    units = bm25_term_units(doc_tokens, query_weights, bounded)
     return bm25_unit_scores(units, collection_stats(docs), k1, b).groupBy("qid", "doc_id").agg(
         F.sum("s").alias("score"))
 
@@ -125,22 +129,24 @@ def query_term_counts(query_tokens: DataFrame) -> DataFrame:
 
 
 def bm25(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int = 1000,
-         k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+         k1: float = BM25_K1, b: float = BM25_B, bounded: bool | None = None) -> DataFrame:
     """BM25 run.  ``doc_tokens(doc_id, pos, term, dl)``, ``docs(doc_id, dl)``,
     ``query_tokens(qid, pos, term)``."""
-    s = bm25_scores(doc_tokens, docs, query_term_counts(query_tokens), k1, b)
+    s = bm25_scores(doc_tokens, docs, query_term_counts(query_tokens), k1, b, bounded)
     return top_k(s.select("qid", "doc_id", r6(F.col("score")).alias("score")), k) \
         .select("qid", "doc_id", "rank", "score")
 
 
 def rm3(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int = 1000,
         fb_docs: int = RM3_FB_DOCS, fb_terms: int = RM3_FB_TERMS,
-        orig_weight: float = RM3_ORIG_WEIGHT, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+        orig_weight: float = RM3_ORIG_WEIGHT, k1: float = BM25_K1, b: float = BM25_B,
+        bounded: bool | None = None) -> DataFrame:
     """BM25 -> relevance model from the top ``fb_docs`` documents
     (``P(t|R) ~ sum_d score_d/sum(score) * tf(t,d)/dl(d)``), top ``fb_terms``
     terms renormalised, interpolated with the query model, BM25 again."""
-    first = bm25(doc_tokens, docs, query_tokens, fb_docs, k1, b)
-    fb = broadcast_if_small(first.select("qid", "doc_id", "score"), QUERY_SIDE_MAX_ROWS)
+    first = bm25(doc_tokens, docs, query_tokens, fb_docs, k1, b, bounded)
+    # fb_docs rows per query: bounded whenever the query set is
+    fb = broadcast_if_small(first.select("qid", "doc_id", "score"), QUERY_SIDE_MAX_ROWS, bounded)
     fb = fb.withColumn("sn", F.col("score") / F.sum("score").over(Window.partitionBy("qid")))
     # all terms of the feedback documents (bounded: fb_docs per query)
     fb_tf = doc_tokens.join(fb.select("doc_id").distinct(), "doc_id", "left_semi") \
@@ -155,12 +161,13 @@ def rm3(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int
              .join(kept.select("qid", "term", (F.lit(1.0 - orig_weight) * F.col("p")).alias("c")),
                    ["qid", "term"], "full")
              .select("qid", "term", (F.coalesce("a", F.lit(0.0)) + F.coalesce("c", F.lit(0.0))).alias("qweight")))
-    s = bm25_scores(doc_tokens, docs, mixed, k1, b)
+    s = bm25_scores(doc_tokens, docs, mixed, k1, b, bounded)
     return top_k(s.select("qid", "doc_id", r6(F.col("score")).alias("score")), k) \
         .select("qid", "doc_id", "rank", "score")
 
 
-def _pair_units(doc_tokens: DataFrame, query_tokens: DataFrame, window: int | None) -> DataFrame:
+def _pair_units(doc_tokens: DataFrame, query_tokens: DataFrame, window: int | None,
+                bounded: bool | None = None) -> DataFrame:
     """Ordered (``window=None``: adjacent, in order) or unordered (both terms
     within ``window`` positions, either order) pair counts per document as
     BM25 units.  The position band is an equi-join on exploded offsets
@@ -169,7 +176,7 @@ def _pair_units(doc_tokens: DataFrame, query_tokens: DataFrame, window: int | No
                                       (F.col("a.qid") == F.col("b.qid")) & (F.col("b.pos") == F.col("a.pos") + 1))
     pairs = qt.select(F.col("a.qid").alias("qid"), F.col("a.pos").alias("i"),
                       F.col("a.term").alias("t1"), F.col("b.term").alias("t2"))
-    post = _query_term_postings(doc_tokens, query_tokens).select("doc_id", "pos", "term", "dl")
+    post = _query_term_postings(doc_tokens, query_tokens, bounded).select("doc_id", "pos", "term", "dl")
     if window is None:
         offsets = F.array(F.lit(1))
     else:
@@ -178,26 +185,26 @@ def _pair_units(doc_tokens: DataFrame, query_tokens: DataFrame, window: int | No
         .select("doc_id", "dl", "t1", (F.col("pos") + F.col("d")).alias("pos2"))
     right = post.select("doc_id", F.col("term").alias("t2"), F.col("pos").alias("pos2"))
     # distinct term pairs of all queries are small: restrict before the band join
-    tp = broadcast_if_small(pairs.select("t1", "t2").distinct(), QUERY_SIDE_MAX_ROWS)
+    tp = broadcast_if_small(pairs.select("t1", "t2").distinct(), QUERY_SIDE_MAX_ROWS, bounded)
     hits = left.join(tp, "t1").join(right, ["doc_id", "t2", "pos2"])
     tf = hits.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     unit = F.concat_ws(" ", "t1", "t2")
     q = broadcast_if_small(pairs.groupBy("qid", "t1", "t2").agg(F.count(F.lit(1)).cast("double").alias("qweight")),
-                           QUERY_SIDE_MAX_ROWS)
+                           QUERY_SIDE_MAX_ROWS, bounded)
     return tf.join(q, ["t1", "t2"]).select("qid", unit.alias("unit"), "qweight", "doc_id", "tf", "dl")
 
 
 def sdm_bm25(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int = 1000,
              weights=SDM_WEIGHTS, window: int = SDM_WINDOW,
-             k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+             k1: float = BM25_K1, b: float = BM25_B, bounded: bool | None = None) -> DataFrame:
     """Sequential-dependence BM25: weighted sum of unigram, ordered-pair
     and unordered-window BM25 scores (weights as given, not renormalised)."""
     stats = collection_stats(docs)
-    uni = bm25_unit_scores(bm25_term_units(doc_tokens, query_term_counts(query_tokens)), stats, k1, b) \
+    uni = bm25_unit_scores(bm25_term_units(doc_tokens, query_term_counts(query_tokens), bounded), stats, k1, b) \
         .select("qid", "doc_id", (F.lit(weights[0]) * F.col("s")).alias("s"))
-    od = bm25_unit_scores(_pair_units(doc_tokens, query_tokens, None), stats, k1, b) \
+    od = bm25_unit_scores(_pair_units(doc_tokens, query_tokens, None, bounded), stats, k1, b) \
         .select("qid", "doc_id", (F.lit(weights[1]) * F.col("s")).alias("s"))
-    uw = bm25_unit_scores(_pair_units(doc_tokens, query_tokens, window), stats, k1, b) \
+    uw = bm25_unit_scores(_pair_units(doc_tokens, query_tokens, window, bounded), stats, k1, b) \
         .select("qid", "doc_id", (F.lit(weights[2]) * F.col("s")).alias("s"))
     s = uni.unionByName(od).unionByName(uw).groupBy("qid", "doc_id").agg(r6(F.sum("s")).alias("score"))
     return top_k(s, k).select("qid", "doc_id", "rank", "score")

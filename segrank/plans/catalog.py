@@ -41,7 +41,7 @@ FLAGSHIP_N = 4
 
 def flagship_run(t: Tables) -> DataFrame:
     docs = A.aggregate_passages(t.impacts, "max", FLAGSHIP_N)
-    return R.retrieve(t.query_impacts, docs, 1000)
+    return R.retrieve(t.query_impacts, docs, 1000, bounded=t.query_side_bounded)
 
 
 @register("l1_maxp_dot_eval", O.with_base(

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from segrank.functions.text import tokens as tokens_of
 from segrank.operators import segment, vectors
-from segrank.plans.util import broadcast_if_small
 from segrank.sources import testdata
 
 # fixed values of the fixture mapping
@@ -35,6 +34,8 @@ QUERY_SET_MAX_ROWS = 100_000
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, budget: int = PASSAGE_BUDGET,
                  query_len: int = QUERY_LEN):
+        from segrank.session import apply_runtime_conf
+        apply_runtime_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.budget = budget
@@ -82,6 +83,17 @@ class Tables:
         return toks, docs
 
     # ------------------------------------------------------------ queries
+    @cached_property
+    def n_queries(self) -> int:
+        """Size of the query set, counted once at its source (parquet
+        metadata); it bounds every query-side table: at most
+        ``n_queries * query_len`` term rows."""
+        return testdata.table(self.spark, self.sf_dir, "benchmark").count()
+
+    @cached_property
+    def query_side_bounded(self) -> bool:
+        return self.n_queries <= QUERY_SET_MAX_ROWS
+
     @cached_property
     def queries(self) -> DataFrame:
         b = testdata.table(self.spark, self.sf_dir, "benchmark")
@@ -102,9 +114,8 @@ class Tables:
         and must stay below ``QUERY_SET_MAX_ROWS``."""
         b = testdata.table(self.spark, self.sf_dir, "benchmark").select(
             F.col("item_id").cast("string").alias("qid"), F.col("text").alias("btext"))
-        nb = b.count()
-        if nb > QUERY_SET_MAX_ROWS:
-            raise ValueError(f"query set of {nb} rows is too large for a broadcast containment join")
+        if not self.query_side_bounded:
+            raise ValueError(f"query set of {self.n_queries} rows is too large for a broadcast containment join")
         docs = testdata.table(self.spark, self.sf_dir, "documents").select(
             F.col("doc_id").cast("string").alias("doc_id"), "text")
         docs = testdata.spread(docs)

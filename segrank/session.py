@@ -16,6 +16,12 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    # Size-based broadcasts are decided at runtime only, from measured
+    # shuffle output (static estimates through explode/regex projections
+    # are unreliable and can pick a multi-GB side).  Explicit broadcast
+    # hints are placed only on sides with a proven bound.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -43,6 +49,21 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+RUNTIME_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+}
+
+
+def apply_runtime_conf(spark: SparkSession) -> None:
+    """Session-level SQL settings the plans rely on (also applied to a
+    session the caller built)."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
     d = spark.sparkContext.getCheckpointDir()
