@@ -139,6 +139,26 @@ class Tables:
     def query_impacts(self) -> DataFrame:
         return vectors.query_impacts(self.query_tokens, self.term_weights)
 
+    @cached_property
+    def n_docs(self) -> DataFrame:
+        """One row ``(n_docs)``."""
+        return self.corpus.agg(F.count(F.lit(1)).alias("n_docs"))
+
+    @cached_property
+    def term_df(self) -> DataFrame:
+        return vectors.doc_frequencies(self.corpus)
+
+    @cached_property
+    def expansion(self) -> DataFrame:
+        """``expansion(src_term, term, s)``: identity (s = 1) for every term,
+        plus for terms with 3 <= df <= N/10 the top-5 neighbours by Dice
+        coefficient of co-occurrence within 2 positions in a passage."""
+        return vectors.cooccurrence_expansion(self.tokens, self.term_df, self.n_docs)
+
+    def doc_vectors(self, mode: str, n: int) -> DataFrame:
+        from segrank.operators.aggregate import aggregate_passages
+        return aggregate_passages(self.impacts, mode, n)
+
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)

@@ -136,3 +136,29 @@ LEFT JOIN (
 def summary_sql(run: str, **kw) -> str:
     return f"""SELECT count(*) AS n_queries, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg,
        round(avg(recall), 6) AS recall FROM ({per_query_sql(run, **kw)})"""
+
+
+EXPANSION = """
+_cooc AS (
+  SELECT a.term AS src_term, b.term AS term, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.psg = b.psg
+       AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos
+  WHERE a.term <> b.term GROUP BY a.term, b.term),
+_cf AS (SELECT term, count(*) AS cf FROM tokens GROUP BY term),
+expansion AS (
+  SELECT term AS src_term, term, 1.0::DOUBLE AS s FROM term_df
+  UNION ALL
+  SELECT src_term, term, s FROM (
+    SELECT x.src_term, x.term, CAST(2 * x.c AS DOUBLE) / (ca.cf + cb.cf) AS s,
+           row_number() OVER (PARTITION BY x.src_term ORDER BY CAST(2 * x.c AS DOUBLE) / (ca.cf + cb.cf) DESC, x.term ASC) AS rn
+    FROM _cooc x JOIN _cf ca ON ca.term = x.src_term JOIN _cf cb ON cb.term = x.term
+    WHERE x.src_term IN (SELECT term FROM term_df WHERE df >= 3 AND 10 * df <= (SELECT count(*) FROM corpus)))
+  WHERE rn <= 5)"""
+
+
+def quant(expr: str) -> str:
+    return f"CAST(trunc(CAST({expr} AS FLOAT) * CAST(100 AS FLOAT)) AS INTEGER)"
+
+
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"

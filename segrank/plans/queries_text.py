@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from segrank.operators import segment
 from segrank.plans import oracle as O
 from segrank.plans.catalog import register
 from segrank.plans.derived import Tables
@@ -19,3 +20,83 @@ def t2_passages(t: Tables):
 def t3_tokens(t: Tables):
     """Token positions per passage."""
     return t.tokens.select("doc_id", "psg", "pos", "term")
+
+
+@register("t1_normalise", O.with_base(
+    final="SELECT doc_id, translate(text, chr(10) || chr(9), '  ') AS text FROM corpus"))
+def t1_normalise(t: Tables):
+    """Newline and tab replaced by a space."""
+    return segment.normalise_collection(t.corpus)
+
+
+@register("t6_truncate32", O.with_base(final=f"""
+SELECT doc_id, psg, array_to_string(tk[1:32], ' ') AS text, CAST(len(tk[1:32]) AS INTEGER) AS n_tok
+FROM (SELECT doc_id, psg, regexp_extract_all(lower(text), '{O.TOK_RE}') AS tk FROM passages)"""))
+def t6_truncate32(t: Tables):
+    """Passages cut to their first 32 tokens."""
+    return segment.truncate_tokens(t.passages, 32)
+
+
+@register("t7_first3_text", O.with_base(final="""
+SELECT c.doc_id, coalesce(string_agg(p.text, ' ' ORDER BY p.psg), '') AS text
+FROM corpus c LEFT JOIN passages p ON p.doc_id = c.doc_id AND p.psg < 3 GROUP BY c.doc_id"""))
+def t7_first3_text(t: Tables):
+    """The first 3 passages of each document joined into one text."""
+    return t.first_n_docs(3)
+
+
+@register("t7_first3_text_grouped", O.with_base(final="""
+SELECT doc_id, string_agg(text, ' ' ORDER BY psg) AS text FROM passages WHERE psg < 3 GROUP BY doc_id"""))
+def t7_first3_text_grouped(t: Tables):
+    """T7 on a long passage table (grouped form, for passage files)."""
+    return segment.first_k_text(t.passages.select("doc_id", "psg", "text"), 3)
+
+
+@register("t8_first2", O.with_base(final="SELECT doc_id, psg, text FROM passages WHERE psg < 2"))
+def t8_first2(t: Tables):
+    """First 2 passages per document (window top-k)."""
+    return segment.first_k_passages(t.passages.select("doc_id", "psg", "text"), 2)
+
+
+@register("t8_first3_legacy", O.with_base(final="""
+SELECT doc_id, psg, text FROM (
+  SELECT doc_id, psg, text, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(psg AS VARCHAR)) AS rn
+  FROM passages) WHERE rn <= 3"""))
+def t8_first3_legacy(t: Tables):
+    """T8 with the string order of passage ids (Q4 parity): 0, 1, 10, ..."""
+    return segment.first_k_passages(t.passages.select("doc_id", "psg", "text"), 3, legacy_order=True)
+
+
+@register("t9_reindex", O.with_base(final="""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY psg) - 1 AS INTEGER) AS psg, psg AS old_psg
+FROM passages WHERE n_tok >= 5"""))
+def t9_reindex(t: Tables):
+    """Drop passages under 5 tokens, renumber densely."""
+    kept = t.passages.filter(F.col("n_tok") >= 5).select("doc_id", "psg", F.col("psg").alias("old_psg"))
+    return segment.reindex_passages(kept)
+
+
+@register("t10_max_passages", O.with_base(final="""
+SELECT CAST(max(n) AS BIGINT) AS max_passages FROM (SELECT doc_id, count(DISTINCT psg) AS n FROM passages GROUP BY doc_id)"""))
+def t10_max_passages(t: Tables):
+    """Largest number of passages in a document."""
+    return segment.max_passages(t.passages)
+
+
+@register("t11_splits", None)
+def t11_splits(t: Tables):
+    """Line-complete split of the collection into 4 partitions by
+    document (Spark's hash; checked by row count and in the tests)."""
+    return segment.split_collection(t.corpus, 4).groupBy("split").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@register("t12_blocklist", O.with_base(final="""
+SELECT doc_id, psg, pos, term FROM tokens
+WHERE term NOT IN (SELECT term FROM term_df WHERE 10 * df > (SELECT count(*) FROM corpus))"""))
+def t12_blocklist(t: Tables):
+    """Tokens minus a blocklist (here the terms found in more than
+    10% of the documents)."""
+    # fewer than 10 x (mean distinct terms per document) terms can have
+    # df > N/10 (the df values sum to that total), so the list is bounded
+    bl = t.term_df.crossJoin(F.broadcast(t.n_docs)).filter(F.col("df") * 10 > F.col("n_docs")).select("term")
+    return segment.drop_blocked(t.tokens.select("doc_id", "psg", "pos", "term"), bl, bounded=True)

@@ -38,3 +38,143 @@ def _agg_query(mode: str, n: int, ident: str):
 
 for _id, _mode in (("a1", "first"), ("a2", "max"), ("a3", "sum"), ("a4", "mean"), ("a5", "exp"), ("a6", "gmean")):
     _agg_query(_mode, 3, f"{_id}_{_mode}_n3")
+
+
+from segrank.operators import vectors as V  # noqa: E402
+from segrank.plans.oracle import EXPANSION, quant, doc_agg_sql  # noqa: E402
+
+PK = ["doc_id", "psg"]
+
+
+@register("e1_binary", O.with_base(final=f"SELECT DISTINCT doc_id, psg, term, {quant('0.3')} AS w FROM tokens"))
+def e1_binary(t: Tables):
+    """Binary bag of words, every token weighs 0.3 (-> 30)."""
+    return V.binary_encoder(t.tokens, PK, 0.3)
+
+
+@register("e2_scaled_binary", O.with_base(final=f"""
+SELECT * FROM (SELECT doc_id, psg, term, {quant('scale')} AS w
+FROM (SELECT DISTINCT doc_id, psg, term FROM tokens) JOIN term_weights USING (term)) WHERE w <> 0"""))
+def e2_scaled_binary(t: Tables):
+    """Binary bag of words with the per-term scale table."""
+    return V.scaled_encoder(t.tokens, PK, t.term_weights)
+
+
+@register("e3_token_weights", O.with_base(final=f"""
+SELECT * FROM (SELECT doc_id, psg, term, {quant('max(ln(1 + greatest(scale, 0.0)))')} AS w
+FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
+def e3_token_weights(t: Tables):
+    """E3 + E6 + E7(max): ``log1p(relu(score))`` per position, max-pooled."""
+    scores = t.tokens.join(t.term_weights, "term").select(*PK, "pos", "term", F.col("scale").alias("s"))
+    return V.token_weight_encoder(scores, PK, "log1p_relu", pool="max")
+
+
+@register("e7_sum_pool", O.with_base(final=f"""
+SELECT * FROM (SELECT doc_id, psg, term, {quant('sum(ln(1 + greatest(scale, 0.0)))')} AS w
+FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
+def e7_sum_pool(t: Tables):
+    """E3 with sum pooling over positions (E7 sum)."""
+    scores = t.tokens.join(t.term_weights, "term").select(*PK, "pos", "term", F.col("scale").alias("s"))
+    return V.token_weight_encoder(scores, PK, "log1p_relu", pool="sum")
+
+
+@register("e4_expansion", O.with_base(EXPANSION, final=f"""
+SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
+FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) WHERE w <> 0"""))
+def e4_expansion(t: Tables):
+    """Expansion encoder (log1p-relu activation, max over positions)."""
+    return V.expansion_encoder(t.tokens, PK, t.expansion)
+
+
+@register("e8_gated_expansion", O.with_base(EXPANSION, final=f"""
+SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
+FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) x
+WHERE w <> 0 AND EXISTS (SELECT 1 FROM tokens y WHERE y.doc_id = x.doc_id AND y.psg = x.psg AND y.term = x.term)"""))
+def e8_gated_expansion(t: Tables):
+    """Expansion vector gated to the terms present in the passage."""
+    return V.gate_to_bag_of_words(V.expansion_encoder(t.tokens, PK, t.expansion), t.tokens, PK)
+
+
+@register("e5_epic", O.with_base(final=f"""
+SELECT * FROM (SELECT doc_id, psg, term,
+  {quant('max(ln(1 + (greatest(scale, 0.0) + ln(1 + exp(-abs(scale))))))')} AS w
+FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
+def e5_epic(t: Tables):
+    """E5: term importance ``log1p(softplus(score))``."""
+    scores = t.tokens.join(t.term_weights, "term").select(*PK, "term", F.col("scale").alias("s"))
+    return V.epic_encoder(scores, PK)
+
+
+@register("e13_avg_nnz", O.with_base(final="""
+SELECT round(avg(coalesce(nnz, 0)), 6) AS avg_nnz, count(*) AS n_vectors
+FROM (SELECT doc_id, psg FROM passages) p
+LEFT JOIN (SELECT doc_id, psg, count(*) AS nnz FROM impacts WHERE w > 0 GROUP BY doc_id, psg) i USING (doc_id, psg)"""))
+def e13_avg_nnz(t: Tables):
+    """Mean number of positive entries per passage vector."""
+    ids = t.passages.select(F.concat_ws("@@", "doc_id", F.col("psg").cast("string")).alias("id"))
+    vec = t.impacts.select(F.concat_ws("@@", "doc_id", F.col("psg").cast("string")).alias("id"), "term", "w")
+    return V.avg_positive_entries(vec, ids, "id").select(F.round("avg_nnz", 6).alias("avg_nnz"), "n_vectors")
+
+
+@register("e14_rowwise_dot", O.with_base(f"dv AS ({doc_agg_sql('max', 4)})", final="""
+SELECT p.qid, p.doc_id, CAST(coalesce(d.dot, 0) AS BIGINT) AS dot
+FROM (SELECT DISTINCT qid, doc_id FROM qrels) p
+LEFT JOIN (SELECT q.qid, v.doc_id, sum(q.qw * v.w) AS dot FROM query_impacts q JOIN dv v USING (term)
+           WHERE (q.qid, v.doc_id) IN (SELECT qid, doc_id FROM qrels) GROUP BY q.qid, v.doc_id) d
+  ON d.qid = p.qid AND d.doc_id = p.doc_id"""))
+def e14_rowwise_dot(t: Tables):
+    """Query . document for every judged (query, document) pair."""
+    return V.rowwise_dot(t.query_impacts, t.doc_vectors("max", 4), t.qrels)
+
+
+@register("e15_all_pairs_dot", O.with_base(f"dv AS ({doc_agg_sql('max', 4)})", final="""
+SELECT qid, doc_id, CAST(sum(qw * w) AS BIGINT) AS dot FROM query_impacts JOIN dv USING (term) GROUP BY qid, doc_id"""))
+def e15_all_pairs_dot(t: Tables):
+    """Every query against every document sharing a term."""
+    return V.all_pairs_dot(t.query_impacts, t.doc_vectors("max", 4))
+
+
+@register("e16_repeat", O.with_base(final="""
+SELECT qid, term, qw, CAST(r AS INTEGER) AS rep FROM query_impacts, range(1, 3) AS g(r)"""))
+def e16_repeat(t: Tables):
+    """Every query-vector row twice."""
+    return V.repeat_rows(t.query_impacts, 2).withColumn("rep", F.col("rep").cast("int"))
+
+
+@register("e18_vocabulary", O.with_base(final="SELECT DISTINCT term FROM impacts"))
+def e18_vocabulary(t: Tables):
+    """Global vocabulary of the passage vectors."""
+    return V.vocabulary(t.impacts)
+
+
+@register("e19_vocab_index", O.with_base(final="""
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS idx FROM (SELECT DISTINCT term FROM impacts)"""))
+def e19_vocab_index(t: Tables):
+    """Term -> column number in term order (distributed index)."""
+    return V.vocabulary_index(V.vocabulary(t.impacts))
+
+
+@register("e20_query_tf", O.with_base(final="""
+SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(string_split(text, ' ')) AS term FROM queries)
+WHERE length(term) > 0 AND term IN (SELECT term FROM impacts) GROUP BY qid, term"""))
+def e20_query_tf(t: Tables):
+    """Query term frequencies restricted to the vocabulary."""
+    return V.query_tf_in_vocab(t.queries, V.vocabulary(t.impacts))
+
+
+@register("a7_sweep_summary", O.with_base("""sw AS (
+  SELECT n, doc_id, term, greatest(max(CAST(w AS DOUBLE)), 0.0) AS mx, sum(CAST(w AS DOUBLE)) AS sm, any_value(n_psg) AS np
+  FROM impacts, range(1, 11) AS g(n) WHERE psg < n GROUP BY n, doc_id, term)""", """st AS (
+  SELECT 'max' AS mode, n, doc_id, mx AS w FROM sw
+  UNION ALL SELECT 'sum', n, doc_id, sm FROM sw
+  UNION ALL SELECT 'mean', n, doc_id, sm / least(n, np) FROM sw)""", final="""
+SELECT mode, CAST(n AS INTEGER) AS n, count(DISTINCT doc_id) AS n_docs, count(*) AS n_entries,
+       round(sum(w), 2) AS total_w
+FROM st GROUP BY mode, n"""))
+def a7_sweep_summary(t: Tables):
+    """Max / sum / mean over the first n = 1..10 passages in one pass,
+    summarised per (mode, n)."""
+    sw = A.aggregate_sweep(t.impacts, 10)
+    return sw.groupBy("mode", "n").agg(F.countDistinct("doc_id").alias("n_docs"),
+                                       F.count(F.lit(1)).alias("n_entries"),
+                                       F.round(F.sum("w"), 2).alias("total_w"))
