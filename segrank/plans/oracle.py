@@ -162,3 +162,68 @@ def quant(expr: str) -> str:
 
 def dbl(x: float) -> str:
     return f"CAST({x!r} AS DOUBLE)"
+
+
+K1, B = 0.9, 0.4
+
+
+def first_n_docs_sql(n: int | None) -> str:
+    cond = "" if n is None else f" AND p.psg < {n}"
+    return f"""SELECT c.doc_id, coalesce(string_agg(p.text, ' ' ORDER BY p.psg), '') AS text
+FROM corpus c LEFT JOIN passages p ON p.doc_id = c.doc_id{cond} GROUP BY c.doc_id"""
+
+
+def bm25_ctes(n: int | None, prefix: str = "bm") -> list[str]:
+    """CTEs ``{prefix}_docs(doc_id, dl)``, ``{prefix}_tok(doc_id, dl, pos, term)``,
+    ``{prefix}_stats(n_docs, avgdl)``."""
+    p = prefix
+    return [
+        f"{p}_d0 AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOK_RE}') AS t FROM ({first_n_docs_sql(n)}))",
+        f"{p}_docs AS (SELECT doc_id, len(t) AS dl FROM {p}_d0)",
+        f"""{p}_tok AS (SELECT doc_id, len(t) AS dl, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term
+FROM {p}_d0)""",
+        f"{p}_stats AS (SELECT count(*) AS n_docs, avg(CAST(dl AS DOUBLE)) AS avgdl FROM {p}_docs)",
+    ]
+
+
+def bm25_term(tf: str, df: str, dl: str, n: str, avgdl: str) -> str:
+    return (f"ln(1.0 + (CAST({n} AS DOUBLE) - CAST({df} AS DOUBLE) + 0.5) / (CAST({df} AS DOUBLE) + 0.5))"
+            f" * CAST({tf} AS DOUBLE) / (CAST({tf} AS DOUBLE) + {dbl(K1)} * ({dbl(round(1.0 - B, 10))} + {dbl(B)} * CAST({dl} AS DOUBLE) / {avgdl}))")
+
+
+def bm25_unit_sql(units: str, stats: str) -> str:
+    """``units(qid, unit, qweight, doc_id, tf, dl)`` -> ``(qid, doc_id, s)``."""
+    return f"""SELECT u.qid, u.doc_id, u.qweight * {bm25_term('u.tf', 'f.df', 'u.dl', 's.n_docs', 's.avgdl')} AS s
+FROM {units} u JOIN (SELECT unit, count(DISTINCT doc_id) AS df FROM {units} GROUP BY unit) f USING (unit)
+CROSS JOIN {stats} s"""
+
+
+def term_units_sql(qweights: str, tok: str) -> str:
+    return f"""(SELECT q.qid, t.term AS unit, q.qweight, t.doc_id, t.tf, t.dl
+FROM (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM {tok}
+      WHERE term IN (SELECT term FROM {qweights}) GROUP BY doc_id, term) t
+JOIN {qweights} q ON q.term = t.term)"""
+
+
+QTF = "(SELECT qid, term, CAST(count(*) AS DOUBLE) AS qweight FROM query_tokens GROUP BY qid, term)"
+
+
+def bm25_run_sql(n: int | None, k: int, qweights: str = QTF, prefix: str = "bm") -> str:
+    scored = f"""(SELECT qid, doc_id, round(sum(s), 6) AS score FROM ({bm25_unit_sql(term_units_sql(qweights, prefix + '_tok'), prefix + '_stats')})
+GROUP BY qid, doc_id)"""
+    return topk_sql(scored, k)
+
+
+def pair_units_sql(tok: str, window: int | None) -> str:
+    pairs = """(SELECT a.qid, a.term AS t1, b.term AS t2 FROM query_tokens a JOIN query_tokens b
+            ON a.qid = b.qid AND b.pos = a.pos + 1)"""
+    band = "p2.pos = p1.pos + 1" if window is None else \
+        f"p2.pos BETWEEN p1.pos - {window - 1} AND p1.pos + {window - 1} AND p2.pos <> p1.pos"
+    post = f"(SELECT * FROM {tok} WHERE term IN (SELECT term FROM query_tokens))"
+    return f"""(SELECT q.qid, h.t1 || ' ' || h.t2 AS unit, q.qweight, h.doc_id, h.tf, h.dl
+FROM (SELECT p1.doc_id, p1.term AS t1, p2.term AS t2, count(*) AS tf, any_value(p1.dl) AS dl
+      FROM {post} p1 JOIN {post} p2 ON p1.doc_id = p2.doc_id AND {band}
+      WHERE (p1.term, p2.term) IN (SELECT t1, t2 FROM {pairs})
+      GROUP BY p1.doc_id, p1.term, p2.term) h
+JOIN (SELECT qid, t1, t2, CAST(count(*) AS DOUBLE) AS qweight FROM {pairs} GROUP BY qid, t1, t2) q
+  ON q.t1 = h.t1 AND q.t2 = h.t2)"""
