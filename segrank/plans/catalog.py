@@ -55,7 +55,7 @@ def l1_maxp_dot_eval(t: Tables) -> DataFrame:
 
 
 def build_all() -> dict[str, Builder]:
-    from segrank.plans import queries_text, queries_vectors, queries_retrieval  # noqa: F401  (registration)
+    from segrank.plans import queries_text, queries_vectors, queries_retrieval, queries_rerank  # noqa: F401
     return {k: v[0] for k, v in REGISTRY.items()}
 
 

@@ -60,8 +60,8 @@ class Tables:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """``(doc_id, psg, n_psg, pos, term)``."""
-        return (self.passages.select("doc_id", "psg", "n_psg",
+        """``(doc_id, psg, n_psg, n_tok, pos, term)``."""
+        return (self.passages.select("doc_id", "psg", "n_psg", "n_tok",
                                      F.posexplode_outer(tokens_of(F.col("text"))).alias("pos", "term"))
                 .filter(F.col("term").isNotNull()))
 

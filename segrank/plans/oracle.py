@@ -45,8 +45,8 @@ passages AS (
          CAST(len(starts) AS INTEGER) AS n_psg
   FROM _psg0),
 tokens AS (
-  SELECT doc_id, psg, n_psg, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term
-  FROM (SELECT doc_id, psg, n_psg, regexp_extract_all(lower(text), '{TOK_RE}') AS t FROM passages)),
+  SELECT doc_id, psg, n_psg, n_tok, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term
+  FROM (SELECT doc_id, psg, n_psg, n_tok, regexp_extract_all(lower(text), '{TOK_RE}') AS t FROM passages)),
 queries AS (
   SELECT CAST(item_id AS VARCHAR) AS qid,
          array_to_string(regexp_extract_all(lower(text), '{TOK_RE}')[1:{QLEN}], ' ') AS text
@@ -227,3 +227,76 @@ FROM (SELECT p1.doc_id, p1.term AS t1, p2.term AS t2, count(*) AS tf, any_value(
       GROUP BY p1.doc_id, p1.term, p2.term) h
 JOIN (SELECT qid, t1, t2, CAST(count(*) AS DOUBLE) AS qweight FROM {pairs} GROUP BY qid, t1, t2) q
   ON q.t1 = h.t1 AND q.t2 = h.t2)"""
+
+
+# ------------------------------------------------------------- SDM features
+
+CK = "qid, doc_id, psg, q_len, d_len"
+
+
+def sdm_ctes(cand: str, n_psg: int, prefix: str = "s") -> list[str]:
+    """``{p}_cells_soft`` / ``{p}_cells_exact`` over candidates ``cand(qid, doc_id)``."""
+    p = prefix
+    return [
+        f"""{p}_q AS (SELECT t.qid, t.pos + 1 AS i, t.term, coalesce(w.scale, 0.0) AS wq, l.q_len
+  FROM query_tokens t LEFT JOIN term_weights w USING (term)
+  JOIN (SELECT qid, count(*) + 2 AS q_len FROM query_tokens GROUP BY qid) l USING (qid))""",
+        f"""{p}_d AS (SELECT doc_id, psg, pos + 1 AS j, term, n_tok + 2 AS d_len FROM tokens
+  WHERE psg < {n_psg} AND doc_id IN (SELECT doc_id FROM {cand}))""",
+        f"""{p}_cq AS (SELECT c.qid, c.doc_id, q.i, q.term, q.wq, q.q_len FROM (SELECT DISTINCT qid, doc_id FROM {cand}) c
+  JOIN {p}_q q ON q.qid = c.qid WHERE q.wq > 0)""",
+        f"""{p}_cells_soft AS (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * d.s AS m
+  FROM {p}_cq cq JOIN (SELECT d.doc_id, d.psg, d.j, e.term, d.d_len, e.s FROM {p}_d d JOIN expansion e ON e.src_term = d.term) d
+    ON d.doc_id = cq.doc_id AND d.term = cq.term
+  WHERE cq.wq * d.s > 0)""",
+        f"""{p}_cells_exact AS (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * 1.0 AS m
+  FROM {p}_cq cq JOIN {p}_d d ON d.doc_id = cq.doc_id AND d.term = cq.term)""",
+    ]
+
+
+def ordered_sql(cells: str, n: int, exact: bool) -> str:
+    if n == 1:
+        return f"""SELECT qid, doc_id, psg, sum(v) AS value FROM (
+  SELECT {CK}, i, max(m) AS v FROM {cells} GROUP BY {CK}, i) GROUP BY qid, doc_id, psg"""
+    having = f" HAVING count(*) = {n}" if exact else ""
+    return f"""SELECT qid, doc_id, psg, sum(v) AS value FROM (
+  SELECT {CK}, a, max(v) AS v FROM (
+    SELECT {CK}, i - k AS a, j - k AS b, sum(m) AS v FROM {cells} CROSS JOIN range(0, {n}) AS g(k)
+    WHERE i - k >= 0 AND i - k <= q_len - {n} AND j - k >= 0 AND j - k <= d_len - {n}
+    GROUP BY {CK}, i - k, j - k{having})
+  GROUP BY {CK}, a) GROUP BY qid, doc_id, psg"""
+
+
+def prox_sql(cells: str, p: int) -> str:
+    return f"""SELECT {CK}, i, j - k AS b, max(m) AS m FROM {cells} CROSS JOIN range(0, {p}) AS g(k)
+  WHERE j - k >= 0 AND j - k <= d_len - {p} GROUP BY {CK}, i, j - k"""
+
+
+def unordered_sql(pcells: str, n: int, exact: bool) -> str:
+    having = f" HAVING count(*) = {n}" if exact else ""
+    return f"""SELECT qid, doc_id, psg, sum(v) AS value FROM (
+  SELECT {CK}, a, max(v) AS v FROM (
+    SELECT {CK}, i - k AS a, b, sum(m) AS v FROM ({pcells}) CROSS JOIN range(0, {n}) AS g(k)
+    WHERE i - k >= 0 AND i - k <= q_len - {n}
+    GROUP BY {CK}, i - k, b{having})
+  GROUP BY {CK}, a) GROUP BY qid, doc_id, psg"""
+
+
+def passage_features_sql(prefix: str, exact: bool, windows, p: int) -> str:
+    soft = f"{prefix}_cells_soft"
+    base = f"{prefix}_cells_exact" if exact else soft
+    parts = []
+    for w in windows:
+        cells = soft if w == 1 else base
+        parts.append(f"SELECT qid, doc_id, psg, 'O_{w}' AS feature, value FROM ({ordered_sql(cells, w, exact and w > 1)})")
+    for w in windows[1:]:
+        parts.append(f"SELECT qid, doc_id, psg, 'U_{w}_p_{p}' AS feature, value FROM ({unordered_sql(prox_sql(base, p), w, exact)})")
+    return " UNION ALL ".join(parts)
+
+
+def pooled_sql(pfeat: str, cand: str, names: list[str]) -> str:
+    arr = ", ".join(f"'{n}'" for n in names)
+    return f"""SELECT g.qid, g.doc_id, g.feature, coalesce(f.value, 0.0) AS value
+FROM (SELECT DISTINCT qid, doc_id, unnest([{arr}]) AS feature FROM {cand}) g
+LEFT JOIN (SELECT qid, doc_id, feature, max(value) AS value FROM ({pfeat}) GROUP BY qid, doc_id, feature) f
+  ON f.qid = g.qid AND f.doc_id = g.doc_id AND f.feature = g.feature"""
