@@ -110,7 +110,7 @@ FROM {scored}) WHERE rank <= {k}"""
 
 
 def dot_run_sql(qv: str, dv: str, k: int) -> str:
-    scored = f"(SELECT qid, doc_id, round(sum(qw * w), 6) AS score FROM {qv} JOIN {dv} USING (term) GROUP BY qid, doc_id)"
+    scored = f"(SELECT qid, doc_id, round(CAST(sum(qw * w) AS DOUBLE), 6) AS score FROM {qv} JOIN {dv} USING (term) GROUP BY qid, doc_id)"
     return topk_sql(scored, k)
 
 

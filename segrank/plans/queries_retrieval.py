@@ -16,7 +16,7 @@ BM25_N = 3  # lexical runs index the first 3 passages of every document
 DOT_RUN = [f"doc_vec AS ({O.doc_agg_sql('max', FLAGSHIP_N)})",
            f"run AS ({O.dot_run_sql('query_impacts', 'doc_vec', 1000)})"]
 BM25 = O.bm25_ctes(BM25_N) + [f"bm25_run AS ({O.bm25_run_sql(BM25_N, 1000)})"]
-PSG_RUN = [f"psg_run AS ({O.topk_sql('''(SELECT qid, doc_id, psg, round(sum(qw * w), 6) AS score FROM query_impacts JOIN impacts USING (term) GROUP BY qid, doc_id, psg)''', 10000).replace('ORDER BY score DESC, doc_id ASC', 'ORDER BY score DESC, doc_id ASC, psg ASC')})"]
+PSG_RUN = [f"psg_run AS ({O.topk_sql('''(SELECT qid, doc_id, psg, round(CAST(sum(qw * w) AS DOUBLE), 6) AS score FROM query_impacts JOIN impacts USING (term) GROUP BY qid, doc_id, psg)''', 10000).replace('ORDER BY score DESC, doc_id ASC', 'ORDER BY score DESC, doc_id ASC, psg ASC')})"]
 
 
 def bm25_run(t: Tables, n: int | None = BM25_N, k: int = 1000):
