@@ -40,7 +40,7 @@ def _pack_starts(counts: Column, budget: int) -> Column:
 
 
 def doc_passages(corpus: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """Nested form ``(doc_id, psgs ARRAY<STRUCT<psg, text, n_tok>>)``.
+    """Nested form ``(doc_id, psgs ARRAY<STRUCT<psg, text, n_tok, n_psg>>)``.
 
     Each step is its own projection so that the sentence array, the token
     counts and the packing fold are computed once per document (the
@@ -52,6 +52,8 @@ def doc_passages(corpus: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     n_sent = F.size("sents")
     starts, cnt, sent = F.col("starts"), F.col("cnt"), F.col("sents")
 
+    n_psg = F.size(starts)
+
     def one(p):
         lo = F.get(starts, p)
         hi = F.coalesce(F.get(starts, p + 1), n_sent)
@@ -59,16 +61,19 @@ def doc_passages(corpus: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
             p.cast("int").alias("psg"),
             F.array_join(F.slice(sent, lo + 1, hi - lo), " ").alias("text"),
             F.aggregate(F.slice(cnt, lo + 1, hi - lo), F.lit(0), lambda a, b: a + b).alias("n_tok"),
+            # carried inside the element: a filter on it then stays above the
+            # generator instead of being pushed into the packing expression
+            n_psg.cast("int").alias("n_psg"),
         )
 
-    psgs = F.when(n_sent > 0, F.transform(F.sequence(F.lit(0), F.size(starts) - 1), one)) \
-        .otherwise(F.array().cast("array<struct<psg:int,text:string,n_tok:int>>"))
+    psgs = F.when(n_sent > 0, F.transform(F.sequence(F.lit(0), n_psg - 1), one)) \
+        .otherwise(F.array().cast("array<struct<psg:int,text:string,n_tok:int,n_psg:int>>"))
     return packed.select("doc_id", psgs.alias("psgs"))
 
 
 def split_passages(corpus: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """``passages(doc_id, psg, text, n_tok)``; documents without any
-    sentence yield no passage."""
+    """``passages(doc_id, psg, text, n_tok, n_psg)``; documents without
+    any sentence yield no passage."""
     # inline_outer + null filter: a plain inline makes the optimizer infer a
     # ``size(psgs) > 0`` filter and push it below the projections, which
     # re-evaluates the whole packing fold inside that filter.

@@ -54,7 +54,7 @@ class Tables:
     @cached_property
     def passages(self) -> DataFrame:
         """``(doc_id, psg, text, n_tok, n_psg)``."""
-        return (self.doc_psgs.select("doc_id", F.size("psgs").alias("n_psg"), F.inline_outer("psgs"))
+        return (self.doc_psgs.select("doc_id", F.inline_outer("psgs"))
                 .filter(F.col("psg").isNotNull())
                 .select("doc_id", "psg", "text", "n_tok", "n_psg"))
 
