@@ -122,8 +122,14 @@ class Tables:
         hits = docs.join(F.broadcast(b), F.col("text").contains(F.col("btext"))).select("qid", "doc_id")
         labels = testdata.table(self.spark, self.sf_dir, "labels").select(
             F.col("doc_id").cast("string").alias("doc_id"), "quality")
-        return hits.join(labels, "doc_id", "left").select(
+        qrels = hits.join(labels, "doc_id", "left").select(
             "qid", "doc_id", (F.lit(1) + F.coalesce(F.col("quality"), F.lit(0))).cast("int").alias("rel"))
+        # judgements are an input table in the reference; here they are
+        # derived by a nested-loop scan of every document, so they are
+        # materialised once (reliable checkpoint in the shared folder)
+        # instead of being re-derived by every consumer in a plan
+        from segrank.session import cut_lineage
+        return cut_lineage(qrels)
 
     # ------------------------------------------------------------ weights
     @cached_property
