@@ -24,7 +24,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_two_field_tsv(spark: SparkSession, path: str, names=("id", "text")) -> tuple[DataFrame, DataFrame]:
     """``id \\t text`` lines; exactly two fields after stripping the line
     (others are rejected).  Returns ``(rows, rejected)``."""
-    parts = _lines(spark, path).select("line_no", F.split(F.trim(F.col("value"), " \n\r"), "\t").alias("p"), "value")
+    parts = _lines(spark, path).select("line_no", F.split(F.trim(F.col("value"), F.lit(" \n\r")), "\t").alias("p"), "value")
     ok = F.size("p") == 2
     rows = parts.filter(ok).select(F.col("p")[0].alias(names[0]), F.col("p")[1].alias(names[1]), "line_no")
     return rows.drop("line_no"), parts.filter(~ok).select("value")
@@ -33,7 +33,7 @@ def read_two_field_tsv(spark: SparkSession, path: str, names=("id", "text")) ->
 def read_passages_tsv(spark: SparkSession, path: str, sep: str = PSG_SEP) -> tuple[DataFrame, DataFrame]:
     """``doc<sep>psg \\t text``; the id is split at ingest (psg INT).  A
     duplicated passage id keeps its last line (Q1)."""
-    parts = _lines(spark, path).select("line_no", F.split(F.trim(F.col("value"), " \n\r"), "\t").alias("p"), "value")
+    parts = _lines(spark, path).select("line_no", F.split(F.trim(F.col("value"), F.lit(" \n\r")), "\t").alias("p"), "value")
     idp = F.split(F.col("p")[0], sep)
     x = parts.select("line_no", "value", F.col("p")[1].alias("text"),
                      idp[0].alias("doc_id"), idp[1].alias("psg_s"), F.size("p").alias("_n"))
