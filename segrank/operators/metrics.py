@@ -14,20 +14,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def eval_rank(run: DataFrame) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").desc())
-    return run.select("qid", "doc_id", "score").withColumn("erank", F.row_number().over(w))
+def eval_rank(run: DataFrame, group: tuple = ()) -> DataFrame:
+    w = Window.partitionBy(*group, "qid").orderBy(F.col("score").desc(), F.col("doc_id").desc())
+    return run.select(*group, "qid", "doc_id", "score").withColumn("erank", F.row_number().over(w))
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10,
-              k_recall: int = 1000) -> DataFrame:
-    """M4: ``(qid, rr, ndcg, recall)`` for every judged query."""
+              k_recall: int = 1000, group: tuple = (), groups: DataFrame | None = None) -> DataFrame:
+    """M4: ``(group..., qid, rr, ndcg, recall)`` for every judged query (and
+    every value of the ``group`` columns present in the run, e.g. a
+    configuration id: several runs are evaluated in one job)."""
     kmax = max(k_rr, k_ndcg, k_recall)
+    group = tuple(group)
     rel = qrels.filter(F.col("rel") > 0).select("qid", "doc_id", "rel")
     judged = rel.select("qid").distinct()
-    ranked = eval_rank(run).filter(F.col("erank") <= kmax).join(judged, "qid", "left_semi")
+    ranked = eval_rank(run, group).filter(F.col("erank") <= kmax).join(judged, "qid", "left_semi")
     hits = ranked.join(rel, ["qid", "doc_id"])
-    got = hits.groupBy("qid").agg(
+    got = hits.groupBy(*group, "qid").agg(
         F.min(F.when(F.col("erank") <= k_rr, F.col("erank"))).alias("first_rel"),
         F.sum(F.when(F.col("erank") <= k_ndcg, F.col("rel") / F.log2(F.col("erank") + 1))).alias("dcg"),
         F.count(F.when(F.col("erank") <= k_recall, True)).alias("n_hit"))
@@ -36,19 +39,23 @@ def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10
              .groupBy("qid").agg(
                  F.sum(F.when(F.col("i") <= k_ndcg, F.col("rel") / F.log2(F.col("i") + 1))).alias("idcg"),
                  F.count(F.lit(1)).alias("n_rel")))
-    out = ideal.join(got, "qid", "left")
+    if group:
+        # one row per run id (few); pass them in to avoid re-planning the run
+        g = groups if groups is not None else run.select(*group).distinct()
+        ideal = ideal.crossJoin(F.broadcast(g))
+    out = ideal.join(got, [*group, "qid"], "left")
     return out.select(
-        "qid",
+        *group, "qid",
         F.coalesce(F.lit(1.0) / F.col("first_rel"), F.lit(0.0)).alias("rr"),
         F.coalesce(F.col("dcg") / F.col("idcg"), F.lit(0.0)).alias("ndcg"),
         F.coalesce(F.col("n_hit") / F.col("n_rel"), F.lit(0.0)).alias("recall"))
 
 
 def summary(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10,
-            k_recall: int = 1000) -> DataFrame:
-    """M1-M3: one row ``(n_queries, mrr, ndcg, recall)``, rounded to 6 places."""
-    pq = per_query(run, qrels, k_rr, k_ndcg, k_recall)
-    return pq.agg(F.count(F.lit(1)).alias("n_queries"),
+            k_recall: int = 1000, group: tuple = (), groups: DataFrame | None = None) -> DataFrame:
+    """M1-M3: ``(group..., n_queries, mrr, ndcg, recall)``, rounded to 6 places."""
+    pq = per_query(run, qrels, k_rr, k_ndcg, k_recall, group, groups)
+    return pq.groupBy(*group).agg(F.count(F.lit(1)).alias("n_queries"),
                   F.round(F.avg("rr"), 6).alias("mrr"),
                   F.round(F.avg("ndcg"), 6).alias("ndcg"),
                   F.round(F.avg("recall"), 6).alias("recall"))

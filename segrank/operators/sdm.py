@@ -273,3 +273,39 @@ def fit_fusion_weights(pos_feats: DataFrame, neg_feats: DataFrame, triplets: Dat
     coef = model.coefficients.toArray().tolist()
     spark = triplets.sparkSession
     return spark.createDataFrame(list(zip(feature_names, [float(c) for c in coef])), "feature string, weight double")
+
+
+def grid_runs(soft: DataFrame, exact: DataFrame, pairs: DataFrame, configs: list[SdmConfig],
+              weights: dict[str, dict[str, float]]) -> DataFrame:
+    """Every configuration in one job.  Passage features are computed
+    once per (variant, windows, proximity) over the largest passage count;
+    a passage ``psg`` then serves every configuration with ``n_psg > psg``
+    (one explode), pooling / fusion / ranking are keyed by ``config_id``.
+    ``weights`` maps config_id -> {feature: weight}.  Returns
+    ``(config_id, qid, doc_id, rank, score)``."""
+    spark = pairs.sparkSession
+    shapes = {}
+    for c in configs:
+        shapes.setdefault((c.exact, tuple(c.windows), c.proximity), []).append(c)
+    per_shape = []
+    for (ex, win, prox), cs in shapes.items():
+        base = SdmConfig(ex, win, prox, max(c.n_psg for c in cs))
+        pf = passage_features(soft, exact, base)
+        ids = F.array(*[F.struct(F.lit(c.n_psg).alias("n"), F.lit(c.config_id).alias("config_id")) for c in cs])
+        x = pf.select("*", F.explode(F.filter(ids, lambda e: F.col("psg") < e["n"])).alias("c")) \
+            .select(F.col("c.config_id").alias("config_id"), "qid", "doc_id", "feature", "value")
+        pooled = x.groupBy("config_id", *PAIR, "feature").agg(F.max("value").alias("value"))
+        names = F.explode(F.array(*[F.lit(f) for f in base.feature_names])).alias("feature")
+        cfg_ids = spark.createDataFrame([(c.config_id,) for c in cs], "config_id string")
+        grid = pairs.select(*PAIR).distinct().crossJoin(F.broadcast(cfg_ids)).select("config_id", *PAIR, names)
+        per_shape.append(grid.join(pooled, ["config_id", *PAIR, "feature"], "left")
+                         .select("config_id", *PAIR, "feature", F.coalesce("value", F.lit(0.0)).alias("value")))
+    allf = per_shape[0]
+    for p_ in per_shape[1:]:
+        allf = allf.unionByName(p_)
+    wdf = spark.createDataFrame([(cid, f, float(v)) for cid, fw in weights.items() for f, v in fw.items()],
+                                "config_id string, feature string, weight double")
+    scores = allf.join(F.broadcast(wdf), ["config_id", "feature"]).groupBy("config_id", *PAIR) \
+        .agg(r6(F.sum(F.col("weight") * F.col("value"))).alias("score"))
+    w = Window.partitionBy("config_id", "qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    return scores.withColumn("rank", F.row_number().over(w).cast("int")).select("config_id", *PAIR, "rank", "score")

@@ -55,8 +55,8 @@ def l1_maxp_dot_eval(t: Tables) -> DataFrame:
 
 
 def build_all() -> dict[str, Builder]:
-    from segrank.plans import (queries_analysis, queries_rerank, queries_retrieval,  # noqa: F401
-                               queries_text, queries_vectors)
+    from segrank.plans import (queries_analysis, queries_io, queries_rerank,  # noqa: F401
+                               queries_retrieval, queries_text, queries_vectors)
     return {k: v[0] for k, v in REGISTRY.items()}
 
 

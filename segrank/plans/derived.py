@@ -136,10 +136,15 @@ class Tables:
     def term_weights(self) -> DataFrame:
         return vectors.idf_term_weights(self.corpus)
 
+    @cached_property
+    def passage_tf(self) -> DataFrame:
+        """``(doc_id, psg, n_psg, term, tf)`` counted inside each passage row."""
+        return vectors.passage_term_counts(self.passages, ["doc_id", "psg", "n_psg"])
+
     @cached_property
     def impacts(self) -> DataFrame:
         """Passage vectors ``(doc_id, psg, n_psg, term, w)``."""
-        return vectors.tfidf_impacts(self.tokens, ["doc_id", "psg", "n_psg"], self.term_weights)
+        return vectors.tfidf_impacts(self.tokens, ["doc_id", "psg", "n_psg"], self.term_weights, tf=self.passage_tf)
 
     @cached_property
     def query_impacts(self) -> DataFrame:

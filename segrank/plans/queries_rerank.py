@@ -179,3 +179,41 @@ def k15_fit_weights(t: Tables):
     exact = K.match_cells(pairs, qs, ds, None)
     feats = K.pooled_features(K.passage_features(soft, exact, cfg), pairs, cfg)
     return K.fit_fusion_weights(feats, feats, tr, cfg.feature_names)
+
+
+GRID = [K.SdmConfig(ex, win, prox, n) for ex in (True, False) for win, prox in (((1, 2), 8), ((1, 5), 10))
+        for n in range(1, 6)]
+
+
+@register("k17_grid_eval", None)
+def k17_grid_eval(t: Tables):
+    """Exact and soft variants x windows {1,2} P 8 / {1,5} P 10 x
+    passages 1..5 (20 configurations) reranked and evaluated in one job."""
+    cand = _cand(t)
+    qs = K.query_slots(t.query_tokens, t.term_weights)
+    ds = K.doc_slots(t.tokens, cand.select("doc_id").distinct(), 5)
+    # the cell tables feed four feature shapes: materialise them once
+    # (reliable checkpoint; bounded by the candidates) instead of four times
+    from segrank.session import cut_lineage
+    soft = cut_lineage(K.match_cells(cand, qs, ds, t.expansion))
+    exact = cut_lineage(K.match_cells(cand, qs, ds, None))
+    cand = cut_lineage(cand.select("qid", "doc_id"))
+    runs = K.grid_runs(soft, exact, cand, GRID, {c.config_id: K.default_weights(c) for c in GRID})
+    ids = t.spark.createDataFrame([(c.config_id,) for c in GRID], "config_id string")
+    return M.summary(runs, t.qrels, group=("config_id",), groups=ids)
+
+
+def _grid_sql() -> str:
+    parts = []
+    for c in GRID:
+        pf = O.passage_features_sql("s", c.exact, c.windows, c.proximity)
+        pooled_q = O.pooled_sql(f"SELECT * FROM ({pf}) WHERE psg < {c.n_psg}", "cand", c.feature_names)
+        rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, {O.dbl(w)} AS weight" for f, w in K.default_weights(c).items())
+        rr = f"""(SELECT qid, doc_id, round(sum(weight * value), 6) AS score FROM ({pooled_q}) JOIN ({rows}) USING (feature) GROUP BY qid, doc_id)"""
+        parts.append(f"SELECT '{c.config_id}' AS config_id, * FROM ({O.summary_sql(rr)})")
+    return O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", 5), final=" UNION ALL ".join(parts))
+
+
+from segrank.plans.catalog import REGISTRY  # noqa: E402
+
+REGISTRY["k17_grid_eval"] = (REGISTRY["k17_grid_eval"][0], _grid_sql())

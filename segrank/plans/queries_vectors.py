@@ -49,7 +49,7 @@ PK = ["doc_id", "psg"]
 @register("e1_binary", O.with_base(final=f"SELECT DISTINCT doc_id, psg, term, {quant('0.3')} AS w FROM tokens"))
 def e1_binary(t: Tables):
     """Binary bag of words, every token weighs 0.3 (-> 30)."""
-    return V.binary_encoder(t.tokens, PK, 0.3)
+    return V.binary_encoder(t.passage_tf, PK, 0.3, already_distinct=True)
 
 
 @register("e2_scaled_binary", O.with_base(final=f"""
@@ -57,7 +57,7 @@ SELECT * FROM (SELECT doc_id, psg, term, {quant('scale')} AS w
 FROM (SELECT DISTINCT doc_id, psg, term FROM tokens) JOIN term_weights USING (term)) WHERE w <> 0"""))
 def e2_scaled_binary(t: Tables):
     """Binary bag of words with the per-term scale table."""
-    return V.scaled_encoder(t.tokens, PK, t.term_weights)
+    return V.scaled_encoder(t.passage_tf, PK, t.term_weights, already_distinct=True)
 
 
 @register("e3_token_weights", O.with_base(final=f"""
