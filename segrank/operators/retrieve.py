@@ -208,3 +208,34 @@ def sdm_bm25(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k:
         .select("qid", "doc_id", (F.lit(weights[2]) * F.col("s")).alias("s"))
     s = uni.unionByName(od).unionByName(uw).groupBy("qid", "doc_id").agg(r6(F.sum("s")).alias("score"))
     return top_k(s, k).select("qid", "doc_id", "rank", "score")
+
+
+def bm25_sweep(passage_tf: DataFrame, passages: DataFrame, n_docs: DataFrame, query_tokens: DataFrame,
+               max_n: int = 10, k: int = 1000, k1: float = BM25_K1, b: float = BM25_B,
+               bounded: bool | None = None) -> DataFrame:
+    """BM25 over "first n passages" documents for every n in 1..max_n in
+    one pass.  Only query-term postings are kept (broadcast semi join); a
+    passage ``p`` serves every n > p (one explode), so tf, document length,
+    df and avgdl are all grouped by ``n``; the text is tokenised once.
+    ``passage_tf(doc_id, psg, term, tf)``, ``passages(doc_id, psg, n_tok)``,
+    ``n_docs``: one row with the collection size (documents without
+    passages count, with length 0).  Returns ``(n, qid, doc_id, rank, score)``."""
+    qw = query_term_counts(query_tokens)
+    post = _query_term_postings(passage_tf.filter(F.col("psg") < max_n), qw, bounded)
+    seq = F.explode(F.sequence(F.col("psg") + 1, F.lit(max_n))).alias("n")
+    tf = post.select("doc_id", "term", "tf", seq).groupBy("n", "doc_id", "term").agg(F.sum("tf").alias("tf"))
+    dl = (passages.filter(F.col("psg") < max_n).select("doc_id", "n_tok", seq)
+          .groupBy("n", "doc_id").agg(F.sum("n_tok").alias("dl")))
+    stats = dl.groupBy("n").agg(F.sum("dl").alias("tot")).crossJoin(F.broadcast(n_docs)) \
+        .select("n", F.col("n_docs"), (F.col("tot").cast("double") / F.col("n_docs")).alias("avgdl"))
+    df_ = tf.groupBy("n", "term").agg(F.count(F.lit(1)).alias("df"))
+    q = broadcast_if_small(qw, QUERY_SIDE_MAX_ROWS, bounded)
+    u = (tf.join(dl, ["n", "doc_id"]).join(df_, ["n", "term"]).join(F.broadcast(stats), "n")
+         .join(q, "term"))
+    s = F.col("qweight") * _bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"),
+                                      F.col("dl").cast("double"), F.col("n_docs").cast("double"),
+                                      F.col("avgdl"), k1, b)
+    scored = u.groupBy("n", "qid", "doc_id").agg(r6(F.sum(s)).alias("score"))
+    w = Window.partitionBy("n", "qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(F.col("n").cast("int").alias("n"), "qid", "doc_id", F.col("rank").cast("int").alias("rank"), "score"))

@@ -164,7 +164,7 @@ class Tables:
         """``expansion(src_term, term, s)``: identity (s = 1) for every term,
         plus for terms with 3 <= df <= N/10 the top-5 neighbours by Dice
         coefficient of co-occurrence within 2 positions in a passage."""
-        return vectors.cooccurrence_expansion(self.tokens, self.term_df, self.n_docs)
+        return vectors.expansion_from_passages(self.passages, self.passage_tf, self.term_df, self.n_docs)
 
     def doc_vectors(self, mode: str, n: int) -> DataFrame:
         from segrank.operators.aggregate import aggregate_passages

@@ -94,12 +94,11 @@ def _sweep_sql(max_n: int) -> str:
 
 @register("r7_bm25_sweep", _sweep_sql(10))
 def r7_bm25_sweep(t: Tables):
-    """BM25 over the first n = 1..10 passages; metrics per n."""
-    out = None
-    for n in range(1, 11):
-        s = M.summary(bm25_run(t, n), t.qrels).select(F.lit(n).alias("n"), "*")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """BM25 over the first n = 1..10 passages in one pass; metrics per n."""
+    runs = R.bm25_sweep(t.passage_tf, t.passages, t.n_docs, t.query_tokens, 10, 1000,
+                        bounded=t.query_side_bounded)
+    ns = t.spark.createDataFrame([(n,) for n in range(1, 11)], "n int")
+    return M.summary(runs, t.qrels, group=("n",), groups=ns)
 
 
 # ------------------------------------------------------------------ runs (F)

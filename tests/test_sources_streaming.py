@@ -75,3 +75,21 @@ def test_streaming_ingest(spark, tmpdir_path):
     assert sorted(r.text for r in ps.collect()) == ["Alpha beta.", "Gamma delta."]
     imp = {r.term: r.w for r in spark.read.parquet(os.path.join(out, "impacts")).collect()}
     assert imp == {"alpha": 100, "gamma": 200}
+
+
+def test_materialize_and_impact_index(spark, tmpdir_path):
+    from segrank.operators import retrieve as R
+    df = spark.createDataFrame([("d", "a", 3), ("e", "a", 1), ("e", "b", 2)], "doc_id string, term string, w int")
+    p = os.path.join(tmpdir_path, "m")
+    first = io.materialize(df, p)
+    again = io.materialize(df.limit(0), p)      # reused, not rewritten
+    assert first.count() == 3 and again.count() == 3
+    idx = R.impact_index(df, os.path.join(tmpdir_path, "idx"), buckets=4)
+    assert sorted((r.term, r.doc_id, r.w) for r in idx.collect()) == [("a", "d", 3), ("a", "e", 1), ("b", "e", 2)]
+
+
+def test_training_log(spark):
+    from segrank.operators import metrics as M
+    h = spark.createDataFrame([(0, "O_1", 0.1), (50, "O_1", 0.3), (120, "O_1", 1.0)], "step int, name string, value double")
+    got = {r.bucket: r.value for r in M.training_log(h, 100).collect()}
+    assert got == {0: 0.2, 1: 1.0}

@@ -69,3 +69,18 @@ def test_dots_and_vocab_index(spark):
     voc = spark.createDataFrame([(t,) for t in "delta alpha charlie bravo echo".split()], "term string")
     idx = {r.term: r.idx for r in V.vocabulary_index(voc).collect()}
     assert idx == {"alpha": 0, "bravo": 1, "charlie": 2, "delta": 3, "echo": 4}
+
+
+def test_expansion_in_row_equals_self_join(spark):
+    from segrank.operators import segment as T
+    docs = spark.createDataFrame([("1", "a b c a b. c d a."), ("2", "b a d d. a c."), ("3", "c a b"),
+                                  ("4", "x y"), ("5", "a b")], "doc_id string, text string")
+    ps = T.split_passages(docs, 4).withColumn("n_psg", F.lit(1))
+    toks = T.tokenize(ps)
+    tdf = V.doc_frequencies(docs)
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    tf = V.passage_term_counts(ps, ["doc_id", "psg"])
+    a = V.cooccurrence_expansion(toks, tdf, n, min_df=1, max_df_share=1)
+    b = V.expansion_from_passages(ps, tf, tdf, n, min_df=1, max_df_share=1)
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert a.filter("src_term <> term").count() > 0
