@@ -23,17 +23,25 @@ def _cand(t: Tables):
     return K.candidates(bm25_run(t), CAND_K)
 
 
-def _cells(t: Tables, n_psg: int):
+def _cells(t: Tables, n_psg: int, materialise: bool = False):
+    from segrank.session import cut_lineage
     cand = _cand(t)
+    if materialise:
+        # every feature reads the cells again: write the candidates and the
+        # cells once (reliable checkpoints; sizes bounded by the candidates)
+        # instead of re-running retrieval and expansion joins per feature
+        cand = cut_lineage(cand)
     qs = K.query_slots(t.query_tokens, t.term_weights)
     ds = K.doc_slots(t.tokens, cand.select("doc_id").distinct(), n_psg)
     soft = K.match_cells(cand, qs, ds, t.expansion)
     exact = K.match_cells(cand, qs, ds, None)
+    if materialise:
+        soft, exact = cut_lineage(soft), cut_lineage(exact)
     return cand, soft, exact
 
 
 def pooled(t: Tables, cfg: K.SdmConfig):
-    cand, soft, exact = _cells(t, cfg.n_psg)
+    cand, soft, exact = _cells(t, cfg.n_psg, materialise=True)
     pf = K.passage_features(soft, exact, cfg)
     return cand, K.pooled_features(pf, cand, cfg)
 
