@@ -65,10 +65,9 @@ def split_by_docs(df: DataFrame, short: DataFrame, cohort: str, key: str = "doc_
 
 def split_report(original: DataFrame, short_part: DataFrame, long_part: DataFrame) -> DataFrame:
     """Sizes, differences and shares of a split (one row)."""
-    o = original.agg(F.count(F.lit(1)).alias("n_original"))
-    s = short_part.agg(F.count(F.lit(1)).alias("n_short"))
-    lg = long_part.agg(F.count(F.lit(1)).alias("n_long"))
-    j = o.crossJoin(s).crossJoin(lg)
+    j = original.agg(F.count(F.lit(1)).alias("n_original")).select(
+        "n_original", short_part.agg(F.count(F.lit(1))).scalar().alias("n_short"),
+        long_part.agg(F.count(F.lit(1))).scalar().alias("n_long"))
     return j.select("n_original", "n_short", (F.col("n_original") - F.col("n_short")).alias("short_diff"),
                     F.round(F.col("n_short") / F.col("n_original"), 6).alias("short_share"),
                     "n_long", (F.col("n_original") - F.col("n_long")).alias("long_diff"),

@@ -20,9 +20,9 @@ def eval_rank(run: DataFrame, group: tuple = ()) -> DataFrame:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10,
-              k_recall: int = 1000, group: tuple = (), groups: DataFrame | None = None) -> DataFrame:
+              k_recall: int = 1000, group: tuple = (), groups: list | None = None) -> DataFrame:
     """M4: ``(group..., qid, rr, ndcg, recall)`` for every judged query (and
-    every value of the ``group`` columns present in the run, e.g. a
+    every run id in ``groups`` for the single ``group`` column, e.g. a
     configuration id: several runs are evaluated in one job)."""
     kmax = max(k_rr, k_ndcg, k_recall)
     group = tuple(group)
@@ -40,9 +40,10 @@ def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10
                  F.sum(F.when(F.col("i") <= k_ndcg, F.col("rel") / F.log2(F.col("i") + 1))).alias("idcg"),
                  F.count(F.lit(1)).alias("n_rel")))
     if group:
-        # one row per run id (few); pass them in to avoid re-planning the run
-        g = groups if groups is not None else run.select(*group).distinct()
-        ideal = ideal.crossJoin(F.broadcast(g))
+        # every judged query once per run id: an explode of the (few) ids
+        if len(group) != 1 or groups is None:
+            raise ValueError("grouped evaluation takes one group column and the list of its values")
+        ideal = ideal.select("*", F.explode(F.array(*[F.lit(g) for g in groups])).alias(group[0]))
     out = ideal.join(got, [*group, "qid"], "left")
     return out.select(
         *group, "qid",
@@ -52,7 +53,7 @@ def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10
 
 
 def summary(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10,
-            k_recall: int = 1000, group: tuple = (), groups: DataFrame | None = None) -> DataFrame:
+            k_recall: int = 1000, group: tuple = (), groups: list | None = None) -> DataFrame:
     """M1-M3: ``(group..., n_queries, mrr, ndcg, recall)``, rounded to 6 places."""
     pq = per_query(run, qrels, k_rr, k_ndcg, k_recall, group, groups)
     return pq.groupBy(*group).agg(F.count(F.lit(1)).alias("n_queries"),

@@ -95,10 +95,11 @@ def bm25_unit_scores(units: DataFrame, stats: DataFrame,
     document row is exploded), so no join with the document table is
     needed; df is counted over the matched postings of query units only."""
     udf_ = units.select("unit", "doc_id").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
-    u = units.join(udf_, "unit").crossJoin(F.broadcast(stats))
+    u = units.join(udf_, "unit")
+    # collection statistics enter as scalar subqueries
     s = F.col("qweight") * _bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"),
-                                      F.col("dl").cast("double"), F.col("n_docs").cast("double"),
-                                      F.col("avgdl"), k1, b)
+                                      F.col("dl").cast("double"), stats.select("n_docs").scalar().cast("double"),
+                                      stats.select("avgdl").scalar(), k1, b)
     return u.select("qid", "doc_id", s.alias("s"))
 
 
@@ -226,8 +227,9 @@ def bm25_sweep(passage_tf: DataFrame, passages: DataFrame, n_docs: DataFrame, qu
     tf = post.select("doc_id", "term", "tf", seq).groupBy("n", "doc_id", "term").agg(F.sum("tf").alias("tf"))
     dl = (passages.filter(F.col("psg") < max_n).select("doc_id", "n_tok", seq)
           .groupBy("n", "doc_id").agg(F.sum("n_tok").alias("dl")))
-    stats = dl.groupBy("n").agg(F.sum("dl").alias("tot")).crossJoin(F.broadcast(n_docs)) \
-        .select("n", F.col("n_docs"), (F.col("tot").cast("double") / F.col("n_docs")).alias("avgdl"))
+    nd = n_docs.select("n_docs").scalar()
+    stats = dl.groupBy("n").agg(F.sum("dl").alias("tot")) \
+        .select("n", nd.alias("n_docs"), (F.col("tot").cast("double") / nd).alias("avgdl"))
     df_ = tf.groupBy("n", "term").agg(F.count(F.lit(1)).alias("df"))
     q = broadcast_if_small(qw, QUERY_SIDE_MAX_ROWS, bounded)
     u = (tf.join(dl, ["n", "doc_id"]).join(df_, ["n", "term"]).join(F.broadcast(stats), "n")

@@ -296,8 +296,8 @@ def grid_runs(soft: DataFrame, exact: DataFrame, pairs: DataFrame, configs: list
             .select(F.col("c.config_id").alias("config_id"), "qid", "doc_id", "feature", "value")
         pooled = x.groupBy("config_id", *PAIR, "feature").agg(F.max("value").alias("value"))
         names = F.explode(F.array(*[F.lit(f) for f in base.feature_names])).alias("feature")
-        cfg_ids = spark.createDataFrame([(c.config_id,) for c in cs], "config_id string")
-        grid = pairs.select(*PAIR).distinct().crossJoin(F.broadcast(cfg_ids)).select("config_id", *PAIR, names)
+        ids = F.explode(F.array(*[F.lit(c.config_id) for c in cs])).alias("config_id")
+        grid = pairs.select(*PAIR).distinct().select(ids, *PAIR).select("config_id", *PAIR, names)
         per_shape.append(grid.join(pooled, ["config_id", *PAIR, "feature"], "left")
                          .select("config_id", *PAIR, "feature", F.coalesce("value", F.lit(0.0)).alias("value")))
     allf = per_shape[0]

@@ -207,8 +207,7 @@ def k17_grid_eval(t: Tables):
     exact = cut_lineage(K.match_cells(cand, qs, ds, None))
     cand = cut_lineage(cand.select("qid", "doc_id"))
     runs = K.grid_runs(soft, exact, cand, GRID, {c.config_id: K.default_weights(c) for c in GRID})
-    ids = t.spark.createDataFrame([(c.config_id,) for c in GRID], "config_id string")
-    return M.summary(runs, t.qrels, group=("config_id",), groups=ids)
+    return M.summary(runs, t.qrels, group=("config_id",), groups=[c.config_id for c in GRID])
 
 
 def _grid_sql() -> str:

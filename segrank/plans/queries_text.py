@@ -98,5 +98,5 @@ def t12_blocklist(t: Tables):
     10% of the documents)."""
     # fewer than 10 x (mean distinct terms per document) terms can have
     # df > N/10 (the df values sum to that total), so the list is bounded
-    bl = t.term_df.crossJoin(F.broadcast(t.n_docs)).filter(F.col("df") * 10 > F.col("n_docs")).select("term")
+    bl = t.term_df.filter(F.col("df") * 10 > t.n_docs.select("n_docs").scalar()).select("term")
     return segment.drop_blocked(t.tokens.select("doc_id", "psg", "pos", "term"), bl, bounded=True)
