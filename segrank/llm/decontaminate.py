@@ -44,20 +44,21 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_bounds(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(low: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a lower-cased byte buffer."""
-    edge = np.diff(IS_WORD[low].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    edge = np.diff(is_word[low].view(np.int8), prepend=np.int8(0), append=np.int8(0))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: np.ndarray) -> np.ndarray:
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: np.ndarray,
+                is_word: np.ndarray = IS_WORD) -> np.ndarray:
     """A hash for each word that depends on its bytes only: sum of byte * base ** (distance from the word's end)."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     length = (ends - starts).astype(np.int64)
     first = np.cumsum(length) - length
     back = np.repeat(ends - 1, length) - (np.arange(length.sum()) - np.repeat(first, length) + np.repeat(starts, length))
-    value = (low[IS_WORD[low]].astype(np.uint64) + np.uint64(1)) * power[back]
+    value = (low[is_word[low]].astype(np.uint64) + np.uint64(1)) * power[back]
     h = np.add.reduceat(value, first)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segrank.llm import decontaminate, exact_dedup, html_crf, langid, mixing, token_orc, toxicity, warc
+from segrank.llm import decontaminate, exact_dedup, html_crf, langid, mixing, ngram_join, token_orc, toxicity, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -13,8 +13,10 @@ QUERIES = {
     "op7_main_text": html_crf.op7_main_text,
     "op8_token_ids": token_orc.op8_token_ids,
     "op9_language": langid.op9_language,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
+    "op10_ngram_join": ngram_join.SQL,
 }
