@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from segrank.llm import decontaminate, exact_dedup, html_crf, langid, mixing, ngram_join, token_orc, toxicity, warc
+from segrank.llm import decontaminate, exact_dedup, html_crf, langid, mixing, ngram_join, suffix_dedup, token_orc, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
