@@ -156,17 +156,20 @@ def bitmap_of(df: DataFrame, column: str, bits: int = BITMAP, slices: int = 64)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([held.tobytes()], pa.binary())})
 
     def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, dtype=bool)
+        packed = np.zeros(bits // 8, dtype=np.uint8)
         for b in batches:
-            held[slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)] = True
-        packed = np.packbits(held).reshape(slices, -1)
+            own = np.unique(slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            if len(own):
+                head = np.flatnonzero(np.append(True, np.diff(own >> 3) > 0))
+                packed[own[head] >> 3] |= np.bitwise_or.reduceat((128 >> (own & 7)).astype(np.uint8), head)
+        packed = packed.reshape(slices, -1)
         at = np.flatnonzero(packed.any(axis=1))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([packed[k].tobytes() for k in at], pa.binary())],
                                              ["slice", "bits"])
 
     out = np.zeros((slices, width // 8), dtype=np.uint8)
-    for r in (df.select(column).mapInArrow(spot, "slice int, bits binary").groupBy("slice")
+    for r in (df.select(column).coalesce(128).mapInArrow(spot, "slice int, bits binary").groupBy("slice")
               .applyInArrow(merge, "slice int, bits binary").toLocalIterator()):
         out[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.ravel()
