@@ -38,10 +38,19 @@ WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 BITMAP_BITS = 22
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+INVERSE = np.uint64(pow(int(BYTE_BASE), -1, 1 << 64))
+TABLE = 1 << 21          # positions that a prefix sum covers
+POWERS: list[np.ndarray] = []
+
+
+def powers() -> list[np.ndarray]:
+    """Powers of the byte base and of its inverse, made once a process."""
+    if not POWERS:
+        for base in (BYTE_BASE, INVERSE):
+            out = np.full(TABLE + 1, base, dtype=np.uint64)
+            out[0] = 1
+            POWERS.append(np.multiply.accumulate(out))
+    return POWERS
 
 
 def word_bounds(low: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +59,28 @@ def word_bounds(low: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndar
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, power: np.ndarray,
-                is_word: np.ndarray = IS_WORD) -> np.ndarray:
-    """A hash for each word that depends on its bytes only: sum of byte * base ** (distance from the word's end)."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    length = (ends - starts).astype(np.int64)
-    first = np.cumsum(length) - length
-    back = np.repeat(ends - 1, length) - (np.arange(length.sum()) - np.repeat(first, length) + np.repeat(starts, length))
-    value = (low[is_word[low]].astype(np.uint64) + np.uint64(1)) * power[back]
-    h = np.add.reduceat(value, first)
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each word that depends on its bytes only: the sum of byte * base ** (distance from its start), as the
+    difference of two prefix sums.  A buffer longer than the table is taken in parts, cut between words."""
+    parts, k = [], 0
+    power, inverse = powers()
+    while k < len(starts):
+        at = int(starts[k])
+        to = max(k + 1, int(np.searchsorted(ends, at + TABLE, side="right")))
+        if ends[to - 1] - at > TABLE:        # one word, longer than the table
+            h = np.zeros(1, dtype=np.uint64)
+            for x in range(int(ends[k]) - 1, at - 1, -1):
+                h = h * BYTE_BASE + np.uint64(low[x]) + np.uint64(1)
+        else:
+            own = low[at:int(ends[to - 1])].astype(np.uint64)
+            own += np.uint64(1)
+            own *= power[:len(own)]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+            s, e = starts[k:to] - at, ends[k:to] - at
+            h = (total[e] - total[s]) * inverse[s]
+        parts.append(h)
+        k = to
+    h = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -96,7 +117,7 @@ class Windows:
             for gram, ks in grams.items():
                 buf = np.frombuffer(b" ".join(gram), dtype=np.uint8)
                 s, e = word_bounds(buf)
-                h = window_hashes(word_hashes(buf, s, e, powers(BYTE_BASE, max(len(buf), 1))), size)
+                h = window_hashes(word_hashes(buf, s, e), size)
                 table.setdefault(int(h[0]), []).append((b" ".join(gram), sorted(ks)))
             bitmap = np.zeros(1 << BITMAP_BITS, dtype=bool)
             bitmap[np.fromiter(table, dtype=np.uint64, count=len(table)) >> np.uint64(64 - BITMAP_BITS)] = True
@@ -111,8 +132,7 @@ def scan(windows: Windows, texts: list[bytes]) -> Iterator[tuple[int, list[tuple
     starts, ends = word_bounds(low)
     owner_first = np.searchsorted(starts, text_end - sizes)
     owner_last = np.searchsorted(starts, text_end)
-    longest = int((ends - starts).max()) if len(starts) else 1
-    hashes = word_hashes(low, starts, ends, powers(BYTE_BASE, longest))
+    hashes = word_hashes(low, starts, ends)
     raw = low.tobytes()
     hits: dict[int, list] = {}
     for n, (bitmap, table) in windows.by_length.items():

@@ -12,7 +12,7 @@ The boundary minimises the number of subsets and list entries, from the sizes of
 hash slice of the tokens.  Lists are never multiplied out while their members may be one component: first
 each node meets the least node of its lists, then the least node of each list, and only members of a list that
 are in different components by then meet each other, under size and position bounds.  Every candidate is verified by
-the whole sets.  What is broadcast has a fixed bound: the frequent tokens (2 ** 20) and bitmaps.
+the whole sets, after a bound from bitmaps of the sets.  What is broadcast has a fixed bound: the frequent tokens (2 ** 20) and bitmaps.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing; fewer than five words are
 one shingle; rows that repeat an id give a row each and the id's texts all count as its node's; null ids are the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrank.llm.common import CHUNK_BYTES, bounded_batches, forget, read_table, stored, text_chunks
-from segrank.llm.decontaminate import BYTE_BASE, LOWER, powers, window_hashes, word_bounds, word_hashes
+from segrank.llm.decontaminate import LOWER, window_hashes, word_bounds, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -48,8 +48,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     low = LOWER[np.frombuffer(b"\n".join(texts), dtype=np.uint8)]
     starts, ends = word_bounds(low, SPACED)
-    power = powers(BYTE_BASE, int((ends - starts).max()) if len(starts) else 1)
-    words = word_hashes(low, starts, ends, power, SPACED)
+    words = word_hashes(low, starts, ends)
     grams = window_hashes(words, WORDS)
     at = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
     out = []
@@ -210,10 +209,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")), "labels")
     left = stored(both.where("a <> b").distinct(), "edges")
     while not left.isEmpty():
-        hook = stored(left.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("up")), "hooks")
+        near = stored(left.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("up")), "hooks")
+        hook = near
         for _ in range(2):
-            top = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
-            hook = stored(hook.join(top, "up").select("a", F.col("top").alias("up")), "hooks")
+            top = near.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            hook = hook.join(top, "up").select("a", F.col("top").alias("up"))
+        hook = stored(hook, "hooks")
         to = hook.select(F.col("a").alias("comp"), "up")
         labels = stored(labels.join(to, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
         a, b = hook.select("a", F.col("up").alias("x")), hook.select(F.col("a").alias("b"), F.col("up").alias("y"))
@@ -222,6 +223,59 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def least_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least overlap with which sets of sizes ``x`` and ``y`` link."""
+    return -(-PERCENT * (x + y) // (100 + PERCENT))
+
+
+def outline(grams: np.ndarray) -> bytes:
+    """A bitmap of a set, with 2 to 4 bits an element."""
+    bits = 1 << max(8, int(2 * len(grams) - 1).bit_length())
+    held = np.zeros(bits, dtype=bool)
+    held[(grams >> np.uint64(17)) & np.uint64(bits - 1)] = True
+    return np.packbits(held).tobytes()
+
+
+def sifted(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose bitmaps allow a link: the bits in which they differ are elements of one set only, and of
+    those two sets that link have size + size - 2 * least overlap at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = t.column("size_a").to_numpy(), t.column("size_b").to_numpy()
+            most = x + y - 2 * least_common(x, y)
+            keep = np.zeros(t.num_rows, dtype=bool)
+            for k, (p, q) in enumerate(zip(t.column("bits_a").to_pylist(), t.column("bits_b").to_pylist())):
+                p, q = np.frombuffer(p, dtype=np.uint8), np.frombuffer(q, dtype=np.uint8)
+                while len(p) > len(q):
+                    p = p[:len(p) // 2] | p[len(p) // 2:]
+                while len(q) > len(p):
+                    q = q[:len(q) // 2] | q[len(q) // 2:]
+                keep[k] = np.bitwise_count((p ^ q).view(np.uint64)).sum() <= most[k]
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+
+    a, b = (outlines.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
+def sets_in(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, grams) of at least the ``nodes``, from the texts."""
+    inside = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes, "node"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in sets_of(batches):
+            ids = np.array([node_of(s) for s in sets], dtype=np.int64)
+            at = np.flatnonzero(in_bitmap(inside.value, ids.view(np.uint64)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array([sets[k].view(np.int64) for k in at], pa.list_(pa.int64()))], ["node", "grams"])
+
+    return docs.mapInArrow(gather, "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets link."""
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
@@ -272,19 +326,22 @@ def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, boundary: int) -
 
     inside = spark.sparkContext.broadcast(bitmap_of(members.select("node").distinct(), "node"))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in sets_of(batches):
             ids = np.array([node_of(s) for s in sets], dtype=np.int64)
-            at = np.flatnonzero(in_bitmap(inside.value, ids.view(np.uint64))) if len(ids) else []
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array([sets[k].view(np.int64) for k in at], pa.list_(pa.int64()))], ["node", "grams"])
-
-    sets = stored(docs.mapInArrow(gather, "node long, grams array<long>").groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-
-    stars = stored(members.where("node <> pivot").groupBy("node", "pivot").agg(F.min("size").alias("size"))
-                   .join(known, "pivot").where(near("size", "pivot_size"))
-                   .select(F.col("pivot").alias("a"), F.col("node").alias("b")), "stars")
+            at = np.flatnonzero(in_bitmap(inside.value, ids.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[at]), pa.array([len(sets[k]) for k in at], pa.int64()), pa.array([outline(sets[k]) for k in at], pa.binary())],
+                ["node", "size", "bits"])
+
+    outlines = stored(docs.mapInArrow(draw, "node long, size long, bits binary").groupBy("node").agg(
+        F.first("size").alias("size"), F.first("bits").alias("bits")), "outlines")
+
+    stars = (members.where("node <> pivot").groupBy("node", "pivot").agg(F.min("size").alias("size"))
+             .join(known, "pivot").where(near("size", "pivot_size"))
+             .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    stars = stored(sifted(stars, outlines), "stars")
+    sets = stored(sets_in(docs, ends_of(stars)), "sets")
     first = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     found = stored(verified(first, sets), "links")
     labels = components(found)
@@ -313,9 +370,10 @@ def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, boundary: int) -
     third = (x.join(y, "key").where("node_x < node_y").where(F.col("comp_x") != F.col("comp_y"))
              .where(near("size_x", "size_y")).where(most >= need)
              .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
-    third = third.join(second.unionByName(first), ["a", "b"], "left_anti")
-    last = stored(verified(stored(third, "pairs"), sets), "links")
-    if not last.isEmpty():
+    third = stored(sifted(third, outlines).join(second.unionByName(first), ["a", "b"], "left_anti"), "pairs")
+    if not third.isEmpty():
+        forget(sets)
+        last = stored(verified(third, stored(sets_in(docs, ends_of(third)), "sets")), "links")
         labels = components(found.unionByName(last))
     return labels
 

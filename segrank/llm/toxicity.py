@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segrank.llm.decontaminate import BYTE_BASE, LOWER, WORD_BASE, powers, window_hashes, word_bounds, word_hashes
+from segrank.llm.decontaminate import LOWER, WORD_BASE, window_hashes, word_bounds, word_hashes
 from segrank.llm.common import bounded_batches, id_fold, read_table, stored
 
 HELD_OUT = 2
@@ -69,7 +69,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column("text").to_pylist():
             low = LOWER[np.frombuffer((t or "").encode(), dtype=np.uint8)]
             starts, ends = word_bounds(low)
-            words = word_hashes(low, starts, ends, powers(BYTE_BASE, int((ends - starts).max()) if len(starts) else 1))
+            words = word_hashes(low, starts, ends)
             h = window_hashes(words, min(5, len(words))) if len(words) else np.zeros(1, np.uint64)
             marks[0].append(int(h.min()) >> 1)
             marks[1].append(int((h * WORD_BASE ^ h >> np.uint64(31)).min()) >> 1)
