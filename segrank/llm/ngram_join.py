@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrank.llm.common import CHUNK_BYTES, bounded_batches, forget, read_table, stored, text_chunks
@@ -35,7 +35,6 @@ from segrank.llm.decontaminate import LOWER, window_hashes, word_bounds, word_ha
 WORDS = 5
 PERCENT = 80
 FREQUENT = 1 << 20       # frequent tokens at most (8 MB of tokens, 8 MB of counts)
-FREQUENT_SHARE = 1000    # a token in 1/1000 of the documents is frequent
 SLICE = 256              # list lengths are measured on this part of the tokens
 BITMAP = 1 << 26         # bits of a membership bitmap
 BOUNDARIES = (0, 5, 10, 15, 20, 30, 40, 60, 80, 120)
@@ -202,6 +201,19 @@ def boundary_of(sizes: DataFrame, tokens: DataFrame) -> int:
     return min(BOUNDARIES, key=cost)
 
 
+def least_frequent(counts: DataFrame, most: int = FREQUENT) -> int:
+    """The least count, 3 or more, that at most ``most`` tokens have."""
+    held = {r["step"]: r["count"] for r in
+            counts.where("n >= 3").groupBy(F.floor(F.log2(F.col("n") / 3.0)).cast("int").alias("step")).count().collect()}
+    total, least = 0, None
+    for k in sorted(held, reverse=True):
+        total += held[k]
+        if total > most:
+            break
+        least = k
+    return 3 << (max(held, default=-1) + 1 if least is None else least)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of ``edges`` (a, b): each takes its least neighbour, trees are cut short, and the graph
     is contracted until no edge is left.  The least node of a component is its comp."""
@@ -229,8 +241,8 @@ def least_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def outline(grams: np.ndarray) -> bytes:
-    """A bitmap of a set, with 2 to 4 bits an element."""
-    bits = 1 << max(8, int(2 * len(grams) - 1).bit_length())
+    """A bitmap of a set, with 4 to 8 bits an element."""
+    bits = 1 << max(8, int(4 * len(grams) - 1).bit_length())
     held = np.zeros(bits, dtype=bool)
     held[(grams >> np.uint64(17)) & np.uint64(bits - 1)] = True
     return np.packbits(held).tobytes()
@@ -285,15 +297,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(common * 100 >= (F.size("grams_a") + F.size("grams_b") - common) * PERCENT).select("a", "b"))
 
 
-def near(a: str, b: str):
-    """Both sizes allow a link."""
-    return (F.col(a) * 100 >= F.col(b) * PERCENT) & (F.col(b) * 100 >= F.col(a) * PERCENT)
+def may_link(x: str, y: str, lost_x: str, lost_y: str):
+    """Sizes and lost tokens allow a link."""
+    x, y = F.col(x), F.col(y)
+    need = F.ceil((x + y) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
+    return (x - F.col(lost_x) >= need) & (y - F.col(lost_y) >= need) & (x >= need) & (y >= need)
 
 
-def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, boundary: int) -> DataFrame:
+def links(docs: DataFrame, tokens: DataFrame, boundary: int) -> DataFrame:
     """Components of the sets: (node, comp) of the nodes that link with another.
 
-    ``docs``: (doc_id, text); ``nodes``: (node, size) distinct; ``tokens``: (token, n)."""
+    ``docs``: (doc_id, text); ``tokens``: (token, n)."""
     spark = docs.sparkSession
     frequent = tokens.where("frequent").select("token", "n").toArrow()
     order = spark.sparkContext.broadcast(Order(frequent["token"].to_numpy().view(np.uint64), frequent["n"].to_numpy(), boundary))
@@ -316,13 +330,28 @@ def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, boundary: int) -
         return run
 
     schema = "key long, node long, size long, at long"
-    shared = stored(docs.mapInArrow(filed(None), schema).groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-                    .where("pivot < last").select("key", "pivot"), "shared-keys")
+    shared = stored(docs.mapInArrow(filed(None), schema).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+                    .where("low < high").select("key"), "shared-keys")
     hits = spark.sparkContext.broadcast(bitmap_of(shared, "key"))
     own = docs.mapInArrow(filed(hits), schema).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("at").alias("at"))
-    sizes = nodes.select(F.col("node").alias("pivot"), F.col("size").alias("pivot_size"))
-    members = stored(own.join(shared, "key"), "members")
-    known = stored(members.select("pivot").distinct().join(sizes, "pivot"), "pivots")
+    filings = stored(own.join(shared, "key"), "filings")
+    # A node's prefix tokens that no other has are lost to any overlap.  A list's pivot is the member with the least of its
+    # own: what copies were made from has its tokens in common with them.
+    single = F.count(F.when(F.pmod("key", F.lit(2)) == 0, 1))
+    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(PERCENT) / F.lit(100.0) - F.lit(1e-9)) + 1
+    ranked = filings.groupBy("node").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), single.alias("single")).select(
+        "node", (F.col("n") / F.col("size")).alias("common"),
+        F.when(F.col("size") * 100 >= boundary * PERCENT, prefix - F.col("single")).otherwise(F.lit(0)).alias("lost"))
+    # Tokens of the node that others have too and that come before this one; all that can be common before it.
+    before = Window.partitionBy("node").orderBy("at", "key").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = stored(filings.join(ranked, "node").withColumn("before", F.when(
+        F.col("size") * 100 >= boundary * PERCENT, F.count(F.when(F.pmod("key", F.lit(2)) == 0, 1)).over(before)).otherwise(F.col("at"))), "ranked")
+    forget(filings)
+    pivots = (ranked.groupBy("key").agg(F.max(F.struct("common", "node", "size", "lost")).alias("best"))
+              .select("key", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"),
+                      F.col("best.lost").alias("pivot_lost"), F.col("best.common").alias("worth")))
+    members = stored(ranked.join(stored(pivots, "pivots"), "key"), "members")
+    forget(ranked)
 
     inside = spark.sparkContext.broadcast(bitmap_of(members.select("node").distinct(), "node"))
 
@@ -337,12 +366,11 @@ def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, boundary: int) -
     outlines = stored(docs.mapInArrow(draw, "node long, size long, bits binary").groupBy("node").agg(
         F.first("size").alias("size"), F.first("bits").alias("bits")), "outlines")
 
-    stars = (members.where("node <> pivot").groupBy("node", "pivot").agg(F.min("size").alias("size"))
-             .join(known, "pivot").where(near("size", "pivot_size"))
-             .select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    stars = stored(sifted(stars, outlines), "stars")
+    stars = (members.where("node <> pivot").where(may_link("size", "pivot_size", "lost", "pivot_lost"))
+             .groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("worth").alias("worth")))
+    stars = stored(sifted(stars, outlines).join(stars, ["a", "b"]), "stars")
     sets = stored(sets_in(docs, ends_of(stars)), "sets")
-    first = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    first = stored(stars.groupBy("b").agg(F.max_by("a", F.struct("worth", "a")).alias("a")).select("a", "b"), "pairs")
     found = stored(verified(first, sets), "links")
     labels = components(found)
 
@@ -360,15 +388,16 @@ def links(docs: DataFrame, nodes: DataFrame, tokens: DataFrame, boundary: int) -
 
     # Members of a list that are still in different components meet each other, the pivot apart: all have met it.
     placed = members.where("node <> pivot").join(labels, "node", "left").select(
-        "key", "node", "size", "at", F.coalesce("comp", "node").alias("comp"))
+        "key", "node", "size", "at", "before", "lost", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     open_lists = stored(placed.join(mixed, "key"), "open-lists")
-    x = open_lists.select("key", *(F.col(c).alias(c + "_x") for c in ("node", "size", "at", "comp")))
-    y = open_lists.select("key", *(F.col(c).alias(c + "_y") for c in ("node", "size", "at", "comp")))
-    most = (F.least("at_x", "at_y") + 1 + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) - 1)
+    x = open_lists.select("key", *(F.col(c).alias(c + "_x") for c in ("node", "size", "at", "before", "lost", "comp")))
+    y = open_lists.select("key", *(F.col(c).alias(c + "_y") for c in ("node", "size", "at", "before", "lost", "comp")))
+    most = (F.least("before_x", "before_y") + 1 + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) - 1)
     need = F.ceil((F.col("size_x") + F.col("size_y")) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
     third = (x.join(y, "key").where("node_x < node_y").where(F.col("comp_x") != F.col("comp_y"))
-             .where(near("size_x", "size_y")).where(most >= need)
+             .where(may_link("size_x", "size_y", "lost_x", "lost_y")).where(most >= need)
+             .where((F.col("at_x") <= F.col("size_x") - need) & (F.col("at_y") <= F.col("size_y") - need))
              .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     third = stored(sifted(third, outlines).join(second.unionByName(first), ["a", "b"], "left_anti"), "pairs")
     if not third.isEmpty():
@@ -385,13 +414,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = stored(docs.withColumn("doc_id", F.col("doc_id")).mapInArrow(census, "doc_id long, node long, size long"), "census")
     own = counted.where("size >= 0")
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).first()
-    least = max(2.0, (total["n"] or 0) / FREQUENT_SHARE, (total["shingles"] or 0) / FREQUENT)
-    tokens = stored(counted.where("size < 0").groupBy(F.col("node").alias("token")).agg(F.sum(-F.col("size")).alias("n"))
-                    .withColumn("frequent", F.col("n") >= F.lit(float(least)))
+    counts = stored(counted.where("size < 0").groupBy(F.col("node").alias("token")).agg(F.sum(-F.col("size")).alias("n")), "counts")
+    tokens = stored(counts.withColumn("frequent", F.col("n") >= F.lit(least_frequent(counts)))
                     .where(F.col("frequent") | (F.pmod("token", F.lit(SLICE)) == 0)), "tokens")
+    forget(counts)
     nodes = stored(own.where("size > 0").groupBy("node").agg(F.min("size").alias("size"), F.min("doc_id").alias("least_id")), "nodes")
-    labels = links(docs, nodes.select("node", "size"), tokens, boundary_of(nodes, tokens))
+    labels = links(docs, tokens, boundary_of(nodes, tokens))
     classes = stored(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp")), "classes")
     ids = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     by_node = stored(classes.join(ids, "comp").select("node", "component_id"), "by-node")
