@@ -28,11 +28,12 @@ def with_passage_count(impacts: DataFrame, passages: DataFrame | None = None) ->
     return impacts.join(sizes, "doc_id")
 
 
-def aggregate_passages(impacts: DataFrame, mode: str, n: int = 1) -> DataFrame:
+def aggregate_passages(impacts: DataFrame, mode: str, n: int | None = 1) -> DataFrame:
     """``doc_impacts(doc_id, term, w DOUBLE)`` from the first ``n``
-    passages of every document."""
+    passages of every document (``None``: all of them)."""
+    n = 2**31 - 1 if n is None else n
     if mode not in MODES:
-        raise ValueError(f"Agg: {mode} not defined")
+        raise ValueError(f"{mode!r} is none of the aggregations {sorted(MODES)}")
     if mode == "first":  # A1: the first passage, n ignored
         return impacts.filter(F.col("psg") == 0).select(
             "doc_id", "term", F.col("w").cast("double").alias("w"))

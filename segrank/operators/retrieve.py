@@ -10,6 +10,8 @@ shuffle on the query id).
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def impact_index(doc_impacts: DataFrame, path: str | None = None, buckets: int =
     if path is None:
         return postings
     spark = doc_impacts.sparkSession
-    name = "impact_index_" + str(abs(hash(path)))
+    name = "impact_index_" + hashlib.sha1(path.encode()).hexdigest()[:16]
     postings.write.mode("overwrite").option("path", path).bucketBy(buckets, "term") \
         .sortBy("term").saveAsTable(name)
     return spark.table(name)

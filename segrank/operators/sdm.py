@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrank.functions.numeric import r6
+from segrank.functions.numeric import log1p_relu, r6
 
 PAIR = ["qid", "doc_id"]
 CELL_KEYS = ["qid", "doc_id", "psg", "q_len", "d_len"]
@@ -123,7 +123,8 @@ def match_cells(pairs: DataFrame, qslots: DataFrame, dslots: DataFrame,
 
     Soft: doc position j spreads to every term its token expands to, so a
     cell exists where an expansion target equals the query token; exact:
-    only where the document token equals the query token."""
+    only where the document token equals the query token.  The expansion
+    score is activated as in the expansion encoder (E6)."""
     cq = pairs.select(*PAIR).distinct().join(qslots.filter(F.col("wq") > 0), "qid")
     if expansion is None:
         dx = dslots.withColumn("s", F.lit(1.0))
@@ -132,7 +133,7 @@ def match_cells(pairs: DataFrame, qslots: DataFrame, dslots: DataFrame,
         dx = dslots.join(e, "term").select("doc_id", "psg", "j", F.col("t2").alias("term"), "d_len", "s")
     cells = cq.join(dx, ["doc_id", "term"])
     return cells.select("qid", "doc_id", "psg", "q_len", "d_len", "i", "j",
-                        (F.col("wq") * F.col("s")).alias("m")).filter(F.col("m") > 0)
+                        (F.col("wq") * log1p_relu(F.col("s"))).alias("m")).filter(F.col("m") > 0)
 
 
 def exact_cells(soft: DataFrame, qslots: DataFrame, dslots: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@
 | corpus         | documents(doc_id, text) |
 | passages       | sentence split + greedy packing with a token budget |
 | tokens         | positions of lower-cased word tokens per passage |
-| queries        | benchmark(item_id, text): first ``query_len`` tokens |
-| qrels          | benchmark text contained verbatim in a document; grade 1 + labels.quality |
+| queries        | benchmark(item_id, text): all tokens |
+| qrels          | benchmark text (3 words or more) contained verbatim in a document; grade 1 + labels.quality |
 | term_weights   | ln(1 + N/df) over documents |
 | impacts        | passage vectors: tf-idf token scores, max-pooled, quantised |
 | query_impacts  | query vectors: term scale x count, quantised |
@@ -27,19 +27,16 @@ from segrank.sources import testdata
 
 # fixed values of the fixture mapping
 PASSAGE_BUDGET = 60   # tokens per passage on the small fixtures (400 in production)
-QUERY_LEN = 8         # benchmark items are cut to their first 8 tokens
-QUERY_SET_MAX_ROWS = 100_000
+GRAM = 4              # interior words of an item by which documents become candidates for containment
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str, budget: int = PASSAGE_BUDGET,
-                 query_len: int = QUERY_LEN):
+    def __init__(self, spark: SparkSession, sf_dir: str, budget: int = PASSAGE_BUDGET):
         from segrank.session import apply_runtime_conf
         apply_runtime_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.budget = budget
-        self.query_len = query_len
 
     # ------------------------------------------------------------ documents
     @cached_property
@@ -83,22 +80,11 @@ class Tables:
         return toks, docs
 
     # ------------------------------------------------------------ queries
-    @cached_property
-    def n_queries(self) -> int:
-        """Size of the query set, counted once at its source (parquet
-        metadata); it bounds every query-side table: at most
-        ``n_queries * query_len`` term rows."""
-        return testdata.table(self.spark, self.sf_dir, "benchmark").count()
-
-    @cached_property
-    def query_side_bounded(self) -> bool:
-        return self.n_queries <= QUERY_SET_MAX_ROWS
-
     @cached_property
     def queries(self) -> DataFrame:
         b = testdata.table(self.spark, self.sf_dir, "benchmark")
         return b.select(F.col("item_id").cast("string").alias("qid"),
-                        F.array_join(F.slice(tokens_of(F.col("text")), 1, self.query_len), " ").alias("text"))
+                        F.array_join(tokens_of(F.col("text")), " ").alias("text"))
 
     @cached_property
     def query_tokens(self) -> DataFrame:
@@ -109,23 +95,32 @@ class Tables:
     @cached_property
     def qrels(self) -> DataFrame:
         """``(qid, doc_id, rel)``: verbatim containment of the benchmark text
-        in the raw document text.  There is no equality key, so the join is
-        a nested loop over a broadcast query set - the set is counted first
-        and must stay below ``QUERY_SET_MAX_ROWS``."""
+        in the raw document text.  A document that contains an item has the
+        item's interior words (the first and last may be cut) as a run of
+        words, so one run of up to ``GRAM`` interior words is the join key and
+        only the documents that have it are searched for the whole text."""
+        words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         b = testdata.table(self.spark, self.sf_dir, "benchmark").select(
-            F.col("item_id").cast("string").alias("qid"), F.col("text").alias("btext"))
-        if not self.query_side_bounded:
-            raise ValueError(f"query set of {self.n_queries} rows is too large for a broadcast containment join")
+            F.col("item_id").cast("string").alias("qid"), F.col("text").alias("btext"), words(F.col("text")).alias("w"))
+        b = b.filter(F.size("w") >= 3).withColumn("g", F.least(F.lit(GRAM), F.size("w") - 2)).select(
+            "qid", "btext", "g", F.array_join(F.slice("w", F.lit(2), F.col("g")), " ").alias("gram"))
         docs = testdata.table(self.spark, self.sf_dir, "documents").select(
             F.col("doc_id").cast("string").alias("doc_id"), "text")
-        docs = testdata.spread(docs)
-        hits = docs.join(F.broadcast(b), F.col("text").contains(F.col("btext"))).select("qid", "doc_id")
+        w = testdata.spread(docs).select("doc_id", words(F.col("text")).alias("w"))
+        runs = lambda g: F.when(F.size("w") >= g, F.transform(
+            F.sequence(F.lit(1), F.size("w") - (g - 1)),
+            lambda i: F.struct(F.lit(g).alias("g"), F.array_join(F.slice("w", i, F.lit(g)), " ").alias("gram")))).otherwise(F.array())
+        grams = w.select("doc_id", F.explode(F.flatten(F.array(*map(runs, range(1, GRAM + 1))))).alias("x")).select(
+            "doc_id", "x.g", "x.gram")
+        cand = grams.join(b.select("qid", "g", "gram"), ["g", "gram"]).select("qid", "doc_id").distinct()
+        hits = (cand.join(b.select("qid", "btext"), "qid").join(docs, "doc_id")
+                .filter(F.col("text").contains(F.col("btext"))).select("qid", "doc_id"))
         labels = testdata.table(self.spark, self.sf_dir, "labels").select(
             F.col("doc_id").cast("string").alias("doc_id"), "quality")
         qrels = hits.join(labels, "doc_id", "left").select(
             "qid", "doc_id", (F.lit(1) + F.coalesce(F.col("quality"), F.lit(0))).cast("int").alias("rel"))
         # judgements are an input table in the reference; here they are
-        # derived by a nested-loop scan of every document, so they are
+        # derived from every document, so they are
         # materialised once (reliable checkpoint in the shared folder)
         # instead of being re-derived by every consumer in a plan
         from segrank.session import cut_lineage
@@ -166,7 +161,7 @@ class Tables:
         coefficient of co-occurrence within 2 positions in a passage."""
         return vectors.expansion_from_passages(self.passages, self.passage_tf, self.term_df, self.n_docs)
 
-    def doc_vectors(self, mode: str, n: int) -> DataFrame:
+    def doc_vectors(self, mode: str, n: int | None) -> DataFrame:
         from segrank.operators.aggregate import aggregate_passages
         return aggregate_passages(self.impacts, mode, n)
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 SENT_RE = r"[^.!?\n]+[.!?]*"
 TOK_RE = r"[\p{L}\p{N}]+"
 BUDGET = 60
-QLEN = 8
 
 
 def _q(x: float) -> str:
@@ -49,7 +48,7 @@ tokens AS (
   FROM (SELECT doc_id, psg, n_psg, n_tok, regexp_extract_all(lower(text), '{TOK_RE}') AS t FROM passages)),
 queries AS (
   SELECT CAST(item_id AS VARCHAR) AS qid,
-         array_to_string(regexp_extract_all(lower(text), '{TOK_RE}')[1:{QLEN}], ' ') AS text
+         array_to_string(regexp_extract_all(lower(text), '{TOK_RE}'), ' ') AS text
   FROM benchmark),
 query_tokens AS (
   SELECT qid, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term
@@ -57,7 +56,7 @@ query_tokens AS (
 qrels AS (
   SELECT CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS doc_id,
          CAST(1 + coalesce(l.quality, 0) AS INTEGER) AS rel
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND len(regexp_extract_all(b.text, '{TOK_RE}')) >= 3
   LEFT JOIN labels l ON l.doc_id = d.doc_id),
 term_df AS (
   SELECT term, count(*) AS df
@@ -85,8 +84,9 @@ def with_base(*ctes: str, final: str) -> str:
     return "WITH " + BASE.strip() + extra + "\n" + final
 
 
-def doc_agg_sql(mode: str, n: int, src: str = "impacts") -> str:
-    """A1-A6 as a CTE body over ``impacts``."""
+def doc_agg_sql(mode: str, n: int | None, src: str = "impacts") -> str:
+    """A1-A6 as a CTE body over ``impacts`` (``n`` None: all passages)."""
+    n = 1_000_000_000 if n is None else n
     if mode == "first":
         return f"SELECT doc_id, term, CAST(w AS DOUBLE) AS w FROM {src} WHERE psg = 0"
     nu = f"least({n}, any_value(n_psg))"
@@ -139,13 +139,13 @@ def summary_sql(run: str, **kw) -> str:
 
 
 EXPANSION = """
-_cooc AS (
+_cooc AS MATERIALIZED (
   SELECT a.term AS src_term, b.term AS term, count(*) AS c
   FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND a.psg = b.psg
        AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND b.pos <> a.pos
   WHERE a.term <> b.term GROUP BY a.term, b.term),
 _cf AS (SELECT term, count(*) AS cf FROM tokens GROUP BY term),
-expansion AS (
+expansion AS MATERIALIZED (
   SELECT term AS src_term, term, 1.0::DOUBLE AS s FROM term_df
   UNION ALL
   SELECT src_term, term, s FROM (
@@ -179,8 +179,8 @@ def bm25_ctes(n: int | None, prefix: str = "bm") -> list[str]:
     p = prefix
     return [
         f"{p}_d0 AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOK_RE}') AS t FROM ({first_n_docs_sql(n)}))",
-        f"{p}_docs AS (SELECT doc_id, len(t) AS dl FROM {p}_d0)",
-        f"""{p}_tok AS (SELECT doc_id, len(t) AS dl, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term
+        f"{p}_docs AS MATERIALIZED (SELECT doc_id, len(t) AS dl FROM {p}_d0)",
+        f"""{p}_tok AS MATERIALIZED (SELECT doc_id, len(t) AS dl, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS pos, unnest(t) AS term
 FROM {p}_d0)""",
         f"{p}_stats AS (SELECT count(*) AS n_docs, avg(CAST(dl AS DOUBLE)) AS avgdl FROM {p}_docs)",
     ]
@@ -243,13 +243,13 @@ def sdm_ctes(cand: str, n_psg: int, prefix: str = "s") -> list[str]:
   JOIN (SELECT qid, count(*) + 2 AS q_len FROM query_tokens GROUP BY qid) l USING (qid))""",
         f"""{p}_d AS (SELECT doc_id, psg, pos + 1 AS j, term, n_tok + 2 AS d_len FROM tokens
   WHERE psg < {n_psg} AND doc_id IN (SELECT doc_id FROM {cand}))""",
-        f"""{p}_cq AS (SELECT c.qid, c.doc_id, q.i, q.term, q.wq, q.q_len FROM (SELECT DISTINCT qid, doc_id FROM {cand}) c
+        f"""{p}_cq AS MATERIALIZED (SELECT c.qid, c.doc_id, q.i, q.term, q.wq, q.q_len FROM (SELECT DISTINCT qid, doc_id FROM {cand}) c
   JOIN {p}_q q ON q.qid = c.qid WHERE q.wq > 0)""",
-        f"""{p}_cells_soft AS (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * d.s AS m
+        f"""{p}_cells_soft AS MATERIALIZED (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * ln(1.0 + d.s) AS m
   FROM {p}_cq cq JOIN (SELECT d.doc_id, d.psg, d.j, e.term, d.d_len, e.s FROM {p}_d d JOIN expansion e ON e.src_term = d.term) d
     ON d.doc_id = cq.doc_id AND d.term = cq.term
   WHERE cq.wq * d.s > 0)""",
-        f"""{p}_cells_exact AS (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * 1.0 AS m
+        f"""{p}_cells_exact AS MATERIALIZED (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * ln(2.0) AS m
   FROM {p}_cq cq JOIN {p}_d d ON d.doc_id = cq.doc_id AND d.term = cq.term)""",
     ]
 

@@ -29,7 +29,7 @@ def s10_s3_trec_roundtrip(t: Tables):
     """S10 -> S3: BM25 run written as TREC text and read back."""
     p = _scratch(t, "trec")
     io.write_trec_run(bm25_run(t), p)
-    return io.read_trec_run(t.spark, p)
+    return io.read_trec_run(t.spark, p)[0]
 
 
 @register("s9_s2_passages_roundtrip", O.with_base(final="SELECT doc_id, psg, text FROM passages"))
@@ -57,7 +57,7 @@ def s13_s8_json_run_roundtrip(t: Tables):
     """S13 -> S8: JSON run ``{qid: {doc: score}}`` and back."""
     p = _scratch(t, "jrun")
     io.write_json_run(flagship_run(t), p)
-    return io.read_json_run(t.spark, p)
+    return io.read_json_run(t.spark, p)[0]
 
 
 @register("s12_query_lines", O.with_base(final="""
@@ -104,3 +104,62 @@ def c14_membership(t: Tables):
     short = C.short_docs(C.passages_per_doc(t.passages))
     first = t.qrels.agg(F.min("doc_id").alias("doc_id"))
     return short.join(F.broadcast(first), "doc_id")
+
+
+def _good_and_bad(t: Tables, name: str, good, bad):
+    """A file of ``good`` lines and, after them, ``bad`` ones: its path."""
+    p = _scratch(t, name)
+    good.select(F.col("value")).unionByName(bad.select(F.col("value"))).write.text(p)
+    return p
+
+
+def _counts(rows, rejected):
+    n = rejected.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_rejected", n)
+
+
+@register("s1_two_field_reader", """
+SELECT (SELECT count(*) FROM benchmark) AS n_rows, 2 * (SELECT count(*) FROM benchmark) AS n_rejected""")
+def s1_two_field_reader(t: Tables):
+    """Every query as a good line, its id with an empty text and its id
+    with three fields as bad ones."""
+    q = t.queries
+    p = _good_and_bad(t, "two", q.select(F.concat_ws("\t", "qid", "text").alias("value")),
+                      q.select(F.explode(F.array(F.concat("qid", F.lit("\t")), F.concat("qid", F.lit("\ta\tb")))).alias("value")))
+    return _counts(*io.read_two_field_tsv(t.spark, p))
+
+
+@register("s4_qrels_reader", O.with_base(final="""
+SELECT qid, doc_id, rel, (SELECT 2 * count(*) FROM qrels) AS n_rejected FROM qrels"""))
+def s4_qrels_reader(t: Tables):
+    """Every judgement as a good line, one without a grade and one whose
+    grade is no number as bad ones."""
+    q = t.qrels
+    line = F.concat_ws(" ", "qid", F.lit("0"), "doc_id", "rel")
+    p = _good_and_bad(t, "qrels", q.select(line.alias("value")), q.select(F.explode(F.array(
+        F.concat_ws(" ", "qid", F.lit("0"), "doc_id"), F.concat(line, F.lit("x")))).alias("value")))
+    rows, rejected = io.read_qrels(t.spark, p)
+    return rows.withColumn("n_rejected", rejected.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@register("s6_triplet_reader", O.with_base(final="""
+SELECT qid, doc_id AS pos_id, '"' || doc_id AS neg_id, (SELECT count(*) FROM qrels) AS n_rejected FROM qrels"""))
+def s6_triplet_reader(t: Tables):
+    """A triplet a judgement, with a quote that must stay, and a line of
+    two fields."""
+    q = t.qrels
+    p = _good_and_bad(t, "trip", q.select(F.concat_ws("\t", "qid", "doc_id", F.concat(F.lit('"'), "doc_id")).alias("value")),
+                      q.select(F.concat_ws("\t", "qid", "doc_id").alias("value")))
+    rows, rejected = io.read_triplets(t.spark, p)
+    return rows.withColumn("n_rejected", rejected.agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+@register("s7_text_triplet_reader", O.with_base(final="""
+SELECT text AS query, '"' || text AS pos, text AS neg, (SELECT count(*) FROM queries) AS n_rejected FROM queries"""))
+def s7_text_triplet_reader(t: Tables):
+    """Texts of the queries as good lines, lines of four fields as bad ones."""
+    q = t.queries
+    p = _good_and_bad(t, "texts", q.select(F.concat_ws("\t", "text", F.concat(F.lit('"'), "text"), "text").alias("value")),
+                      q.select(F.concat_ws("\t", "text", "text", "text", "text").alias("value")))
+    rows, rejected = io.read_text_triplets(t.spark, p)
+    return rows.withColumn("n_rejected", rejected.agg(F.count(F.lit(1)).alias("n")).scalar())

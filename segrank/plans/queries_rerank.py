@@ -47,15 +47,19 @@ def pooled(t: Tables, cfg: K.SdmConfig):
 
 
 def _triplets(t: Tables):
-    """Positives from the judgements, negatives = top-5 BM25 documents of the
-    query (a positive can meet itself: those rows exercise C11)."""
+    """Positives from the judgements, negatives = all documents of the query's
+    BM25 run that are not judged, and the positive itself where the run has
+    it (those rows exercise C11)."""
     pos = t.qrels.filter(F.col("rel") > 0).select("qid", F.col("doc_id").alias("pos_id"))
-    neg = K.candidates(bm25_run(t), 5).select("qid", F.col("doc_id").alias("neg_id"))
-    return pos.join(neg, "qid").select("qid", "pos_id", "neg_id")
+    judged = t.qrels.select("qid", F.col("doc_id").alias("neg_id"), F.lit(True).alias("judged")).distinct()
+    neg = bm25_run(t).select("qid", F.col("doc_id").alias("neg_id")).join(judged, ["qid", "neg_id"], "left")
+    return (pos.join(neg, "qid").filter(F.col("judged").isNull() | (F.col("pos_id") == F.col("neg_id")))
+            .select("qid", "pos_id", "neg_id"))
 
 
 TRIPLETS = BM25 + ["""triplets AS (SELECT p.qid, p.doc_id AS pos_id, n.doc_id AS neg_id
-  FROM (SELECT qid, doc_id FROM qrels WHERE rel > 0) p JOIN (SELECT qid, doc_id FROM bm25_run WHERE rank <= 5) n USING (qid))"""]
+  FROM (SELECT qid, doc_id FROM qrels WHERE rel > 0) p JOIN (SELECT r.qid, r.doc_id, j.doc_id IS NOT NULL AS judged FROM bm25_run r LEFT JOIN (SELECT DISTINCT qid, doc_id FROM qrels) j
+    ON j.qid = r.qid AND j.doc_id = r.doc_id) n USING (qid) WHERE NOT n.judged OR n.doc_id = p.doc_id)"""]
 
 
 @register("k1_pairs", O.with_base(*CAND, final=f"""

@@ -11,7 +11,7 @@ from segrank.plans import oracle as O
 from segrank.plans.catalog import FLAGSHIP_N, flagship_run, register
 from segrank.plans.derived import Tables
 
-BM25_N = 3  # lexical runs index the first 3 passages of every document
+BM25_N = None  # lexical runs index all passages of every document
 
 DOT_RUN = [f"doc_vec AS ({O.doc_agg_sql('max', FLAGSHIP_N)})",
            f"run AS ({O.dot_run_sql('query_impacts', 'doc_vec', 1000)})"]
@@ -21,12 +21,11 @@ PSG_RUN = [f"psg_run AS ({O.topk_sql('''(SELECT qid, doc_id, psg, round(CAST(sum
 
 def bm25_run(t: Tables, n: int | None = BM25_N, k: int = 1000):
     toks, docs = t.doc_tokens(n)
-    return R.bm25(toks, docs, t.query_tokens, k, bounded=t.query_side_bounded)
+    return R.bm25(toks, docs, t.query_tokens, k)
 
 
 def psg_run(t: Tables, k: int = 10000):
-    return R.retrieve_passages(t.query_impacts, t.impacts.select("doc_id", "psg", "term", "w"), k,
-                               bounded=t.query_side_bounded)
+    return R.retrieve_passages(t.query_impacts, t.impacts.select("doc_id", "psg", "term", "w"), k)
 
 
 @register("r2_dot_run", O.with_base(*DOT_RUN, final="SELECT qid, doc_id, rank, score FROM run"))
@@ -65,7 +64,7 @@ _RM3 = O.bm25_ctes(BM25_N) + [
 def r5_rm3_run(t: Tables):
     """BM25 + RM3 (10 feedback docs, 10 terms, original weight 0.5)."""
     toks, docs = t.doc_tokens(BM25_N)
-    return R.rm3(toks, docs, t.query_tokens, 1000, bounded=t.query_side_bounded)
+    return R.rm3(toks, docs, t.query_tokens, 1000)
 
 
 _SDM = O.bm25_ctes(BM25_N) + [
@@ -80,7 +79,7 @@ _SDM = O.bm25_ctes(BM25_N) + [
 def r6_sdm_run(t: Tables):
     """Sequential-dependence BM25 (0.85 / 0.15 / 0.05, window 8)."""
     toks, docs = t.doc_tokens(BM25_N)
-    return R.sdm_bm25(toks, docs, t.query_tokens, 1000, bounded=t.query_side_bounded)
+    return R.sdm_bm25(toks, docs, t.query_tokens, 1000)
 
 
 def _sweep_sql(max_n: int) -> str:
@@ -95,8 +94,7 @@ def _sweep_sql(max_n: int) -> str:
 @register("r7_bm25_sweep", _sweep_sql(10))
 def r7_bm25_sweep(t: Tables):
     """BM25 over the first n = 1..10 passages in one pass; metrics per n."""
-    runs = R.bm25_sweep(t.passage_tf, t.passages, t.n_docs, t.query_tokens, 10, 1000,
-                        bounded=t.query_side_bounded)
+    runs = R.bm25_sweep(t.passage_tf, t.passages, t.n_docs, t.query_tokens, 10, 1000)
     return M.summary(runs, t.qrels, group=("n",), groups=list(range(1, 11)))
 
 

@@ -116,7 +116,7 @@ def e13_avg_nnz(t: Tables):
     return V.avg_positive_entries(vec, ids, "id").select(F.round("avg_nnz", 6).alias("avg_nnz"), "n_vectors")
 
 
-@register("e14_rowwise_dot", O.with_base(f"dv AS ({doc_agg_sql('max', 4)})", final="""
+@register("e14_rowwise_dot", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", final="""
 SELECT p.qid, p.doc_id, CAST(coalesce(d.dot, 0) AS BIGINT) AS dot
 FROM (SELECT DISTINCT qid, doc_id FROM qrels) p
 LEFT JOIN (SELECT q.qid, v.doc_id, sum(q.qw * v.w) AS dot FROM query_impacts q JOIN dv v USING (term)
@@ -124,14 +124,14 @@ LEFT JOIN (SELECT q.qid, v.doc_id, sum(q.qw * v.w) AS dot FROM query_impacts q J
   ON d.qid = p.qid AND d.doc_id = p.doc_id"""))
 def e14_rowwise_dot(t: Tables):
     """Query . document for every judged (query, document) pair."""
-    return V.rowwise_dot(t.query_impacts, t.doc_vectors("max", 4), t.qrels)
+    return V.rowwise_dot(t.query_impacts, t.doc_vectors("max", None), t.qrels)
 
 
-@register("e15_all_pairs_dot", O.with_base(f"dv AS ({doc_agg_sql('max', 4)})", final="""
+@register("e15_all_pairs_dot", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", final="""
 SELECT qid, doc_id, CAST(sum(qw * w) AS BIGINT) AS dot FROM query_impacts JOIN dv USING (term) GROUP BY qid, doc_id"""))
 def e15_all_pairs_dot(t: Tables):
     """Every query against every document sharing a term."""
-    return V.all_pairs_dot(t.query_impacts, t.doc_vectors("max", 4))
+    return V.all_pairs_dot(t.query_impacts, t.doc_vectors("max", None))
 
 
 @register("e16_repeat", O.with_base(final="""

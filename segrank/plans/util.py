@@ -3,18 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, bounded: bool | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its size is proven small.
-
-    ``bounded=True``: the caller has proven the bound (e.g. the query set was
-    counted at its source and every query is cut to a fixed length);
-    ``bounded=False``: never broadcast; ``None``: count the rows (an action)
-    and broadcast below ``max_rows``.  Otherwise the choice is left to the
-    planner: sort-merge, or AQE's runtime switch to a broadcast once the
-    shuffle output has been measured."""
-    if bounded is None:
-        bounded = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if bounded else df
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None, bounded: bool | None = None) -> DataFrame:
+    """Marks a side that is expected to be small.  No hint is given: the
+    planner joins by sort-merge, and adaptive execution turns to a broadcast
+    once the side's bytes have been measured (32 MB)."""
+    return df

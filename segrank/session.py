@@ -76,6 +76,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
     (local tests, bench) create a private scratch folder."""
     d = checkpoint_dir(spark)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="segrank-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

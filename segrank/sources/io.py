@@ -6,7 +6,7 @@ the data while exposing how many were rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segrank.functions.text import PSG_SEP
@@ -16,51 +16,78 @@ JSON_RUN_SCHEMA = "map<string, map<string, double>>"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # line number in file order (partition index in the high bits), used
-    # where "the last line wins"
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """``(value, line_at)``: lines with their place in file order (path, block
+    offset, row in the block), used where "the last line wins"."""
+    return spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")).alias("line_at"))
+
+
+def _fields(spark: SparkSession, path: str, sep: str, n: int) -> DataFrame:
+    """Lines stripped of blanks, tabs and line ends at both sides, split at
+    ``sep``; ``ok``: exactly ``n`` fields.  Nothing else is interpreted, quotes
+    least of all."""
+    lines = _lines(spark, path).withColumn("p", F.split(F.trim(F.col("value"), F.lit(" \t\r\n")), sep, -1))
+    return lines.withColumn("ok", F.size("p") == n)
+
+
+def _parted(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``ok`` holds, and the lines of all others."""
+    df = df.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    return df.filter("ok"), df.filter(~F.col("ok")).select("value")
+
+
+def _passage_id(c: Column, sep: str) -> tuple[Column, Column]:
+    """Document and passage number (null if it is none) of an id; ``sep`` is
+    taken literally and its last occurrence counts."""
+    n = F.split_part(c, F.lit(sep), F.lit(-1))
+    doc = F.substring(c, F.lit(1), F.length(c) - F.length(n) - len(sep))
+    number = F.when(n.rlike("^[0-9]+$") & (F.length(doc) > 0), n.try_cast("int"))
+    return doc, number
 
 
 def read_two_field_tsv(spark: SparkSession, path: str, names=("id", "text")) -> tuple[DataFrame, DataFrame]:
     """``id \\t text`` lines; exactly two fields after stripping the line
     (others are rejected).  Returns ``(rows, rejected)``."""
-    parts = _lines(spark, path).select("line_no", F.split(F.trim(F.col("value"), F.lit(" \n\r")), "\t").alias("p"), "value")
-    ok = F.size("p") == 2
-    rows = parts.filter(ok).select(F.col("p")[0].alias(names[0]), F.col("p")[1].alias(names[1]), "line_no")
-    return rows.drop("line_no"), parts.filter(~ok).select("value")
+    rows, rejected = _parted(_fields(spark, path, "\t", 2), F.col("ok"))
+    return rows.select(F.get("p", F.lit(0)).alias(names[0]), F.get("p", F.lit(1)).alias(names[1])), rejected
 
 
 def read_passages_tsv(spark: SparkSession, path: str, sep: str = PSG_SEP) -> tuple[DataFrame, DataFrame]:
     """``doc<sep>psg \\t text``; the id is split at ingest (psg INT).  A
-    duplicated passage id keeps its last line (Q1)."""
-    parts = _lines(spark, path).select("line_no", F.split(F.trim(F.col("value"), F.lit(" \n\r")), "\t").alias("p"), "value")
-    idp = F.split(F.col("p")[0], sep)
-    x = parts.select("line_no", "value", F.col("p")[1].alias("text"),
-                     idp[0].alias("doc_id"), idp[1].alias("psg_s"), F.size("p").alias("_n"))
-    x = x.withColumn("_ok", (F.col("_n") == 2) & F.coalesce(F.col("psg_s").rlike("^[0-9]+$"), F.lit(False)))
-    rows = (x.filter("_ok").groupBy("doc_id", F.col("psg_s").cast("int").alias("psg"))
-            .agg(F.max_by("text", "line_no").alias("text")))
-    return rows, x.filter(~F.col("_ok")).select("value")
-
+    duplicated passage id keeps its last line in file order (Q1).  Returns
+    ``(rows, rejected)``."""
+    doc, psg = _passage_id(F.get("p", F.lit(0)), sep)
+    x = _fields(spark, path, "\t", 2).select("value", "line_at", "ok", F.get("p", F.lit(1)).alias("text"),
+                                             doc.alias("doc_id"), psg.alias("psg"))
+    rows, rejected = _parted(x, F.col("ok") & F.col("psg").isNotNull())
+    return rows.groupBy("doc_id", "psg").agg(F.max_by("text", "line_at").alias("text")), rejected
 
-TREC_RUN_SCHEMA = "qid string, q0 string, doc_id string, rank int, score double, tag string"
-QRELS_SCHEMA = "qid string, iter string, doc_id string, rel int"
 
-
-def read_trec_run(spark: SparkSession, path: str, psg_sep: str | None = None) -> DataFrame:
+def read_trec_run(spark: SparkSession, path: str, psg_sep: str | None = None) -> tuple[DataFrame, DataFrame]:
     """S3: six space-separated columns; with ``psg_sep`` the document column
-    is split into ``doc_id, psg`` (passage runs)."""
-    df = spark.read.csv(path, sep=" ", schema=TREC_RUN_SCHEMA, mode="DROPMALFORMED")
-    df = df.select("qid", "doc_id", "rank", "score", "tag")
+    is split into ``doc_id, psg`` (passage runs).  Returns ``(rows, rejected)``:
+    lines with other numbers of columns, or whose rank or score is no number,
+    are rejected."""
+    f = lambda k: F.get("p", F.lit(k))
+    x = _fields(spark, path, " +", 6).select(
+        "value", "ok", f(0).alias("qid"), f(2).alias("doc_id"), f(3).try_cast("int").alias("rank"),
+        f(4).try_cast("double").alias("score"), f(5).alias("tag"))
+    ok, cols = F.col("ok") & F.col("rank").isNotNull() & F.col("score").isNotNull(), ["qid", "doc_id"]
     if psg_sep:
-        idp = F.split("doc_id", psg_sep)
-        df = df.select("qid", idp[0].alias("doc_id"), idp[1].cast("int").alias("psg"), "rank", "score", "tag")
-    return df
+        doc, psg = _passage_id(F.col("doc_id"), psg_sep)
+        x = x.withColumn("psg", psg).withColumn("doc_id", F.when(F.col("psg").isNotNull(), doc))
+        ok, cols = ok & F.col("psg").isNotNull(), ["qid", "doc_id", "psg"]
+    rows, rejected = _parted(x, ok)
+    return rows.select(*cols, "rank", "score", "tag"), rejected
 
 
-def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """``qid iter doc_id rel``."""
-    return spark.read.csv(path, sep=" ", schema=QRELS_SCHEMA, mode="DROPMALFORMED").select("qid", "doc_id", "rel")
+def read_qrels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``qid iter doc_id rel``.  Returns ``(rows, rejected)``."""
+    x = _fields(spark, path, "[ \t]+", 4).select("value", "ok", F.get("p", F.lit(0)).alias("qid"), F.get("p", F.lit(2)).alias("doc_id"),
+                                                F.get("p", F.lit(3)).try_cast("int").alias("rel"))
+    rows, rejected = _parted(x, F.col("ok") & F.col("rel").isNotNull())
+    return rows.select("qid", "doc_id", "rel"), rejected
 
 
 def read_vectors_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -72,23 +99,30 @@ def read_vectors_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return parsed.filter(ok).select("j.*"), parsed.filter(~ok).select("value")
 
 
-def read_triplets(spark: SparkSession, path: str) -> DataFrame:
+def _three(spark: SparkSession, path: str, names: tuple[str, str, str]) -> tuple[DataFrame, DataFrame]:
+    rows, rejected = _parted(_fields(spark, path, "\t", 3), F.col("ok"))
+    return rows.select(*(F.get("p", F.lit(k)).alias(c) for k, c in enumerate(names))), rejected
+
+
+def read_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """S6 (reader part): ``qid \\t pos_id \\t neg_id``; existence filtering is
-    ``sdm.clean_triplets``."""
-    return spark.read.csv(path, sep="\t", schema="qid string, pos_id string, neg_id string", mode="DROPMALFORMED")
+    ``sdm.clean_triplets``.  Returns ``(rows, rejected)``."""
+    return _three(spark, path, ("qid", "pos_id", "neg_id"))
 
 
-def read_text_triplets(spark: SparkSession, path: str) -> DataFrame:
-    """``query \\t pos \\t neg`` texts."""
-    return spark.read.csv(path, sep="\t", schema="query string, pos string, neg string", mode="DROPMALFORMED",
-                          quote="")
+def read_text_triplets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``query \\t pos \\t neg`` texts.  Returns ``(rows, rejected)``."""
+    return _three(spark, path, ("query", "pos", "neg"))
 
 
-def read_json_run(spark: SparkSession, path: str) -> DataFrame:
-    """``{qid: {doc_id: score}}`` - one object per file or one per line."""
-    raw = spark.read.text(path)
-    m = raw.select(F.explode(F.from_json("value", JSON_RUN_SCHEMA)).alias("qid", "docs"))
-    return m.select("qid", F.explode("docs").alias("doc_id", "score"))
+def read_json_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``{qid: {doc_id: score}}`` - one object per file or one per line.
+    Returns ``(rows, rejected)``; blank lines are neither."""
+    raw = spark.read.text(path).filter(F.trim("value") != "")
+    x = raw.select("value", F.from_json("value", JSON_RUN_SCHEMA).alias("m"))
+    rows, rejected = _parted(x, F.col("m").isNotNull())
+    rows = rows.select(F.explode("m").alias("qid", "docs"))
+    return rows.select("qid", F.explode("docs").alias("doc_id", "score")), rejected
 
 
 # ------------------------------------------------------------------ sinks
@@ -153,12 +187,18 @@ def write_by_cohort(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*parts).parquet(path)
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the folder's last write was committed (its success marker is
+    there)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+
+
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Reuse a derived table if it was already written, else write it
-    (Parquet in a shared location) and read it back."""
+    """Reuse a derived table if a committed write of it is there, else
+    write it (Parquet in a shared location) and read it back.  What an
+    uncommitted write left behind is replaced; any other error is raised."""
     spark = df.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
+    if not is_complete(spark, path):
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

@@ -2,6 +2,7 @@
 formulation (shifted sums, max over document positions, sum over query
 positions) on random small cases."""
 
+import math
 import random
 
 import numpy as np
@@ -15,7 +16,7 @@ def _dense(q, wq, d, s, windows, prox, exact):
     M = np.zeros((ql, dl))
     for i, qt in enumerate(q):
         for j, dt in enumerate(d):
-            M[i + 1, j + 1] = wq[i] * s.get((dt, qt), 0.0)
+            M[i + 1, j + 1] = wq[i] * math.log1p(max(s.get((dt, qt), 0.0), 0.0))
     E = np.zeros_like(M)
     for i, qt in enumerate(q):
         for j, dt in enumerate(d):
@@ -105,8 +106,8 @@ def test_exact_features_not_above_soft(spark):
     s_ = {r.feature: r.value for r in K.pooled_features(K.passage_features(soft, exact, cfg_s), pairs, cfg_s).collect()}
     assert all(e[f] <= s_[f] + 1e-12 for f in cfg_e.feature_names)
     # "a b" is not adjacent in the document -> exact ordered bigram is 0;
-    # soft: windows starting at query slots 0, 1, 2 score 1, 1 + 0.5, 1
-    assert e["O_2"] == 0.0 and abs(s_["O_2"] - 3.5) < 1e-12
+    # soft: windows starting at query slots 0, 1, 2 score ln 2, ln 2 + ln 1.5, ln 2
+    assert e["O_2"] == 0.0 and abs(s_["O_2"] - (3 * math.log(2) + math.log(1.5))) < 1e-9
 
 
 def test_missing_passages_give_zero_features(spark):

@@ -22,21 +22,51 @@ def test_tsv_and_passage_readers(spark, tmpdir_path):
     assert rej.count() == 1
 
 
+def test_readers_reject_bad_lines(spark, tmpdir_path):
+    def probe(read, text, *args):
+        p = os.path.join(tmpdir_path, "probe.txt")
+        _write(p, text)
+        rows, rej = read(spark, p, *args)
+        out = sorted(tuple(r) for r in rows.collect())
+        assert rows.count() == len(out)
+        return out, sorted(r.value for r in rej.collect())
+
+    assert probe(io.read_two_field_tsv, "d1\ta\nd2\t\n") == ([("d1", "a")], ["d2\t"])
+    assert probe(io.read_passages_tsv, "d@@0\ta\nnosep\tb\nno tab\n") == ([("d", 0, "a")], ["no tab", "nosep\tb"])
+    assert probe(io.read_passages_tsv, "d.0\ta\nd0\tb\n", ".") == ([("d", 0, "a")], ["d0\tb"])
+    assert probe(io.read_passages_tsv, "a-b-3\ta\n", "-") == ([("a-b", 3, "a")], [])
+    assert probe(io.read_trec_run, "q Q0 d 1 2.5 t\nq Q0 d\nq Q0 d x 2.5 t\n") == ([("q", "d", 1, 2.5, "t")], ["q Q0 d", "q Q0 d x 2.5 t"])
+    assert probe(io.read_trec_run, "q Q0 d@@1 1 2.5 t\nq Q0 d 1 2.5 t\n", "@@") == ([("q", "d", 1, 1, 2.5, "t")], ["q Q0 d 1 2.5 t"])
+    assert probe(io.read_qrels, "q 0 d 1\nq 0 d\nq 0 d x\n") == ([("q", "d", 1)], ["q 0 d", "q 0 d x"])
+    assert probe(io.read_triplets, 'q\t"a\tb\nq\ta\n') == ([("q", '"a', "b")], ["q\ta"])
+    assert probe(io.read_text_triplets, "q\ta\tb\nq\ta\tb\tc\n") == ([("q", "a", "b")], ["q\ta\tb\tc"])
+    assert probe(io.read_json_run, '{"q": {"d": 1.0}}\n{bad\n') == ([("q", "d", 1.0)], ["{bad"])
+
+
+def test_half_written_table_is_replaced(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "half")
+    df = spark.range(5)
+    df.write.parquet(p)
+    os.remove(os.path.join(p, "_SUCCESS"))
+    assert io.materialize(spark.range(7), p).count() == 7
+
+
 def test_run_roundtrips(spark, tmpdir_path):
     run = spark.createDataFrame([("q1", "a", 1, 2.5), ("q1", "b", 2, 1.0), ("q2", "c", 1, 3.0)],
                                 "qid string, doc_id string, rank int, score double")
     out = os.path.join(tmpdir_path, "run")
     io.write_trec_run(run, out)
-    back = io.read_trec_run(spark, out)
+    back, rej = io.read_trec_run(spark, out)
+    assert rej.count() == 0
     assert sorted((r.qid, r.doc_id, r.rank, r.score) for r in back.collect()) == \
         sorted((r.qid, r.doc_id, r.rank, r.score) for r in run.collect())
     jout = os.path.join(tmpdir_path, "jrun")
     io.write_json_run(run, jout)
-    jb = io.read_json_run(spark, jout)
+    jb, _ = io.read_json_run(spark, jout)
     assert sorted((r.qid, r.doc_id, r.score) for r in jb.collect()) == [("q1", "a", 2.5), ("q1", "b", 1.0), ("q2", "c", 3.0)]
     single = os.path.join(tmpdir_path, "single.json")
     _write(single, '{"q1": {"a": 1.5}, "q2": {"b": 0.5, "c": 0.25}}')
-    assert io.read_json_run(spark, single).count() == 3
+    assert io.read_json_run(spark, single)[0].count() == 3
 
 
 def test_vectors_and_query_lines(spark, tmpdir_path):
@@ -56,10 +86,10 @@ def test_vectors_and_query_lines(spark, tmpdir_path):
 def test_qrels_and_triplets(spark, tmpdir_path):
     qp = os.path.join(tmpdir_path, "qrels.txt")
     _write(qp, "1 0 d1 1\n1 0 d2 0\n")
-    assert io.read_qrels(spark, qp).count() == 2
+    assert io.read_qrels(spark, qp)[0].count() == 2
     tp = os.path.join(tmpdir_path, "t.tsv")
     _write(tp, "q\tp\tn\n")
-    assert io.read_triplets(spark, tp).collect()[0].neg_id == "n"
+    assert io.read_triplets(spark, tp)[0].collect()[0].neg_id == "n"
 
 
 def test_streaming_ingest(spark, tmpdir_path):
