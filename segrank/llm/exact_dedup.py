@@ -22,7 +22,10 @@ from segrank.llm.common import stored
 COUNTERS = 1023        # Misra-Gries counters in a summary
 HEAVY_SHARE = 256      # a digest with at least 1/256 of all rows is heavy
 
-NORMALISED = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+
+def normalised(text: str = "text"):
+    """White space runs as one space."""
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
 def misra_gries(counters: int):
@@ -64,7 +67,7 @@ def heavy_digests(hashed: DataFrame, counters: int = COUNTERS, share: int = HEAV
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS, share: int = HEAVY_SHARE) -> DataFrame:
     """One row a document: doc_id, keep_id, group_size, kept, text_sha256 (see the module's contract)."""
-    hashed = stored(docs.select("doc_id", F.unhex(F.sha2(NORMALISED.cast("binary"), 256)).alias("digest")), "digests")
+    hashed = stored(docs.select("doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("digest")), "digests")
     heavy = stored(heavy_digests(hashed, counters, share), "heavy")
     split = hashed.join(F.broadcast(heavy), "digest", "left")
     resolved = split.where(F.col("group_size").isNotNull())

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from segrank.llm.common import bounded_batches, read_table
 
-SAMPLE = 200        # pages of the table to train on at most: those with the least hash of the id
-ROUNDS = 12
+SAMPLE = 400        # pages of the table to train on at most: those with the least hash of the id
+ROUNDS = 30
+LEAST_STEPS = 30_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -103,7 +104,7 @@ def leaf_blocks(page: str) -> tuple[list[Block], str]:
                         break
         elif tag == "br":
             pieces.append(" ")
-        if tag not in VOID and not m[5].endswith("/"):
+        if tag not in VOID:
             words: list[str] = []
             main = False
             if m[5]:
@@ -122,9 +123,10 @@ def features(blocks: list[Block], title: str) -> list[list[str]]:
     out = []
     for k, b in enumerate(blocks):
         n = len(b.text)
-        own = ["bias", f"tag:{b.path[-1] if b.path else ''}", f"len:{min(8, int(math.log2(n + 1)))}",
+        own = ["bias", f"tag:{b.path[-1] if b.path else ''}", f"len:{min(4, int(math.log2(n + 1)) // 2)}",
                f"link:{0 if b.link == 0 else 1 + min(3, int(b.link * 4))}", "end:" + ("mark" if b.text[-1] in ".!?:;\"”»…" else "none")]
-        own += [f"in:{t}" for t in set(b.path)] + [f"cls:{w}" for w in set(b.words)]
+        own += [f"in:{t}" for t in set(b.path) - {"html", "body"}] + [f"cls:{w}" for w in set(b.words)]
+        own.append("under:" + ">".join(b.path[-2:]))
         if title and (b.text == title or (len(title) > 20 and b.text.startswith(title[:40]))):
             own.append("title")
         if sum(c.isdigit() for c in b.text) * 4 > n:
@@ -174,14 +176,16 @@ class Field:
                     pairs[2 * i + j] += math.exp(ahead[k][i] + t[2 * i + j] + (e[k + 1] if j else 0.0) + back[k + 1][j] - z)
         return one, pairs
 
-    def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS, rate: float = 0.3) -> "Field":
-        """AdaGrad on the negative log-likelihood, a page at a time, in an order fixed by a seed."""
-        seen: dict[str, float] = {}
-        seen_step = [1e-6] * 4
+    def train(self, pages: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS, rate: float = 0.2) -> "Field":
+        """Stochastic gradient on the negative log-likelihood, a page at a time, in an order fixed by a seed, with a
+        falling rate and L2; the weights of the later half of the rounds are averaged."""
         order = random.Random(0)
         pages = [p for p in pages if p[0]]
-        for _ in range(rounds):
+        rounds = max(rounds, -(-LEAST_STEPS // max(1, len(pages))))
+        total, steps, taken = {}, [0.0] * 4, 0
+        for turn in range(rounds):
             order.shuffle(pages)
+            r = rate / (1 + 4 * turn / rounds)
             for rows, labels in pages:
                 one, pairs = self.marginals(self.emit(rows))
                 grad: dict[str, float] = {}
@@ -189,14 +193,19 @@ class Field:
                     for f in row:
                         grad[f] = grad.get(f, 0.0) + p - y
                 for f, g in grad.items():
-                    g += 1e-3 * self.weight.get(f, 0.0)
-                    seen[f] = seen.get(f, 1e-6) + g * g
-                    self.weight[f] = self.weight.get(f, 0.0) - rate * g / math.sqrt(seen[f])
+                    old = self.weight.get(f, 0.0)
+                    self.weight[f] = old - r * (g + 1e-4 * old)
                 for a, b in zip(labels, labels[1:]):
                     pairs[2 * a + b] -= 1
                 for k, g in enumerate(pairs):
-                    seen_step[k] += g * g
-                    self.step[k] -= rate * g / math.sqrt(seen_step[k])
+                    self.step[k] -= r * (g + 1e-4 * self.step[k])
+            if 2 * turn >= rounds - 1:
+                taken += 1
+                for f, w in self.weight.items():
+                    total[f] = total.get(f, 0.0) + w
+                steps = [a + b for a, b in zip(steps, self.step)]
+        self.weight = {f: w / taken for f, w in total.items()}
+        self.step = [x / max(1, taken) for x in steps]
         return self
 
     def viterbi(self, e: list[float]) -> list[int]:
@@ -253,7 +262,7 @@ FILL = {"c": ("comments", "comment list", "reader comments", "discussion", "resp
         "a": ("ad", "ads", "advert", "advertisement", "sponsor", "promo", "ad-slot")}
 
 
-def layout_pages(copies: int = 12) -> list[str]:
+def layout_pages(copies: int = 16) -> list[str]:
     """The layouts filled with made-up words; only shapes are learned from them."""
     r = random.Random(7)
 
@@ -281,8 +290,9 @@ def layout_pages(copies: int = 12) -> list[str]:
 AWAY = frozenset("nav footer header aside form menu dialog".split())
 
 
-def labelled(page: str, marked: bool) -> tuple[list[list[str]], list[int]] | None:
-    """Features and labels of a page: marked blocks, or those in a page's one article but outside what is never content."""
+def labelled(page: str, marked: bool, short: random.Random | None = None) -> tuple[list[list[str]], list[int]] | None:
+    """Features and labels of a page: marked blocks, or those in a page's one article but outside what is never content.
+    With ``short``, half of the content blocks are cut to a word or two, as content need not be long."""
     blocks, title = leaf_blocks(page)
     if marked:
         labels = [int(b.main) for b in blocks]
@@ -290,15 +300,23 @@ def labelled(page: str, marked: bool) -> tuple[list[list[str]], list[int]] | Non
         if not any("article" in b.path for b in blocks) or any(b.words for b in blocks if "article" in b.path):
             return None
         labels = [int("article" in b.path and not AWAY & set(b.path)) for b in blocks]
+    if short:
+        for b, y in zip(blocks, labels):
+            if y and short.random() < 0.5:
+                b.text = " ".join(b.text.split()[:short.randint(1, 2)]).rstrip(".") + short.choice([".", ""]) or b.text
+        title = ""
     return features(blocks, title), labels
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """The field trained on the layouts and on at most ``sample`` of ``pages``."""
-    own = [r["html"] for r in pages.where("html is not null").orderBy(F.xxhash64("page_id"), F.xxhash64("html"))
-           .select("html", "page_id").limit(sample).collect()]
-    rows = [x for p in layout_pages() if (x := labelled(p, True))] + [x for p in own if (x := labelled(p, False))]
-    return Field().train(rows)
+    mark = F.xxhash64("page_id")
+    least = [r[0] for r in pages.where("html is not null").select(mark.alias("mark")).orderBy("mark").limit(sample).collect()]
+    rows = pages.where("html is not null").where(mark <= F.lit(least[-1])).select("html").limit(2 * sample).collect() if least else []
+    own = sorted(r["html"] for r in rows)
+    cut = random.Random(1)
+    known = [(p, True) for p in layout_pages()] + [(p, False) for p in own]
+    return Field().train([x for p, marked in known for short in (None, cut) if (x := labelled(p, marked, short))])
 
 
 def extract(pages: DataFrame, field: Field) -> DataFrame:

@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Many voters look at a document: terms mined from labelled training rows (words, and the first 4 to 6 characters of
+Many voters look at a document: terms mined from labelled training rows (words, and the first 4 to 8 characters of
 words), a fixed lexicon, patterns, and one that votes clean.  A generative label model with two hidden classes
 estimates from the votes alone how often each voter speaks in either class (its accuracy) and which voters depend on
 each other within a class; dependent voters share their weight.  A linear classifier is then trained on the
@@ -33,6 +33,7 @@ TERMS = 4000        # mined terms at most, the strongest
 LEAST = 4           # toxic training documents that a mined term is in
 ODDS = 1.8          # least log odds, by two standard errors, of a mined term
 VOTERS = 400        # mined terms that also vote
+PREFIXES = (4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
 LEXICON = ("idiot", "moron", "stupid", "trash", "loser", "scum", "pathetic", "clown", "worthless", "disgusting", "vermin")
 PATTERNS = (re.compile(r"\byou(?:'re| are) (?:an? )?(?:idiot|moron|loser|clown)", re.I), re.compile(r"\bshut up\b", re.I),
@@ -41,7 +42,7 @@ PATTERNS = (re.compile(r"\byou(?:'re| are) (?:an? )?(?:idiot|moron|loser|clown)"
 
 def terms_of(word: str) -> tuple[str, ...]:
     """A word's own term and those of its first characters."""
-    return (word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n))
+    return (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n))
 
 
 def words_of(text: str | None) -> set[str]:
