@@ -27,7 +27,7 @@ from segrank.llm.common import bounded_batches, read_table
 
 SAMPLE = 400        # pages of the table to train on at most: those with the least hash of the id
 ROUNDS = 30
-LEAST_STEPS = 30_000
+LEAST_STEPS = 60_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -252,6 +252,8 @@ LAYOUTS = (
     HEAD + "<header><h1>{w}</h1></header><nav>" + MENU + "</nav><section class=\"article-body\">" + BODY + "</section><section class=\"{c}\"><h2>{w}</h2><p>{p}</p><p>{s}</p></section>" + FOOT,
     HEAD + "<article><header>" + '<h1 data-main>{t}</h1></header><p data-main>{p}</p>' + ADVERT + "<p data-main>{p}</p><aside><p>{s}</p></aside><p data-main>{p}</p>" + COMMENTS + "</article>" + FOOT,
     HEAD + "<nav>" + MENU + "</nav><p>{s}</p>" + FOOT,
+    HEAD + '<nav><a href="/">{w}</a></nav><article><h1 data-main>{t}</h1><p data-main>{p}</p></article>' + FOOT,
+    HEAD + '<header><a href="/">{w}</a> <a href="/">{w}</a></header><nav>{w} | {w}</nav><article>' + BODY + "</article>" + FOOT,
     HEAD + "<nav>" + MENU + "</nav><article><p data-main>{p}</p></article>" + NOTICE + SIDE + FOOT,
     HEAD + '<nav>' + MENU + '</nav><div class="{n}">{s}</div><article>' + BODY + '<section id="{c}"><div class="{d}">{s}</div><div class="{d}">{p}</div></section></article>' + FOOT,
     HEAD + MENU + "<h1 data-main>{t}</h1><p data-main>{p}</p><p data-main>{p}</p>" + COMMENTS + FOOT,
@@ -262,7 +264,7 @@ FILL = {"c": ("comments", "comment list", "reader comments", "discussion", "resp
         "a": ("ad", "ads", "advert", "advertisement", "sponsor", "promo", "ad-slot")}
 
 
-def layout_pages(copies: int = 16) -> list[str]:
+def layout_pages(copies: int = 12) -> list[str]:
     """The layouts filled with made-up words; only shapes are learned from them."""
     r = random.Random(7)
 
