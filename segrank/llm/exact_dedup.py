@@ -54,15 +54,13 @@ def heavy_digests(hashed: DataFrame, counters: int = COUNTERS, share: int = HEAV
     A digest with rows / share rows keeps at least rows * (1 / share - 1 / (counters + 1)) in the summed summaries,
     and those sums add up to at most all rows, so the candidates are few (342 with the defaults) at every size.
     """
-    total = hashed.agg(F.count(F.lit(1)).alias("all_rows"))
+    total = hashed.agg(F.count(F.lit(1)).alias("all_rows")).scalar()
     summed = (hashed.select("digest").mapInArrow(misra_gries(counters), "digest binary, low long")
               .groupBy("digest").agg(F.sum("low").alias("low")))
-    candidates = (summed.join(F.broadcast(total), F.col("low") >= F.col("all_rows") * (1 / share - 1 / (counters + 1)))
-                  .select("digest"))
+    candidates = summed.where(F.col("low") >= total * (1 / share - 1 / (counters + 1))).select("digest")
     exact = (hashed.join(F.broadcast(candidates), "digest", "left_semi")
              .groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return (exact.join(F.broadcast(total), F.col("group_size") * share >= F.col("all_rows"))
-            .select("digest", "keep_id", "group_size"))
+    return exact.where(F.col("group_size") * share >= total).select("digest", "keep_id", "group_size")
 
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS, share: int = HEAVY_SHARE) -> DataFrame:

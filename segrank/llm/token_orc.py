@@ -15,12 +15,12 @@ text and each is written; an empty table gives an empty folder and an empty resu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +29,10 @@ from segrank.llm.common import bounded_batches, read_table, scratch, stored
 END_ID = 2
 CACHE_PIECES = 400_000
 PART_BYTES = 32 << 20      # text in a file
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
+# The pre-tokenizer's pattern, its letters and numbers written out for lower-cased printable Latin-1.
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
