@@ -55,6 +55,18 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def pieces(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces, many in one call: with spaces between them, each is a word of its own to the pre-tokenizer."""
+        for k in range(0, len(new), 500):
+            part = new[k:k + 500]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, word = np.array(found.ids, dtype="<u4"), np.array(found.word_ids)
+            if word[-1] != len(part) - 1:
+                yield from zip(part, self.whole(part))
+                continue
+            edge = np.searchsorted(word, np.arange(len(part) + 1))
+            yield from ((p, ids[a:b].tobytes()) for p, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist()))
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, the end id last."""
         pieces = [PIECES.findall(t.lower()) if t and "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
@@ -64,7 +76,7 @@ class Encoder:
                 self.known.clear()
                 new = set().union(*(p for p in pieces if p))
             new = list(new)
-            self.known.update(zip(new, self.whole(new)))
+            self.known.update(self.pieces(new))
         get = self.known.__getitem__
         for t, p in zip(texts, pieces):
             if p is not None:
