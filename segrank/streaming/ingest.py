@@ -2,7 +2,7 @@
 
 ``documents`` files landing in a folder are split into passages (T2-T5)
 and encoded with a static term-weight table (stream-static join, E2/E3 +
-E10); each micro-batch is appended to Parquet tables.  Progress lives in
+E10); each micro-batch is a partition of Parquet tables.  Progress lives in
 a checkpoint under the cluster's shared ``spark.checkpoint.dir``.
 """
 
@@ -45,14 +45,17 @@ def encode_batch(passages: DataFrame, term_weights: DataFrame) -> DataFrame:
 def start_ingest(spark: SparkSession, src_dir: str, out_dir: str, term_weights: DataFrame,
                  budget: int = segment.DEFAULT_BUDGET, available_now: bool = True, name: str = "ingest"):
     """Start the stream; returns the ``StreamingQuery``.  Passages and
-    impacts of each micro-batch are appended to ``out_dir/passages`` and
-    ``out_dir/impacts`` (idempotent per batch id via the sink's commit)."""
+    impacts of each micro-batch go to a folder of their own under
+    ``out_dir/passages`` and ``out_dir/impacts`` (columns ``stream`` and
+    ``batch``), which a repeated batch overwrites: no row is doubled.  Streams
+    that share ``out_dir`` need different names."""
     ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
     stream = passage_stream(spark, src_dir, budget)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(os.path.join(out_dir, "passages"))
-        encode_batch(batch, term_weights).write.mode("append").parquet(os.path.join(out_dir, "impacts"))
+        part = os.path.join(f"stream={name}", f"batch={batch_id}")
+        batch.write.mode("overwrite").parquet(os.path.join(out_dir, "passages", part))
+        encode_batch(batch, term_weights).write.mode("overwrite").parquet(os.path.join(out_dir, "impacts", part))
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

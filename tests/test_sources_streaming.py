@@ -105,6 +105,8 @@ def test_streaming_ingest(spark, tmpdir_path):
     assert sorted(r.text for r in ps.collect()) == ["Alpha beta.", "Gamma delta."]
     imp = {r.term: r.w for r in spark.read.parquet(os.path.join(out, "impacts")).collect()}
     assert imp == {"alpha": 100, "gamma": 200}
+    assert {(r.stream, r.batch) for r in spark.read.parquet(os.path.join(out, "passages")).collect()} == {
+        ("t" + os.path.basename(tmpdir_path), 0)}
 
 
 def test_materialize_and_impact_index(spark, tmpdir_path):
