@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,25 @@ def paired_t(per_query_a: DataFrame, per_query_b: DataFrame, metric: str = "rr")
                       F.round(t, 6).alias("t_stat"))
 
 
+def t_pvalue_column(t: Column, n: Column) -> Column:
+    """Two-sided p-value of a paired t statistic over ``n`` pairs, by the
+    finite series of Student's distribution for whole degrees of freedom
+    (about n / 2 terms, folded inside the one summary row); NULL for NULL."""
+    v = F.greatest(n - 1, F.lit(1)).cast("double")
+    theta, c2 = F.atan(F.abs(t) / F.sqrt(v)), v / (v + t * t)
+    even = v % 2 == 0
+    last = F.when(even, v / 2 - 1).otherwise((v - 3) / 2).cast("int")
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    ratio = lambda k: F.when(even, (2 * k - 1) / (2 * k)).otherwise(2 * k / (2 * k + 1)) * c2
+    total = F.aggregate(
+        steps, F.struct(F.lit(1.0).alias("a"), F.lit(1.0).alias("total")),
+        lambda acc, k: F.struct((acc["a"] * ratio(k)).alias("a"), (acc["total"] + acc["a"] * ratio(k)).alias("total")),
+        lambda acc: acc["total"])
+    inside = (F.when(even, F.sin(theta) * total).when(v == 1, theta * (2 / math.pi))
+              .otherwise((theta + F.sin(theta) * F.cos(theta) * total) * (2 / math.pi)))
+    return F.when(t.isNotNull(), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
+
+
 def _betacf(a: float, b: float, x: float) -> float:
     qab, qap, qam = a + b, a + 1.0, a - 1.0
     c, d = 1.0, 1.0 - qab * x / qap
@@ -104,6 +123,8 @@ def t_pvalue(t: float | None, dof: int) -> float | None:
     applied to the single summary row of ``paired_t``."""
     if t is None or dof <= 0:
         return None
+    if t == 0:
+        return 1.0
     x = dof / (dof + t * t)
     a, b = dof / 2.0, 0.5
     lbeta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)

@@ -40,7 +40,7 @@ FLAGSHIP_N = 4
 
 
 def flagship_run(t: Tables) -> DataFrame:
-    docs = A.aggregate_passages(t.impacts, "max", FLAGSHIP_N)
+    docs = A.aggregate_passages(t.query_term_impacts, "max", FLAGSHIP_N)
     return R.retrieve(t.query_impacts, docs, 1000)
 
 

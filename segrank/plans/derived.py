@@ -141,6 +141,16 @@ class Tables:
         """Passage vectors ``(doc_id, psg, n_psg, term, w)``."""
         return vectors.tfidf_impacts(self.tokens, ["doc_id", "psg", "n_psg"], self.term_weights, tf=self.passage_tf)
 
+    @cached_property
+    def query_term_impacts(self) -> DataFrame:
+        """``impacts`` of the terms that some query has: all that a dot
+        product reads.  The semi-join on ``term`` comes first, so the join with
+        the weights and the aggregation see the matching postings only and
+        keep its partitioning."""
+        terms = self.query_tokens.select("term").distinct()
+        return vectors.tfidf_impacts(self.tokens, ["doc_id", "psg", "n_psg"], self.term_weights,
+                                     tf=self.passage_tf.join(terms, "term", "left_semi"))
+
     @cached_property
     def query_impacts(self) -> DataFrame:
         return vectors.query_impacts(self.query_tokens, self.term_weights)

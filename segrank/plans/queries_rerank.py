@@ -9,7 +9,8 @@ from segrank.operators import sdm as K
 from segrank.plans import oracle as O
 from segrank.plans.catalog import register
 from segrank.plans.derived import Tables
-from segrank.plans.queries_retrieval import BM25, bm25_run
+from segrank.operators import runs as RU
+from segrank.plans.queries_retrieval import BM25, F1_SQL, PSG_RUN, bm25_run, psg_run
 
 CAND_K = 200      # candidates reranked per query
 N_PSG = 2         # passages per candidate for the single-config queries
@@ -23,9 +24,9 @@ def _cand(t: Tables):
     return K.candidates(bm25_run(t), CAND_K)
 
 
-def _cells(t: Tables, n_psg: int, materialise: bool = False):
+def _cells(t: Tables, n_psg: int, materialise: bool = False, cand=None):
     from segrank.session import cut_lineage
-    cand = _cand(t)
+    cand = _cand(t) if cand is None else cand
     if materialise:
         # every feature reads the cells again: write the candidates and the
         # cells once (reliable checkpoints; sizes bounded by the candidates)
@@ -40,8 +41,8 @@ def _cells(t: Tables, n_psg: int, materialise: bool = False):
     return cand, soft, exact
 
 
-def pooled(t: Tables, cfg: K.SdmConfig):
-    cand, soft, exact = _cells(t, cfg.n_psg, materialise=True)
+def pooled(t: Tables, cfg: K.SdmConfig, cand=None):
+    cand, soft, exact = _cells(t, cfg.n_psg, materialise=True, cand=cand)
     pf = K.passage_features(soft, exact, cfg)
     return cand, K.pooled_features(pf, cand, cfg)
 
@@ -150,8 +151,8 @@ def _rerank_sql(cfg: K.SdmConfig) -> str:
 FROM (SELECT qid, doc_id, round(sum(weight * value) + 0.0, 6) AS score FROM ({pooled_q}) JOIN fw USING (feature) GROUP BY qid, doc_id)"""
 
 
-def reranked(t: Tables, cfg: K.SdmConfig):
-    cand, pool = pooled(t, cfg)
+def reranked(t: Tables, cfg: K.SdmConfig, cand=None):
+    cand, pool = pooled(t, cfg, cand)
     fused = K.fuse(pool, K.weights_frame(t.spark, K.default_weights(cfg)))
     return K.rerank(cand, fused)
 
@@ -177,6 +178,15 @@ def k16_rerank_soft_eval(t: Tables):
     return M.summary(reranked(t, SOFT), t.qrels)
 
 
+@register("k16_rerank_maxpsg_eval", O.with_base(
+    O.EXPANSION, *PSG_RUN, f"cand AS (SELECT qid, doc_id, rank FROM ({F1_SQL}) WHERE rank <= {CAND_K})",
+    *O.sdm_ctes("cand", N_PSG), _weights_sql(EXACT), f"rr AS ({_rerank_sql(EXACT)})", final=O.summary_sql("rr")))
+def k16_rerank_maxpsg_eval(t: Tables):
+    """F1 + F4 + K16: the first 200 documents of the best-passage run, reranked and evaluated."""
+    cand = K.candidates(RU.max_passage_run(psg_run(t), 3), CAND_K)
+    return M.summary(reranked(t, EXACT, cand), t.qrels)
+
+
 @register("k15_fit_weights", None)
 def k15_fit_weights(t: Tables):
     """Fusion weights fitted on triplets (logistic regression on

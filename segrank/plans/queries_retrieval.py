@@ -25,7 +25,7 @@ def bm25_run(t: Tables, n: int | None = BM25_N, k: int = 1000):
 
 
 def psg_run(t: Tables, k: int = 10000):
-    return R.retrieve_passages(t.query_impacts, t.impacts.select("doc_id", "psg", "term", "w"), k)
+    return R.retrieve_passages(t.query_impacts, t.query_term_impacts.select("doc_id", "psg", "term", "w"), k)
 
 
 @register("r2_dot_run", O.with_base(*DOT_RUN, final="SELECT qid, doc_id, rank, score FROM run"))
@@ -100,10 +100,13 @@ def r7_bm25_sweep(t: Tables):
 
 # ------------------------------------------------------------------ runs (F)
 
-@register("f1_maxpsg_run", O.with_base(*PSG_RUN, final="""
+F1_SQL = """
 SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY src_rank) AS INTEGER) AS rank, src_rank, score
 FROM (SELECT qid, doc_id, min(rank) AS src_rank, arg_min(score, rank) AS score FROM psg_run WHERE psg < 3 GROUP BY qid, doc_id)
-QUALIFY rank <= 1000"""))
+QUALIFY rank <= 1000"""
+
+
+@register("f1_maxpsg_run", O.with_base(*PSG_RUN, final=F1_SQL))
 def f1_maxpsg_run(t: Tables):
     """passage run -> document run by best passage among the first 3."""
     return RU.max_passage_run(psg_run(t), 3)
@@ -122,6 +125,21 @@ def f2_maxpsg_sweep(t: Tables):
                                F.round(F.sum("score"), 3).alias("total_score"))
 
 
+F2_NS = (1, 2, 3, 4, 5, 6, 7, 10)
+
+
+def _f2_run_sql(n: int) -> str:
+    return f"""(SELECT qid, doc_id, arg_min(score, rank) AS score, min(rank) AS src_rank FROM psg_run WHERE psg < {n}
+      GROUP BY qid, doc_id QUALIFY row_number() OVER (PARTITION BY qid ORDER BY src_rank) <= 1000)"""
+
+
+@register("f2_sweep_eval", O.with_base(*PSG_RUN, final=" UNION ALL ".join(
+    f"SELECT {n} AS n, * FROM ({O.summary_sql(_f2_run_sql(n), k_rec=100)})" for n in F2_NS)))
+def f2_sweep_eval(t: Tables):
+    """F2 + M1-M3: MRR@10, nDCG@10 and recall@100 of the best-passage run for every n."""
+    return M.summary(RU.max_passage_sweep(psg_run(t), F2_NS), t.qrels, k_recall=100, group=("n",), groups=list(F2_NS))
+
+
 @register("f4_prune200", O.with_base(*BM25, final="SELECT qid, doc_id, rank, score FROM bm25_run WHERE rank <= 200"))
 def f4_prune200(t: Tables):
     """first 200 rows per query of the BM25 run."""
@@ -192,12 +210,29 @@ def m3_recall100(t: Tables):
     return M.summary(bm25_run(t), t.qrels, k_recall=100)
 
 
-@register("m5_ttest", O.with_base(*(DOT_RUN + BM25), final=f"""
+_M5_SQL = f"""
 SELECT n, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(mean_diff, 6) AS mean_diff,
        round(sd_diff, 6) AS sd_diff, round(CASE WHEN sd_diff > 1e-12 THEN mean_diff / (sd_diff / sqrt(n)) END, 6) AS t_stat
 FROM (SELECT count(*) AS n, avg(a.rr) AS mean_a, avg(b.rr) AS mean_b, avg(a.rr - b.rr) AS mean_diff,
              stddev_samp(a.rr - b.rr) AS sd_diff
-      FROM ({O.per_query_sql('run')}) a JOIN ({O.per_query_sql('bm25_run')}) b USING (qid))"""))
+      FROM ({O.per_query_sql('run')}) a JOIN ({O.per_query_sql('bm25_run')}) b USING (qid))"""
+
+
+@register("m5_ttest", O.with_base(*(DOT_RUN + BM25), final=_M5_SQL))
 def m5_ttest(t: Tables):
     """M5: paired t statistic, dot-product run vs BM25 run on RR@10."""
     return M.paired_t(M.per_query(flagship_run(t), t.qrels), M.per_query(bm25_run(t), t.qrels))
+
+
+@register("m5_pvalue", O.with_base(
+    *(DOT_RUN + BM25), f"m5 AS ({_M5_SQL})",
+    "m5t AS (SELECT n, t_stat, n - 1 AS v, atan(abs(t_stat) / sqrt(n - 1)) AS th, CAST(n - 1 AS DOUBLE) / (n - 1 + t_stat * t_stat) AS c2 FROM m5)",
+    """m5k AS (SELECT exp(sum(ln(CASE WHEN v % 2 = 0 THEN CAST(2 * k - 1 AS DOUBLE) / (2 * k) ELSE CAST(2 * k AS DOUBLE) / (2 * k + 1) END * c2)) OVER (ORDER BY k)) AS a
+      FROM (SELECT v, c2, unnest(range(1, CASE WHEN v % 2 = 0 THEN v // 2 ELSE (v - 1) // 2 END)) AS k FROM m5t))""",
+    final="""SELECT n, t_stat, round(CASE WHEN v % 2 = 0 THEN 1 - sin(th) * total WHEN v = 1 THEN 1 - 2 * th / pi()
+       ELSE 1 - 2 / pi() * (th + sin(th) * cos(th) * total) END, 6) + 0.0 AS p_value
+FROM (SELECT *, 1 + coalesce((SELECT sum(a) FROM m5k), 0) AS total FROM m5t)"""))
+def m5_pvalue(t: Tables):
+    """M5: paired t statistic and its two-sided p-value, dot-product run vs BM25 run on RR@10."""
+    row = M.paired_t(M.per_query(flagship_run(t), t.qrels), M.per_query(bm25_run(t), t.qrels))
+    return row.select("n", "t_stat", F.round(M.t_pvalue_column(F.col("t_stat"), F.col("n")), 6).alias("p_value"))

@@ -47,3 +47,14 @@ def test_paired_t_and_pvalue(spark):
     assert abs(M.t_pvalue(2.0, 10) - 0.07339) < 1e-4
     same = M.paired_t(a, a).collect()[0]
     assert same.t_stat is None
+
+
+def test_pvalue_column_matches_the_incomplete_beta(spark):
+    from pyspark.sql import functions as F
+    cases = [(t, n) for t in (0.0, 0.3, -1.7, 2.0, 12.5) for n in (2, 3, 4, 5, 11, 12, 200, 201)]
+    rows = spark.createDataFrame(cases + [(None, 5), (None, 1)], "t double, n long").select(
+        "t", "n", M.t_pvalue_column(F.col("t"), F.col("n")).alias("p")).collect()
+    assert len(rows) == len(cases) + 2
+    for r in rows:
+        want = M.t_pvalue(r.t, r.n - 1)
+        assert r.p is None if want is None else abs(r.p - want) < 1e-9, r
