@@ -297,11 +297,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(common * 100 >= (F.size("grams_a") + F.size("grams_b") - common) * PERCENT).select("a", "b"))
 
 
-def may_link(x: str, y: str, lost_x: str, lost_y: str):
-    """Sizes and lost tokens allow a link."""
+def least_size(x):
+    """``least_overlap`` of a column."""
+    return F.ceil(x * F.lit(PERCENT) / F.lit(100.0) - F.lit(1e-9))
+
+
+def may_link(x: str, y: str, met_x: str, met_y: str, boundary: int):
+    """Sizes and prefixes allow a link.  ``met``: how many tokens of a set's 1-prefix are in the 1-prefix of others too.
+
+    Of the common tokens, need - least overlap + 1 at least are in a set's 1-prefix, the first ones in the global order.
+    Both prefixes have the smaller of the two numbers in common; a set's other tokens may be anywhere in the larger set.
+    Only of sets that are both filed under their 1-prefix is this known."""
     x, y = F.col(x), F.col(y)
     need = F.ceil((x + y) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
-    return (x - F.col(lost_x) >= need) & (y - F.col(lost_y) >= need) & (x >= need) & (y >= need)
+    both = need - F.greatest(least_size(x), least_size(y)) + 1
+    filed = F.least(x, y) * 100 >= boundary * PERCENT
+    return (x >= need) & (y >= need) & (~filed | (F.least(met_x, met_y) >= both))
 
 
 def links(docs: DataFrame, tokens: DataFrame, boundary: int) -> DataFrame:
@@ -335,21 +346,18 @@ def links(docs: DataFrame, tokens: DataFrame, boundary: int) -> DataFrame:
     hits = spark.sparkContext.broadcast(bitmap_of(shared, "key"))
     own = docs.mapInArrow(filed(hits), schema).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("at").alias("at"))
     filings = stored(own.join(shared, "key"), "filings")
-    # A node's prefix tokens that no other has are lost to any overlap.  A list's pivot is the member with the least of its
-    # own: what copies were made from has its tokens in common with them.
+    # A list's pivot is the member with the least prefix tokens of its own: what copies were made from has its tokens in
+    # common with them.
     single = F.count(F.when(F.pmod("key", F.lit(2)) == 0, 1))
-    prefix = F.col("size") - F.ceil(F.col("size") * F.lit(PERCENT) / F.lit(100.0) - F.lit(1e-9)) + 1
-    ranked = filings.groupBy("node").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), single.alias("single")).select(
-        "node", (F.col("n") / F.col("size")).alias("common"),
-        F.when(F.col("size") * 100 >= boundary * PERCENT, prefix - F.col("single")).otherwise(F.lit(0)).alias("lost"))
-    # Tokens of the node that others have too and that come before this one; all that can be common before it.
-    before = Window.partitionBy("node").orderBy("at", "key").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = stored(filings.join(ranked, "node").withColumn("before", F.when(
-        F.col("size") * 100 >= boundary * PERCENT, F.count(F.when(F.pmod("key", F.lit(2)) == 0, 1)).over(before)).otherwise(F.col("at"))), "ranked")
+    ranked = filings.groupBy("node").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("n"), single.alias("met")).select(
+        "node", (F.col("n") / F.col("size")).alias("common"), "met")
+    # Tokens of the node's 1-prefix that others have in theirs too, from this one on.
+    onward = Window.partitionBy("node").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = stored(filings.join(ranked, "node").withColumn("onward", single.over(onward)), "ranked")
     forget(filings)
-    pivots = (ranked.groupBy("key").agg(F.max(F.struct("common", "node", "size", "lost")).alias("best"))
+    pivots = (ranked.groupBy("key").agg(F.max(F.struct("common", "node", "size", "met")).alias("best"))
               .select("key", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"),
-                      F.col("best.lost").alias("pivot_lost"), F.col("best.common").alias("worth")))
+                      F.col("best.met").alias("pivot_met"), F.col("best.common").alias("worth")))
     members = stored(ranked.join(stored(pivots, "pivots"), "key"), "members")
     forget(ranked)
 
@@ -366,7 +374,7 @@ def links(docs: DataFrame, tokens: DataFrame, boundary: int) -> DataFrame:
     outlines = stored(docs.mapInArrow(draw, "node long, size long, bits binary").groupBy("node").agg(
         F.first("size").alias("size"), F.first("bits").alias("bits")), "outlines")
 
-    stars = (members.where("node <> pivot").where(may_link("size", "pivot_size", "lost", "pivot_lost"))
+    stars = (members.where("node <> pivot").where(may_link("size", "pivot_size", "met", "pivot_met", boundary))
              .groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("worth").alias("worth")))
     stars = stored(sifted(stars, outlines).join(stars, ["a", "b"]), "stars")
     sets = stored(sets_in(docs, ends_of(stars)), "sets")
@@ -386,17 +394,17 @@ def links(docs: DataFrame, tokens: DataFrame, boundary: int) -> DataFrame:
         found = stored(found.unionByName(more), "links")
         labels = components(found)
 
-    # Members of a list that are still in different components meet each other, the pivot apart: all have met it.
+    # Members of a list that are still in different components meet each other, the pivot apart: all have met it.  It is
+    # enough that a pair that links meets at its first common key, where all that both prefixes have in common is yet to come.
     placed = members.where("node <> pivot").join(labels, "node", "left").select(
-        "key", "node", "size", "at", "before", "lost", F.coalesce("comp", "node").alias("comp"))
+        "key", "node", "size", "at", "onward", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     open_lists = stored(placed.join(mixed, "key"), "open-lists")
-    x = open_lists.select("key", *(F.col(c).alias(c + "_x") for c in ("node", "size", "at", "before", "lost", "comp")))
-    y = open_lists.select("key", *(F.col(c).alias(c + "_y") for c in ("node", "size", "at", "before", "lost", "comp")))
-    most = (F.least("before_x", "before_y") + 1 + F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) - 1)
+    x = open_lists.select("key", *(F.col(c).alias(c + "_x") for c in ("node", "size", "at", "onward", "comp")))
+    y = open_lists.select("key", *(F.col(c).alias(c + "_y") for c in ("node", "size", "at", "onward", "comp")))
     need = F.ceil((F.col("size_x") + F.col("size_y")) * F.lit(PERCENT) / F.lit(100.0 + PERCENT) - F.lit(1e-9))
     third = (x.join(y, "key").where("node_x < node_y").where(F.col("comp_x") != F.col("comp_y"))
-             .where(may_link("size_x", "size_y", "lost_x", "lost_y")).where(most >= need)
+             .where(may_link("size_x", "size_y", "onward_x", "onward_y", boundary))
              .where((F.col("at_x") <= F.col("size_x") - need) & (F.col("at_y") <= F.col("size_y") - need))
              .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     third = stored(sifted(third, outlines).join(second.unionByName(first), ["a", "b"], "left_anti"), "pairs")

@@ -97,6 +97,48 @@ def test_near_copies_at_any_boundary(spark, texts, monkeypatch, boundary):
     same(ngram_join.near_copies(docs), sql_rows(ngram_join.SQL, documents=docs))
 
 
+def brute_components(sets):
+    low = list(range(len(sets)))
+    again = True
+    while again:
+        again = False
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets):
+                n = len(x & y)
+                if low[b] < low[a] and 100 * n >= 80 * (len(x) + len(y) - n):
+                    low[a], again = low[b], True
+    return low
+
+
+def longer_copies():
+    """A base that is there in three forms of the same set, and copies of it with a tail, or with words in one place: all
+    tokens of the base are frequent, those of the copies rare, so that the copies' own come first in their prefixes."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("bcdfghjklm") for _ in range(9))
+    out = []
+    for size in (8, 17, 28, 44, 70, 100, 120):
+        base = [word() for _ in range(size + 4)]
+        out += [" ".join(base), "  ".join(base), " ".join(base).upper()]
+        for j in (0.80, 0.83, 0.87, 0.91, 0.95):
+            more = int(size / j + 1e-9) - size
+            if more:
+                out += [" ".join(base + [word() for _ in range(more)]), " ".join([word() for _ in range(more)] + base)]
+            if more > 4:
+                out.append(" ".join(base[:9] + [word() for _ in range(more - 4)] + base[9:]))
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("boundary", ngram_join.BOUNDARIES)
+def test_near_copies_with_added_tails(spark, monkeypatch, boundary):
+    monkeypatch.setattr(ngram_join, "boundary_of", lambda *a: boundary)
+    texts = longer_copies()
+    words = [t.lower().split() for t in texts]
+    want = brute_components([{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in words])
+    got = {r.doc_id: r.component_id for r in ngram_join.near_copies(table(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 def brute_repeats(rows):
     first = {}
     for k, t in sorted(rows):
