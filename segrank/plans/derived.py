@@ -169,6 +169,12 @@ class Tables:
         """``expansion(src_term, term, s)``: identity (s = 1) for every term,
         plus for terms with 3 <= df <= N/10 the top-5 neighbours by Dice
         coefficient of co-occurrence within 2 positions in a passage."""
+        return vectors.expansion_from_passages(self.passages, self.passage_tf, self.term_df, self.n_docs,
+                                               top=5, min_df=3, max_df_share=10)
+
+    @cached_property
+    def whole_expansion(self) -> DataFrame:
+        """``expansion`` with all neighbours of all terms."""
         return vectors.expansion_from_passages(self.passages, self.passage_tf, self.term_df, self.n_docs)
 
     def doc_vectors(self, mode: str, n: int | None) -> DataFrame:

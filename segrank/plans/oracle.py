@@ -155,6 +155,12 @@ expansion AS MATERIALIZED (
     WHERE x.src_term IN (SELECT term FROM term_df WHERE df >= 3 AND 10 * df <= (SELECT count(*) FROM corpus)))
   WHERE rn <= 5)"""
 
+WHOLE_EXPANSION = EXPANSION[:EXPANSION.index("expansion AS")] + """expansion AS MATERIALIZED (
+  SELECT term AS src_term, term, 1.0::DOUBLE AS s FROM term_df
+  UNION ALL
+  SELECT x.src_term, x.term, CAST(2 * x.c AS DOUBLE) / (ca.cf + cb.cf) AS s
+  FROM _cooc x JOIN _cf ca ON ca.term = x.src_term JOIN _cf cb ON cb.term = x.term)"""
+
 
 def quant(expr: str) -> str:
     return f"CAST(trunc(CAST({expr} AS FLOAT) * CAST(100 AS FLOAT)) AS INTEGER)"

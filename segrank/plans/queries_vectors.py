@@ -86,6 +86,14 @@ def e4_expansion(t: Tables):
     return V.expansion_encoder(t.tokens, PK, t.expansion)
 
 
+@register("e4_expansion_whole", O.with_base(O.WHOLE_EXPANSION, final=f"""
+SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
+FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) WHERE w <> 0"""))
+def e4_expansion_whole(t: Tables):
+    """E4 with all neighbours of all terms."""
+    return V.expansion_encoder(t.tokens, PK, t.whole_expansion)
+
+
 @register("e8_gated_expansion", O.with_base(EXPANSION, final=f"""
 SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
 FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) x

@@ -71,6 +71,17 @@ def test_dots_and_vocab_index(spark):
     assert idx == {"alpha": 0, "bravo": 1, "charlie": 2, "delta": 3, "echo": 4}
 
 
+def test_expansion_defaults_leave_nothing_out(spark):
+    from segrank.operators import segment as T
+    docs = spark.createDataFrame([(str(k), f"hub t{k} hub rare{k}") for k in range(8)], "doc_id string, text string")
+    ps = T.split_passages(docs, 60).withColumn("n_psg", F.lit(1))
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    got = V.expansion_from_passages(ps, V.passage_term_counts(ps, ["doc_id", "psg"]), V.doc_frequencies(docs), n).collect()
+    near = {(r.src_term, r.term) for r in got if r.src_term != r.term}
+    pairs = [("hub", f"{x}{k}") for x in ("t", "rare") for k in range(8)] + [(f"t{k}", f"rare{k}") for k in range(8)]
+    assert near == {*pairs, *((b, a) for a, b in pairs)}
+
+
 def test_expansion_in_row_equals_self_join(spark):
     from segrank.operators import segment as T
     docs = spark.createDataFrame([("1", "a b c a b. c d a."), ("2", "b a d d. a c."), ("3", "c a b"),
