@@ -4,7 +4,11 @@ A page is cut into leaf blocks, the runs of text between block-level tags.  Each
 class and id words) and of its text (length, link share, closing mark, digits, likeness to the title).  The field
 is trained on labelled pages by gradient of its log-likelihood (forward-backward) and decoded by Viterbi.
 Labelled pages are the layouts below, whose blocks are marked by hand, and a bounded sample of the given pages whose
-semantic tags leave no doubt.
+semantic tags leave no doubt; each is also learnt with the tags that name the content taken for plain ones, so that the
+field does not rest on them.
+
+Only script, style, textarea and title swallow what they hold; all other elements, self-closed or never closed, are
+ancestors of their text, but the words of buttons and selections are never text.
 
 Defined cases: a null or empty html, and a page without content, give an empty text; broken markup is read as browsers
 do (unknown end tags ignored, open ones closed); rows that repeat a page_id give a row each; an empty table gives an
@@ -31,11 +35,13 @@ LEAST_STEPS = 60_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|template|noscript|iframe|svg|math|object|textarea|select|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(.*?)(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(.*?)(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S | re.I)
-MARKS = re.compile(r"(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARKS = re.compile(r"(?<![\w-])(class|id|role|data-main)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr br input button".split())
+                   "small span strike strong sub sup time tt u var wbr br input button select option optgroup datalist svg math object".split())
+FOREIGN = frozenset(("svg", "math"))                        # what they hold is inline, and may be closed by its own tag
+CONTROLS = frozenset(("button", "select", "datalist"))      # their words belong to a form wherever they stand
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header "
                      "hr main menu nav ol p pre section table ul".split())
@@ -71,6 +77,8 @@ def leaf_blocks(page: str) -> tuple[list[Block], str]:
     for m in TOKEN.finditer(page):
         text = m[6]
         if text is not None:
+            if any(t in CONTROLS for t, _, _ in stack):
+                continue
             text = entities.unescape(text)
             pieces.append(text)
             if any(t == "a" for t, _, _ in stack):
@@ -86,13 +94,16 @@ def leaf_blocks(page: str) -> tuple[list[Block], str]:
         if m[3]:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if at is not None:
-                if any(t not in INLINE for t, _, _ in stack[at:]):
+                if any(t not in INLINE for t, _, _ in stack[at:]) and not any(t in FOREIGN for t, _, _ in stack[:at]):
                     flush()
                 del stack[at:]
             elif tag == "p":
                 flush()
             continue
-        if tag not in INLINE:
+        foreign = tag in FOREIGN or any(t in FOREIGN for t, _, _ in stack)
+        if foreign and m[5] and m[5].rstrip().endswith("/"):
+            continue
+        if tag not in INLINE and not foreign:
             flush()
             drop = ("p",) if tag in CLOSES_P else CLOSES_SELF.get(tag, ())
             if drop:
@@ -104,7 +115,7 @@ def leaf_blocks(page: str) -> tuple[list[Block], str]:
                         break
         elif tag == "br":
             pieces.append(" ")
-        if tag not in VOID:
+        if tag not in VOID or foreign:
             words: list[str] = []
             main = False
             if m[5]:
@@ -121,7 +132,7 @@ def leaf_blocks(page: str) -> tuple[list[Block], str]:
 
 def features(blocks: list[Block], title: str) -> list[list[str]]:
     out = []
-    for k, b in enumerate(blocks):
+    for b in blocks:
         n = len(b.text)
         own = ["bias", f"tag:{b.path[-1] if b.path else ''}", f"len:{min(4, int(math.log2(n + 1)) // 2)}",
                f"link:{0 if b.link == 0 else 1 + min(3, int(b.link * 4))}", "end:" + ("mark" if b.text[-1] in ".!?:;\"”»…" else "none")]
@@ -133,10 +144,6 @@ def features(blocks: list[Block], title: str) -> list[list[str]]:
             own.append("digits")
         if "©" in b.text or "|" in b.text or "·" in b.text:
             own.append("sign")
-        if k == 0:
-            own.append("first")
-        if k == len(blocks) - 1:
-            own.append("last")
         out.append(own)
     return out
 
@@ -258,6 +265,21 @@ LAYOUTS = (
     HEAD + '<nav>' + MENU + '</nav><div class="{n}">{s}</div><article>' + BODY + '<section id="{c}"><div class="{d}">{s}</div><div class="{d}">{p}</div></section></article>' + FOOT,
     HEAD + MENU + "<h1 data-main>{t}</h1><p data-main>{p}</p><p data-main>{p}</p>" + COMMENTS + FOOT,
     HEAD + '<nav>' + MENU + '</nav><div class="{a}">{s}</div><div role="main">' + BODY + '</div><div class="related"><h3>{w}</h3><ul><li><a href="/">{h}</a></li><li><a href="/">{h}</a></li></ul></div>' + FOOT,
+    # no semantic tags, and names that say nothing
+    HEAD + '<div class="{x}">' + BODY + "</div></body></html>",
+    HEAD + '<div class="{x}"><h1 data-main>{t}</h1><p data-main>{p}</p><p data-main>{p}</p></div>',
+    HEAD + '<div class="{x}"><a href="/">{w}</a> <a href="/">{w}</a> <a href="/">{w}</a></div><div class="{x}">' + RICH + '</div><div class="{x}">&copy; {w} {w}</div>',
+    HEAD + '<table><tr><td><a href="/">{w}</a><br><a href="/">{w}</a></td><td><h2 data-main>{t}</h2><p data-main>{p}</p><p data-main>{s}</p></td></tr></table>',
+    HEAD + '<div id="{x}">' + MENU + '</div><div id="{x}"><div class="{x}"><h1 data-main>{t}</h1><div data-main>{p}</div><div data-main>{p}</div></div></div>'
+    + '<div id="{x}"><a href="/">{w}</a> | <a href="/">{w}</a></div>',
+    HEAD + "<article><p data-main>{p}</p><p data-main>{s}</p><p data-main>{p}</p></article>",
+    HEAD + "<p data-main>{p}</p><p data-main>{s}</p>",
+    HEAD + '<div class="{x}"><p data-main>{s}</p><p data-main>{p}</p></div>',
+    HEAD + '<div class="{x}"><a href="/">{w}</a> <a href="/">{w}</a></div><div class="{x}"><h1 data-main>{t}</h1><p data-main>{s}</p><p data-main>{p}</p>'
+    + '<p data-main>{s}</p></div><div class="{x}">&copy; {w} {w}</div>',
+    HEAD + '<table><tr><td><a href="/">{w}</a></td><td><h1 data-main>{t}</h1><p data-main>{s}</p><p data-main>{s}</p></td></tr></table>',
+    HEAD + '<div class="{x}"><h1 data-main>{t}</h1><p data-main>{s}</p><p data-main>{s}</p></div>' + NOTICE,
+    HEAD + '<h1 data-main>{t}</h1><p data-main>{p}</p><noscript><p data-main>{s}</p></noscript><p data-main>{p} <math><mi>x</mi></math></p><p data-main>{s}</p>' + FOOT,
 )
 FILL = {"c": ("comments", "comment list", "reader comments", "discussion", "responses", "disqus thread"),
         "d": ("comment", "comment body", "reply", "response"), "n": ("cookie notice", "cookie banner", "notice", "banner", "consent", "popup", "modal", "alert", "newsletter"),
@@ -274,6 +296,8 @@ def layout_pages(copies: int = 12) -> list[str]:
     def fill(name: str) -> str:
         if name in FILL:
             return r.choice(FILL[name])
+        if name == "x":
+            return words(1, 2).lower()
         if name == "w":
             return words(1, 1).capitalize()
         if name == "h":
@@ -292,9 +316,14 @@ def layout_pages(copies: int = 12) -> list[str]:
 AWAY = frozenset("nav footer header aside form menu dialog".split())
 
 
-def labelled(page: str, marked: bool, short: random.Random | None = None) -> tuple[list[list[str]], list[int]] | None:
+NAMES = frozenset("article main section".split())
+
+
+def labelled(page: str, marked: bool, short: random.Random | None = None, plain: str | None = None) -> tuple[list[list[str]], list[int]] | None:
     """Features and labels of a page: marked blocks, or those in a page's one article but outside what is never content.
-    With ``short``, half of the content blocks are cut to a word or two, as content need not be long."""
+    With ``short``, half of the content blocks are cut to a word or two, as content need not be long; with ``plain``,
+    the tags in NAMES are taken for that one ("": for none), the words of content blocks' classes are left out, and
+    pages whose title has an odd length lose their first content block, so that content need not open with a headline."""
     blocks, title = leaf_blocks(page)
     if marked:
         labels = [int(b.main) for b in blocks]
@@ -302,6 +331,13 @@ def labelled(page: str, marked: bool, short: random.Random | None = None) -> tup
         if not any("article" in b.path for b in blocks) or any(b.words for b in blocks if "article" in b.path):
             return None
         labels = [int("article" in b.path and not AWAY & set(b.path)) for b in blocks]
+    if plain is not None:
+        for b, y in zip(blocks, labels):
+            b.path = [x for x in (plain if t in NAMES else t for t in b.path) if x]
+            b.words = [] if y else b.words
+        headline = labels.index(1) if 1 in labels else 0
+        if blocks and len(title) % 2 and sum(labels) > 1:       # half of the pages: no headline opens the content
+            del blocks[headline], labels[headline]
     if short:
         for b, y in zip(blocks, labels):
             if y and short.random() < 0.5:
@@ -318,7 +354,8 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     own = sorted(r["html"] for r in rows)
     cut = random.Random(1)
     known = [(p, True) for p in layout_pages()] + [(p, False) for p in own]
-    return Field().train([x for p, marked in known for short in (None, cut) if (x := labelled(p, marked, short))])
+    ways = ((None, None), (cut, None), (None, "div"), (None, ""))
+    return Field().train([x for p, marked in known for short, plain in ways if (x := labelled(p, marked, short, plain))])
 
 
 def extract(pages: DataFrame, field: Field) -> DataFrame:
