@@ -40,7 +40,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from segrank.session import get_session
-    spark = get_session(f"local[{cpus}]", int(cpus) * 2, app_name="segrank-bench")
+    spark = get_session(f"local[{cpus}]", int(cpus) * 2, app_name="segrank-bench", read_partitions=int(cpus))
     from segrank.plans.catalog import build_all
     qs = build_all()
     names = [n for n in HEADLINE if n in qs]

@@ -22,8 +22,8 @@ def eval_rank(run: DataFrame, group: tuple = ()) -> DataFrame:
 def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10,
               k_recall: int = 1000, group: tuple = (), groups: list | None = None) -> DataFrame:
     """M4: ``(group..., qid, rr, ndcg, recall)`` for every judged query (and
-    every run id in ``groups`` for the single ``group`` column, e.g. a
-    configuration id: several runs are evaluated in one job)."""
+    every run id in ``groups``, values of the ``group`` column or tuples of
+    several columns: several runs are evaluated in one job)."""
     kmax = max(k_rr, k_ndcg, k_recall)
     group = tuple(group)
     rel = qrels.filter(F.col("rel") > 0).select("qid", "doc_id", "rel")
@@ -41,9 +41,10 @@ def per_query(run: DataFrame, qrels: DataFrame, k_rr: int = 10, k_ndcg: int = 10
                  F.count(F.lit(1)).alias("n_rel")))
     if group:
         # every judged query once per run id: an explode of the (few) ids
-        if len(group) != 1 or groups is None:
-            raise ValueError("grouped evaluation takes one group column and the list of its values")
-        ideal = ideal.select("*", F.explode(F.array(*[F.lit(g) for g in groups])).alias(group[0]))
+        if groups is None:
+            raise ValueError("grouped evaluation takes the list of the group columns' values")
+        ids = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(g if isinstance(g, tuple) else (g,), group)]) for g in groups])
+        ideal = ideal.select("*", F.inline(ids))
     out = ideal.join(got, [*group, "qid"], "left")
     return out.select(
         *group, "qid",

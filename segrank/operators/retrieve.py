@@ -1,24 +1,26 @@
-"""Retrieval over sparse impacts and BM25 family.
-
-Plan shape for every scorer: the query side is small and bounded by the
-query set, so it is broadcast after a size check; postings are streamed
-once through a broadcast hash join (only query-term postings survive),
-partially aggregated per (query, document) before the shuffle, and the
-top-k cut runs as a window group limit (partial top-k before the final
-shuffle on the query id).
+"""Retrieval over stored postings and the BM25 family.
+
+Every scorer meets the bucketed postings (``operators.postings``) once: the query side carries the terms' counts from the
+lexicon and is broadcast if its counted rows are few, otherwise dealt by (term, slice), which the postings already are.
+Scores are summed per (query, document) with partial aggregation, and the top-k cut runs as a window group limit (partial
+top-k before the final exchange).
+
+The first-n-passages variants (R7) are columns, not rows: a posting knows the tf of each passage, the lexicon the df for
+every n, and a document its running lengths, so one row yields the scores for all n, and nothing is multiplied by n before
+the aggregation.  ``ns`` lists the variants; None stands for whole documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrank.functions.numeric import r6
-from segrank.plans.util import broadcast_if_small
-
-QUERY_SIDE_MAX_ROWS = 5_000_000
+from segrank.operators.postings import total_tf, with_lexicon
+from segrank.plans.util import small
 
 # fixed values (parameters of the lexical runs)
 BM25_K1 = 0.9
@@ -30,7 +32,20 @@ SDM_WEIGHTS = (0.85, 0.15, 0.05)  # term, ordered, unordered
 SDM_WINDOW = 8
 
 
-def top_k(scored: DataFrame, k: int, key: str = "qid", item: str = "doc_id",
+
+@dataclass(frozen=True)
+class Collection:
+    """Documents, their summed length, and the summed length of their first n = 1.. passages."""
+    n_docs: int
+    total: int
+    totals: tuple[int, ...]
+
+    def avgdl(self, n: int | None) -> float:
+        total = self.total if n is None else self.totals[n - 1]
+        return total / self.n_docs if self.n_docs else 0.0
+
+
+def top_k(scored: DataFrame, k: int, key: str | list[str] = "qid", item: str = "doc_id",
           score: str = "score") -> DataFrame:
     """Top ``k`` per query by ``score desc, item asc`` with a dense rank column."""
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(item).asc())
@@ -51,29 +66,81 @@ def impact_index(doc_impacts: DataFrame, path: str | None = None, buckets: int =
     return spark.table(name)
 
 
-def dot_scores(query_vec: DataFrame, doc_vec: DataFrame, doc_keys=("doc_id",),
-               bounded: bool | None = None) -> DataFrame:
+def dot_scores(query_vec: DataFrame, doc_vec: DataFrame, doc_keys=("doc_id",)) -> DataFrame:
     """Sum of ``qw * w`` over shared terms for every (query, doc) pair."""
-    q = broadcast_if_small(query_vec.select("qid", "term", "qw"), QUERY_SIDE_MAX_ROWS, bounded)
-    joined = doc_vec.select(*doc_keys, "term", "w").join(q, "term")
+    joined = doc_vec.select(*doc_keys, "term", "w").join(query_vec.select("qid", "term", "qw"), "term")
     return joined.groupBy("qid", *doc_keys).agg(r6(F.sum(F.col("qw") * F.col("w"))).alias("score"))
 
 
-def retrieve(query_vec: DataFrame, doc_vec: DataFrame, k: int = 1000,
-             bounded: bool | None = None) -> DataFrame:
+def retrieve(query_vec: DataFrame, doc_vec: DataFrame, k: int = 1000) -> DataFrame:
     """R2: top-k documents by dot product -> run ``(qid, doc_id, rank, score)``."""
-    return top_k(dot_scores(query_vec, doc_vec, bounded=bounded), k).select("qid", "doc_id", "rank", "score")
+    return top_k(dot_scores(query_vec, doc_vec), k).select("qid", "doc_id", "rank", "score")
 
 
-def retrieve_passages(query_vec: DataFrame, psg_vec: DataFrame, k: int = 10000,
-                      bounded: bool | None = None) -> DataFrame:
-    """Top-k passages -> ``(qid, doc_id, psg, rank, score)``."""
-    s = dot_scores(query_vec, psg_vec, ("doc_id", "psg"), bounded)
+def top_passages(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc(), F.col("psg").asc())
-    return s.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k) \
+    return scores.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k) \
         .select("qid", "doc_id", "psg", "rank", "score")
 
 
+def retrieve_passages(query_vec: DataFrame, psg_vec: DataFrame, k: int = 10000) -> DataFrame:
+    """Top-k passages -> ``(qid, doc_id, psg, rank, score)``."""
+    return top_passages(dot_scores(query_vec, psg_vec, ("doc_id", "psg")), k)
+
+
+# ------------------------------------------------------ dot products on postings
+
+def _match(postings: DataFrame, query_side: DataFrame) -> DataFrame:
+    """Postings of the query terms, with the query's columns."""
+    return postings.join(small(query_side), ["term", "slice"])
+
+
+def retrieve_first(postings: DataFrame, query_vec: DataFrame, lexicon: DataFrame, weight, n: int | None, k: int = 1000) -> DataFrame:
+    """R2 on postings: documents by the dot product with the maximum of their first ``n`` passages' weights.  ``weight``
+    maps (tf, df) to a passage weight that grows with tf, so a document's maximum is that of its largest tf and is
+    found in the posting: one exchange, of (query, document) sums."""
+    q = with_lexicon(query_vec.select("qid", "term", "qw"), lexicon).drop("df", "dfs")
+    hits = F.col("hits") if n is None else F.filter("hits", lambda h: h["psg"] < n)
+    largest = F.array_max(F.transform(hits, lambda h: h["tf"]))
+    m = _match(postings, q).withColumn("tf", largest).where("tf IS NOT NULL")
+    m = m.withColumn("w", F.greatest(weight(F.col("tf"), F.col("df")), F.lit(0))).where("w <> 0")
+    s = m.groupBy("qid", "doc_id").agg(r6(F.sum(F.col("qw") * F.col("w").cast("double"))).alias("score"))
+    return top_k(s, k).select("qid", "doc_id", "rank", "score")
+
+
+def retrieve_passages_first(postings: DataFrame, query_vec: DataFrame, lexicon: DataFrame, weight, k: int = 10000) -> DataFrame:
+    """R3 on postings: every hit of a posting is a passage."""
+    q = with_lexicon(query_vec.select("qid", "term", "qw"), lexicon).drop("df", "dfs")
+    m = _match(postings, q).select("qid", "doc_id", "qw", "df", F.inline("hits"))
+    m = m.withColumn("w", weight(F.col("tf"), F.col("df"))).where("w <> 0")
+    s = m.groupBy("qid", "doc_id", "psg").agg(r6(F.sum(F.col("qw") * F.col("w"))).alias("score"))
+    return top_passages(s, k)
+
+
+def vector_sweep(postings: DataFrame, query_vec: DataFrame, lexicon: DataFrame, weight, ns: list[int], k: int = 1000) -> DataFrame:
+    """A7 as the jobs run it: documents retrieved by the max, sum and mean of their first n passages' weights, for all
+    ``ns`` in one pass -> ``(mode, n, qid, doc_id, rank, score)``.  The state of a posting, the running maximum and sum of its
+    passages' weights, is advanced hit by hit; what is exchanged is one row of sums per (query, document)."""
+    q = with_lexicon(query_vec.select("qid", "term", "qw"), lexicon).drop("df", "dfs")
+    m = _match(postings, q).withColumn("ws", F.transform("hits", lambda h: F.struct(
+        h["psg"].alias("psg"), weight(h["tf"], F.col("df")).cast("double").alias("w"))))
+    sums = {}
+    first = lambda n: F.transform(F.filter("ws", lambda h: h["psg"] < n), lambda h: h["w"])
+    for n in ns:
+        mine = first(n)
+        total = F.aggregate(mine, F.lit(0.0), lambda a, x: a + x)
+        sums["max", n] = F.when(F.size(mine) > 0, F.greatest(F.array_max(mine), F.lit(0.0)))
+        sums["sum", n] = F.when(F.size(mine) > 0, total)
+        sums["mean", n] = F.when(F.size(mine) > 0, total / F.least(F.lit(n), F.col("n_psg")))
+    names = {key: f"{key[0]}_{key[1]}" for key in sums}
+    s = m.select("qid", "doc_id", "qw", *[v.alias(names[key]) for key, v in sums.items()]) \
+        .groupBy("qid", "doc_id").agg(*[F.sum(F.col("qw") * F.col(c)).alias(c) for c in names.values()])
+    rows = s.select("qid", "doc_id", F.explode(F.array(*[
+        F.struct(F.lit(mode).alias("mode"), F.lit(n).alias("n"), r6(F.col(c)).alias("score")) for (mode, n), c in names.items()])).alias("x")) \
+        .select("x.mode", "x.n", "qid", "doc_id", "x.score").where("score IS NOT NULL")
+    return top_k(rows, k, ["mode", "n", "qid"]).select("mode", "n", "qid", "doc_id", "rank", "score")
+
+
 # ---------------------------------------------------------------- BM25 family
 
 def _bm25_term(tf: Column, df: Column, dl: Column, n_docs: Column, avgdl: Column,
@@ -83,47 +150,43 @@ def _bm25_term(tf: Column, df: Column, dl: Column, n_docs: Column, avgdl: Column
     return idf * tf / (tf + norm)
 
 
-def collection_stats(docs: DataFrame) -> DataFrame:
-    """One row ``(n_docs, avgdl)`` over every document (empty ones included)."""
-    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-
+def _column(ns: list) -> list[str]:
+    return [f"s{k}" for k in range(len(ns))]
 
-def bm25_unit_scores(units: DataFrame, stats: DataFrame,
-                     k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """BM25 contribution of every matched unit (term or term pair).
 
-    ``units(qid, unit, qweight, doc_id, tf, dl)`` -> ``(qid, doc_id, s)``.
-    The document length travels with every posting (it is known when the
-    document row is exploded), so no join with the document table is
-    needed; df is counted over the matched postings of query units only."""
-    udf_ = units.select("unit", "doc_id").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("df"))
-    u = units.join(udf_, "unit")
-    # collection statistics enter as scalar subqueries
-    s = F.col("qweight") * _bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"),
-                                      F.col("dl").cast("double"), stats.select("n_docs").scalar().cast("double"),
-                                      stats.select("avgdl").scalar(), k1, b)
-    return u.select("qid", "doc_id", s.alias("s"))
+def _with_lengths(rows: DataFrame, lengths: DataFrame, ns: list) -> DataFrame:
+    """The documents' running lengths, needed for first-n variants only."""
+    return rows if ns == [None] else rows.join(lengths.select("doc_id", "dls"), "doc_id")
 
 
-def _query_term_postings(doc_tokens: DataFrame, qterms: DataFrame, bounded: bool | None = None) -> DataFrame:
-    terms = broadcast_if_small(qterms.select("term").distinct(), QUERY_SIDE_MAX_ROWS, bounded)
-    return doc_tokens.join(terms, "term", "left_semi")
+def _dl(n: int | None) -> Column:
+    return F.col("dl") if n is None else F.col("dls")[n - 1]
 
 
-def bm25_term_units(doc_tokens: DataFrame, query_weights: DataFrame,
-                    bounded: bool | None = None) -> DataFrame:
-    """Unigram units: ``query_weights(qid, term, qweight)`` x tf."""
-    post = _query_term_postings(doc_tokens, query_weights, bounded)
-    tf = post.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    q = broadcast_if_small(query_weights, QUERY_SIDE_MAX_ROWS, bounded)
-    return tf.join(q, "term").select("qid", F.col("term").alias("unit"), "qweight", "doc_id", "tf", "dl")
+def term_scores(postings: DataFrame, weights: DataFrame, lexicon: DataFrame, lengths: DataFrame, coll: Collection, ns: list,
+                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """``(qid, doc_id, s0, s1, ..)``: the BM25 contribution of every matched term for each variant of ``ns`` (null: none).
+    ``weights(qid, term, ws ARRAY<DOUBLE>)`` has the term's weight for each variant."""
+    m = _with_lengths(_match(postings, with_lexicon(weights, lexicon).drop("df")), lengths, ns)
+    cols = []
+    for i, n in enumerate(ns):
+        tf = F.col("tf") if n is None else total_tf(F.col("hits"), n)
+        df = F.col("df") if n is None else F.col("dfs")[n - 1]
+        s = F.col("ws")[i] * _bm25_term(tf.cast("double"), df.cast("double"), _dl(n).cast("double"),
+                                        F.lit(float(coll.n_docs)), F.lit(coll.avgdl(n)), k1, b)
+        cols.append((s if n is None else F.when(F.col("hits")[0]["psg"] < n, s)).alias(f"s{i}"))
+    return m.select("qid", "doc_id", *cols)
 
 
-def bm25_scores(doc_tokens: DataFrame, docs: DataFrame, query_weights: DataFrame,
-                k1: float = BM25_K1, b: float = BM25_B, bounded: bool | None = None) -> DataFrame:
-    units = bm25_term_units(doc_tokens, query_weights, bounded)
-    return bm25_unit_scores(units, collection_stats(docs), k1, b).groupBy("qid", "doc_id").agg(
-        F.sum("s").alias("score"))
+def ranked(scores: DataFrame, ns: list, k: int) -> DataFrame:
+    """``(n, qid, doc_id, rank, score)`` from rows of contributions; without ``n`` for whole documents alone."""
+    s = scores.groupBy("qid", "doc_id").agg(*[r6(F.sum(c)).alias(c) for c in _column(ns)])
+    if ns == [None]:
+        return top_k(s.select("qid", "doc_id", F.col("s0").alias("score")), k).select("qid", "doc_id", "rank", "score")
+    rows = s.select("qid", "doc_id", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("n"), F.col(c).alias("score")) for n, c in zip(ns, _column(ns))])).alias("x"))
+    rows = rows.select("x.n", "qid", "doc_id", "x.score").where("score IS NOT NULL")
+    return top_k(rows, k, ["n", "qid"]).select("n", "qid", "doc_id", "rank", "score")
 
 
 def query_term_counts(query_tokens: DataFrame) -> DataFrame:
@@ -131,115 +194,94 @@ def query_term_counts(query_tokens: DataFrame) -> DataFrame:
     return query_tokens.groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("qweight"))
 
 
-def bm25(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int = 1000,
-         k1: float = BM25_K1, b: float = BM25_B, bounded: bool | None = None) -> DataFrame:
-    """BM25 run.  ``doc_tokens(doc_id, pos, term, dl)``, ``docs(doc_id, dl)``,
-    ``query_tokens(qid, pos, term)``."""
-    s = bm25_scores(doc_tokens, docs, query_term_counts(query_tokens), k1, b, bounded)
-    return top_k(s.select("qid", "doc_id", r6(F.col("score")).alias("score")), k) \
-        .select("qid", "doc_id", "rank", "score")
-
-
-def rm3(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int = 1000,
-        fb_docs: int = RM3_FB_DOCS, fb_terms: int = RM3_FB_TERMS,
-        orig_weight: float = RM3_ORIG_WEIGHT, k1: float = BM25_K1, b: float = BM25_B,
-        bounded: bool | None = None) -> DataFrame:
-    """BM25 -> relevance model from the top ``fb_docs`` documents
-    (``P(t|R) ~ sum_d score_d/sum(score) * tf(t,d)/dl(d)``), top ``fb_terms``
-    terms renormalised, interpolated with the query model, BM25 again."""
-    first = bm25(doc_tokens, docs, query_tokens, fb_docs, k1, b, bounded)
-    # fb_docs rows per query: bounded whenever the query set is
-    fb = broadcast_if_small(first.select("qid", "doc_id", "score"), QUERY_SIDE_MAX_ROWS, bounded)
-    fb = fb.withColumn("sn", F.col("score") / F.sum("score").over(Window.partitionBy("qid")))
-    # all terms of the feedback documents (bounded: fb_docs per query)
-    fb_tf = doc_tokens.join(fb.select("doc_id").distinct(), "doc_id", "left_semi") \
-        .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    model = (fb.join(fb_tf, "doc_id")
-             .groupBy("qid", "term").agg(F.round(F.sum(F.col("sn") * F.col("tf") / F.col("dl")), 9).alias("p")))
-    kept = top_k(model, fb_terms, item="term", score="p")
-    kept = kept.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("qid")))
-    qtf = query_term_counts(query_tokens)
-    qm = qtf.withColumn("p", F.col("qweight") / F.sum("qweight").over(Window.partitionBy("qid")))
-    mixed = (qm.select("qid", "term", (F.lit(orig_weight) * F.col("p")).alias("a"))
-             .join(kept.select("qid", "term", (F.lit(1.0 - orig_weight) * F.col("p")).alias("c")),
-                   ["qid", "term"], "full")
-             .select("qid", "term", (F.coalesce("a", F.lit(0.0)) + F.coalesce("c", F.lit(0.0))).alias("qweight")))
-    s = bm25_scores(doc_tokens, docs, mixed, k1, b, bounded)
-    return top_k(s.select("qid", "doc_id", r6(F.col("score")).alias("score")), k) \
-        .select("qid", "doc_id", "rank", "score")
-
-
-def _pair_units(doc_tokens: DataFrame, query_tokens: DataFrame, window: int | None,
-                bounded: bool | None = None) -> DataFrame:
-    """Ordered (``window=None``: adjacent, in order) or unordered (both terms
-    within ``window`` positions, either order) pair counts per document as
-    BM25 units.  The position band is an equi-join on exploded offsets
-    (at most 2*(window-1) per posting), never a per-document cross product."""
-    qt = query_tokens.alias("a").join(query_tokens.alias("b"),
-                                      (F.col("a.qid") == F.col("b.qid")) & (F.col("b.pos") == F.col("a.pos") + 1))
-    pairs = qt.select(F.col("a.qid").alias("qid"), F.col("a.pos").alias("i"),
-                      F.col("a.term").alias("t1"), F.col("b.term").alias("t2"))
-    post = _query_term_postings(doc_tokens, query_tokens, bounded).select("doc_id", "pos", "term", "dl")
-    if window is None:
-        offsets = F.array(F.lit(1))
-    else:
-        offsets = F.array(*[F.lit(d) for d in range(-(window - 1), window) if d != 0])
-    left = post.select("doc_id", "dl", F.col("term").alias("t1"), F.explode(offsets).alias("d"), "pos") \
-        .select("doc_id", "dl", "t1", (F.col("pos") + F.col("d")).alias("pos2"))
-    right = post.select("doc_id", F.col("term").alias("t2"), F.col("pos").alias("pos2"))
-    # distinct term pairs of all queries are small: restrict before the band join
-    tp = broadcast_if_small(pairs.select("t1", "t2").distinct(), QUERY_SIDE_MAX_ROWS, bounded)
-    hits = left.join(tp, "t1").join(right, ["doc_id", "t2", "pos2"])
-    tf = hits.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    unit = F.concat_ws(" ", "t1", "t2")
-    q = broadcast_if_small(pairs.groupBy("qid", "t1", "t2").agg(F.count(F.lit(1)).cast("double").alias("qweight")),
-                           QUERY_SIDE_MAX_ROWS, bounded)
-    return tf.join(q, ["t1", "t2"]).select("qid", unit.alias("unit"), "qweight", "doc_id", "tf", "dl")
-
-
-def sdm_bm25(doc_tokens: DataFrame, docs: DataFrame, query_tokens: DataFrame, k: int = 1000,
-             weights=SDM_WEIGHTS, window: int = SDM_WINDOW,
-             k1: float = BM25_K1, b: float = BM25_B, bounded: bool | None = None) -> DataFrame:
-    """Sequential-dependence BM25: weighted sum of unigram, ordered-pair
-    and unordered-window BM25 scores (weights as given, not renormalised)."""
-    stats = collection_stats(docs)
-    uni = bm25_unit_scores(bm25_term_units(doc_tokens, query_term_counts(query_tokens), bounded), stats, k1, b) \
-        .select("qid", "doc_id", (F.lit(weights[0]) * F.col("s")).alias("s"))
-    od = bm25_unit_scores(_pair_units(doc_tokens, query_tokens, None, bounded), stats, k1, b) \
-        .select("qid", "doc_id", (F.lit(weights[1]) * F.col("s")).alias("s"))
-    uw = bm25_unit_scores(_pair_units(doc_tokens, query_tokens, window, bounded), stats, k1, b) \
-        .select("qid", "doc_id", (F.lit(weights[2]) * F.col("s")).alias("s"))
-    s = uni.unionByName(od).unionByName(uw).groupBy("qid", "doc_id").agg(r6(F.sum("s")).alias("score"))
-    return top_k(s, k).select("qid", "doc_id", "rank", "score")
-
-
-def bm25_sweep(passage_tf: DataFrame, passages: DataFrame, n_docs: DataFrame, query_tokens: DataFrame,
-               max_n: int = 10, k: int = 1000, k1: float = BM25_K1, b: float = BM25_B,
-               bounded: bool | None = None) -> DataFrame:
-    """BM25 over "first n passages" documents for every n in 1..max_n in
-    one pass.  Only query-term postings are kept (broadcast semi join); a
-    passage ``p`` serves every n > p (one explode), so tf, document length,
-    df and avgdl are all grouped by ``n``; the text is tokenised once.
-    ``passage_tf(doc_id, psg, term, tf)``, ``passages(doc_id, psg, n_tok)``,
-    ``n_docs``: one row with the collection size (documents without
-    passages count, with length 0).  Returns ``(n, qid, doc_id, rank, score)``."""
-    qw = query_term_counts(query_tokens)
-    post = _query_term_postings(passage_tf.filter(F.col("psg") < max_n), qw, bounded)
-    seq = F.explode(F.sequence(F.col("psg") + 1, F.lit(max_n))).alias("n")
-    tf = post.select("doc_id", "term", "tf", seq).groupBy("n", "doc_id", "term").agg(F.sum("tf").alias("tf"))
-    dl = (passages.filter(F.col("psg") < max_n).select("doc_id", "n_tok", seq)
-          .groupBy("n", "doc_id").agg(F.sum("n_tok").alias("dl")))
-    nd = n_docs.select("n_docs").scalar()
-    stats = dl.groupBy("n").agg(F.sum("dl").alias("tot")) \
-        .select("n", nd.alias("n_docs"), (F.col("tot").cast("double") / nd).alias("avgdl"))
-    df_ = tf.groupBy("n", "term").agg(F.count(F.lit(1)).alias("df"))
-    q = broadcast_if_small(qw, QUERY_SIDE_MAX_ROWS, bounded)
-    u = (tf.join(dl, ["n", "doc_id"]).join(df_, ["n", "term"]).join(F.broadcast(stats), "n")
-         .join(q, "term"))
-    s = F.col("qweight") * _bm25_term(F.col("tf").cast("double"), F.col("df").cast("double"),
-                                      F.col("dl").cast("double"), F.col("n_docs").cast("double"),
-                                      F.col("avgdl"), k1, b)
-    scored = u.groupBy("n", "qid", "doc_id").agg(r6(F.sum(s)).alias("score"))
-    w = Window.partitionBy("n", "qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(F.col("n").cast("int").alias("n"), "qid", "doc_id", F.col("rank").cast("int").alias("rank"), "score"))
+def same_weights(query_weights: DataFrame, ns: list) -> DataFrame:
+    return query_weights.select("qid", "term", F.array_repeat("qweight", len(ns)).alias("ws"))
+
+
+def bm25(ix, query_tokens: DataFrame, k: int = 1000, ns: list | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """R4, and R7 for ``ns``: BM25 runs.  ``ix`` has ``postings``, ``lexicon``, ``lengths``, ``forward`` and ``collection``."""
+    ns = ns or [None]
+    w = same_weights(query_term_counts(query_tokens), ns)
+    return ranked(term_scores(ix.postings, w, ix.lexicon, ix.lengths, ix.collection, ns, k1, b), ns, k)
+
+
+def rm3(ix, query_tokens: DataFrame, k: int = 1000, ns: list | None = None, fb_docs: int = RM3_FB_DOCS,
+        fb_terms: int = RM3_FB_TERMS, orig_weight: float = RM3_ORIG_WEIGHT, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """R5 (R7 for ``ns``): BM25 -> relevance model from the top ``fb_docs`` documents (``P(t|R) ~ sum_d score_d / sum(score) *
+    tf(t,d) / dl(d)``), top ``fb_terms`` terms renormalised, interpolated with the query model, BM25 again."""
+    ns = ns or [None]
+    one = ns == [None]
+    key = ["qid"] if one else ["n", "qid"]
+    counts = query_term_counts(query_tokens)
+    first = ranked(term_scores(ix.postings, same_weights(counts, ns), ix.lexicon, ix.lengths, ix.collection, ns, k1, b), ns, fb_docs)
+    fb = first.withColumn("sn", F.col("score") / F.sum("score").over(Window.partitionBy(key))).select(*key, "doc_id", "sn")
+    # fb_docs rows a query and variant meet the forward rows; a variant reads the first n passages of the row
+    parts = F.col("psgs") if one else F.slice("psgs", F.lit(1), F.col("n"))
+    fed = (ix.forward.select("doc_id", "psgs").join(small(fb), "doc_id").select(*key, "doc_id", "sn", F.flatten(parts).alias("t"))
+           .select(*key, "doc_id", "sn", F.size("t").alias("dl"), F.explode("t").alias("term")))
+    tf = fed.groupBy(*key, "doc_id", "sn", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    model = tf.groupBy(*key, "term").agg(F.round(F.sum(F.col("sn") * F.col("tf") / F.col("dl")), 9).alias("p"))
+    kept = top_k(model, fb_terms, key, item="term", score="p")
+    kept = kept.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(key)))
+    at = F.lit(0) if one else F.array_position(F.array(*map(F.lit, ns)), F.col("n")).cast("int") - 1
+    fed_weights = kept.select("qid", "term", at.alias("at"), (F.lit(1.0 - orig_weight) * F.col("p")).alias("weight"))
+    own = counts.withColumn("p", F.col("qweight") / F.sum("qweight").over(Window.partitionBy("qid"))) \
+        .select("qid", "term", F.explode(F.sequence(F.lit(0), F.lit(len(ns) - 1))).alias("at"), (F.lit(orig_weight) * F.col("p")).alias("weight"))
+    mixed = own.unionByName(fed_weights).groupBy("qid", "term").agg(
+        F.array(*[F.sum(F.when(F.col("at") == i, F.col("weight"))) for i in range(len(ns))]).alias("ws"))
+    return ranked(term_scores(ix.postings, mixed, ix.lexicon, ix.lengths, ix.collection, ns, k1, b), ns, k)
+
+
+def query_pairs(query_tokens: DataFrame) -> DataFrame:
+    """``(qid, t1, t2, qweight)`` of terms that follow each other in a query."""
+    after = F.lead("term").over(Window.partitionBy("qid").orderBy("pos"))
+    return (query_tokens.select("qid", F.col("term").alias("t1"), after.alias("t2")).where("t2 IS NOT NULL")
+            .groupBy("qid", "t1", "t2").agg(F.count(F.lit(1)).cast("double").alias("qweight")))
+
+
+def pair_counts(forward: DataFrame, pairs: DataFrame, ns: list, window: int = SDM_WINDOW) -> DataFrame:
+    """``(doc_id, dl, t1, t2, od0, uw0, od1, ..)``: how often the terms follow each other, and stand within ``window``
+    positions in either order, for each variant.  Both counts are made from the document's row: each position looks at the
+    ``window - 1`` after it, so there is no self-join of positions, and the pairs are summed before any exchange."""
+    tokens = forward.select("doc_id", "dl", F.flatten(F.transform("psgs", lambda p, k: F.transform(
+        p, lambda t: F.struct(t.alias("term"), k.alias("psg"))))).alias("t"))
+    seen = (tokens.select("doc_id", "dl", F.explode(F.transform("t", lambda x, i: F.struct(
+        x["term"].alias("a"), F.slice(F.col("t"), i + 2, F.lit(window - 1)).alias("after")))).alias("w"))
+            .select("doc_id", "dl", "w.a", F.posexplode("w.after").alias("d", "x"))
+            .select("doc_id", "dl", "a", "d", F.col("x.term").alias("z"), F.col("x.psg").alias("psg")))
+    both = pairs.select("t1", "t2").distinct()
+    wanted = both.select(F.col("t1").alias("a"), F.col("t2").alias("z"), "t1", "t2", F.lit(True).alias("ahead")).unionByName(
+        both.select(F.col("t2").alias("a"), F.col("t1").alias("z"), "t1", "t2", F.lit(False).alias("ahead")))
+    hits = seen.join(small(wanted), ["a", "z"])
+    follows = F.col("ahead") & (F.col("d") == 0)
+    within = lambda n: F.lit(True) if n is None else F.col("psg") < n
+    return hits.groupBy("doc_id", "dl", "t1", "t2").agg(*[c for i, n in enumerate(ns) for c in (
+        F.count(F.when(within(n) & follows, 1)).alias(f"od{i}"), F.count(F.when(within(n), 1)).alias(f"uw{i}"))])
+
+
+def pair_scores(ix, query_tokens: DataFrame, ns: list, ordered: float, unordered: float, window: int,
+                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """``(qid, doc_id, s0, ..)``: weighted BM25 contributions of ordered and unordered query pairs."""
+    pairs = query_pairs(query_tokens)
+    counts = pair_counts(ix.forward, pairs, ns, window)
+    kinds = [f"{kind}{i}" for i in range(len(ns)) for kind in ("od", "uw")]
+    dfs = counts.groupBy("t1", "t2").agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(f"df_{c}") for c in kinds])
+    m = _with_lengths(counts.join(dfs.join(pairs, ["t1", "t2"]), ["t1", "t2"]), ix.lengths, ns)
+    cols = []
+    for i, n in enumerate(ns):
+        both = [F.lit(weight) * F.col("qweight") * _bm25_term(
+            F.col(f"{kind}{i}").cast("double"), F.col(f"df_{kind}{i}").cast("double"), _dl(n).cast("double"),
+            F.lit(float(ix.collection.n_docs)), F.lit(ix.collection.avgdl(n)), k1, b) for kind, weight in (("od", ordered), ("uw", unordered))]
+        od, uw = (F.when(F.col(f"{kind}{i}") > 0, s) for kind, s in zip(("od", "uw"), both))
+        cols.append(F.when(F.col(f"uw{i}") > 0, uw + F.coalesce(od, F.lit(0.0))).alias(f"s{i}"))
+    return m.select("qid", "doc_id", *cols)
+
+
+def sdm_bm25(ix, query_tokens: DataFrame, k: int = 1000, ns: list | None = None, weights=SDM_WEIGHTS, window: int = SDM_WINDOW,
+             k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """R6 (R7 for ``ns``): sequential-dependence BM25: weighted sum of unigram, ordered-pair and unordered-window BM25
+    scores (weights as given, not renormalised)."""
+    ns = ns or [None]
+    uni = term_scores(ix.postings, same_weights(query_term_counts(query_tokens), ns), ix.lexicon, ix.lengths, ix.collection, ns, k1, b)
+    uni = uni.select("qid", "doc_id", *[(F.lit(weights[0]) * F.col(c)).alias(c) for c in _column(ns)])
+    return ranked(uni.unionByName(pair_scores(ix, query_tokens, ns, weights[1], weights[2], window, k1, b)), ns, k)

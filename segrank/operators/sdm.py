@@ -1,21 +1,15 @@
 """Candidate assembly and sequential-dependence reranking.
 
 The reference scores a (query, passage) pair from a match matrix
-``M[i, j] = w_q[i] * logit(doc position j -> query token i)`` with
-tensor shifts.  Weights are >= 0, so only non-zero cells matter and every
-feature is a chain of group-bys over the sparse cell table:
-
-* cells ``(qid, doc_id, psg, i, j, m)``, positions with one zero-weight
-  boundary slot at each end (``q_len = tokens + 2``, ``d_len = tokens + 2``);
-* ordered window n: each cell votes for the diagonal starts ``(i-k, j-k)``,
-  ``k < n``; sum per start (exact: all n cells present), max over j, sum
-  over i;
-* proximity P: each cell votes for anchors ``j-k``, ``k < P``, max;
-* unordered window n: proximity cells vote for starts ``(i-k, b)``; sum,
-  (exact: all n present), max over b, sum over i.
-
-The fan-out per cell is at most ``max(n, P)`` rows - no per-document
-cross product - and everything runs on candidates only.
+``M[i, j] = w_q[i] * logit(doc position j -> query token i)`` with tensor shifts.  Here Spark assembles each candidate
+passage's matrix as a row: the query's side (which document terms reach which of its positions, and how strongly) is
+built once from the expansion table, and the tokens of the candidates' passages are joined with it on (query, term).
+A small numpy function then takes the windows of one matrix:
+
+* cells ``(i, j, m)``, slots with one zero-weight boundary at each end (``q_len = tokens + 2``, ``d_len = tokens + 2``);
+* ordered window n: sum of m along a diagonal of n cells (exact: all n present), max over its start j, sum over i;
+* proximity P: ``p(i, b) = max_{k<P} m(i, b+k)``;
+* unordered window n: sum of n successive p(i, b) (exact: all n present), max over b, sum over i.
 """
 
 from __future__ import annotations
@@ -26,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrank.functions.numeric import log1p_relu, r6
+from segrank.plans.util import small
 
 PAIR = ["qid", "doc_id"]
 CELL_KEYS = ["qid", "doc_id", "psg", "q_len", "d_len"]
@@ -108,102 +103,138 @@ def query_slots(query_tokens: DataFrame, term_weights: DataFrame) -> DataFrame:
                     F.coalesce(F.col("scale"), F.lit(0.0)).alias("wq"), "q_len"))
 
 
-def doc_slots(tokens: DataFrame, docs: DataFrame, n_psg: int) -> DataFrame:
-    """``(doc_id, psg, j, term, d_len)`` for the first ``n_psg`` passages of
-    the candidate documents ``docs(doc_id)``; ``tokens`` carries ``n_tok``."""
-    return (tokens.filter(F.col("psg") < n_psg).join(docs, "doc_id", "left_semi")
-            .select("doc_id", "psg", (F.col("pos") + 1).alias("j"), "term",
-                    (F.col("n_tok") + 2).alias("d_len")))
+def query_expansion(qslots: DataFrame, expansion: DataFrame) -> DataFrame:
+    """K4/K5 from the query's side: ``(qid, q_len, term, cells ARRAY<STRUCT<i, m, same>>)``.  A document token ``term`` matches
+    query position i with ``m = w_q * log1p(relu(s))`` where it expands to that position's term; ``same`` marks equal terms,
+    the exact cells.  Only expansions that end in a query term are read, and a row has at most q_len cells."""
+    q = qslots.filter(F.col("wq") > 0).select("qid", "q_len", "i", F.col("term").alias("to"), "wq")
+    hits = expansion.select("src_term", F.col("term").alias("to"), "s").join(small(q), "to").select(
+        "qid", "q_len", F.col("src_term").alias("term"), F.col("i").cast("int").alias("i"),
+        (F.col("wq") * log1p_relu(F.col("s"))).alias("m"), (F.col("src_term") == F.col("to")).alias("same"))
+    return hits.where("m > 0").groupBy("qid", "q_len", "term").agg(F.collect_list(F.struct("i", "m", "same")).alias("cells"))
 
 
-def match_cells(pairs: DataFrame, qslots: DataFrame, dslots: DataFrame,
-                expansion: DataFrame | None) -> DataFrame:
-    """K4 (soft, ``expansion`` given) / K5 (exact, ``expansion`` None):
-    ``(qid, doc_id, psg, q_len, d_len, i, j, m)`` with ``m > 0``.
+def match_rows(pairs: DataFrame, passage_terms: DataFrame, query_cells: DataFrame, n_psg: int) -> DataFrame:
+    """The match matrix of every candidate passage as one row: ``(qid, doc_id, psg, q_len, d_len, columns
+    ARRAY<STRUCT<j, cells>>)`` for the first ``n_psg`` passages; slots are positions + 1, lengths have the two boundary slots.
+    A passage without a match has no row."""
+    wanted = pairs.select(*PAIR).distinct()
+    psgs = passage_terms.where(F.col("psg") < n_psg).join(wanted, "doc_id")
+    tokens = psgs.select(*PAIR, "psg", (F.size("terms") + 2).alias("d_len"), F.posexplode("terms").alias("pos", "term"))
+    hits = tokens.join(query_cells, ["qid", "term"])
+    return hits.groupBy(*CELL_KEYS).agg(F.collect_list(F.struct((F.col("pos") + 1).alias("j"), "cells")).alias("columns"))
 
-    Soft: doc position j spreads to every term its token expands to, so a
-    cell exists where an expansion target equals the query token; exact:
-    only where the document token equals the query token.  The expansion
-    score is activated as in the expansion encoder (E6)."""
-    cq = pairs.select(*PAIR).distinct().join(qslots.filter(F.col("wq") > 0), "qid")
-    if expansion is None:
-        dx = dslots.withColumn("s", F.lit(1.0))
-    else:
-        e = expansion.select(F.col("src_term").alias("term"), F.col("term").alias("t2"), "s")
-        dx = dslots.join(e, "term").select("doc_id", "psg", "j", F.col("t2").alias("term"), "d_len", "s")
-    cells = cq.join(dx, ["doc_id", "term"])
-    return cells.select("qid", "doc_id", "psg", "q_len", "d_len", "i", "j",
-                        (F.col("wq") * log1p_relu(F.col("s"))).alias("m")).filter(F.col("m") > 0)
 
-
-def exact_cells(soft: DataFrame, qslots: DataFrame, dslots: DataFrame) -> DataFrame:
-    """Exact cells as the subset of soft cells whose tokens are equal."""
-    q = qslots.select("qid", "i", F.col("term").alias("qt"))
-    d = dslots.select("doc_id", "psg", "j", F.col("term").alias("dt"))
-    return soft.join(q, ["qid", "i"]).join(d, ["doc_id", "psg", "j"]) \
-        .filter(F.col("qt") == F.col("dt")).drop("qt", "dt")
+def cells(rows: DataFrame) -> DataFrame:
+    """``(qid, doc_id, psg, q_len, d_len, i, j, m, same)`` of the matrices."""
+    return rows.select(*CELL_KEYS, F.inline("columns")).select(*CELL_KEYS, "j", F.inline("cells"))
 
 
 # --------------------------------------------------------------- features
 
-def _offsets(n: int):
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
+@dataclass(frozen=True)
+class Shape:
+    """Windows, proximity and variant of a feature vector: a configuration without its passage count."""
+    exact: bool
+    windows: tuple
+    proximity: int
 
-def ordered_feature(cells: DataFrame, n: int, exact: bool) -> DataFrame:
-    """K6 (n = 1), K7 (soft), K8 (exact): ``(qid, doc_id, psg, value)``."""
-    if n == 1:
-        best = cells.groupBy(*CELL_KEYS, "i").agg(F.max("m").alias("v"))
-        return best.groupBy("qid", "doc_id", "psg").agg(F.sum("v").alias("value"))
-    x = cells.select(*CELL_KEYS, "i", "j", "m", _offsets(n).alias("k")) \
-        .select(*CELL_KEYS, (F.col("i") - F.col("k")).alias("a"), (F.col("j") - F.col("k")).alias("b"), "m") \
-        .filter((F.col("a") >= 0) & (F.col("a") <= F.col("q_len") - n) &
-                (F.col("b") >= 0) & (F.col("b") <= F.col("d_len") - n))
-    win = x.groupBy(*CELL_KEYS, "a", "b").agg(F.sum("m").alias("v"), F.count(F.lit(1)).alias("c"))
-    if exact:
-        win = win.filter(F.col("c") == n)
-    best = win.groupBy(*CELL_KEYS, "a").agg(F.max("v").alias("v"))
-    return best.groupBy("qid", "doc_id", "psg").agg(F.sum("v").alias("value"))
+    @property
+    def name(self) -> str:
+        return f"{'exact' if self.exact else 'soft'}_w{'-'.join(map(str, self.windows))}_p{self.proximity}"
 
 
-def proximity_cells(cells: DataFrame, p: int) -> DataFrame:
-    """K9: ``p(i, b) = max_{k<P} m(i, b+k)`` for anchors ``0 <= b <= d_len - P``."""
-    x = cells.select(*CELL_KEYS, "i", "j", "m", _offsets(p).alias("k")) \
-        .select(*CELL_KEYS, "i", (F.col("j") - F.col("k")).alias("b"), "m") \
-        .filter((F.col("b") >= 0) & (F.col("b") <= F.col("d_len") - p))
-    return x.groupBy(*CELL_KEYS, "i", "b").agg(F.max("m").alias("m"))
+def shape_of(cfg: SdmConfig) -> Shape:
+    return Shape(cfg.exact, tuple(cfg.windows), cfg.proximity)
 
 
-def unordered_feature(pcells: DataFrame, n: int, exact: bool) -> DataFrame:
-    """K10 (soft) / K11 (exact): ``(qid, doc_id, psg, value)``."""
-    x = pcells.select(*CELL_KEYS, "i", "b", "m", _offsets(n).alias("k")) \
-        .select(*CELL_KEYS, (F.col("i") - F.col("k")).alias("a"), "b", "m") \
-        .filter((F.col("a") >= 0) & (F.col("a") <= F.col("q_len") - n))
-    win = x.groupBy(*CELL_KEYS, "a", "b").agg(F.sum("m").alias("v"), F.count(F.lit(1)).alias("c"))
+def window_maxima(m, height: int, width: int, n: int, p: int, exact: bool):
+    """For one stretch of document slots: the best ordered window (K7/K8) and the best unordered one over proximity
+    for each query start, over the window starts 0 .. ``width`` - 1.  ``m`` has slots beyond ``width`` as far as windows reach."""
+    import numpy as np
+    starts = height - n + 1
+    ordered = sum(m[k:k + starts, k:k + width] for k in range(n))
+    near = m[:, :width].copy()
+    for k in range(1, p):
+        np.maximum(near, m[:, k:k + width], out=near)
+    unordered = sum(near[k:k + starts] for k in range(n))
     if exact:
-        win = win.filter(F.col("c") == n)
-    best = win.groupBy(*CELL_KEYS, "a").agg(F.max("v").alias("v"))
-    return best.groupBy("qid", "doc_id", "psg").agg(F.sum("v").alias("value"))
-
-
-def passage_features(soft: DataFrame, exact: DataFrame | None, cfg: SdmConfig,
-                     keep_q6: bool = True) -> DataFrame:
-    """``(qid, doc_id, psg, feature, value)`` for one configuration.
-    ``O_1`` uses the soft cells in both variants (Q6, kept); the exact
-    variant uses exact cells for the longer windows and proximity."""
-    base = exact if (cfg.exact and exact is not None) else soft
-    parts = []
-    for w in cfg.windows:
-        cells = soft if (w == 1 and keep_q6) else base
-        parts.append(ordered_feature(cells, w, cfg.exact and w > 1).withColumn("feature", F.lit(f"O_{w}")))
-    pc = proximity_cells(base, cfg.proximity)
-    for w in cfg.windows[1:]:
-        parts.append(unordered_feature(pc, w, cfg.exact).withColumn(
-            "feature", F.lit(f"U_{w}_p_{cfg.proximity}")))
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out.select("qid", "doc_id", "psg", "feature", "value")
+        for k in range(n):
+            ordered = np.where(m[k:k + starts, k:k + width] > 0, ordered, 0.0)
+            unordered = np.where(near[k:k + starts] > 0, unordered, 0.0)
+    return ordered, unordered
+
+
+def matrix_features(q_len: int, d_len: int, i, j, m, same, shape: Shape, block: int = 4096) -> dict[str, float]:
+    """K6-K12 of one match matrix, given by its cells; features without any window are left out.  ``O_1`` uses the soft
+    cells in both variants (Q6).  The matrix is laid out ``block`` document slots at a time, so that a passage of any
+    length takes bounded memory: maxima over window starts are taken block by block."""
+    import numpy as np
+    best = np.zeros(q_len)
+    np.maximum.at(best, i, m)
+    out = {"O_1": float(best.sum())}
+    if shape.exact:
+        i, j, m = i[same], j[same], m[same]
+    p = shape.proximity
+    for n in shape.windows:
+        if n == 1:
+            continue
+        if q_len < n or not len(m):
+            continue
+        top_o, top_u = np.zeros(q_len - n + 1), np.zeros(q_len - n + 1)
+        reach = max(n, p)
+        for start in range(0, d_len, block):
+            inside = (j >= start) & (j < start + block + reach)
+            if not inside.any():
+                continue
+            grid = np.zeros((q_len, block + reach if d_len - start > block else d_len - start + reach))
+            grid[i[inside], j[inside] - start] = m[inside]
+            width = min(block, d_len - start)
+            ordered, unordered = window_maxima(grid, q_len, width, n, p, shape.exact)
+            for part, top, size in ((ordered, top_o, n), (unordered, top_u, p)):
+                allowed = min(width, d_len - size - start + 1)      # window starts 0 .. d_len - size
+                if allowed > 0:
+                    np.maximum(top, part[:, :allowed].max(axis=1), out=top)
+        out[f"O_{n}"], out[f"U_{n}_p_{p}"] = float(top_o.sum()), float(top_u.sum())
+    return {k: v for k, v in out.items() if v > 0}
+
+
+def feature_rows(shapes: list[Shape]):
+    """Arrow function: match rows to ``(qid, doc_id, psg, shape, feature, value)``, one matrix at a time."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("qid", "doc_id", "psg", "shape", "feature", "value")}
+            columns = b.column("columns")
+            keys = [b.column(c).to_pylist() for c in ("qid", "doc_id", "psg", "q_len", "d_len")]
+            for k in range(b.num_rows):
+                mine = columns[k].values
+                lists = mine.field("cells")
+                sizes = np.asarray(lists.value_lengths())
+                flat = lists.flatten()
+                i, m, same = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("i", "m", "same"))
+                j = np.repeat(np.asarray(mine.field("j")), sizes)
+                for shape in shapes:
+                    for feature, value in matrix_features(keys[3][k], keys[4][k], i, j, m, same.astype(bool), shape).items():
+                        for c, v in zip(out, (keys[0][k], keys[1][k], keys[2][k], shape.name, feature, value)):
+                            out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (
+                pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64()))], list(out))
+    return run
+
+
+def shape_features(rows: DataFrame, shapes: list[Shape]) -> DataFrame:
+    """K12 for several shapes in one pass over the matrices: ``(qid, doc_id, psg, shape, feature, value)``.
+
+    Soft matrices are dense (every stop word reaches most positions), so windows over them are sliding sums of an array; as
+    rows, each cell would be multiplied by the window and the proximity."""
+    return rows.mapInArrow(feature_rows(shapes), "qid string, doc_id string, psg int, shape string, feature string, value double")
+
+
+def passage_features(rows: DataFrame, cfg: SdmConfig) -> DataFrame:
+    """``(qid, doc_id, psg, feature, value)`` for one configuration."""
+    return shape_features(rows, [shape_of(cfg)]).drop("shape")
 
 
 def pooled_features(pfeat: DataFrame, pairs: DataFrame, cfg: SdmConfig) -> DataFrame:
@@ -228,7 +259,7 @@ def default_weights(cfg: SdmConfig) -> dict[str, float]:
 def fuse(pooled: DataFrame, weights: DataFrame, bias: float = 0.0) -> DataFrame:
     """``score = sum_f weight_f * value_f + bias`` per (query, doc);
     ``weights(feature, weight)`` has one row per feature (broadcast)."""
-    j = pooled.join(F.broadcast(weights), "feature")
+    j = pooled.join(small(weights), "feature")
     return j.groupBy(*PAIR).agg(r6(F.sum(F.col("weight") * F.col("value")) + F.lit(bias)).alias("score"))
 
 
@@ -276,37 +307,23 @@ def fit_fusion_weights(pos_feats: DataFrame, neg_feats: DataFrame, triplets: Dat
     return spark.createDataFrame(list(zip(feature_names, [float(c) for c in coef])), "feature string, weight double")
 
 
-def grid_runs(soft: DataFrame, exact: DataFrame, pairs: DataFrame, configs: list[SdmConfig],
-              weights: dict[str, dict[str, float]]) -> DataFrame:
-    """Every configuration in one job.  Passage features are computed
-    once per (variant, windows, proximity) over the largest passage count;
-    a passage ``psg`` then serves every configuration with ``n_psg > psg``
-    (one explode), pooling / fusion / ranking are keyed by ``config_id``.
-    ``weights`` maps config_id -> {feature: weight}.  Returns
-    ``(config_id, qid, doc_id, rank, score)``."""
+def grid_runs(rows: DataFrame, pairs: DataFrame, configs: list[SdmConfig], weights: dict[str, dict[str, float]]) -> DataFrame:
+    """Every configuration in one job.  Each match matrix yields the features of all shapes at once; a passage ``psg``
+    then serves every configuration with ``n_psg > psg`` (one explode), pooling / fusion / ranking are keyed by
+    ``config_id``.  ``weights`` maps config_id -> {feature: weight}.  Returns ``(config_id, qid, doc_id, rank, score)``."""
     spark = pairs.sparkSession
-    shapes = {}
-    for c in configs:
-        shapes.setdefault((c.exact, tuple(c.windows), c.proximity), []).append(c)
-    per_shape = []
-    for (ex, win, prox), cs in shapes.items():
-        base = SdmConfig(ex, win, prox, max(c.n_psg for c in cs))
-        pf = passage_features(soft, exact, base)
-        ids = F.array(*[F.struct(F.lit(c.n_psg).alias("n"), F.lit(c.config_id).alias("config_id")) for c in cs])
-        x = pf.select("*", F.explode(F.filter(ids, lambda e: F.col("psg") < e["n"])).alias("c")) \
-            .select(F.col("c.config_id").alias("config_id"), "qid", "doc_id", "feature", "value")
-        pooled = x.groupBy("config_id", *PAIR, "feature").agg(F.max("value").alias("value"))
-        names = F.explode(F.array(*[F.lit(f) for f in base.feature_names])).alias("feature")
-        ids = F.explode(F.array(*[F.lit(c.config_id) for c in cs])).alias("config_id")
-        grid = pairs.select(*PAIR).distinct().select(ids, *PAIR).select("config_id", *PAIR, names)
-        per_shape.append(grid.join(pooled, ["config_id", *PAIR, "feature"], "left")
-                         .select("config_id", *PAIR, "feature", F.coalesce("value", F.lit(0.0)).alias("value")))
-    allf = per_shape[0]
-    for p_ in per_shape[1:]:
-        allf = allf.unionByName(p_)
+    shapes = sorted({shape_of(c) for c in configs}, key=lambda s: s.name)
+    ids = F.array(*[F.struct(F.lit(shape_of(c).name).alias("shape"), F.lit(c.n_psg).alias("n"), F.lit(c.config_id).alias("config_id"))
+                    for c in configs])
+    x = shape_features(rows, shapes).select("*", F.explode(F.filter(
+        ids, lambda e: (F.col("shape") == e["shape"]) & (F.col("psg") < e["n"]))).alias("c")) \
+        .select(F.col("c.config_id").alias("config_id"), *PAIR, "feature", "value")
+    pooled = x.groupBy("config_id", *PAIR, "feature").agg(F.max("value").alias("value"))
     wdf = spark.createDataFrame([(cid, f, float(v)) for cid, fw in weights.items() for f, v in fw.items()],
                                 "config_id string, feature string, weight double")
-    scores = allf.join(F.broadcast(wdf), ["config_id", "feature"]).groupBy("config_id", *PAIR) \
-        .agg(r6(F.sum(F.col("weight") * F.col("value"))).alias("score"))
+    found = pooled.join(small(wdf), ["config_id", "feature"]).groupBy("config_id", *PAIR) \
+        .agg(F.sum(F.col("weight") * F.col("value")).alias("score"))
+    every = pairs.select(*PAIR).distinct().select(F.explode(F.array(*[F.lit(c.config_id) for c in configs])).alias("config_id"), *PAIR)
+    scores = every.join(found, ["config_id", *PAIR], "left").withColumn("score", r6(F.coalesce("score", F.lit(0.0))))
     w = Window.partitionBy("config_id", "qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return scores.withColumn("rank", F.row_number().over(w).cast("int")).select("config_id", *PAIR, "rank", "score")

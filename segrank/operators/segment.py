@@ -159,11 +159,7 @@ def split_collection(corpus: DataFrame, n_splits: int) -> DataFrame:
     return corpus.repartition(n_splits, "doc_id").withColumn("split", F.spark_partition_id())
 
 
-def drop_blocked(tokens_df: DataFrame, blocklist: DataFrame, term_col: str = "term",
-                 max_broadcast_rows: int = 1_000_000, bounded: bool | None = None) -> DataFrame:
-    """Remove tokens on a blocklist (anti join; the list is broadcast
-    only when it is proven small)."""
-    from segrank.plans.util import broadcast_if_small
-    bl = broadcast_if_small(blocklist.select(F.col(blocklist.columns[0]).alias(term_col)).distinct(),
-                            max_broadcast_rows, bounded)
-    return tokens_df.join(bl, on=term_col, how="left_anti")
+def drop_blocked(tokens_df: DataFrame, blocklist: DataFrame, term_col: str = "term") -> DataFrame:
+    """Remove tokens on a blocklist (anti join; the list is broadcast if its counted rows are few)."""
+    from segrank.plans.util import small
+    return tokens_df.join(small(blocklist.select(F.col(blocklist.columns[0]).alias(term_col)).distinct()), on=term_col, how="left_anti")

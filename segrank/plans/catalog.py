@@ -11,9 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from segrank.operators import aggregate as A
 from segrank.operators import metrics as M
 from segrank.operators import retrieve as R
 from segrank.plans import oracle as O
@@ -40,8 +38,7 @@ FLAGSHIP_N = 4
 
 
 def flagship_run(t: Tables) -> DataFrame:
-    docs = A.aggregate_passages(t.query_term_impacts, "max", FLAGSHIP_N)
-    return R.retrieve(t.query_impacts, docs, 1000)
+    return R.retrieve_first(t.postings, t.query_impacts, t.lexicon, t.weight, FLAGSHIP_N, 1000)
 
 
 @register("l1_maxp_dot_eval", O.with_base(

@@ -6,12 +6,13 @@
 | passages       | sentence split + greedy packing with a token budget |
 | tokens         | positions of lower-cased word tokens per passage |
 | queries        | benchmark(item_id, text): all tokens |
-| qrels          | benchmark text (3 words or more) contained verbatim in a document; grade 1 + labels.quality |
+| qrels          | benchmark text contained verbatim in a document; grade 1 + labels.quality |
 | term_weights   | ln(1 + N/df) over documents |
 | impacts        | passage vectors: tf-idf token scores, max-pooled, quantised |
 | query_impacts  | query vectors: term scale x count, quantised |
 
-Everything is lazy; each property builds its plan once per instance.
+``forward``, ``lengths``, ``lexicon``, ``postings``, ``expansion`` and ``bm25_top`` are stored (``sources.store``): the first query that needs
+one writes it, all others read it.  The rest is lazy; each property builds its plan once per instance.
 """
 
 from __future__ import annotations
@@ -21,22 +22,28 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segrank.functions.numeric import quantise
 from segrank.functions.text import tokens as tokens_of
-from segrank.operators import segment, vectors
+from segrank.operators import postings, sdm, segment, vectors
+from segrank.operators.retrieve import Collection, bm25
+from segrank.plans.util import small
 from segrank.sources import testdata
+from segrank.sources.store import Store
 
 # fixed values of the fixture mapping
 PASSAGE_BUDGET = 60   # tokens per passage on the small fixtures (400 in production)
+SHORT_ITEMS = 500     # items without interior words that are searched in one pass over the documents
 GRAM = 4              # interior words of an item by which documents become candidates for containment
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str, budget: int = PASSAGE_BUDGET):
+    def __init__(self, spark: SparkSession, sf_dir: str, budget: int = PASSAGE_BUDGET, slice_rows: int = postings.SLICE_ROWS):
         from segrank.session import apply_runtime_conf
         apply_runtime_conf(spark)
         self.spark = spark
         self.sf_dir = sf_dir
         self.budget = budget
+        self.slice_rows = slice_rows
 
     # ------------------------------------------------------------ documents
     @cached_property
@@ -55,12 +62,59 @@ class Tables:
                 .filter(F.col("psg").isNotNull())
                 .select("doc_id", "psg", "text", "n_tok", "n_psg"))
 
+    # -------------------------------------------------------- stored layer
+    @cached_property
+    def store(self) -> Store:
+        return Store(self.spark, {n: f"{self.sf_dir.rstrip('/')}/{n}.parquet" for n in ("documents", "benchmark", "labels")})
+
+    @property
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        """``(doc_id, n_psg, dl, psgs ARRAY<ARRAY<term>>)``: the text is split and tokenised once."""
+        return self.store.table("forward", ["documents"], lambda: postings.forward_rows(self.doc_psgs.select(
+            "doc_id", F.transform("psgs", lambda x: tokens_of(x["text"])).alias("psgs"))), budget=self.budget)
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        """``(doc_id, dl, dls)``: the length of a document and of its first 1 .. SWEEP passages."""
+        run = [F.aggregate(F.slice("psgs", 1, n), F.lit(0), lambda a, p: a + F.size(p)) for n in range(1, postings.SWEEP + 1)]
+        return self.store.table("lengths", ["documents"], lambda: self.forward.select("doc_id", "dl", F.array(*run).alias("dls")),
+                                budget=self.budget, sweep=postings.SWEEP)
+
+    @cached_property
+    def collection(self) -> Collection:
+        """Sizes of the collection: one row of sums, read once a session."""
+        sums = [F.coalesce(F.sum(F.col("dls")[n]), F.lit(0)).alias(f"t{n}") for n in range(postings.SWEEP)]
+        row = self.store.table("collection", ["documents"], lambda: self.lengths.agg(
+            F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *sums), budget=self.budget).first()
+        return Collection(row[0], row[1], tuple(row[2:]))
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        """``(term, df, cf, dfs, slices)``."""
+        return self.store.table("lexicon", ["documents"], lambda: postings.lexicon_rows(
+            postings.document_postings(self.forward), slice_rows=self.slice_rows), budget=self.budget, slice_rows=self.slice_rows)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """``(term, slice, doc_id, n_psg, dl, tf, hits, df)``, bucketed and sorted by (term, slice)."""
+        return self.store.bucketed("postings", ["documents"], lambda: postings.sliced(
+            postings.document_postings(self.forward), self.lexicon, small, self.buckets), ["term", "slice"], ["term", "slice", "doc_id"],
+            self.buckets, budget=self.budget, slice_rows=self.slice_rows)
+
+    @cached_property
+    def bm25_top(self) -> DataFrame:
+        """The BM25 run (top 1000) that candidates, triplets and splits are taken from."""
+        return self.store.table("bm25", ["documents", "benchmark"], lambda: bm25(self, self.query_tokens, 1000), budget=self.budget)
+
     @cached_property
     def tokens(self) -> DataFrame:
         """``(doc_id, psg, n_psg, n_tok, pos, term)``."""
-        return (self.passages.select("doc_id", "psg", "n_psg", "n_tok",
-                                     F.posexplode_outer(tokens_of(F.col("text"))).alias("pos", "term"))
-                .filter(F.col("term").isNotNull()))
+        psgs = self.forward.select("doc_id", "n_psg", F.posexplode("psgs").alias("psg", "t"))
+        return psgs.select("doc_id", "psg", "n_psg", F.size("t").alias("n_tok"), F.posexplode("t").alias("pos", "term"))
 
     def first_n_docs(self, n: int | None) -> DataFrame:
         """Documents made of their first ``n`` passages (T7 on the nested
@@ -70,15 +124,6 @@ class Tables:
                 "doc_id", F.array_join(F.transform("psgs", lambda x: x["text"]), " ").alias("text"))
         return segment.first_k_text_nested(self.doc_psgs, n)
 
-    def doc_tokens(self, n: int | None) -> tuple[DataFrame, DataFrame]:
-        """BM25 inputs for first-n-passage documents: token postings
-        ``(doc_id, pos, term, dl)`` and ``docs(doc_id, dl)``."""
-        d = self.first_n_docs(n).select("doc_id", tokens_of(F.col("text")).alias("t"))
-        docs = d.select("doc_id", F.size("t").alias("dl"))
-        toks = (d.select("doc_id", F.size("t").alias("dl"), F.posexplode_outer("t").alias("pos", "term"))
-                .filter(F.col("term").isNotNull()))
-        return toks, docs
-
     # ------------------------------------------------------------ queries
     @cached_property
     def queries(self) -> DataFrame:
@@ -94,62 +139,66 @@ class Tables:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        """``(qid, doc_id, rel)``: verbatim containment of the benchmark text
-        in the raw document text.  A document that contains an item has the
-        item's interior words (the first and last may be cut) as a run of
-        words, so one run of up to ``GRAM`` interior words is the join key and
-        only the documents that have it are searched for the whole text."""
+        """``(qid, doc_id, rel)``: verbatim containment of the benchmark text in the raw document text.  Judgements are an
+        input table in the reference; here they are derived from every document, once."""
+        return self.store.table("qrels", ["documents", "benchmark", "labels"], self._qrels)
+
+    def _qrels(self) -> DataFrame:
+        """A document that contains an item has the item's interior words (the first and last may be cut) as a run of
+        words, so one run of up to ``GRAM`` interior words is the join key and only the documents that have it are searched
+        for the whole text.  Items without interior words are searched in every document row, in blocks."""
         words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         b = testdata.table(self.spark, self.sf_dir, "benchmark").select(
             F.col("item_id").cast("string").alias("qid"), F.col("text").alias("btext"), words(F.col("text")).alias("w"))
-        b = b.filter(F.size("w") >= 3).withColumn("g", F.least(F.lit(GRAM), F.size("w") - 2)).select(
-            "qid", "btext", "g", F.array_join(F.slice("w", F.lit(2), F.col("g")), " ").alias("gram"))
         docs = testdata.table(self.spark, self.sf_dir, "documents").select(
             F.col("doc_id").cast("string").alias("doc_id"), "text")
+        hits = self._found_by_gram(b.where(F.size("w") >= 3), docs, words)
+        short = b.where(F.size("w") < 3).select("qid", "btext").collect()
+        for k in range(0, len(short), SHORT_ITEMS):
+            items = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["btext"]).alias("btext")) for r in short[k:k + SHORT_ITEMS]])
+            hits = hits.unionByName(docs.select(F.explode(F.filter(items, lambda x: F.col("text").contains(x["btext"]))).alias("x"), "doc_id")
+                                    .select("x.qid", "doc_id"))
+        labels = testdata.table(self.spark, self.sf_dir, "labels").select(
+            F.col("doc_id").cast("string").alias("doc_id"), "quality")
+        return hits.join(labels, "doc_id", "left").select(
+            "qid", "doc_id", (F.lit(1) + F.coalesce(F.col("quality"), F.lit(0))).cast("int").alias("rel"))
+
+    def _found_by_gram(self, b: DataFrame, docs: DataFrame, words) -> DataFrame:
+        b = b.withColumn("g", F.least(F.lit(GRAM), F.size("w") - 2)).select(
+            "qid", "btext", "g", F.array_join(F.slice("w", F.lit(2), F.col("g")), " ").alias("gram"))
         w = testdata.spread(docs).select("doc_id", words(F.col("text")).alias("w"))
         runs = lambda g: F.when(F.size("w") >= g, F.transform(
             F.sequence(F.lit(1), F.size("w") - (g - 1)),
             lambda i: F.struct(F.lit(g).alias("g"), F.array_join(F.slice("w", i, F.lit(g)), " ").alias("gram")))).otherwise(F.array())
         grams = w.select("doc_id", F.explode(F.flatten(F.array(*map(runs, range(1, GRAM + 1))))).alias("x")).select(
             "doc_id", "x.g", "x.gram")
-        cand = grams.join(b.select("qid", "g", "gram"), ["g", "gram"]).select("qid", "doc_id").distinct()
-        hits = (cand.join(b.select("qid", "btext"), "qid").join(docs, "doc_id")
+        cand = grams.join(small(b.select("qid", "g", "gram")), ["g", "gram"]).select("qid", "doc_id").distinct()
+        return (cand.join(b.select("qid", "btext"), "qid").join(docs, "doc_id")
                 .filter(F.col("text").contains(F.col("btext"))).select("qid", "doc_id"))
-        labels = testdata.table(self.spark, self.sf_dir, "labels").select(
-            F.col("doc_id").cast("string").alias("doc_id"), "quality")
-        qrels = hits.join(labels, "doc_id", "left").select(
-            "qid", "doc_id", (F.lit(1) + F.coalesce(F.col("quality"), F.lit(0))).cast("int").alias("rel"))
-        # judgements are an input table in the reference; here they are
-        # derived from every document, so they are
-        # materialised once (reliable checkpoint in the shared folder)
-        # instead of being re-derived by every consumer in a plan
-        from segrank.session import cut_lineage
-        return cut_lineage(qrels)
 
     # ------------------------------------------------------------ weights
     @cached_property
     def term_weights(self) -> DataFrame:
-        return vectors.idf_term_weights(self.corpus)
+        """``(term, scale)``, ``scale = ln(1 + N/df)``."""
+        return self.lexicon.select("term", self.scale(F.col("df")).alias("scale"))
+
+    def scale(self, df):
+        return F.log(F.lit(1.0) + F.lit(float(self.collection.n_docs)) / df)
+
+    def weight(self, tf, df):
+        """A passage's quantised weight of a term."""
+        return quantise(self.scale(df) * (F.lit(1.0) + F.log(tf.cast("double"))))
 
     @cached_property
     def passage_tf(self) -> DataFrame:
-        """``(doc_id, psg, n_psg, term, tf)`` counted inside each passage row."""
-        return vectors.passage_term_counts(self.passages, ["doc_id", "psg", "n_psg"])
+        """``(doc_id, psg, n_psg, term, tf, df)``, read from the postings."""
+        return self.postings.select("doc_id", "n_psg", "term", "df", F.inline("hits"))
 
     @cached_property
     def impacts(self) -> DataFrame:
-        """Passage vectors ``(doc_id, psg, n_psg, term, w)``."""
-        return vectors.tfidf_impacts(self.tokens, ["doc_id", "psg", "n_psg"], self.term_weights, tf=self.passage_tf)
-
-    @cached_property
-    def query_term_impacts(self) -> DataFrame:
-        """``impacts`` of the terms that some query has: all that a dot
-        product reads.  The semi-join on ``term`` comes first, so the join with
-        the weights and the aggregation see the matching postings only and
-        keep its partitioning."""
-        terms = self.query_tokens.select("term").distinct()
-        return vectors.tfidf_impacts(self.tokens, ["doc_id", "psg", "n_psg"], self.term_weights,
-                                     tf=self.passage_tf.join(terms, "term", "left_semi"))
+        """Passage vectors ``(doc_id, psg, n_psg, term, w)``: a posting knows its df, so no join is needed."""
+        return (self.passage_tf.select("doc_id", "psg", "n_psg", "term", self.weight(F.col("tf"), F.col("df")).alias("w"))
+                .where("w <> 0"))
 
     @cached_property
     def query_impacts(self) -> DataFrame:
@@ -162,20 +211,25 @@ class Tables:
 
     @cached_property
     def term_df(self) -> DataFrame:
-        return vectors.doc_frequencies(self.corpus)
+        return self.lexicon.select("term", "df")
 
     @cached_property
     def expansion(self) -> DataFrame:
-        """``expansion(src_term, term, s)``: identity (s = 1) for every term,
-        plus for terms with 3 <= df <= N/10 the top-5 neighbours by Dice
-        coefficient of co-occurrence within 2 positions in a passage."""
-        return vectors.expansion_from_passages(self.passages, self.passage_tf, self.term_df, self.n_docs,
-                                               top=5, min_df=3, max_df_share=10)
+        """``(src_term, term, s)``: all neighbours within 2 positions of all terms (Dice), and each term itself (1)."""
+        return self.store.table("expansion", ["documents"], lambda: vectors.dice_expansion(
+            vectors.window_pair_counts(self.forward), self.lexicon), budget=self.budget)
+
+    @cached_property
+    def query_expansion(self) -> DataFrame:
+        """``(qid, q_len, term, cells ARRAY<STRUCT<i, m, same>>)``: for each query the document terms that reach one of its
+        positions, with the match they make there (K4)."""
+        return self.store.table("query_expansion", ["documents", "benchmark"], lambda: sdm.query_expansion(
+            sdm.query_slots(self.query_tokens, self.term_weights), self.expansion), budget=self.budget)
 
     @cached_property
-    def whole_expansion(self) -> DataFrame:
-        """``expansion`` with all neighbours of all terms."""
-        return vectors.expansion_from_passages(self.passages, self.passage_tf, self.term_df, self.n_docs)
+    def passage_terms(self) -> DataFrame:
+        """``(doc_id, psg, terms ARRAY)``."""
+        return self.forward.select("doc_id", F.posexplode("psgs").alias("psg", "terms"))
 
     def doc_vectors(self, mode: str, n: int | None) -> DataFrame:
         from segrank.operators.aggregate import aggregate_passages

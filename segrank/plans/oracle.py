@@ -56,7 +56,7 @@ query_tokens AS (
 qrels AS (
   SELECT CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS doc_id,
          CAST(1 + coalesce(l.quality, 0) AS INTEGER) AS rel
-  FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND len(regexp_extract_all(b.text, '{TOK_RE}')) >= 3
+  FROM documents d JOIN benchmark b ON contains(d.text, b.text)
   LEFT JOIN labels l ON l.doc_id = d.doc_id),
 term_df AS (
   SELECT term, count(*) AS df
@@ -146,16 +146,6 @@ _cooc AS MATERIALIZED (
   WHERE a.term <> b.term GROUP BY a.term, b.term),
 _cf AS (SELECT term, count(*) AS cf FROM tokens GROUP BY term),
 expansion AS MATERIALIZED (
-  SELECT term AS src_term, term, 1.0::DOUBLE AS s FROM term_df
-  UNION ALL
-  SELECT src_term, term, s FROM (
-    SELECT x.src_term, x.term, CAST(2 * x.c AS DOUBLE) / (ca.cf + cb.cf) AS s,
-           row_number() OVER (PARTITION BY x.src_term ORDER BY CAST(2 * x.c AS DOUBLE) / (ca.cf + cb.cf) DESC, x.term ASC) AS rn
-    FROM _cooc x JOIN _cf ca ON ca.term = x.src_term JOIN _cf cb ON cb.term = x.term
-    WHERE x.src_term IN (SELECT term FROM term_df WHERE df >= 3 AND 10 * df <= (SELECT count(*) FROM corpus)))
-  WHERE rn <= 5)"""
-
-WHOLE_EXPANSION = EXPANSION[:EXPANSION.index("expansion AS")] + """expansion AS MATERIALIZED (
   SELECT term AS src_term, term, 1.0::DOUBLE AS s FROM term_df
   UNION ALL
   SELECT x.src_term, x.term, CAST(2 * x.c AS DOUBLE) / (ca.cf + cb.cf) AS s
@@ -237,67 +227,64 @@ JOIN (SELECT qid, t1, t2, CAST(count(*) AS DOUBLE) AS qweight FROM {pairs} GROUP
 
 # ------------------------------------------------------------- SDM features
 
-CK = "qid, doc_id, psg, q_len, d_len"
-
-
 def sdm_ctes(cand: str, n_psg: int, prefix: str = "s") -> list[str]:
-    """``{p}_cells_soft`` / ``{p}_cells_exact`` over candidates ``cand(qid, doc_id)``."""
+    """``{p}_cells_soft`` / ``{p}_cells_exact`` (pid, psg, q_len, d_len, i, j, m) over candidates ``cand(qid, doc_id)``;
+    ``{p}_keys(pid, qid, doc_id, psg)`` names the passages."""
     p = prefix
     return [
         f"""{p}_q AS (SELECT t.qid, t.pos + 1 AS i, t.term, coalesce(w.scale, 0.0) AS wq, l.q_len
   FROM query_tokens t LEFT JOIN term_weights w USING (term)
   JOIN (SELECT qid, count(*) + 2 AS q_len FROM query_tokens GROUP BY qid) l USING (qid))""",
-        f"""{p}_d AS (SELECT doc_id, psg, pos + 1 AS j, term, n_tok + 2 AS d_len FROM tokens
-  WHERE psg < {n_psg} AND doc_id IN (SELECT doc_id FROM {cand}))""",
-        f"""{p}_cq AS MATERIALIZED (SELECT c.qid, c.doc_id, q.i, q.term, q.wq, q.q_len FROM (SELECT DISTINCT qid, doc_id FROM {cand}) c
-  JOIN {p}_q q ON q.qid = c.qid WHERE q.wq > 0)""",
-        f"""{p}_cells_soft AS MATERIALIZED (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * ln(1.0 + d.s) AS m
-  FROM {p}_cq cq JOIN (SELECT d.doc_id, d.psg, d.j, e.term, d.d_len, e.s FROM {p}_d d JOIN expansion e ON e.src_term = d.term) d
-    ON d.doc_id = cq.doc_id AND d.term = cq.term
-  WHERE cq.wq * d.s > 0)""",
-        f"""{p}_cells_exact AS MATERIALIZED (SELECT cq.qid, cq.doc_id, d.psg, cq.q_len, d.d_len, cq.i, d.j, cq.wq * ln(2.0) AS m
-  FROM {p}_cq cq JOIN {p}_d d ON d.doc_id = cq.doc_id AND d.term = cq.term)""",
+        f"""{p}_keys AS MATERIALIZED (SELECT row_number() OVER (ORDER BY qid, doc_id, psg) AS pid, qid, doc_id, psg, n_tok + 2 AS d_len
+  FROM (SELECT DISTINCT qid, doc_id FROM {cand}) JOIN passages USING (doc_id) WHERE psg < {n_psg})""",
+        f"""{p}_d AS MATERIALIZED (SELECT k.pid, k.psg, k.qid, k.d_len, t.pos + 1 AS j, t.term FROM {p}_keys k JOIN tokens t ON t.doc_id = k.doc_id AND t.psg = k.psg)""",
+        f"""{p}_qx AS MATERIALIZED (SELECT q.qid, q.q_len, q.i, e.src_term AS term, q.wq * ln(1.0 + e.s) AS m FROM {p}_q q JOIN expansion e ON e.term = q.term
+  WHERE q.wq * e.s > 0)""",
+        f"""{p}_cells_soft AS MATERIALIZED (SELECT d.pid, d.psg, x.q_len, d.d_len, x.i, d.j, x.m FROM {p}_d d JOIN {p}_qx x ON x.qid = d.qid AND x.term = d.term)""",
+        f"""{p}_cells_exact AS MATERIALIZED (SELECT d.pid, d.psg, q.q_len, d.d_len, q.i, d.j, q.wq * ln(2.0) AS m
+  FROM {p}_d d JOIN {p}_q q ON q.qid = d.qid AND q.term = d.term WHERE q.wq > 0)""",
     ]
 
 
 def ordered_sql(cells: str, n: int, exact: bool) -> str:
     if n == 1:
-        return f"""SELECT qid, doc_id, psg, sum(v) AS value FROM (
-  SELECT {CK}, i, max(m) AS v FROM {cells} GROUP BY {CK}, i) GROUP BY qid, doc_id, psg"""
+        return f"SELECT pid, sum(v) AS value FROM (SELECT pid, i, max(m) AS v FROM {cells} GROUP BY pid, i) GROUP BY pid"
     having = f" HAVING count(*) = {n}" if exact else ""
-    return f"""SELECT qid, doc_id, psg, sum(v) AS value FROM (
-  SELECT {CK}, a, max(v) AS v FROM (
-    SELECT {CK}, i - k AS a, j - k AS b, sum(m) AS v FROM {cells} CROSS JOIN range(0, {n}) AS g(k)
+    return f"""SELECT pid, sum(v) AS value FROM (
+  SELECT pid, a, max(v) AS v FROM (
+    SELECT pid, i - k AS a, j - k AS b, sum(m) AS v FROM {cells} CROSS JOIN range(0, {n}) AS g(k)
     WHERE i - k >= 0 AND i - k <= q_len - {n} AND j - k >= 0 AND j - k <= d_len - {n}
-    GROUP BY {CK}, i - k, j - k{having})
-  GROUP BY {CK}, a) GROUP BY qid, doc_id, psg"""
+    GROUP BY pid, i - k, j - k{having})
+  GROUP BY pid, a) GROUP BY pid"""
 
 
 def prox_sql(cells: str, p: int) -> str:
-    return f"""SELECT {CK}, i, j - k AS b, max(m) AS m FROM {cells} CROSS JOIN range(0, {p}) AS g(k)
-  WHERE j - k >= 0 AND j - k <= d_len - {p} GROUP BY {CK}, i, j - k"""
+    return f"""SELECT pid, any_value(q_len) AS q_len, i, j - k AS b, max(m) AS m FROM {cells} CROSS JOIN range(0, {p}) AS g(k)
+  WHERE j - k >= 0 AND j - k <= d_len - {p} GROUP BY pid, i, j - k"""
 
 
 def unordered_sql(pcells: str, n: int, exact: bool) -> str:
     having = f" HAVING count(*) = {n}" if exact else ""
-    return f"""SELECT qid, doc_id, psg, sum(v) AS value FROM (
-  SELECT {CK}, a, max(v) AS v FROM (
-    SELECT {CK}, i - k AS a, b, sum(m) AS v FROM ({pcells}) CROSS JOIN range(0, {n}) AS g(k)
+    return f"""SELECT pid, sum(v) AS value FROM (
+  SELECT pid, a, max(v) AS v FROM (
+    SELECT pid, i - k AS a, b, sum(m) AS v FROM ({pcells}) CROSS JOIN range(0, {n}) AS g(k)
     WHERE i - k >= 0 AND i - k <= q_len - {n}
-    GROUP BY {CK}, i - k, b{having})
-  GROUP BY {CK}, a) GROUP BY qid, doc_id, psg"""
+    GROUP BY pid, i - k, b{having})
+  GROUP BY pid, a) GROUP BY pid"""
 
 
-def passage_features_sql(prefix: str, exact: bool, windows, p: int) -> str:
-    soft = f"{prefix}_cells_soft"
-    base = f"{prefix}_cells_exact" if exact else soft
+def passage_features_sql(prefix: str, exact: bool, windows, p: int, where: str | None = None) -> str:
+    """Features of every passage; ``where`` restricts the cells."""
+    some = lambda table: f"(SELECT * FROM {table} WHERE {where})" if where else table
+    soft = some(f"{prefix}_cells_soft")
+    base = some(f"{prefix}_cells_exact") if exact else soft
     parts = []
     for w in windows:
         cells = soft if w == 1 else base
-        parts.append(f"SELECT qid, doc_id, psg, 'O_{w}' AS feature, value FROM ({ordered_sql(cells, w, exact and w > 1)})")
+        parts.append(f"SELECT pid, 'O_{w}' AS feature, value FROM ({ordered_sql(cells, w, exact and w > 1)})")
     for w in windows[1:]:
-        parts.append(f"SELECT qid, doc_id, psg, 'U_{w}_p_{p}' AS feature, value FROM ({unordered_sql(prox_sql(base, p), w, exact)})")
-    return " UNION ALL ".join(parts)
+        parts.append(f"SELECT pid, 'U_{w}_p_{p}' AS feature, value FROM ({unordered_sql(prox_sql(base, p), w, exact)})")
+    return f"SELECT qid, doc_id, psg, feature, value FROM ({' UNION ALL '.join(parts)}) JOIN {prefix}_keys USING (pid)"
 
 
 def pooled_sql(pfeat: str, cand: str, names: list[str]) -> str:

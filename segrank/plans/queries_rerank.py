@@ -24,27 +24,13 @@ def _cand(t: Tables):
     return K.candidates(bm25_run(t), CAND_K)
 
 
-def _cells(t: Tables, n_psg: int, materialise: bool = False, cand=None):
-    from segrank.session import cut_lineage
-    cand = _cand(t) if cand is None else cand
-    if materialise:
-        # every feature reads the cells again: write the candidates and the
-        # cells once (reliable checkpoints; sizes bounded by the candidates)
-        # instead of re-running retrieval and expansion joins per feature
-        cand = cut_lineage(cand)
-    qs = K.query_slots(t.query_tokens, t.term_weights)
-    ds = K.doc_slots(t.tokens, cand.select("doc_id").distinct(), n_psg)
-    soft = K.match_cells(cand, qs, ds, t.expansion)
-    exact = K.match_cells(cand, qs, ds, None)
-    if materialise:
-        soft, exact = cut_lineage(soft), cut_lineage(exact)
-    return cand, soft, exact
+def _rows(t: Tables, n_psg: int, cand):
+    return K.match_rows(cand, t.passage_terms, t.query_expansion, n_psg)
 
 
 def pooled(t: Tables, cfg: K.SdmConfig, cand=None):
-    cand, soft, exact = _cells(t, cfg.n_psg, materialise=True, cand=cand)
-    pf = K.passage_features(soft, exact, cfg)
-    return cand, K.pooled_features(pf, cand, cfg)
+    cand = _cand(t) if cand is None else cand
+    return cand, K.pooled_features(K.passage_features(_rows(t, cfg.n_psg, cand), cfg), cand, cfg)
 
 
 def _triplets(t: Tables):
@@ -93,35 +79,33 @@ def k3_text_triplets(t: Tables):
 
 
 @register("k4_soft_cells", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final="""
-SELECT qid, doc_id, psg, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS m FROM s_cells_soft"""))
+SELECT qid, doc_id, psg, CAST(i AS INTEGER) AS i, count(*) AS n_cells, CAST(sum(j) AS BIGINT) AS sum_j, round(sum(m), 6) AS sum_m, round(max(m), 6) AS max_m
+FROM s_cells_soft JOIN s_keys USING (pid) GROUP BY qid, doc_id, psg, i"""))
 def k4_soft_cells(t: Tables):
-    """K4: soft match cells through the expansion table."""
-    _, soft, _ = _cells(t, N_PSG)
-    return soft.select("qid", "doc_id", "psg", F.col("i").cast("int"), F.col("j").cast("int"), F.round("m", 6).alias("m"))
+    """K4: all soft match cells through the whole expansion table, summed over the document positions."""
+    return K.cells(_rows(t, N_PSG, _cand(t))).groupBy("qid", "doc_id", "psg", "i").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("j").alias("sum_j"), F.round(F.sum("m"), 6).alias("sum_m"), F.round(F.max("m"), 6).alias("max_m"))
 
 
-@register("k5_exact_cells", O.with_base(*CAND, *O.sdm_ctes("cand", N_PSG), final="""
-SELECT qid, doc_id, psg, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS m FROM s_cells_exact"""))
+@register("k5_exact_cells", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final="""
+SELECT qid, doc_id, psg, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS m FROM s_cells_exact JOIN s_keys USING (pid)"""))
 def k5_exact_cells(t: Tables):
     """K5: exact match cells (document token equals query token)."""
-    _, _, exact = _cells(t, N_PSG)
-    return exact.select("qid", "doc_id", "psg", F.col("i").cast("int"), F.col("j").cast("int"), F.round("m", 6).alias("m"))
+    return K.cells(_rows(t, N_PSG, _cand(t))).where("same").select("qid", "doc_id", "psg", "i", "j", F.round("m", 6).alias("m"))
 
 
 @register("k12_passage_features_exact", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final=
     "SELECT qid, doc_id, psg, feature, round(value, 6) AS value FROM (" + O.passage_features_sql("s", True, (1, 2), 8) + ")"))
 def k12_passage_features_exact(t: Tables):
     """K6-K12 exact variant (windows 1, 2; proximity 8), per passage."""
-    _, soft, exact = _cells(t, N_PSG)
-    return K.passage_features(soft, exact, EXACT).withColumn("value", F.round("value", 6))
+    return K.passage_features(_rows(t, N_PSG, _cand(t)), EXACT).withColumn("value", F.round("value", 6))
 
 
 @register("k12_passage_features_soft", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final=
     "SELECT qid, doc_id, psg, feature, round(value, 6) AS value FROM (" + O.passage_features_sql("s", False, (1, 5), 10) + ")"))
 def k12_passage_features_soft(t: Tables):
     """K6-K12 soft variant (windows 1, 5; proximity 10), per passage."""
-    _, soft, exact = _cells(t, N_PSG)
-    return K.passage_features(soft, exact, SOFT).withColumn("value", F.round("value", 6))
+    return K.passage_features(_rows(t, N_PSG, _cand(t)), SOFT).withColumn("value", F.round("value", 6))
 
 
 @register("k13_pooled_exact", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final=
@@ -193,13 +177,9 @@ def k15_fit_weights(t: Tables):
     feature differences); iterative, so checked by rows and in the tests."""
     tr = K.clean_triplets(_triplets(t), t.passages).filter(F.col("pos_id") != F.col("neg_id"))
     cfg = EXACT
-    qs = K.query_slots(t.query_tokens, t.term_weights)
     pairs = tr.select("qid", F.col("pos_id").alias("doc_id")).unionByName(
         tr.select("qid", F.col("neg_id").alias("doc_id"))).distinct()
-    ds = K.doc_slots(t.tokens, pairs.select("doc_id").distinct(), cfg.n_psg)
-    soft = K.match_cells(pairs, qs, ds, t.expansion)
-    exact = K.match_cells(pairs, qs, ds, None)
-    feats = K.pooled_features(K.passage_features(soft, exact, cfg), pairs, cfg)
+    feats = K.pooled_features(K.passage_features(_rows(t, cfg.n_psg, pairs), cfg), pairs, cfg)
     return K.fit_fusion_weights(feats, feats, tr, cfg.feature_names)
 
 
@@ -212,29 +192,33 @@ def k17_grid_eval(t: Tables):
     """Exact and soft variants x windows {1,2} P 8 / {1,5} P 10 x
     passages 1..5 (20 configurations) reranked and evaluated in one job."""
     cand = _cand(t)
-    qs = K.query_slots(t.query_tokens, t.term_weights)
-    ds = K.doc_slots(t.tokens, cand.select("doc_id").distinct(), 5)
-    # the cell tables feed four feature shapes: materialise them once
-    # (reliable checkpoint; bounded by the candidates) instead of four times
-    from segrank.session import cut_lineage
-    soft = cut_lineage(K.match_cells(cand, qs, ds, t.expansion))
-    exact = cut_lineage(K.match_cells(cand, qs, ds, None))
-    cand = cut_lineage(cand.select("qid", "doc_id"))
-    runs = K.grid_runs(soft, exact, cand, GRID, {c.config_id: K.default_weights(c) for c in GRID})
+    runs = K.grid_runs(_rows(t, max(c.n_psg for c in GRID), cand), cand, GRID, {c.config_id: K.default_weights(c) for c in GRID})
     return M.summary(runs, t.qrels, group=("config_id",), groups=[c.config_id for c in GRID])
 
 
-def _grid_sql() -> str:
+def _grid_sql(configs: list, cand: str = "cand", prefix: str = "s") -> tuple[list[str], str]:
+    """CTEs with each shape's passage features, computed once, and the union of the configurations' metrics.  The features
+    of a passage number are computed after those of the one before, as all of them at once do not fit in memory."""
+    shapes = sorted({K.shape_of(c) for c in configs}, key=lambda x: x.name)
+    table = {x: f"{prefix}_f_{x.name.replace('-', '_')}" for x in shapes}
+    ctes, before = [], None
+    for x in shapes:
+        most = max(c.n_psg for c in configs if K.shape_of(c) == x)
+        for psg in range(most):
+            where = f"psg = {psg}" + (f" AND (SELECT count(*) FROM {before}) >= 0" if before else "")
+            before = f"{table[x]}_{psg}"
+            ctes.append(f"{before} AS MATERIALIZED ({O.passage_features_sql(prefix, x.exact, x.windows, x.proximity, where)})")
+        ctes.append(f"{table[x]} AS ({' UNION ALL '.join(f'SELECT * FROM {table[x]}_{psg}' for psg in range(most))})")
     parts = []
-    for c in GRID:
-        pf = O.passage_features_sql("s", c.exact, c.windows, c.proximity)
-        pooled_q = O.pooled_sql(f"SELECT * FROM ({pf}) WHERE psg < {c.n_psg}", "cand", c.feature_names)
+    for c in configs:
+        pooled_q = O.pooled_sql(f"SELECT * FROM {table[K.shape_of(c)]} WHERE psg < {c.n_psg}", cand, c.feature_names)
         rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, {O.dbl(w)} AS weight" for f, w in K.default_weights(c).items())
         rr = f"""(SELECT qid, doc_id, round(sum(weight * value), 6) AS score FROM ({pooled_q}) JOIN ({rows}) USING (feature) GROUP BY qid, doc_id)"""
         parts.append(f"SELECT '{c.config_id}' AS config_id, * FROM ({O.summary_sql(rr)})")
-    return O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", 5), final=" UNION ALL ".join(parts))
+    return ctes, " UNION ALL ".join(parts)
 
 
 from segrank.plans.catalog import REGISTRY  # noqa: E402
 
-REGISTRY["k17_grid_eval"] = (REGISTRY["k17_grid_eval"][0], _grid_sql())
+_ctes, _final = _grid_sql(GRID)
+REGISTRY["k17_grid_eval"] = (REGISTRY["k17_grid_eval"][0], O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", 5), *_ctes, final=_final))

@@ -19,13 +19,13 @@ BM25 = O.bm25_ctes(BM25_N) + [f"bm25_run AS ({O.bm25_run_sql(BM25_N, 1000)})"]
 PSG_RUN = [f"psg_run AS ({O.topk_sql('''(SELECT qid, doc_id, psg, round(CAST(sum(qw * w) AS DOUBLE), 6) AS score FROM query_impacts JOIN impacts USING (term) GROUP BY qid, doc_id, psg)''', 10000).replace('ORDER BY score DESC, doc_id ASC', 'ORDER BY score DESC, doc_id ASC, psg ASC')})"]
 
 
-def bm25_run(t: Tables, n: int | None = BM25_N, k: int = 1000):
-    toks, docs = t.doc_tokens(n)
-    return R.bm25(toks, docs, t.query_tokens, k)
+def bm25_run(t: Tables):
+    """The stored BM25 run (top 1000 over whole documents)."""
+    return t.bm25_top
 
 
 def psg_run(t: Tables, k: int = 10000):
-    return R.retrieve_passages(t.query_impacts, t.query_term_impacts.select("doc_id", "psg", "term", "w"), k)
+    return R.retrieve_passages_first(t.postings, t.query_impacts, t.lexicon, t.weight, k)
 
 
 @register("r2_dot_run", O.with_base(*DOT_RUN, final="SELECT qid, doc_id, rank, score FROM run"))
@@ -42,60 +42,113 @@ def r3_passage_run(t: Tables):
 
 @register("r4_bm25_run", O.with_base(*BM25, final="SELECT qid, doc_id, rank, score FROM bm25_run"))
 def r4_bm25_run(t: Tables):
-    """BM25 (k1 0.9, b 0.4) over the first 3 passages, top 1000."""
-    return bm25_run(t)
-
-
-_RM3 = O.bm25_ctes(BM25_N) + [
-    f"fb AS (SELECT qid, doc_id, score, score / sum(score) OVER (PARTITION BY qid) AS sn FROM ({O.bm25_run_sql(BM25_N, 10)}))",
-    """fb_tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM bm_tok
-               WHERE doc_id IN (SELECT doc_id FROM fb) GROUP BY doc_id, term)""",
-    """rm AS (SELECT qid, term, round(sum(sn * tf / dl), 9) AS p FROM fb JOIN fb_tf USING (doc_id) GROUP BY qid, term)""",
-    """rm_top AS (SELECT qid, term, p / sum(p) OVER (PARTITION BY qid) AS p FROM (
-      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, term ASC) AS rn FROM rm) WHERE rn <= 10)""",
-    f"""qm AS (SELECT qid, term, qweight / sum(qweight) OVER (PARTITION BY qid) AS p FROM {O.QTF})""",
-    """mixed AS (SELECT coalesce(a.qid, c.qid) AS qid, coalesce(a.term, c.term) AS term,
+    """BM25 (k1 0.9, b 0.4) over whole documents, top 1000."""
+    return R.bm25(t, t.query_tokens, 1000)
+
+
+def rm3_ctes(n: int | None, p: str = "bm") -> list[str]:
+    """RM3 on first-n documents: ``{p}_mixed(qid, term, qweight)``."""
+    return O.bm25_ctes(n, p) + [
+        f"{p}_fb AS (SELECT qid, doc_id, score, score / sum(score) OVER (PARTITION BY qid) AS sn FROM ({O.bm25_run_sql(n, 10, prefix=p)}))",
+        f"""{p}_fb_tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM {p}_tok
+               WHERE doc_id IN (SELECT doc_id FROM {p}_fb) GROUP BY doc_id, term)""",
+        f"{p}_rm AS (SELECT qid, term, round(sum(sn * tf / dl), 9) AS p FROM {p}_fb JOIN {p}_fb_tf USING (doc_id) GROUP BY qid, term)",
+        f"""{p}_rm_top AS (SELECT qid, term, p / sum(p) OVER (PARTITION BY qid) AS p FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, term ASC) AS rn FROM {p}_rm) WHERE rn <= 10)""",
+        f"{p}_qm AS (SELECT qid, term, qweight / sum(qweight) OVER (PARTITION BY qid) AS p FROM {O.QTF})",
+        f"""{p}_mixed AS (SELECT coalesce(a.qid, c.qid) AS qid, coalesce(a.term, c.term) AS term,
       coalesce(0.5 * a.p, 0.0) + coalesce(0.5 * c.p, 0.0) AS qweight
-      FROM qm a FULL OUTER JOIN rm_top c ON a.qid = c.qid AND a.term = c.term)""",
-]
+      FROM {p}_qm a FULL OUTER JOIN {p}_rm_top c ON a.qid = c.qid AND a.term = c.term)"""]
 
 
-@register("r5_rm3_run", O.with_base(*_RM3, final=f"SELECT qid, doc_id, rank, score FROM ({O.bm25_run_sql(BM25_N, 1000, 'mixed')})"))
+def rm3_run_sql(n: int | None, p: str = "bm") -> str:
+    return O.bm25_run_sql(n, 1000, f"{p}_mixed", prefix=p)
+
+
+@register("r5_rm3_run", O.with_base(*rm3_ctes(BM25_N), final=f"SELECT qid, doc_id, rank, score FROM ({rm3_run_sql(BM25_N)})"))
 def r5_rm3_run(t: Tables):
     """BM25 + RM3 (10 feedback docs, 10 terms, original weight 0.5)."""
-    toks, docs = t.doc_tokens(BM25_N)
-    return R.rm3(toks, docs, t.query_tokens, 1000)
+    return R.rm3(t, t.query_tokens, 1000)
+
 
+def sdm_ctes(n: int | None, p: str = "bm") -> list[str]:
+    """The weighted parts of the dependence model on first-n documents."""
+    return O.bm25_ctes(n, p) + [
+        f"{p}_uni AS (SELECT qid, doc_id, {O.dbl(0.85)} * s AS s FROM ({O.bm25_unit_sql(O.term_units_sql(O.QTF, p + '_tok'), p + '_stats')}))",
+        f"{p}_od AS (SELECT qid, doc_id, {O.dbl(0.15)} * s AS s FROM ({O.bm25_unit_sql(O.pair_units_sql(p + '_tok', None), p + '_stats')}))",
+        f"{p}_uw AS (SELECT qid, doc_id, {O.dbl(0.05)} * s AS s FROM ({O.bm25_unit_sql(O.pair_units_sql(p + '_tok', 8), p + '_stats')}))"]
 
-_SDM = O.bm25_ctes(BM25_N) + [
-    f"u_uni AS (SELECT qid, doc_id, {O.dbl(0.85)} * s AS s FROM ({O.bm25_unit_sql(O.term_units_sql(O.QTF, 'bm_tok'), 'bm_stats')}))",
-    f"u_od AS (SELECT qid, doc_id, {O.dbl(0.15)} * s AS s FROM ({O.bm25_unit_sql(O.pair_units_sql('bm_tok', None), 'bm_stats')}))",
-    f"u_uw AS (SELECT qid, doc_id, {O.dbl(0.05)} * s AS s FROM ({O.bm25_unit_sql(O.pair_units_sql('bm_tok', 8), 'bm_stats')}))",
-]
 
+def sdm_run_sql(p: str = "bm") -> str:
+    return O.topk_sql(f"""(SELECT qid, doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM {p}_uni UNION ALL SELECT * FROM {p}_od
+UNION ALL SELECT * FROM {p}_uw) GROUP BY qid, doc_id)""", 1000)
 
-@register("r6_sdm_run", O.with_base(*_SDM, final="SELECT qid, doc_id, rank, score FROM (" + O.topk_sql(
-    "(SELECT qid, doc_id, round(sum(s), 6) AS score FROM (SELECT * FROM u_uni UNION ALL SELECT * FROM u_od UNION ALL SELECT * FROM u_uw) GROUP BY qid, doc_id)", 1000) + ")"))
+
+@register("r6_sdm_run", O.with_base(*sdm_ctes(BM25_N), final=f"SELECT qid, doc_id, rank, score FROM ({sdm_run_sql()})"))
 def r6_sdm_run(t: Tables):
     """Sequential-dependence BM25 (0.85 / 0.15 / 0.05, window 8)."""
-    toks, docs = t.doc_tokens(BM25_N)
-    return R.sdm_bm25(toks, docs, t.query_tokens, 1000)
+    return R.sdm_bm25(t, t.query_tokens, 1000)
+
+
+def _sweep_sql(max_n: int, ctes, run) -> str:
+    """Metrics of ``max_n`` separate runs."""
+    ns = range(1, max_n + 1)
+    return O.with_base(*[c for n in ns for c in ctes(n, f"b{n}")], final=" UNION ALL ".join(
+        f"SELECT {n} AS n, * FROM ({O.summary_sql('(' + run(n, f'b{n}') + ')')})" for n in ns))
 
 
-def _sweep_sql(max_n: int) -> str:
-    parts = []
-    for n in range(1, max_n + 1):
-        ctes = O.bm25_ctes(n, f"b{n}")
-        parts.append((ctes, f"SELECT {n} AS n, * FROM ({O.summary_sql('(' + O.bm25_run_sql(n, 1000, prefix=f'b{n}') + ')')})"))
-    all_ctes = [c for ctes, _ in parts for c in ctes]
-    return O.with_base(*all_ctes, final=" UNION ALL ".join(q for _, q in parts))
+def _evaluated(t: Tables, runs, max_n: int):
+    return M.summary(runs, t.qrels, group=("n",), groups=list(range(1, max_n + 1)))
 
 
-@register("r7_bm25_sweep", _sweep_sql(10))
+@register("r7_bm25_sweep", _sweep_sql(10, O.bm25_ctes, lambda n, p: O.bm25_run_sql(n, 1000, prefix=p)))
 def r7_bm25_sweep(t: Tables):
     """BM25 over the first n = 1..10 passages in one pass; metrics per n."""
-    runs = R.bm25_sweep(t.passage_tf, t.passages, t.n_docs, t.query_tokens, 10, 1000)
-    return M.summary(runs, t.qrels, group=("n",), groups=list(range(1, 11)))
+    return _evaluated(t, R.bm25(t, t.query_tokens, 1000, list(range(1, 11))), 10)
+
+
+@register("r7_rm3_sweep", _sweep_sql(10, rm3_ctes, rm3_run_sql))
+def r7_rm3_sweep(t: Tables):
+    """R7 with feedback, as the jobs run it: RM3 over the first n = 1..10 passages; metrics per n."""
+    return _evaluated(t, R.rm3(t, t.query_tokens, 1000, list(range(1, 11))), 10)
+
+
+@register("r7_sdm_sweep", _sweep_sql(5, sdm_ctes, lambda n, p: sdm_run_sql(p)))
+def r7_sdm_sweep(t: Tables):
+    """R7 with dependence features: n = 1..5; metrics per n."""
+    return _evaluated(t, R.sdm_bm25(t, t.query_tokens, 1000, list(range(1, 6))), 5)
+
+
+@register("r1_postings", O.with_base(final="""
+SELECT term, doc_id, CAST(sum(tf) AS BIGINT) AS tf, any_value(n_psg) AS n_psg, CAST(any_value(dl) AS INTEGER) AS dl, any_value(df) AS df,
+       string_agg(psg || ':' || tf, ' ' ORDER BY psg) AS hits
+FROM (SELECT doc_id, n_psg, psg, term, count(*) AS tf FROM tokens GROUP BY doc_id, n_psg, psg, term)
+JOIN (SELECT doc_id, sum(n_tok) AS dl FROM passages GROUP BY doc_id) USING (doc_id) JOIN term_df USING (term)
+GROUP BY term, doc_id"""))
+def r1_postings(t: Tables):
+    """The stored postings, one row for each (term, document)."""
+    return t.postings.select("term", "doc_id", F.col("tf").cast("bigint").alias("tf"), "n_psg", "dl", "df", F.array_join(F.transform(
+        "hits", lambda h: F.concat_ws(":", h["psg"].cast("string"), h["tf"].cast("string"))), " ").alias("hits"))
+
+
+@register("r1_lexicon", O.with_base("""firsts AS (SELECT term, doc_id, min(psg) AS p, count(*) AS tf FROM tokens GROUP BY term, doc_id)""", final="""
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, count(CASE WHEN p < 1 THEN 1 END) AS df_1, count(CASE WHEN p < 3 THEN 1 END) AS df_3,
+       count(CASE WHEN p < 10 THEN 1 END) AS df_10 FROM firsts GROUP BY term"""))
+def r1_lexicon(t: Tables):
+    """Document frequencies, of whole documents and of their first 1, 3 and 10 passages, from one count of first passages."""
+    return t.lexicon.select("term", "df", "cf", *[F.col("dfs")[n - 1].alias(f"df_{n}") for n in (1, 3, 10)])
+
+
+@register("a7_sweep_eval", O.with_base(*[f"v_{mode}_{n} AS ({O.doc_agg_sql(mode, n)})" for mode in ("max", "sum", "mean") for n in range(1, 11)],
+                                       final=" UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, {n} AS n, * FROM ({O.summary_sql('(' + O.dot_run_sql('query_impacts', f'v_{mode}_{n}', 1000) + ')')})"
+    for mode in ("max", "sum", "mean") for n in range(1, 11))))
+def a7_sweep_eval(t: Tables):
+    """A7 as the jobs run it: document vectors by max, sum and mean of the first n = 1..10 passages, each retrieved (top
+    1000) and evaluated, in one pass over the postings."""
+    ns = list(range(1, 11))
+    runs = R.vector_sweep(t.postings, t.query_impacts, t.lexicon, t.weight, ns)
+    return M.summary(runs, t.qrels, group=("mode", "n"), groups=[(m, n) for m in ("max", "sum", "mean") for n in ns])
 
 
 # ------------------------------------------------------------------ runs (F)

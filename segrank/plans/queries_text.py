@@ -19,7 +19,7 @@ def t2_passages(t: Tables):
 @register("t3_tokens", O.with_base(final="SELECT doc_id, psg, pos, term FROM tokens"))
 def t3_tokens(t: Tables):
     """Token positions per passage."""
-    return t.tokens.select("doc_id", "psg", "pos", "term")
+    return segment.tokenize(t.passages)
 
 
 @register("t1_normalise", O.with_base(

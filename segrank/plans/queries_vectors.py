@@ -78,29 +78,38 @@ def e7_sum_pool(t: Tables):
     return V.token_weight_encoder(scores, PK, "log1p_relu", pool="sum")
 
 
-@register("e4_expansion", O.with_base(EXPANSION, final=f"""
-SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
-FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) WHERE w <> 0"""))
+# The weights are applied before the product, as in the plan: a maximum has a weight if one of its cells has one.
+_E4 = [EXPANSION, f"e4w AS MATERIALIZED (SELECT * FROM (SELECT src_term, term, {quant('ln(1 + greatest(s, 0.0))')} AS w FROM expansion) WHERE w <> 0)",
+       "present AS (SELECT DISTINCT doc_id, psg, term FROM tokens)",
+       """e4 AS MATERIALIZED (SELECT p.doc_id, p.psg, e.term, max(e.w) AS w FROM present p JOIN e4w e ON e.src_term = p.term
+GROUP BY p.doc_id, p.psg, e.term)"""]
+
+
+def _e4(t: Tables):
+    return V.expansion_encoder(t.passage_tf, PK, t.expansion)
+
+
+@register("e4_expansion", O.with_base(*_E4, final="""
+SELECT doc_id, psg, count(*) AS n_terms, CAST(sum(w) AS BIGINT) AS sum_w, max(w) AS max_w, min(term) AS first_term, max(term) AS last_term
+FROM e4 GROUP BY doc_id, psg"""))
 def e4_expansion(t: Tables):
-    """Expansion encoder (log1p-relu activation, max over positions)."""
-    return V.expansion_encoder(t.tokens, PK, t.expansion)
+    """Expansion vectors (all neighbours of all terms, log1p-relu activation, max over positions), a row a passage."""
+    return _e4(t).groupBy(*PK).agg(F.count(F.lit(1)).alias("n_terms"), F.sum("w").alias("sum_w"), F.max("w").alias("max_w"),
+                                   F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 
-@register("e4_expansion_whole", O.with_base(O.WHOLE_EXPANSION, final=f"""
-SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
-FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) WHERE w <> 0"""))
+@register("e4_expansion_whole", O.with_base(*_E4, final="""
+SELECT term, count(*) AS n_passages, CAST(sum(w) AS BIGINT) AS sum_w, max(w) AS max_w, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM e4 GROUP BY term"""))
 def e4_expansion_whole(t: Tables):
-    """E4 with all neighbours of all terms."""
-    return V.expansion_encoder(t.tokens, PK, t.whole_expansion)
+    """E4, the same vectors by column: a row a term."""
+    return _e4(t).groupBy("term").agg(F.count(F.lit(1)).alias("n_passages"), F.sum("w").alias("sum_w"), F.max("w").alias("max_w"),
+                                      F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@register("e8_gated_expansion", O.with_base(EXPANSION, final=f"""
-SELECT * FROM (SELECT doc_id, psg, e.term, {quant('max(ln(1 + greatest(e.s, 0.0)))')} AS w
-FROM tokens k JOIN expansion e ON e.src_term = k.term GROUP BY doc_id, psg, e.term) x
-WHERE w <> 0 AND EXISTS (SELECT 1 FROM tokens y WHERE y.doc_id = x.doc_id AND y.psg = x.psg AND y.term = x.term)"""))
+@register("e8_gated_expansion", O.with_base(*_E4, final="SELECT doc_id, psg, term, w FROM e4 JOIN present USING (doc_id, psg, term)"))
 def e8_gated_expansion(t: Tables):
     """Expansion vector gated to the terms present in the passage."""
-    return V.gate_to_bag_of_words(V.expansion_encoder(t.tokens, PK, t.expansion), t.tokens, PK)
+    return V.gated_expansion(t.passage_tf, PK, t.expansion)
 
 
 @register("e5_epic", O.with_base(final=f"""

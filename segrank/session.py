@@ -30,7 +30,7 @@ BASE_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "segrank") -> SparkSession:
+                app_name: str = "segrank", read_partitions: int | None = None) -> SparkSession:
     """Return the active session, or build a local one for tests / bench."""
     active = SparkSession.getActiveSession()
     if active is not None:
@@ -40,6 +40,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.master(master)
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
+    if read_partitions:
+        builder = builder.config("spark.segrank.readPartitions", str(read_partitions))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("SEGRANK_DRIVER_MEM", "16g"))

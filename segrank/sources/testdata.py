@@ -11,15 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    On a cluster the scan already has thousands of splits and nothing
-    happens; a small single-row-group file (the local fixtures) is
-    round-robin repartitioned so the CPU-heavy text work is parallel."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
+    """``df`` as the scan deals it, or dealt to ``spark.segrank.readPartitions`` tasks where a session sets that: a file of one row group
+    is otherwise read by one task.  Left unset on a cluster, where the files have enough row groups."""
+    n = df.sparkSession.conf.get("spark.segrank.readPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
