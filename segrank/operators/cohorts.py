@@ -63,11 +63,31 @@ def split_by_docs(df: DataFrame, short: DataFrame, cohort: str, key: str = "doc_
     return df.join(s, key, "left_semi" if cohort == "short" else "left_anti")
 
 
-def split_report(original: DataFrame, short_part: DataFrame, long_part: DataFrame) -> DataFrame:
-    """Sizes, differences and shares of a split (one row)."""
-    j = original.agg(F.count(F.lit(1)).alias("n_original")).select(
-        "n_original", short_part.agg(F.count(F.lit(1))).scalar().alias("n_short"),
-        long_part.agg(F.count(F.lit(1))).scalar().alias("n_long"))
+def tag_short(df: DataFrame, short: DataFrame, key: str = "doc_id", name: str = "is_short") -> DataFrame:
+    """``df`` with a flag: its document is short.  Everything else, absent documents too, counts as long."""
+    s = short.select(F.col("doc_id").alias(key)).distinct().withColumn(name, F.lit(True))
+    return df.join(s, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def tag_run(run: DataFrame, qrels: DataFrame, short: DataFrame) -> DataFrame:
+    """C10 in one pass: ``run`` with the cohort of each row, null where the query has no judged document in the
+    document's cohort."""
+    flags = tag_short(qrels, short).groupBy("qid").agg(F.max("is_short").alias("q_short"), F.max(~F.col("is_short")).alias("q_long"))
+    t = tag_short(run, short).join(flags, "qid", "left")
+    return t.withColumn("cohort", F.when(F.col("is_short") & F.col("q_short"), "short").when(~F.col("is_short") & F.col("q_long"), "long")) \
+        .drop("is_short", "q_short", "q_long")
+
+
+def tag_triplets(triplets: DataFrame, short: DataFrame) -> DataFrame:
+    """C12 in one pass: triplets with the cohort of both documents, null where they differ."""
+    t = tag_short(tag_short(triplets, short, "pos_id", "p"), short, "neg_id", "n")
+    return t.withColumn("cohort", F.when(F.col("p") & F.col("n"), "short").when(~F.col("p") & ~F.col("n"), "long")).drop("p", "n")
+
+
+def tagged_report(tagged: DataFrame) -> DataFrame:
+    """Sizes, differences and shares of a split (one row), from one pass over rows with their ``cohort``."""
+    j = tagged.agg(F.count(F.lit(1)).alias("n_original"), F.count(F.when(F.col("cohort") == "short", 1)).alias("n_short"),
+                   F.count(F.when(F.col("cohort") == "long", 1)).alias("n_long"))
     return j.select("n_original", "n_short", (F.col("n_original") - F.col("n_short")).alias("short_diff"),
                     F.round(F.col("n_short") / F.col("n_original"), 6).alias("short_share"),
                     "n_long", (F.col("n_original") - F.col("n_long")).alias("long_diff"),
@@ -79,25 +99,11 @@ def queries_with_docs(part: DataFrame) -> DataFrame:
     return part.select("qid").distinct()
 
 
-def split_run(run: DataFrame, short: DataFrame, cohort: str, cohort_queries: DataFrame) -> DataFrame:
-    """Run rows whose document is in the cohort and whose query has a
-    judged document in the cohort."""
-    return split_by_docs(run, short, cohort).join(cohort_queries, "qid", "left_semi")
-
-
 def clean_triplets(triplets: DataFrame) -> DataFrame:
     """C11: drop triplets whose positive equals the negative."""
     return triplets.filter(F.col("pos_id") != F.col("neg_id"))
 
 
-def split_triplets(triplets: DataFrame, short: DataFrame, cohort: str) -> DataFrame:
-    """Both documents short, or both not short; mixed triplets dropped."""
-    s = short.select("doc_id").distinct()
-    how = "left_semi" if cohort == "short" else "left_anti"
-    return (triplets.join(s.withColumnRenamed("doc_id", "pos_id"), "pos_id", how)
-            .join(s.withColumnRenamed("doc_id", "neg_id"), "neg_id", how))
-
-
 def is_member(short: DataFrame, doc_id: str) -> DataFrame:
     """C14: membership test of one document (zero or one row)."""
     return short.filter(F.col("doc_id") == doc_id)

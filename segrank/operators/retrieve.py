@@ -12,7 +12,6 @@ the aggregation.  ``ns`` lists the variants; None stands for whole documents.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,19 +52,6 @@ def top_k(scored: DataFrame, k: int, key: str | list[str] = "qid", item: str = "
         .withColumn("rank", F.col("rank").cast("int"))
 
 
-def impact_index(doc_impacts: DataFrame, path: str | None = None, buckets: int = 64) -> DataFrame:
-    """Postings ``(term, doc_id, w)``.  With ``path`` the table is written
-    bucketed by term (co-located joins for repeated retrieval)."""
-    postings = doc_impacts.select("term", "doc_id", "w")
-    if path is None:
-        return postings
-    spark = doc_impacts.sparkSession
-    name = "impact_index_" + hashlib.sha1(path.encode()).hexdigest()[:16]
-    postings.write.mode("overwrite").option("path", path).bucketBy(buckets, "term") \
-        .sortBy("term").saveAsTable(name)
-    return spark.table(name)
-
-
 def dot_scores(query_vec: DataFrame, doc_vec: DataFrame, doc_keys=("doc_id",)) -> DataFrame:
     """Sum of ``qw * w`` over shared terms for every (query, doc) pair."""
     joined = doc_vec.select(*doc_keys, "term", "w").join(query_vec.select("qid", "term", "qw"), "term")

@@ -278,33 +278,44 @@ def rerank(pairs: DataFrame, scores: DataFrame, k: int | None = None) -> DataFra
     return out.select("qid", "doc_id", "rank", "score")
 
 
-def fit_fusion_weights(pos_feats: DataFrame, neg_feats: DataFrame, triplets: DataFrame,
-                       feature_names: list[str], reg: float = 1e-3, max_iter: int = 100) -> DataFrame:
-    """Pairwise softmax cross-entropy of (pos, neg) with a linear scorer
-    and frozen features == logistic regression on feature differences
-    without intercept (the bias cancels).  Emits ``(+d, 1)`` and ``(-d, 0)``
-    for every triplet; small L2 keeps separable data finite.  Returns
-    ``fusion_weights(feature, weight)``."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    def wide(f, role):
-        return f.groupBy("qid", "doc_id").pivot("feature", feature_names).agg(F.first("value")) \
-            .select("qid", F.col("doc_id").alias(f"{role}_id"), *[F.col(c).alias(f"{role}_{c}") for c in feature_names])
-
-    t = triplets.join(wide(pos_feats, "pos"), ["qid", "pos_id"]).join(wide(neg_feats, "neg"), ["qid", "neg_id"])
-    diffs = [(F.col(f"pos_{c}") - F.col(f"neg_{c}")).alias(c) for c in feature_names]
-    # the fit is iterative: materialise its (small) input once in the
-    # shared checkpoint folder instead of re-running the feature plan
-    from segrank.session import cut_lineage
-    d = cut_lineage(t.select(*diffs))
-    both = d.select(*feature_names, F.lit(1.0).alias("label")).unionByName(
-        d.select(*[(-F.col(c)).alias(c) for c in feature_names], F.lit(0.0).alias("label")))
-    vec = VectorAssembler(inputCols=feature_names, outputCol="features").transform(both)
-    model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter, standardization=False).fit(vec)
-    coef = model.coefficients.toArray().tolist()
-    spark = triplets.sparkSession
-    return spark.createDataFrame(list(zip(feature_names, [float(c) for c in coef])), "feature string, weight double")
+def feature_differences(features: DataFrame, triplets: DataFrame, names: list[str]) -> DataFrame:
+    """``(qid, pos_id, neg_id, d0, d1, ..)``: the positive's features less the negative's."""
+    wide = features.groupBy(*PAIR).agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f"v{k}") for k, f in enumerate(names)])
+    side = lambda role: wide.select("qid", F.col("doc_id").alias(f"{role}_id"), *[F.col(f"v{k}").alias(f"{role}{k}") for k in range(len(names))])
+    t = triplets.join(side("pos"), ["qid", "pos_id"]).join(side("neg"), ["qid", "neg_id"])
+    return t.select("qid", "pos_id", "neg_id", *[(F.col(f"pos{k}") - F.col(f"neg{k}")).alias(f"d{k}") for k in range(len(names))])
+
+
+def fit_fusion_weights(differences: DataFrame, names: list[str], reg: float = 1e-3, tol: float = 1e-9,
+                       max_steps: int = 25) -> tuple[dict[str, float], list[tuple[int, str, float]]]:
+    """Pairwise softmax cross-entropy of (pos, neg) with a linear scorer and frozen features: the mean of
+    ``log(1 + exp(-w.d))`` plus ``reg / 2 |w|^2`` over the differences d (the bias cancels; the small penalty keeps separable
+    data finite).
+
+    Newton's method: each step is one aggregation over all differences, which yields loss, gradient and curvature (a
+    handful of sums, combined map-side), until the largest part of the gradient is below ``tol``.  ``differences`` is a stored
+    table, so that a step reads it and nothing else.  Returns the weights and the log ``(step, name, value)``: the loss and each
+    weight before every step (M6).  Without differences all weights are 0."""
+    import numpy as np
+    size = len(names)
+    d = [F.col(f"d{k}") for k in range(size)]
+    w, log = np.zeros(size), []
+    for step in range(max_steps):
+        z = sum((F.lit(float(w[k])) * d[k] for k in range(1, size)), F.lit(float(w[0])) * d[0])
+        z = F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(z))
+        row = differences.select(*d, p.alias("p"), F.log1p(F.exp(-z)).alias("loss")).agg(
+            F.avg("loss"), *[F.avg(F.col("p") * x) for x in d],
+            *[F.avg(F.col("p") * (1 - F.col("p")) * d[i] * d[j]) for i in range(size) for j in range(size)]).first()
+        if row[0] is None:
+            break
+        gradient = -np.array(row[1:1 + size]) + reg * w
+        curvature = np.array(row[1 + size:]).reshape(size, size) + reg * np.eye(size)
+        log += [(step, "loss", float(row[0]))] + [(step, f, float(x)) for f, x in zip(names, w)]
+        if np.abs(gradient).max() < tol:
+            break
+        w = w - np.linalg.solve(curvature, gradient)
+    return {f: float(x) for f, x in zip(names, w)}, log
 
 
 def grid_runs(rows: DataFrame, pairs: DataFrame, configs: list[SdmConfig], weights: dict[str, dict[str, float]]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrank.functions.text import PSG_SEP, normalise, sentences, tokens
+from segrank.functions.text import normalise, sentences, tokens
 
 DEFAULT_BUDGET = 400
 
@@ -81,20 +81,23 @@ def split_passages(corpus: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame
             .filter(F.col("psg").isNotNull()))
 
 
-def passage_ids(passages: DataFrame, sep: str = PSG_SEP) -> DataFrame:
-    """T5: external passage id ``doc_id<sep>psg``."""
-    return passages.withColumn("id", F.concat_ws(sep, "doc_id", F.col("psg").cast("string")))
-
-
 def tokenize(passages: DataFrame) -> DataFrame:
     """``tokens(doc_id, psg, pos, term)``, positions 0-based within the passage."""
     return (passages.select("doc_id", "psg", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "term"))
             .filter(F.col("term").isNotNull()))
 
 
-def token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """T3 token count per row."""
-    return df.withColumn("n_tok", F.size(tokens(F.col(text_col))))
+BOUNDARIES = ("[CLS]", "[SEP]")
+
+
+def with_boundary_slots(passage_terms: DataFrame) -> DataFrame:
+    """T3 with the mask of E9: ``(doc_id, psg, pos, term, special)`` from ``(doc_id, psg, terms)``.  The first and the last slot of a
+    passage are special tokens, so token i stands at slot i + 1 and a passage of n tokens has n + 2 slots: the boundary
+    slots of K4-K11."""
+    slot = lambda term, special: F.struct(term.alias("term"), F.lit(special).alias("special"))
+    slots = F.concat(F.array(slot(F.lit(BOUNDARIES[0]), True)), F.transform("terms", lambda t: slot(t, False)),
+                     F.array(slot(F.lit(BOUNDARIES[1]), True)))
+    return passage_terms.select("doc_id", "psg", F.posexplode(slots).alias("pos", "s")).select("doc_id", "psg", "pos", "s.term", "s.special")
 
 
 def normalise_collection(corpus: DataFrame, sep: str = "") -> DataFrame:
@@ -153,10 +156,13 @@ def max_passages(passages: DataFrame) -> DataFrame:
     return per_doc.agg(F.max("n").cast("bigint").alias("max_passages"))
 
 
-def split_collection(corpus: DataFrame, n_splits: int) -> DataFrame:
-    """Deterministic, line-complete split of a collection into
-    ``n_splits`` partitions by document; the split number is exposed."""
-    return corpus.repartition(n_splits, "doc_id").withColumn("split", F.spark_partition_id())
+def line_splits(lines: DataFrame, n_splits: int) -> DataFrame:
+    """``(value, offset, split)`` of text lines with their byte offsets (``io.read_lines_with_offsets``): the collection is cut
+    into ``n_splits`` pieces of equal bytes, each line going whole to the piece in which it begins.  The pieces depend on the
+    bytes alone, neither on partitions nor on a hash, and put together by offset they are the collection again."""
+    total = lines.agg(F.coalesce(F.sum("bytes"), F.lit(0))).scalar()
+    return lines.select("value", "bytes", "offset", F.expr("offset * %d" % n_splits).alias("_o")).withColumn(
+        "split", F.call_function("div", F.col("_o"), total).cast("int")).drop("_o")
 
 
 def drop_blocked(tokens_df: DataFrame, blocklist: DataFrame, term_col: str = "term") -> DataFrame:

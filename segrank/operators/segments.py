@@ -100,10 +100,16 @@ def ratio_summary(ratios: DataFrame) -> DataFrame:
         F.round(F.stddev_samp("ratio"), 6).alias("std"))
 
 
-def ratio_quantiles(ratios: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """V4 (violin shape): approximate quantiles per group."""
-    return ratios.groupBy("measure", "others").agg(
-        F.percentile_approx("ratio", list(probs), 10000).alias("quantiles"))
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+RANKS = 100_000      # a quantile's rank is at most n / RANKS off
+
+
+def ratio_quantiles(ratios: DataFrame, probs=QUANTILES, ranks: int = RANKS) -> DataFrame:
+    """V4 (violin shape): ``(measure, others, p, value, n)``, the value at rank ceil(p n).  Each task keeps a sketch of at most
+    about ``ranks`` values a group, the sketches are merged, and no group is sorted or collected."""
+    g = ratios.groupBy("measure", "others").agg(F.percentile_approx("ratio", list(probs), ranks).alias("q"), F.count("ratio").alias("n"))
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), F.col("q")[k].alias("value")) for k, p in enumerate(probs)])
+    return g.where("n > 0").select("measure", "others", F.inline(rows), "n").select("measure", "others", "p", "value", "n")
 
 
 def z_normalise(ratios: DataFrame) -> DataFrame:

@@ -110,6 +110,17 @@ class Tables:
         """The BM25 run (top 1000) that candidates, triplets and splits are taken from."""
         return self.store.table("bm25", ["documents", "benchmark"], lambda: bm25(self, self.query_tokens, 1000), budget=self.budget)
 
+    @cached_property
+    def doc_lengths(self) -> DataFrame:
+        """``(doc_id, n_psg)`` of the documents that have a passage."""
+        return self.forward.where("n_psg > 0").select("doc_id", "n_psg")
+
+    @cached_property
+    def differences(self) -> DataFrame:
+        """K15's input: the feature differences of every training triplet."""
+        from segrank.plans.queries_rerank import triplet_differences
+        return self.store.table("differences", ["documents", "benchmark", "labels"], lambda: triplet_differences(self), budget=self.budget)
+
     @cached_property
     def tokens(self) -> DataFrame:
         """``(doc_id, psg, n_psg, n_tok, pos, term)``."""

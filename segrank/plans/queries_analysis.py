@@ -23,7 +23,7 @@ DIST = ["""dist AS (SELECT n_psg, n_docs, CAST(sum(n_docs) OVER (ORDER BY n_psg
 
 
 def _short(t: Tables):
-    return C.short_docs(C.passages_per_doc(t.passages))
+    return C.short_docs(t.doc_lengths)
 
 
 @register("c1_doc_lengths", O.with_base(*COH, final="""
@@ -45,7 +45,7 @@ def c3_route(t: Tables):
 SELECT n_psg, n_docs, cum_docs, round(cum_share, 6) AS cum_share FROM dist"""))
 def c4_distribution(t: Tables):
     """C4: documents per passage count with cumulative count and share."""
-    d = C.length_distribution(C.passages_per_doc(t.passages))
+    d = C.length_distribution(t.doc_lengths)
     return d.withColumn("cum_share", F.round("cum_share", 6))
 
 
@@ -55,14 +55,14 @@ SELECT max(CASE WHEN cum_share <= 0.66 THEN n_psg END) AS max_n_within,
        CAST(sum(CASE WHEN cum_share > 0.66 THEN n_docs END) AS BIGINT) AS docs_beyond FROM dist"""))
 def c5_threshold(t: Tables):
     """Lengths covering up to 66% of the documents, and the remainder."""
-    return C.threshold_report(C.length_distribution(C.passages_per_doc(t.passages)))
+    return C.threshold_report(C.length_distribution(t.doc_lengths))
 
 
 @register("c6_top20", O.with_base(*COH, *DIST, final="""
 SELECT n_psg, n_docs, cum_docs, round(cum_share, 6) AS cum_share FROM dist ORDER BY n_psg LIMIT 20"""))
 def c6_top20(t: Tables):
     """The first 20 rows of the length histogram."""
-    d = C.first_rows(C.length_distribution(C.passages_per_doc(t.passages)), 20)
+    d = C.first_rows(C.length_distribution(t.doc_lengths), 20)
     return d.withColumn("cum_share", F.round("cum_share", 6))
 
 
@@ -86,18 +86,15 @@ FROM (SELECT count(*) AS n FROM {o}) o, (SELECT count(*) AS n FROM {s}) s, (SELE
 @register("c8_qrels_report", O.with_base(*COH, final=_REPORT.format(o="qrels", s="q_short", l="q_long")))
 def c8_qrels_report(t: Tables):
     """Sizes, differences and shares of the judgement split."""
-    sh = _short(t)
-    return C.split_report(t.qrels, C.split_by_docs(t.qrels, sh, "short"), C.split_by_docs(t.qrels, sh, "long"))
+    return C.tagged_report(C.tag_short(t.qrels, _short(t)).withColumn("cohort", F.when(F.col("is_short"), "short").otherwise("long")))
 
 
 @register("c9_query_split", O.with_base(*COH, final="""
 SELECT DISTINCT qid, 'short' AS cohort FROM q_short UNION ALL SELECT DISTINCT qid, 'long' FROM q_long"""))
 def c9_query_split(t: Tables):
     """Queries with a judged document in each cohort (may be in both)."""
-    sh = _short(t)
-    a = C.queries_with_docs(C.split_by_docs(t.qrels, sh, "short")).withColumn("cohort", F.lit("short"))
-    b = C.queries_with_docs(C.split_by_docs(t.qrels, sh, "long")).withColumn("cohort", F.lit("long"))
-    return a.unionByName(b)
+    tagged = C.tag_short(t.qrels, _short(t))
+    return tagged.select("qid", F.when(F.col("is_short"), "short").otherwise("long").alias("cohort")).distinct()
 
 
 RUN_SPLIT = ["""run_short AS (SELECT qid, doc_id, rank, score FROM bm25_run
@@ -106,26 +103,17 @@ RUN_SPLIT = ["""run_short AS (SELECT qid, doc_id, rank, score FROM bm25_run
   WHERE doc_id NOT IN (SELECT doc_id FROM short) AND qid IN (SELECT qid FROM q_long))"""]
 
 
-def _run_parts(t: Tables):
-    sh = _short(t)
-    run = bm25_run(t)
-    qs = C.queries_with_docs(C.split_by_docs(t.qrels, sh, "short"))
-    ql = C.queries_with_docs(C.split_by_docs(t.qrels, sh, "long"))
-    return run, C.split_run(run, sh, "short", qs), C.split_run(run, sh, "long", ql)
-
-
 @register("c10_run_split", O.with_base(*COH, *BM25, *RUN_SPLIT, final="""
 SELECT *, 'short' AS cohort FROM run_short UNION ALL SELECT *, 'long' FROM run_long"""))
 def c10_run_split(t: Tables):
     """BM25 run split by the cohort of the document and of the query."""
-    _, s, lg = _run_parts(t)
-    return s.withColumn("cohort", F.lit("short")).unionByName(lg.withColumn("cohort", F.lit("long")))
+    return C.tag_run(bm25_run(t), t.qrels, _short(t)).where("cohort IS NOT NULL")
 
 
 @register("c10_run_report", O.with_base(*COH, *BM25, *RUN_SPLIT, final=_REPORT.format(o="bm25_run", s="run_short", l="run_long")))
 def c10_run_report(t: Tables):
     """C8 pattern on the run split."""
-    return C.split_report(*_run_parts(t))
+    return C.tagged_report(C.tag_run(bm25_run(t), t.qrels, _short(t)))
 
 
 TRIP_SPLIT = ["clean AS (SELECT * FROM triplets WHERE pos_id <> neg_id)",
@@ -139,32 +127,28 @@ def c11_clean_triplets(t: Tables):
     return C.clean_triplets(_triplets(t))
 
 
+def _tagged_triplets(t: Tables):
+    return C.tag_triplets(C.clean_triplets(_triplets(t)), _short(t))
+
+
 @register("c12_triplet_split", O.with_base(*COH, *TRIPLETS, *TRIP_SPLIT, final="""
 SELECT qid, pos_id, neg_id, 'short' AS cohort FROM tr_short UNION ALL SELECT qid, pos_id, neg_id, 'long' FROM tr_long"""))
 def c12_triplet_split(t: Tables):
     """Triplets with both documents short / both long (mixed dropped)."""
-    sh = _short(t)
-    cl = C.clean_triplets(_triplets(t))
-    return C.split_triplets(cl, sh, "short").withColumn("cohort", F.lit("short")).unionByName(
-        C.split_triplets(cl, sh, "long").withColumn("cohort", F.lit("long")))
+    return _tagged_triplets(t).where("cohort IS NOT NULL")
 
 
 @register("c13_train_queries", O.with_base(*COH, *TRIPLETS, *TRIP_SPLIT, final="""
 SELECT DISTINCT qid, 'short' AS cohort FROM tr_short UNION ALL SELECT DISTINCT qid, 'long' FROM tr_long"""))
 def c13_train_queries(t: Tables):
     """Training queries per triplet cohort."""
-    sh = _short(t)
-    cl = C.clean_triplets(_triplets(t))
-    return C.queries_with_docs(C.split_triplets(cl, sh, "short")).withColumn("cohort", F.lit("short")).unionByName(
-        C.queries_with_docs(C.split_triplets(cl, sh, "long")).withColumn("cohort", F.lit("long")))
+    return _tagged_triplets(t).where("cohort IS NOT NULL").select("qid", "cohort").distinct()
 
 
 @register("c8_triplet_report", O.with_base(*COH, *TRIPLETS, *TRIP_SPLIT, final=_REPORT.format(o="clean", s="tr_short", l="tr_long")))
 def c8_triplet_report(t: Tables):
     """C8 pattern on the triplet split."""
-    sh = _short(t)
-    cl = C.clean_triplets(_triplets(t))
-    return C.split_report(cl, C.split_triplets(cl, sh, "short"), C.split_triplets(cl, sh, "long"))
+    return C.tagged_report(_tagged_triplets(t))
 
 
 # ------------------------------------------------------------------ P
@@ -224,7 +208,7 @@ SEG = ["seg_vec AS (SELECT doc_id, psg + 1 AS segment, term, w FROM impacts)",
 
 def _seg(t: Tables):
     sv = t.impacts.select("doc_id", (F.col("psg") + 1).alias("segment"), "term", "w")
-    ds = t.passages.select("doc_id", F.col("n_psg").alias("n_seg")).distinct()
+    ds = t.doc_lengths.select("doc_id", F.col("n_psg").alias("n_seg"))
     return sv, ds
 
 
@@ -260,6 +244,17 @@ def _ratios(t: Tables):
     return S.term_ratios(sv, ds)
 
 
+@register("v4_quantiles", O.with_base(*RATIOS, final="""
+SELECT measure, others, p, min(ratio) AS value, any_value(n) AS n
+FROM (SELECT measure, others, ratio, row_number() OVER (PARTITION BY measure, others ORDER BY ratio) AS r, count(*) OVER (PARTITION BY measure, others) AS n
+      FROM ratios WHERE ratio IS NOT NULL), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p)
+WHERE r >= ceil(p * n) GROUP BY measure, others, p"""))
+def v4_quantiles(t: Tables):
+    """V4 (violin shape): quantiles of every ratio by a mergeable sketch whose rank error is at most n / 100,000, none for
+    fewer values than that."""
+    return S.ratio_quantiles(_ratios(t))
+
+
 @register("v1_v3_ratios", O.with_base(*RATIOS, final="SELECT doc_id, measure, others, round(ratio, 6) AS ratio FROM ratios"))
 def v1_v3_ratios(t: Tables):
     """V1-V3: shared, global and unique term ratios of segment 1."""

@@ -7,8 +7,6 @@ is checked against the SQL statement of the original table.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from segrank.operators import aggregate as A
@@ -16,12 +14,12 @@ from segrank.plans import oracle as O
 from segrank.plans.catalog import FLAGSHIP_N, flagship_run, register
 from segrank.plans.derived import Tables
 from segrank.plans.queries_retrieval import BM25, DOT_RUN, bm25_run
-from segrank.session import ensure_checkpoint_dir
+from segrank.session import scratch
 from segrank.sources import io
 
 
 def _scratch(t: Tables, name: str) -> str:
-    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/io-{name}-{uuid.uuid4().hex}"
+    return scratch(t.spark, name)
 
 
 @register("s10_s3_trec_roundtrip", O.with_base(*BM25, final="SELECT qid, doc_id, rank, score, 'segrank' AS tag FROM bm25_run"))
@@ -41,11 +39,11 @@ def s9_s2_passages_roundtrip(t: Tables):
     return io.read_passages_tsv(t.spark, p)[0]
 
 
-@register("s11_s5_vectors_roundtrip", O.with_base(f"dv AS ({O.doc_agg_sql('max', FLAGSHIP_N)})",
+@register("s11_s5_vectors_roundtrip", O.with_base(f"dv AS ({O.doc_agg_sql('max', None)})",
                                                    final="SELECT doc_id, term, CAST(w AS INTEGER) AS w FROM dv"))
 def s11_s5_vectors_roundtrip(t: Tables):
     """S11 -> S5: document vectors as JSONL ``{"id", "vector"}`` and back."""
-    dv = A.aggregate_passages(t.impacts, "max", FLAGSHIP_N).withColumn("w", F.col("w").cast("int"))
+    dv = A.aggregate_passages(t.impacts, "max", None).withColumn("w", F.col("w").cast("int"))
     p = _scratch(t, "vec")
     io.write_vectors_jsonl(dv, p)
     rows, _ = io.read_vectors_jsonl(t.spark, p)
@@ -88,6 +86,19 @@ def s15_cohort_partitions(t: Tables):
     return t.spark.read.parquet(p).filter(F.col("cohort") == "short").select("doc_id", "psg", "cohort")
 
 
+@register("s15_run_partitions", O.with_base(*BM25, final="""
+SELECT r.qid, r.doc_id, r.rank, 'short' AS cohort, 200 AS k FROM bm25_run r
+WHERE rank <= 200 AND doc_id IN (SELECT doc_id FROM passages GROUP BY doc_id HAVING count(*) < 3)"""))
+def s15_run_partitions(t: Tables):
+    """S15 with its ``k`` level: the BM25 run cut at 200 and at 1000 rows a query, partitioned by cohort and k; one partition is read
+    back by pruning."""
+    p = _scratch(t, "runs")
+    tagged = t.bm25_top.join(t.doc_lengths, "doc_id").select("qid", "doc_id", "rank", F.when(F.col("n_psg") < 3, "short").otherwise("long").alias("cohort"))
+    cuts = F.explode(F.filter(F.array(F.lit(200), F.lit(1000)), lambda k: F.col("rank") <= k)).alias("k")
+    io.write_by_cohort(tagged.select("*", cuts), p)
+    return t.spark.read.parquet(p).where("cohort = 'short' AND k = 200").select("qid", "doc_id", "rank", "cohort", "k")
+
+
 @register("e17_batch_size", O.with_base(final="""
 SELECT count(*) AS n_vectors, max(n) AS max_entries FROM (SELECT doc_id, psg, count(*) AS n FROM impacts GROUP BY doc_id, psg)"""))
 def e17_batch_size(t: Tables):

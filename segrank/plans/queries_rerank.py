@@ -171,16 +171,83 @@ def k16_rerank_maxpsg_eval(t: Tables):
     return M.summary(reranked(t, EXACT, cand), t.qrels)
 
 
-@register("k15_fit_weights", None)
-def k15_fit_weights(t: Tables):
-    """Fusion weights fitted on triplets (logistic regression on
-    feature differences); iterative, so checked by rows and in the tests."""
-    tr = K.clean_triplets(_triplets(t), t.passages).filter(F.col("pos_id") != F.col("neg_id"))
-    cfg = EXACT
+def triplet_differences(t: Tables, cfg: K.SdmConfig = EXACT):
+    tr = K.clean_triplets(_triplets(t), t.doc_lengths).filter(F.col("pos_id") != F.col("neg_id"))
     pairs = tr.select("qid", F.col("pos_id").alias("doc_id")).unionByName(
         tr.select("qid", F.col("neg_id").alias("doc_id"))).distinct()
     feats = K.pooled_features(K.passage_features(_rows(t, cfg.n_psg, pairs), cfg), pairs, cfg)
-    return K.fit_fusion_weights(feats, feats, tr, cfg.feature_names)
+    return K.feature_differences(feats, tr, cfg.feature_names)
+
+
+FIT_STEPS, FIT_REG, FIT_TOL = 25, 1e-3, 1e-9
+
+
+def _fit_sql() -> list[str]:
+    """The same descent in SQL, step by step, for the three features of the exact configuration: ``w{k}(a, b, c)`` are the weights
+    before step k, ``s{k}`` the loss, gradient and curvature there (Cramer's rule solves for the step)."""
+    r = FIT_REG
+    features = O.passage_features_sql("t", True, (1, 2), 8)
+    wide = ", ".join(f"coalesce(max(CASE WHEN feature = '{f}' THEN value END), 0.0) AS v{k}" for k, f in enumerate(EXACT.feature_names))
+    out = [*TRIPLETS,
+           """fit_tr AS (SELECT * FROM triplets WHERE pos_id <> neg_id AND pos_id IN (SELECT doc_id FROM passages)
+  AND neg_id IN (SELECT doc_id FROM passages))""",
+           "fit_pairs AS (SELECT qid, pos_id AS doc_id FROM fit_tr UNION SELECT qid, neg_id FROM fit_tr)",
+           *O.sdm_ctes("fit_pairs", N_PSG, "t"),
+           f"""fit_f AS MATERIALIZED (SELECT p.qid, p.doc_id, {wide} FROM fit_pairs p LEFT JOIN ({features}) f ON f.qid = p.qid AND f.doc_id = p.doc_id
+  GROUP BY p.qid, p.doc_id)""",
+           """fit_d AS MATERIALIZED (SELECT p.v0 - n.v0 AS d0, p.v1 - n.v1 AS d1, p.v2 - n.v2 AS d2 FROM fit_tr x
+  JOIN fit_f p ON p.qid = x.qid AND p.doc_id = x.pos_id JOIN fit_f n ON n.qid = x.qid AND n.doc_id = x.neg_id)""",
+           "w0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, false AS done)"]
+    for k in range(FIT_STEPS):
+        out.append(f"""s{k} AS MATERIALIZED (SELECT *, greatest(abs(g0), abs(g1), abs(g2)) < {FIT_TOL} AS met,
+  h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+FROM (SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(done) AS done, avg(loss) AS loss,
+  -avg(p * d0) + {r} * any_value(a) AS g0, -avg(p * d1) + {r} * any_value(b) AS g1, -avg(p * d2) + {r} * any_value(c) AS g2,
+  avg(q * d0 * d0) + {r} AS h00, avg(q * d0 * d1) AS h01, avg(q * d0 * d2) AS h02, avg(q * d1 * d1) + {r} AS h11, avg(q * d1 * d2) AS h12,
+  avg(q * d2 * d2) + {r} AS h22
+ FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(z)) AS p, ln(1 + exp(-z)) AS loss
+  FROM (SELECT *, greatest(least(a * d0 + b * d1 + c * d2, 500.0), -500.0) AS z FROM fit_d, w{k})))))""")
+        out.append(f"""w{k + 1} AS MATERIALIZED (SELECT
+  CASE WHEN met OR done THEN a ELSE a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det END AS a,
+  CASE WHEN met OR done THEN b ELSE b - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det END AS b,
+  CASE WHEN met OR done THEN c ELSE c - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det END AS c,
+  met OR done AS done FROM s{k})""")
+    values = ", ".join(f"({k}, '{f}')" for k, f in enumerate(EXACT.feature_names))
+    out.append(f"""fitted AS (SELECT feature, round(CASE k WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 4) AS weight
+FROM w{FIT_STEPS}, (VALUES {values}) AS v(k, feature))""")
+    names = ["loss", *EXACT.feature_names]
+    out.append("fit_log AS (" + " UNION ALL ".join(
+        f"SELECT {k} AS step, '{f}' AS name, {c} AS value FROM s{k} WHERE NOT done" for k in range(FIT_STEPS) for f, c in zip(names, ("loss", "a", "b", "c"))) + ")")
+    return out
+
+
+def fitted(t: Tables):
+    """The fusion weights learnt from the triplets, rounded to 4 places, and the log of their training."""
+    w, log = K.fit_fusion_weights(t.differences, EXACT.feature_names, FIT_REG, FIT_TOL, FIT_STEPS)
+    return {f: round(x, 4) for f, x in w.items()}, log
+
+
+@register("k15_fit_weights", O.with_base(O.EXPANSION, *_fit_sql(), final="SELECT feature, weight FROM fitted"))
+def k15_fit_weights(t: Tables):
+    """Fusion weights fitted on the triplets (pairwise cross-entropy of feature differences)."""
+    return K.weights_frame(t.spark, fitted(t)[0])
+
+
+@register("m6_training_log", O.with_base(O.EXPANSION, *_fit_sql(), final="""
+SELECT CAST(step // 2 AS INTEGER) AS bucket, name, round(avg(value), 4) + 0.0 AS value FROM fit_log GROUP BY step // 2, name"""))
+def m6_training_log(t: Tables):
+    """M6: loss and weights of K15's descent, averaged over every two steps."""
+    history = t.spark.createDataFrame(fitted(t)[1], "step int, name string, value double")
+    return M.training_log(history, 2).withColumn("value", F.col("value") + 0.0)
+
+
+@register("k16_fitted_eval", O.with_base(O.EXPANSION, *_fit_sql(), f"cand AS (SELECT qid, doc_id, rank FROM bm25_run WHERE rank <= {CAND_K})",
+                                          *O.sdm_ctes("cand", N_PSG), "fw AS (SELECT feature, weight FROM fitted)",
+                                          f"rr AS ({_rerank_sql(EXACT)})", final=O.summary_sql("rr")))
+def k16_fitted_eval(t: Tables):
+    """K14-K16 with K15's weights: candidates reranked by the learnt fusion, evaluated."""
+    cand, pool = pooled(t, EXACT)
+    return M.summary(K.rerank(cand, K.fuse(pool, K.weights_frame(t.spark, fitted(t)[0]))), t.qrels)
 
 
 GRID = [K.SdmConfig(ex, win, prox, n) for ex in (True, False) for win, prox in (((1, 2), 8), ((1, 5), 10))
@@ -220,5 +287,40 @@ def _grid_sql(configs: list, cand: str = "cand", prefix: str = "s") -> tuple[lis
 
 from segrank.plans.catalog import REGISTRY  # noqa: E402
 
+COHORT_GRID = {cohort: [K.SdmConfig(True, win, prox, n) for win, prox in (((1, 2), 8), ((1, 5), 10)) for n in range(1, most + 1)]
+               for cohort, most in (("short", 2), ("long", 5))}
+
+
+def k17_cohort_grid(t: Tables):
+    """K17 as the evaluation jobs run it: the candidates of short documents with 1-2 passages, those of long ones with 1-5
+    (C10's split; queries with a judged document in the cohort), each reranked and evaluated on the cohort's judgements."""
+    from segrank.operators import cohorts as C
+    short = C.short_docs(t.doc_lengths)
+    tagged = C.tag_run(_cand(t), t.qrels, short)
+    parts = []
+    for cohort, configs in COHORT_GRID.items():
+        cand = tagged.where(F.col("cohort") == cohort)
+        runs = K.grid_runs(_rows(t, max(c.n_psg for c in configs), cand), cand, configs, {c.config_id: K.default_weights(c) for c in configs})
+        judged = C.split_by_docs(t.qrels, short, cohort)
+        parts.append(M.summary(runs, judged, group=("config_id",), groups=[c.config_id for c in configs]).withColumn("cohort", F.lit(cohort)))
+    return parts[0].unionByName(parts[1])
+
+
+def _cohort_grid_sql() -> str:
+    ctes, finals = list(CAND), []
+    ctes += ["doc_len AS (SELECT doc_id, max(psg) + 1 AS n_psg FROM passages GROUP BY doc_id)", "short AS (SELECT doc_id FROM doc_len WHERE n_psg < 3)"]
+    for cohort, configs in COHORT_GRID.items():
+        inside = "IN" if cohort == "short" else "NOT IN"
+        ctes.append(f"qrels_{cohort} AS (SELECT * FROM qrels WHERE doc_id {inside} (SELECT doc_id FROM short))")
+        ctes.append(f"""cand_{cohort} AS (SELECT * FROM cand WHERE doc_id {inside} (SELECT doc_id FROM short)
+  AND qid IN (SELECT qid FROM qrels_{cohort}))""")
+        ctes += O.sdm_ctes(f"cand_{cohort}", max(c.n_psg for c in configs), cohort[0])
+        more, final = _grid_sql(configs, f"cand_{cohort}", cohort[0])
+        ctes += more
+        finals.append(f"SELECT '{cohort}' AS cohort, * FROM ({final.replace('FROM qrels ', f'FROM qrels_{cohort} ')})")
+    return O.with_base(O.EXPANSION, *ctes, final=" UNION ALL ".join(finals))
+
+
 _ctes, _final = _grid_sql(GRID)
 REGISTRY["k17_grid_eval"] = (REGISTRY["k17_grid_eval"][0], O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", 5), *_ctes, final=_final))
+register("k17_cohort_grid", _cohort_grid_sql())(k17_cohort_grid)

@@ -8,6 +8,8 @@ from segrank.operators import segment
 from segrank.plans import oracle as O
 from segrank.plans.catalog import register
 from segrank.plans.derived import Tables
+from segrank.session import scratch
+from segrank.sources import io
 
 
 @register("t2_passages", O.with_base(final="SELECT doc_id, psg, text, n_tok, n_psg FROM passages"))
@@ -83,11 +85,25 @@ def t10_max_passages(t: Tables):
     return segment.max_passages(t.passages)
 
 
-@register("t11_splits", None)
+N_SPLITS = 4
+
+
+@register("t11_splits", O.with_base(
+    "lines AS (SELECT doc_id, octet_length(encode(doc_id || chr(9) || replace(replace(text, chr(10), ' '), chr(9), ' '))) + 1 AS bytes FROM corpus)",
+    "placed AS (SELECT doc_id, bytes, sum(bytes) OVER (ORDER BY doc_id) - bytes AS at FROM lines)", final=f"""
+SELECT CAST(at * {N_SPLITS} // (SELECT sum(bytes) FROM lines) AS INTEGER) AS split, count(*) AS n_docs, CAST(sum(bytes) AS BIGINT) AS n_bytes,
+       min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(min(at) AS BIGINT) AS starts_at FROM placed GROUP BY 1"""))
 def t11_splits(t: Tables):
-    """Line-complete split of the collection into 4 partitions by
-    document (Spark's hash; checked by row count and in the tests)."""
-    return segment.split_collection(t.corpus, 4).groupBy("split").agg(F.count(F.lit(1)).alias("n_docs"))
+    """The normalised collection, written as text files in the order of the ids and cut into 4 line-complete pieces by byte
+    offset."""
+    path = scratch(t.spark, "t11")
+    rows = segment.normalise_collection(t.corpus).select(F.col("doc_id").alias("id"), "text")
+    io.write_tsv(rows.repartitionByRange("id").sortWithinPartitions("id"), path)
+    lines = io.read_lines_with_offsets(t.spark, path)
+    first = F.substring_index("value", "\t", 1)
+    return segment.line_splits(lines, N_SPLITS).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("bytes").alias("n_bytes"), F.min(first).alias("first_id"), F.max(first).alias("last_id"),
+        F.min("offset").alias("starts_at"))
 
 
 @register("t12_blocklist", O.with_base(final="""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from segrank.operators import aggregate as A
+from segrank.operators import segment
 from segrank.plans import oracle as O
 from segrank.plans.catalog import register
 from segrank.plans.derived import Tables
+from segrank.plans.util import small
 
 
 @register("e2_impacts", O.with_base(final="SELECT doc_id, psg, term, w FROM impacts"))
@@ -64,11 +66,24 @@ def e2_scaled_binary(t: Tables):
 SELECT * FROM (SELECT doc_id, psg, term, {quant('max(ln(1 + greatest(scale, 0.0)))')} AS w
 FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
 def e3_token_weights(t: Tables):
-    """E3 + E6 + E7(max): ``log1p(relu(score))`` per position, max-pooled."""
-    scores = t.tokens.join(t.term_weights, "term").select(*PK, "pos", "term", F.col("scale").alias("s"))
+    """E3 + E6 + E7(max): ``log1p(relu(score))`` per position, max-pooled.  The score depends on the term, so each term of a
+    passage is read once, with its df from the posting: no join on a hot term."""
+    scores = t.passage_tf.select(*PK, F.lit(0).alias("pos"), "term", t.scale(F.col("df")).alias("s"))
     return V.token_weight_encoder(scores, PK, "log1p_relu", pool="max")
 
 
+@register("e7_abs_pool", O.with_base(final=f"""
+SELECT * FROM (SELECT doc_id, psg, term, {quant('arg_max(v, (abs(v), -pos))')} AS w
+FROM (SELECT doc_id, psg, pos, term, CASE WHEN pos % 3 = 1 THEN -scale ELSE scale END AS v FROM tokens JOIN term_weights USING (term))
+GROUP BY doc_id, psg, term) WHERE w <> 0"""))
+def e7_abs_pool(t: Tables):
+    """E7 abs: of signed position weights the one of largest magnitude, the first position winning ties (every third position is
+    made negative here)."""
+    s = F.when(F.col("pos") % 3 == 1, -F.col("scale")).otherwise(F.col("scale"))
+    scores = t.tokens.join(t.term_weights, "term").select(*PK, "pos", "term", s.alias("s"))
+    return V.token_weight_encoder(scores, PK, "identity", pool="abs")
+
+
 @register("e7_sum_pool", O.with_base(final=f"""
 SELECT * FROM (SELECT doc_id, psg, term, {quant('sum(ln(1 + greatest(scale, 0.0)))')} AS w
 FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
@@ -112,14 +127,52 @@ def e8_gated_expansion(t: Tables):
     return V.gated_expansion(t.passage_tf, PK, t.expansion)
 
 
+_EPIC = "ln(1 + (greatest(scale, 0.0) + ln(1 + exp(-abs(scale)))))"
+
+
 @register("e5_epic", O.with_base(final=f"""
 SELECT * FROM (SELECT doc_id, psg, term,
-  {quant('max(ln(1 + (greatest(scale, 0.0) + ln(1 + exp(-abs(scale))))))')} AS w
+  {quant(f'max({_EPIC})')} AS w
 FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
 def e5_epic(t: Tables):
     """E5: term importance ``log1p(softplus(score))``."""
-    scores = t.tokens.join(t.term_weights, "term").select(*PK, "term", F.col("scale").alias("s"))
-    return V.epic_encoder(scores, PK)
+    return V.epic_encoder(t.passage_tf.select(*PK, "term", t.scale(F.col("df")).alias("s")), PK)
+
+
+@register("e5_epic_importance", O.with_base(final=f"""
+SELECT * FROM (SELECT doc_id, psg, term,
+  {quant(f'max({_EPIC} * (1.0::DOUBLE / (1.0::DOUBLE + exp(-(CAST(n_tok AS DOUBLE) / 30.0 - 1.0)))))')} AS w
+FROM tokens JOIN term_weights USING (term) GROUP BY doc_id, psg, term) WHERE w <> 0"""))
+def e5_epic_importance(t: Tables):
+    """E5 with document importance: the same times ``sigmoid(x)`` of a passage score x (here of its length)."""
+    size = t.passage_terms.select(*PK, F.size("terms").alias("n_tok"))
+    scores = t.passage_tf.join(size, PK).select(*PK, "term", "n_tok", t.scale(F.col("df")).alias("s"))
+    return V.epic_encoder(scores, PK, F.col("n_tok").cast("double") / F.lit(30.0) - F.lit(1.0))
+
+
+# Slots with special tokens at both ends of a passage
+_SLOTS = """slots AS (SELECT doc_id, psg, pos + 1 AS pos, term, false AS special FROM tokens
+  UNION ALL SELECT doc_id, psg, 0, '[CLS]', true FROM passages WHERE n_tok >= 0 UNION ALL SELECT doc_id, psg, n_tok + 1, '[SEP]', true FROM passages)"""
+
+
+@register("e9_masked_slots", O.with_base(_SLOTS, final=f"""
+SELECT doc_id, psg, CAST(pos AS INTEGER) AS pos, term, special, CASE WHEN special THEN 0 ELSE {quant('0.3')} END AS w FROM slots"""))
+def e9_masked_slots(t: Tables):
+    """Every slot of every passage, boundary tokens too, with its E1 weight: a special token holds a slot but no weight."""
+    from segrank.functions.numeric import quantise
+    slots = segment.with_boundary_slots(t.passage_terms)
+    return slots.withColumn("w", F.when(F.col("special"), 0).otherwise(quantise(F.lit(0.3))))
+
+
+@register("e9_masked_encoder", O.with_base(_SLOTS, "marked_weights AS (SELECT * FROM term_weights UNION ALL SELECT '[CLS]', 9.0 UNION ALL SELECT '[SEP]', 9.0)",
+                                           final=f"""
+SELECT * FROM (SELECT doc_id, psg, term, {quant('max(ln(1 + greatest(scale, 0.0)))')} AS w
+FROM slots JOIN marked_weights USING (term) WHERE NOT special GROUP BY doc_id, psg, term) WHERE w <> 0"""))
+def e9_masked_encoder(t: Tables):
+    """E9 + E3: the token-weight encoder over marked slots; the boundary tokens have a learned score here, and no weight."""
+    marked = t.spark.createDataFrame([(b, 9.0) for b in segment.BOUNDARIES], "term string, scale double")
+    scores = segment.with_boundary_slots(t.passage_terms).join(t.term_weights.unionByName(marked), "term").withColumnRenamed("scale", "s")
+    return V.token_weight_encoder(scores, PK, "log1p_relu", pool="max")
 
 
 @register("e13_avg_nnz", O.with_base(final="""
@@ -133,15 +186,67 @@ def e13_avg_nnz(t: Tables):
     return V.avg_positive_entries(vec, ids, "id").select(F.round("avg_nnz", 6).alias("avg_nnz"), "n_vectors")
 
 
-@register("e14_rowwise_dot", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", final="""
+_E14 = """
 SELECT p.qid, p.doc_id, CAST(coalesce(d.dot, 0) AS BIGINT) AS dot
 FROM (SELECT DISTINCT qid, doc_id FROM qrels) p
-LEFT JOIN (SELECT q.qid, v.doc_id, sum(q.qw * v.w) AS dot FROM query_impacts q JOIN dv v USING (term)
+LEFT JOIN (SELECT q.qid, v.doc_id, sum(q.qw * v.w) AS dot FROM {first} q JOIN dv v USING (term)
            WHERE (q.qid, v.doc_id) IN (SELECT qid, doc_id FROM qrels) GROUP BY q.qid, v.doc_id) d
-  ON d.qid = p.qid AND d.doc_id = p.doc_id"""))
+  ON d.qid = p.qid AND d.doc_id = p.doc_id"""
+# an entry for each position of a query: equal terms are separate entries
+_ENTRIES = f"entries AS (SELECT * FROM (SELECT qid, term, {quant('scale')} AS qw FROM query_tokens JOIN term_weights USING (term)) WHERE qw <> 0)"
+
+
+def _query_entries(t: Tables):
+    from segrank.functions.numeric import quantise
+    return t.query_tokens.join(t.term_weights, "term").select("qid", "term", quantise(F.col("scale")).alias("qw")).where("qw <> 0")
+
+
+def _judged_vectors(t: Tables):
+    """Passage entries of the judged documents only."""
+    return t.impacts.join(small(t.qrels.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "term", "w")
+
+
+@register("e14_rowwise_dot", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", final=_E14.format(first="query_impacts")))
 def e14_rowwise_dot(t: Tables):
     """Query . document for every judged (query, document) pair."""
-    return V.rowwise_dot(t.query_impacts, t.doc_vectors("max", None), t.qrels)
+    return V.rowwise_dot(t.query_impacts, _judged_vectors(t), t.qrels)
+
+
+@register("e14_sparse_sparse", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", _ENTRIES, final=_E14.format(first="entries")))
+def e14_sparse_sparse(t: Tables):
+    """One entry a query position, one a passage term: the largest product with an equal entry counts for each."""
+    return V.rowwise_dot(_query_entries(t), _judged_vectors(t), t.qrels)
+
+
+def _query_columns(t: Tables):
+    """The query terms' column numbers, and how many there are."""
+    index = t.store.table("query_columns", ["documents", "benchmark"], lambda: V.vocabulary_index(t.query_tokens.select("term").distinct()))
+    return index, index.count()
+
+
+def _dense_documents(t: Tables, index, size: int):
+    return V.to_dense(V.reduce_duplicates(_judged_vectors(t), ["doc_id"], "amax"), "doc_id", index, size)
+
+
+@register("e14_sparse_dense", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", _ENTRIES, final=_E14.format(first="entries")))
+def e14_sparse_dense(t: Tables):
+    """Query entries pick the columns of dense document rows (duplicates reduced by maximum, E11)."""
+    index, size = _query_columns(t)
+    return V.sparse_dense_dot(_query_entries(t), _dense_documents(t, index, size), t.qrels, index)
+
+
+@register("e14_dense_dense", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", _ENTRIES, final=_E14.format(first="entries")))
+def e14_dense_dense(t: Tables):
+    """Both sides as arrays over the query terms; the queries' equal entries are summed."""
+    index, size = _query_columns(t)
+    queries = V.to_dense(V.reduce_duplicates(_query_entries(t), ["qid"], "sum", "qw"), "qid", index, size, "qw")
+    return V.dense_dot(queries, _dense_documents(t, index, size), t.qrels)
+
+
+@register("e11_amax", O.with_base(final="SELECT doc_id, term, CAST(greatest(max(w), 0) AS INTEGER) AS w FROM impacts GROUP BY doc_id, term"))
+def e11_amax(t: Tables):
+    """E11 amax: equal terms of a document's passages reduced to the largest weight, never below 0."""
+    return V.reduce_duplicates(t.impacts, ["doc_id"], "amax")
 
 
 @register("e15_all_pairs_dot", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", final="""
@@ -151,6 +256,15 @@ def e15_all_pairs_dot(t: Tables):
     return V.all_pairs_dot(t.query_impacts, t.doc_vectors("max", None))
 
 
+@register("e15_top_dots", O.with_base(f"dv AS ({doc_agg_sql('max', None)})", final="""
+SELECT qid, doc_id, dot, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY dot DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT qid, doc_id, CAST(sum(qw * w) AS DOUBLE) AS dot FROM query_impacts JOIN dv USING (term) GROUP BY qid, doc_id)) WHERE rank <= 100"""))
+def e15_top_dots(t: Tables):
+    """E15 in blocks: the 100 largest dot products of every query, kept while blocks of documents stream by."""
+    docs = t.impacts.groupBy("term", "doc_id").agg(F.max("w").alias("w"))
+    return V.block_top_dots(t.query_impacts, docs, 100)
+
+
 @register("e16_repeat", O.with_base(final="""
 SELECT qid, term, qw, CAST(r AS INTEGER) AS rep FROM query_impacts, range(1, 3) AS g(r)"""))
 def e16_repeat(t: Tables):

@@ -6,7 +6,7 @@ the data while exposing how many were rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segrank.functions.text import PSG_SEP
@@ -187,18 +187,15 @@ def write_by_cohort(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy(*parts).parquet(path)
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether the folder's last write was committed (its success marker is
-    there)."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
-
-
-def materialize(df: DataFrame, path: str) -> DataFrame:
-    """Reuse a derived table if a committed write of it is there, else
-    write it (Parquet in a shared location) and read it back.  What an
-    uncommitted write left behind is replaced; any other error is raised."""
-    spark = df.sparkSession
-    if not is_complete(spark, path):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def read_lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, bytes, offset)``: lines of the text files under ``path`` with their place in the files laid end to end in the
+    order of their names.  A block's lines are whole lines, so the bytes of all blocks before it are the offset of its
+    first one, wherever a line crosses the border of two blocks; within a block the offset is a running sum."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", (F.octet_length("value") + 1).cast("long").alias("bytes"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("file", "block").agg(F.sum("bytes").alias("size"))      # one row for each block of a file
+    base = blocks.select("file", "block", (F.sum("size").over(Window.orderBy("file", "block")) - F.col("size")).alias("_base"))
+    run = F.sum("bytes").over(Window.partitionBy("file", "block").orderBy("_at"))
+    return (lines.withColumn("_run", run - F.col("bytes")).join(base, ["file", "block"])
+            .select("value", "bytes", (F.col("_base") + F.col("_run")).alias("offset")))

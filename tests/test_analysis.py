@@ -16,8 +16,17 @@ def test_triplet_cleaning_and_split(spark):
     t = spark.createDataFrame([("q", "s1", "s1"), ("q", "s1", "s2"), ("q", "s1", "l1")], "qid string, pos_id string, neg_id string")
     cl = C.clean_triplets(t)
     assert cl.count() == 2
-    assert [(r.pos_id, r.neg_id) for r in C.split_triplets(cl, short, "short").collect()] == [("s1", "s2")]
-    assert C.split_triplets(cl, short, "long").count() == 0
+    tagged = {(r.pos_id, r.neg_id): r.cohort for r in C.tag_triplets(cl, short).collect()}
+    assert tagged == {("s1", "s2"): "short", ("s1", "l1"): None}
+    assert C.tagged_report(C.tag_triplets(cl, short)).first().n_short == 1
+
+
+def test_run_tags(spark):
+    short = spark.createDataFrame([("s",)], "doc_id string")
+    qrels = spark.createDataFrame([("a", "s", 1), ("b", "l", 1)], "qid string, doc_id string, rel int")
+    run = spark.createDataFrame([("a", "s", 1), ("a", "l", 2), ("b", "s", 1), ("b", "absent", 2), ("c", "s", 1)], "qid string, doc_id string, rank int")
+    got = {(r.qid, r.doc_id): r.cohort for r in C.tag_run(run, qrels, short).collect()}
+    assert got == {("a", "s"): "short", ("a", "l"): None, ("b", "s"): None, ("b", "absent"): "long", ("c", "s"): None}
 
 
 def test_distribution_and_threshold(spark):

@@ -77,16 +77,14 @@ def test_features_match_dense_formulation(spark):
         d = [rnd.choice(vocab) for _ in range(rnd.randint(1, 12))]
         cases.append((f"q{c}", q, f"d{c}", d))
     qrows = [(qid, i + 1, t, wts[t], len(q) + 2) for qid, q, _, _ in cases for i, t in enumerate(q)]
-    drows = [(did, 0, j + 1, t, len(d) + 2) for _, _, did, d in cases for j, t in enumerate(d)]
     qs = spark.createDataFrame(qrows, "qid string, i int, term string, wq double, q_len int")
-    ds = spark.createDataFrame(drows, "doc_id string, psg int, j int, term string, d_len int")
+    ds = spark.createDataFrame([(did, 0, d) for _, _, did, d in cases], "doc_id string, psg int, terms array<string>")
     exp = spark.createDataFrame([(a, b, v) for (a, b), v in s.items()], "src_term string, term string, s double")
     pairs = spark.createDataFrame([(qid, did) for qid, _, did, _ in cases], "qid string, doc_id string")
-    soft = K.match_cells(pairs, qs, ds, exp).cache()
-    exact = K.match_cells(pairs, qs, ds, None).cache()
+    rows = K.match_rows(pairs, ds, K.query_expansion(qs, exp), 1).cache()
     for cfg in (K.SdmConfig(True, (1, 2), 3), K.SdmConfig(False, (1, 3), 4), K.SdmConfig(True, (1, 5), 10)):
         got = {(r.qid, r.feature): r.value for r in
-               K.pooled_features(K.passage_features(soft, exact, cfg), pairs, cfg).collect()}
+               K.pooled_features(K.passage_features(rows, cfg), pairs, cfg).collect()}
         for qid, q, did, d in cases:
             want = _dense(q, [wts[t] for t in q], d, s, cfg.windows, cfg.proximity, cfg.exact)
             for f in cfg.feature_names:
@@ -95,15 +93,14 @@ def test_features_match_dense_formulation(spark):
 
 def test_exact_features_not_above_soft(spark):
     qs = spark.createDataFrame([("q", 1, "a", 1.0, 4), ("q", 2, "b", 1.0, 4)], "qid string, i int, term string, wq double, q_len int")
-    ds = spark.createDataFrame([("d", 0, 1, "a", 5), ("d", 0, 2, "c", 5), ("d", 0, 3, "b", 5)],
-                               "doc_id string, psg int, j int, term string, d_len int")
+    ds = spark.createDataFrame([("d", 0, ["a", "c", "b"])], "doc_id string, psg int, terms array<string>")
     exp = spark.createDataFrame([("a", "a", 1.0), ("b", "b", 1.0), ("c", "c", 1.0), ("c", "b", 0.5)],
                                 "src_term string, term string, s double")
     pairs = spark.createDataFrame([("q", "d")], "qid string, doc_id string")
     cfg_e, cfg_s = K.SdmConfig(True, (1, 2), 3), K.SdmConfig(False, (1, 2), 3)
-    soft, exact = K.match_cells(pairs, qs, ds, exp), K.match_cells(pairs, qs, ds, None)
-    e = {r.feature: r.value for r in K.pooled_features(K.passage_features(soft, exact, cfg_e), pairs, cfg_e).collect()}
-    s_ = {r.feature: r.value for r in K.pooled_features(K.passage_features(soft, exact, cfg_s), pairs, cfg_s).collect()}
+    rows = K.match_rows(pairs, ds, K.query_expansion(qs, exp), 1)
+    e = {r.feature: r.value for r in K.pooled_features(K.passage_features(rows, cfg_e), pairs, cfg_e).collect()}
+    s_ = {r.feature: r.value for r in K.pooled_features(K.passage_features(rows, cfg_s), pairs, cfg_s).collect()}
     assert all(e[f] <= s_[f] + 1e-12 for f in cfg_e.feature_names)
     # "a b" is not adjacent in the document -> exact ordered bigram is 0;
     # soft: windows starting at query slots 0, 1, 2 score ln 2, ln 2 + ln 1.5, ln 2
@@ -119,16 +116,47 @@ def test_missing_passages_give_zero_features(spark):
     assert all(r.value == 0.0 for r in got)
 
 
-def test_fit_weights_recovers_sign(spark):
-    rows_f = []
-    trip = []
+def test_long_passages_are_laid_out_in_blocks():
+    rnd = np.random.default_rng(5)
+    for _ in range(40):
+        q_len, d_len, cells = int(rnd.integers(3, 8)), int(rnd.integers(3, 60)), int(rnd.integers(1, 80))
+        at = np.unique(rnd.integers(0, q_len * d_len, cells))
+        i, j, m, same = at // d_len, at % d_len, rnd.random(len(at)) + 0.1, rnd.random(len(at)) < 0.6
+        for shape in (K.Shape(True, (1, 2), 3), K.Shape(False, (1, 3), 5)):
+            want = K.matrix_features(q_len, d_len, i, j, m, same, shape)
+            for block in (1, 2, 7, 30):
+                got = K.matrix_features(q_len, d_len, i, j, m, same, shape, block)
+                assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+
+
+def _fit_case(spark, signal):
     rnd = random.Random(1)
-    for k in range(30):
+    feats, trip = [], []
+    for k in range(60):
         q = f"q{k}"
-        rows_f += [(q, f"p{k}", "O_1", 2.0 + rnd.random()), (q, f"p{k}", "O_2", rnd.random()),
-                   (q, f"n{k}", "O_1", 1.0 + rnd.random()), (q, f"n{k}", "O_2", rnd.random())]
+        up = 1.0 if rnd.random() < signal else -1.0
+        feats += [(q, f"p{k}", "O_1", 2.0 + up * rnd.random()), (q, f"p{k}", "O_2", rnd.random()),
+                  (q, f"n{k}", "O_1", 2.0 + rnd.random() * 0.3), (q, f"n{k}", "O_2", rnd.random())]
         trip.append((q, f"p{k}", f"n{k}"))
-    f = spark.createDataFrame(rows_f, "qid string, doc_id string, feature string, value double")
-    t = spark.createDataFrame(trip, "qid string, pos_id string, neg_id string")
-    w = {r.feature: r.weight for r in K.fit_fusion_weights(f, f, t, ["O_1", "O_2"]).collect()}
-    assert w["O_1"] > 0
+    f = spark.createDataFrame(feats, "qid string, doc_id string, feature string, value double")
+    return feats, K.feature_differences(f, spark.createDataFrame(trip, "qid string, pos_id string, neg_id string"), ["O_1", "O_2"])
+
+
+def test_fit_weights_is_stationary_and_logged(spark):
+    feats, diffs = _fit_case(spark, 0.8)
+    w, log = K.fit_fusion_weights(diffs.cache(), ["O_1", "O_2"])
+    v = {(q, d, f): x for q, d, f, x in feats}
+    d = np.array([[v[f"q{k}", f"p{k}", f] - v[f"q{k}", f"n{k}", f] for f in ("O_1", "O_2")] for k in range(60)])
+    x = np.array([w["O_1"], w["O_2"]])
+    p = 1 / (1 + np.exp(d @ x))
+    assert np.abs(-(p[:, None] * d).mean(axis=0) + 1e-3 * x).max() < 1e-8 and w["O_1"] > 0
+    losses = [val for _, name, val in log if name == "loss"]
+    assert abs(losses[0] - math.log(2)) < 1e-12 and losses[-1] < losses[0]
+    assert {name for _, name, _ in log} == {"loss", "O_1", "O_2"} and len(log) == 3 * len(losses)
+
+
+def test_fit_weights_of_separable_and_empty_input(spark):
+    _, diffs = _fit_case(spark, 1.0)
+    w, _ = K.fit_fusion_weights(diffs, ["O_1", "O_2"])
+    assert w["O_1"] > 0 and all(math.isfinite(x) for x in w.values())
+    assert K.fit_fusion_weights(diffs.limit(0), ["O_1", "O_2"])[0] == {"O_1": 0.0, "O_2": 0.0}

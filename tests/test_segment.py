@@ -62,11 +62,3 @@ def test_normalise_and_blocklist(spark):
     toks = spark.createDataFrame([("d", 0, 0, "a"), ("d", 0, 1, "b")], "doc_id string, psg int, pos int, term string")
     bl = spark.createDataFrame([("a",)], "term string")
     assert [r.term for r in T.drop_blocked(toks, bl).collect()] == ["b"]
-
-
-def test_split_collection_is_line_complete(spark):
-    docs = _docs(spark, [(str(i), "x") for i in range(50)])
-    s = T.split_collection(docs, 4)
-    assert s.count() == 50
-    assert s.select("doc_id").distinct().count() == 50
-    assert s.groupBy("doc_id").agg(F.countDistinct("split").alias("k")).filter("k > 1").count() == 0

@@ -43,14 +43,6 @@ def test_readers_reject_bad_lines(spark, tmpdir_path):
     assert probe(io.read_json_run, '{"q": {"d": 1.0}}\n{bad\n') == ([("q", "d", 1.0)], ["{bad"])
 
 
-def test_half_written_table_is_replaced(spark, tmpdir_path):
-    p = os.path.join(tmpdir_path, "half")
-    df = spark.range(5)
-    df.write.parquet(p)
-    os.remove(os.path.join(p, "_SUCCESS"))
-    assert io.materialize(spark.range(7), p).count() == 7
-
-
 def test_run_roundtrips(spark, tmpdir_path):
     run = spark.createDataFrame([("q1", "a", 1, 2.5), ("q1", "b", 2, 1.0), ("q2", "c", 1, 3.0)],
                                 "qid string, doc_id string, rank int, score double")
@@ -109,15 +101,80 @@ def test_streaming_ingest(spark, tmpdir_path):
         ("t" + os.path.basename(tmpdir_path), 0)}
 
 
-def test_materialize_and_impact_index(spark, tmpdir_path):
+def _docs(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def test_store_reuses_finished_tables_only(spark, tmpdir_path):
+    from segrank.sources.store import Store
+    src, root = os.path.join(tmpdir_path, "in.parquet"), os.path.join(tmpdir_path, "root")
+    _docs(spark, src, [(1, "a"), (2, "b")])
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(src)
+
+    def rows(**params):
+        return sorted(r.doc_id for r in Store(spark, {"documents": src}, root).table("t", ["documents"], build, **params).collect())
+
+    assert rows() == rows() == [1, 2] and len(made) == 1
+    assert rows(k=2) == [1, 2] and len(made) == 2             # other parameters
+    _docs(spark, src, [(1, "a"), (3, "c"), (4, "d")])
+    assert rows() == [1, 3, 4] and len(made) == 3             # changed input
+    store = Store(spark, {"documents": src}, root)
+    place = store.place("u", ["documents"], {})
+    spark.range(5).write.parquet(f"{place}/data-unfinished")  # a write that never ended has no marker
+    assert store.table("u", ["documents"], build).count() == 3 and len(made) == 4
+
+
+def test_bucketed_table_is_found_again_without_the_catalog(spark, tmpdir_path):
+    from segrank.sources.store import Store
+    src, root = os.path.join(tmpdir_path, "in.parquet"), os.path.join(tmpdir_path, "root")
+    _docs(spark, src, [(k, f"t{k % 7}") for k in range(50)])
+    build = lambda: spark.read.parquet(src).repartition(4, "text")
+    store = Store(spark, {"documents": src}, root)
+    first = store.bucketed("b", ["documents"], build, ["text"], ["text"], 4)
+    assert first.count() == 50
+    spark.sql(f"DROP TABLE {store._name(store._finished(store.place('b', ['documents'], {'by': ['text'], 'sort': ['text'], 'buckets': 4})))}")
+    again = store.bucketed("b", ["documents"], build, ["text"], ["text"], 4)
+    assert sorted(again.collect()) == sorted(spark.read.parquet(src).collect())
+    assert "Exchange" not in again.groupBy("text").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sliced_postings(spark, tmpdir_path):
+    """Terms above SLICE_ROWS are cut into slices; runs do not change."""
     from segrank.operators import retrieve as R
-    df = spark.createDataFrame([("d", "a", 3), ("e", "a", 1), ("e", "b", 2)], "doc_id string, term string, w int")
-    p = os.path.join(tmpdir_path, "m")
-    first = io.materialize(df, p)
-    again = io.materialize(df.limit(0), p)      # reused, not rewritten
-    assert first.count() == 3 and again.count() == 3
-    idx = R.impact_index(df, os.path.join(tmpdir_path, "idx"), buckets=4)
-    assert sorted((r.term, r.doc_id, r.w) for r in idx.collect()) == [("a", "d", 3), ("a", "e", 1), ("b", "e", 2)]
+    from segrank.plans.derived import Tables
+    whole, cut = Tables(spark, "/root/testdata/sf0.001"), Tables(spark, "/root/testdata/sf0.001", slice_rows=20)
+    assert cut.postings.agg({"slice": "max"}).first()[0] >= 5 and whole.postings.agg({"slice": "max"}).first()[0] == 0
+    cols = ["term", "doc_id", "tf", "df", "hits"]
+    assert sorted(map(repr, whole.postings.select(cols).collect())) == sorted(map(repr, cut.postings.select(cols).collect()))
+    for run in (R.bm25, R.rm3, R.sdm_bm25):
+        assert sorted(run(whole, whole.query_tokens, 50).collect()) == sorted(run(cut, cut.query_tokens, 50).collect())
+
+
+def test_line_offsets_across_blocks_and_files(spark, tmpdir_path):
+    from segrank.operators import segment
+    lines = [f"{k:03d}" + "é" * (k * 7 % 40) + ("\r" if k % 5 == 0 else "") for k in range(200)]
+    p = os.path.join(tmpdir_path, "lines")
+    os.makedirs(p)
+    for k in range(2):
+        with open(os.path.join(p, f"part-{k}.txt"), "w", newline="") as f:
+            f.write("".join(x + "\n" for x in lines[100 * k:100 * k + 100]))
+    at, offsets = 0, []
+    for x in lines:
+        offsets.append((x, at))
+        at += len(x.encode()) + 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")       # blocks that end within lines
+        got = segment.line_splits(io.read_lines_with_offsets(spark, p), 3).collect()
+        assert len({r.offset for r in got}) == 200
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.value, r.offset) for r in got) == sorted(offsets)
+    assert all(r.split == r.offset * 3 // at for r in got) and {r.split for r in got} == {0, 1, 2}
 
 
 def test_training_log(spark):

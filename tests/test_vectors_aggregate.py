@@ -71,27 +71,100 @@ def test_dots_and_vocab_index(spark):
     assert idx == {"alpha": 0, "bravo": 1, "charlie": 2, "delta": 3, "echo": 4}
 
 
-def test_expansion_defaults_leave_nothing_out(spark):
+def test_expansion_leaves_nothing_out(spark):
+    docs = [(str(k), [["hub", f"t{k}", "hub", f"rare{k}"]]) for k in range(8)]
+    forward = spark.createDataFrame(docs, "doc_id string, psgs array<array<string>>")
+    cf = {"hub": 16, **{f"t{k}": 1 for k in range(8)}, **{f"rare{k}": 1 for k in range(8)}}
+    lexicon = spark.createDataFrame(list(cf.items()), "term string, cf long")
+    got = {(r.src_term, r.term): r.s for r in V.dice_expansion(V.window_pair_counts(forward), lexicon).collect()}
+    want = {(t, t): 1.0 for t in cf}
+    for k in range(8):
+        for a, b, c in (("hub", f"t{k}", 2), ("hub", f"rare{k}", 1), (f"t{k}", f"rare{k}", 1)):
+            want[a, b] = want[b, a] = 2.0 * c / (cf[a] + cf[b])
+    assert got == want
+
+
+def _brute_expansion(texts, table):
+    import math
+    out = {}
+    for key, terms in texts.items():
+        for t in set(terms):
+            for (a, b), s in table.items():
+                if a == t:
+                    out[key, b] = max(out.get((key, b), 0.0), math.log1p(max(s, 0.0)))
+    # E10 multiplies in float32
+    import numpy as np
+    return {k: w for k, v in out.items() if (w := int(np.float32(v) * np.float32(100)))}
+
+
+def test_expansion_product_and_gate(spark):
+    import random
+    r = random.Random(4)
+    vocab = [f"t{k}" for k in range(12)]
+    table = {(t, t): 1.0 for t in vocab[:10]}
+    for _ in range(60):
+        table[r.choice(vocab), r.choice(vocab)] = r.choice([0.001, 0.009, 0.0101, 0.3, 1.4, -0.5])
+    texts = {f"d{k}": [r.choice(vocab) for _ in range(r.randint(1, 6))] for k in range(15)}
+    exp = spark.createDataFrame([(a, b, s) for (a, b), s in table.items()], "src_term string, term string, s double")
+    terms = spark.createDataFrame([(d, t) for d, ts in texts.items() for t in sorted(set(ts))], "doc_id string, term string")
+    want = _brute_expansion(texts, table)
+    assert {(x.doc_id, x.term): x.w for x in V.expansion_encoder(terms, ["doc_id"], exp).collect()} == want
+    gated = {k: w for k, w in want.items() if k[1] in texts[k[0]]}
+    assert {(x.doc_id, x.term): x.w for x in V.gated_expansion(terms, ["doc_id"], exp).collect()} == gated
+
+
+def test_rowwise_dots_with_equal_entries(spark):
+    import random
+    r = random.Random(9)
+    first = [(f"q{k % 3}", r.choice("abcd"), r.choice([-2, 1, 3])) for k in range(20)]
+    second = [(f"x{k % 4}", r.choice("abce"), r.choice([-1, 2, 5])) for k in range(25)]
+    pairs = [(f"q{i}", f"x{j}") for i in range(4) for j in range(5)]
+    want = {}
+    for a, b in pairs:
+        mine = [(t, w) for x, t, w in second if x == b]
+        want[a, b] = sum(max([w * v for t2, v in mine if t2 == t] + [0]) for x, t, w in first if x == a)
+    f = spark.createDataFrame(first, "qid string, term string, qw int")
+    s = spark.createDataFrame(second, "doc_id string, term string, w int")
+    p = spark.createDataFrame(pairs + pairs[:3], "qid string, doc_id string")
+    assert {(x.qid, x.doc_id): x.dot for x in V.rowwise_dot(f, s, p).collect()} == want
+    # with weights of 0 or more the dense forms agree
+    f, s = f.where("qw > 0"), s.where("w > 0")
+    want = {(x.qid, x.doc_id): x.dot for x in V.rowwise_dot(f, s, p).collect()}
+    index = spark.createDataFrame([(t, k) for k, t in enumerate("abcde")], "term string, idx long")
+    dense = V.to_dense(V.reduce_duplicates(s, ["doc_id"], "amax"), "doc_id", index, 5)
+    assert {(x.qid, x.doc_id): x.dot for x in V.sparse_dense_dot(f, dense, p, index).collect()} == want
+    q = V.to_dense(V.reduce_duplicates(f, ["qid"], "sum", "qw"), "qid", index, 5, "qw")
+    assert {(x.qid, x.doc_id): x.dot for x in V.dense_dot(q, dense, p).collect()} == want
+
+
+def test_special_slots_have_no_weight(spark):
     from segrank.operators import segment as T
-    docs = spark.createDataFrame([(str(k), f"hub t{k} hub rare{k}") for k in range(8)], "doc_id string, text string")
-    ps = T.split_passages(docs, 60).withColumn("n_psg", F.lit(1))
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    got = V.expansion_from_passages(ps, V.passage_term_counts(ps, ["doc_id", "psg"]), V.doc_frequencies(docs), n).collect()
-    near = {(r.src_term, r.term) for r in got if r.src_term != r.term}
-    pairs = [("hub", f"{x}{k}") for x in ("t", "rare") for k in range(8)] + [(f"t{k}", f"rare{k}") for k in range(8)]
-    assert near == {*pairs, *((b, a) for a, b in pairs)}
-
-
-def test_expansion_in_row_equals_self_join(spark):
-    from segrank.operators import segment as T
-    docs = spark.createDataFrame([("1", "a b c a b. c d a."), ("2", "b a d d. a c."), ("3", "c a b"),
-                                  ("4", "x y"), ("5", "a b")], "doc_id string, text string")
-    ps = T.split_passages(docs, 4).withColumn("n_psg", F.lit(1))
-    toks = T.tokenize(ps)
-    tdf = V.doc_frequencies(docs)
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    tf = V.passage_term_counts(ps, ["doc_id", "psg"])
-    a = V.cooccurrence_expansion(toks, tdf, n, min_df=1, max_df_share=1)
-    b = V.expansion_from_passages(ps, tf, tdf, n, min_df=1, max_df_share=1)
-    assert sorted(a.collect()) == sorted(b.collect())
-    assert a.filter("src_term <> term").count() > 0
+    slots = T.with_boundary_slots(spark.createDataFrame([("d", 0, ["a", "b", "a"]), ("d", 1, [])], "doc_id string, psg int, terms array<string>"))
+    rows = sorted((r.psg, r.pos, r.term, r.special) for r in slots.collect())
+    assert rows == [(0, 0, "[CLS]", True), (0, 1, "a", False), (0, 2, "b", False), (0, 3, "a", False), (0, 4, "[SEP]", True),
+                    (1, 0, "[CLS]", True), (1, 1, "[SEP]", True)]
+    keys = ["doc_id", "psg"]
+    scored = slots.withColumn("s", F.lit(2.0))
+    weights = spark.createDataFrame([(t, 1.0) for t in ("a", "b", "[CLS]", "[SEP]")], "term string, scale double")
+    for vec in (V.binary_encoder(slots, keys), V.scaled_encoder(slots, keys, weights), V.token_weight_encoder(scored, keys),
+                V.epic_encoder(scored, keys)):
+        assert sorted(r.term for r in vec.collect()) == ["a", "b"]
+
+
+def test_block_top_dots(spark, monkeypatch):
+    import random
+    r = random.Random(3)
+    first = [(f"q{k}", t, r.randint(1, 4)) for k in range(5) for t in r.sample("abcdefgh", 3)]
+    second = [(f"x{k}", t, r.randint(0, 3)) for k in range(60) for t in r.sample("abcdefghij", 4)]
+    dots = {}
+    for a, t, x in first:
+        for b, u, w in second:
+            if t == u:
+                dots[a, b] = dots.get((a, b), 0) + x * w
+    want = sorted((a, b, d, k) for a in {x[0] for x in first}
+                  for k, (d, b) in enumerate(sorted(((d, b) for (c, b), d in dots.items() if c == a), key=lambda x: (-x[0], x[1]))[:7], 1))
+    f = spark.createDataFrame(first, "qid string, term string, qw int")
+    s = spark.createDataFrame(second, "doc_id string, term string, w int")
+    for entries in (1000, 4):
+        assert sorted(tuple(x) for x in V.block_top_dots(f, s, 7, entries=entries).collect()) == want
+    assert V.block_top_dots(f.limit(0), s, 7).count() == 0
