@@ -24,8 +24,6 @@ SQL = {
     "op2_decontaminate": decontaminate.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op10_ngram_join": ngram_join.SQL,
-    "op11_quality_lines": line_rules.op11_quality_lines,
-    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op12_spelling_variants": spelling.SQL,
     "op13_source_divergence": divergence.SQL,
 }
