@@ -90,15 +90,15 @@ N_SPLITS = 4
 
 @register("t11_splits", O.with_base(
     "lines AS (SELECT doc_id, octet_length(encode(doc_id || chr(9) || replace(replace(text, chr(10), ' '), chr(9), ' '))) + 1 AS bytes FROM corpus)",
-    "placed AS (SELECT doc_id, bytes, sum(bytes) OVER (ORDER BY doc_id) - bytes AS at FROM lines)", final=f"""
-SELECT CAST(at * {N_SPLITS} // (SELECT sum(bytes) FROM lines) AS INTEGER) AS split, count(*) AS n_docs, CAST(sum(bytes) AS BIGINT) AS n_bytes,
-       min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(min(at) AS BIGINT) AS starts_at FROM placed GROUP BY 1"""))
+    "placed AS (SELECT doc_id, bytes, sum(bytes) OVER (ORDER BY doc_id) - bytes AS place FROM lines)", final=f"""
+SELECT CAST(place * {N_SPLITS} // (SELECT sum(bytes) FROM lines) AS INTEGER) AS split, count(*) AS n_docs, CAST(sum(bytes) AS BIGINT) AS n_bytes,
+       min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(min(place) AS BIGINT) AS starts_at FROM placed GROUP BY 1"""))
 def t11_splits(t: Tables):
     """The normalised collection, written as text files in the order of the ids and cut into 4 line-complete pieces by byte
     offset."""
     path = scratch(t.spark, "t11")
     rows = segment.normalise_collection(t.corpus).select(F.col("doc_id").alias("id"), "text")
-    io.write_tsv(rows.repartitionByRange("id").sortWithinPartitions("id"), path)
+    io.write_tsv(rows.repartitionByRange("id").sortWithinPartitions("id"), path, ["id", "text"])
     lines = io.read_lines_with_offsets(t.spark, path)
     first = F.substring_index("value", "\t", 1)
     return segment.line_splits(lines, N_SPLITS).groupBy("split").agg(
