@@ -79,8 +79,8 @@ def k3_text_triplets(t: Tables):
 
 
 @register("k4_soft_cells", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final="""
-SELECT qid, doc_id, psg, CAST(i AS INTEGER) AS i, count(*) AS n_cells, CAST(sum(j) AS BIGINT) AS sum_j, round(sum(m), 6) AS sum_m, round(max(m), 6) AS max_m
-FROM s_cells_soft JOIN s_keys USING (pid) GROUP BY qid, doc_id, psg, i"""))
+SELECT k.qid, k.doc_id, k.psg, CAST(i AS INTEGER) AS i, count(*) AS n_cells, CAST(sum(j) AS BIGINT) AS sum_j, round(sum(m), 6) AS sum_m,
+       round(max(m), 6) AS max_m FROM s_cells_soft c JOIN s_keys k ON k.pid = c.pid GROUP BY k.qid, k.doc_id, k.psg, i"""))
 def k4_soft_cells(t: Tables):
     """K4: all soft match cells through the whole expansion table, summed over the document positions."""
     return K.cells(_rows(t, N_PSG, _cand(t))).groupBy("qid", "doc_id", "psg", "i").agg(
@@ -88,7 +88,8 @@ def k4_soft_cells(t: Tables):
 
 
 @register("k5_exact_cells", O.with_base(O.EXPANSION, *CAND, *O.sdm_ctes("cand", N_PSG), final="""
-SELECT qid, doc_id, psg, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS m FROM s_cells_exact JOIN s_keys USING (pid)"""))
+SELECT k.qid, k.doc_id, k.psg, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS m
+FROM s_cells_exact c JOIN s_keys k ON k.pid = c.pid"""))
 def k5_exact_cells(t: Tables):
     """K5: exact match cells (document token equals query token)."""
     return K.cells(_rows(t, N_PSG, _cand(t))).where("same").select("qid", "doc_id", "psg", "i", "j", F.round("m", 6).alias("m"))
