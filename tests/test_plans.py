@@ -15,7 +15,8 @@ def _plan(df) -> str:
 
 
 def _scans(df) -> int:
-    return len(re.findall(r"FileScan|Scan parquet", _plan(df)))
+    """Scans of anything that grows with the documents, as planned (AQE reuses equal exchanges on top of that)."""
+    return sum("FileScan" in x and not re.search(r"benchmark\.parquet", x) for x in _plan(df).splitlines())
 
 
 def test_impacts_are_read_from_the_postings_without_exchange(spark):
@@ -52,8 +53,8 @@ def test_retrieval_has_no_nested_loop_and_a_partial_top_k(spark):
 
 def test_queries_read_stored_tables_few_times(spark):
     q = catalog.build_all()
-    for name, most in (("r4_bm25_run", 4), ("r5_rm3_run", 8), ("r6_sdm_run", 8), ("k12_passage_features_soft", 6), ("k16_rerank_exact_eval", 12),
-                       ("c10_run_split", 6), ("l1_maxp_dot_eval", 8)):
+    for name, most in (("r4_bm25_run", 2), ("r5_rm3_run", 5), ("r6_sdm_run", 4), ("k12_passage_features_soft", 4), ("k16_rerank_exact_eval", 8),
+                       ("c10_run_split", 6), ("l1_maxp_dot_eval", 6)):
         df = q[name](spark, SF)
         assert _scans(df) <= most, (name, _scans(df))
 
