@@ -154,11 +154,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (not at all to three times).  Ids are expected to be
-    unique here: rows that share one are each taken as often as all of them together, at most three times."""
-    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_taken_id")).agg(
-        F.max("copies").alias("_copies"))
-    return (docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken_id"]))
+    """``docs`` with each row as often as the mix takes it (not at all to three times).  Rows are told apart by a hash of all
+    their columns, so rows that share an id are taken one by one; equal rows share what is taken of them all."""
+    keyed = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(c).cast("string"), F.isnull(c))]))
+    rows = keyed.select(F.col("_row").alias("doc_id"), "text", "source")
+    taken = mix(rows, **options).groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_equal"))
+    place = F.row_number().over(Window.partitionBy("_row").orderBy("doc_id")) - 1
+    copies = F.floor((F.col("_total") + F.col("_place")) / F.col("_equal")).cast("int")
+    return (keyed.join(taken.where("_total > 0"), "_row").withColumn("_place", place).withColumn("_copies", copies).where("_copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
 
 
