@@ -52,11 +52,6 @@ def activation(x: Column, kind: str) -> Column:
     raise ValueError(f"unknown activation {kind!r}")
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """NULL instead of a division error (ANSI mode) when ``b`` is 0."""
-    return F.try_divide(a.cast("double"), b.cast("double"))
-
-
 def r6(x: Column) -> Column:
     """Round scores to 6 decimals so engines that sum in a different order
     still agree on ranks and hashes."""

@@ -32,18 +32,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN_RE), 0)
 
 
-def n_tokens(text: Column) -> Column:
-    return F.size(tokens(text))
-
-
 def normalise(text: Column, sep_cols: list[Column] | None = None, sep: str = "") -> Column:
     """Optional concat of several fields with ``sep`` (default none),
     then newline and tab replaced by a space."""
     if sep_cols:
         text = F.concat_ws(sep, *([text] + list(sep_cols)))
     return F.translate(F.coalesce(text, F.lit("")), "\n\t", "  ")
-
-
-def first_tokens_text(text: Column, k: int) -> Column:
-    """First ``k`` tokens of a text, joined by a space (T6 on plain text)."""
-    return F.array_join(F.slice(tokens(text), 1, k), " ")

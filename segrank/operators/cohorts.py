@@ -7,7 +7,7 @@ long) and is always an anti join, never an equality on a cohort label.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values
@@ -94,16 +94,11 @@ def tagged_report(tagged: DataFrame) -> DataFrame:
                     F.round(F.col("n_long") / F.col("n_original"), 6).alias("long_share"))
 
 
-def queries_with_docs(part: DataFrame) -> DataFrame:
-    """Distinct query ids of a split (a query may be in both)."""
-    return part.select("qid").distinct()
-
-
 def clean_triplets(triplets: DataFrame) -> DataFrame:
     """C11: drop triplets whose positive equals the negative."""
     return triplets.filter(F.col("pos_id") != F.col("neg_id"))
 
 
-def is_member(short: DataFrame, doc_id: str) -> DataFrame:
-    """C14: membership test of one document (zero or one row)."""
+def is_member(short: DataFrame, doc_id: str | Column) -> DataFrame:
+    """C14: membership test of one document, by its id or a scalar subquery for it (zero or one row)."""
     return short.filter(F.col("doc_id") == doc_id)

@@ -96,47 +96,6 @@ def t_pvalue_column(t: Column, n: Column) -> Column:
     return F.when(t.isNotNull(), F.greatest(F.lit(1.0) - inside, F.lit(0.0)))
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-    h = d
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > 1e-300 else 1e-300
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
-        c = 1.0 + aa / c if abs(1.0 + aa / c) > 1e-300 else 1e-300
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h
-
-
-def t_pvalue(t: float | None, dof: int) -> float | None:
-    """Two-sided p-value of Student's t (regularised incomplete beta);
-    applied to the single summary row of ``paired_t``."""
-    if t is None or dof <= 0:
-        return None
-    if t == 0:
-        return 1.0
-    x = dof / (dof + t * t)
-    a, b = dof / 2.0, 0.5
-    lbeta = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-    front = math.exp(math.log(x) * a + math.log1p(-x) * b - lbeta)
-    if x < (a + 1) / (a + b + 2):
-        ib = front * _betacf(a, b, x) / a
-    else:
-        ib = 1.0 - front * _betacf(b, a, 1.0 - x) / b
-    return min(1.0, max(0.0, ib))
-
-
 def training_log(history: DataFrame, every: int = 100) -> DataFrame:
     """M6: mean of logged values per step bucket, rounded to 4 places.
     ``history(step, name, value)``."""

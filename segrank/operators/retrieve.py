@@ -52,28 +52,12 @@ def top_k(scored: DataFrame, k: int, key: str | list[str] = "qid", item: str = "
         .withColumn("rank", F.col("rank").cast("int"))
 
 
-def dot_scores(query_vec: DataFrame, doc_vec: DataFrame, doc_keys=("doc_id",)) -> DataFrame:
-    """Sum of ``qw * w`` over shared terms for every (query, doc) pair."""
-    joined = doc_vec.select(*doc_keys, "term", "w").join(query_vec.select("qid", "term", "qw"), "term")
-    return joined.groupBy("qid", *doc_keys).agg(r6(F.sum(F.col("qw") * F.col("w"))).alias("score"))
-
-
-def retrieve(query_vec: DataFrame, doc_vec: DataFrame, k: int = 1000) -> DataFrame:
-    """R2: top-k documents by dot product -> run ``(qid, doc_id, rank, score)``."""
-    return top_k(dot_scores(query_vec, doc_vec), k).select("qid", "doc_id", "rank", "score")
-
-
 def top_passages(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc(), F.col("psg").asc())
     return scores.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k) \
         .select("qid", "doc_id", "psg", "rank", "score")
 
 
-def retrieve_passages(query_vec: DataFrame, psg_vec: DataFrame, k: int = 10000) -> DataFrame:
-    """Top-k passages -> ``(qid, doc_id, psg, rank, score)``."""
-    return top_passages(dot_scores(query_vec, psg_vec, ("doc_id", "psg")), k)
-
-
 # ------------------------------------------------------ dot products on postings
 
 def _match(postings: DataFrame, query_side: DataFrame) -> DataFrame:

@@ -112,9 +112,7 @@ SELECT doc_id FROM doc_len WHERE n_psg < 3 AND doc_id = (SELECT min(doc_id) FROM
 def c14_membership(t: Tables):
     """C14: is the smallest judged document in the short cohort (0 or 1 row)."""
     from segrank.operators import cohorts as C
-    short = C.short_docs(C.passages_per_doc(t.passages))
-    first = t.qrels.agg(F.min("doc_id").alias("doc_id"))
-    return short.join(F.broadcast(first), "doc_id")
+    return C.is_member(C.short_docs(t.doc_lengths), t.qrels.agg(F.min("doc_id")).scalar())
 
 
 def _good_and_bad(t: Tables, name: str, good, bad):

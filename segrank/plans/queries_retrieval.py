@@ -231,8 +231,7 @@ def f7_restrict(t: Tables):
 SELECT qid, doc_id, rel FROM qrels WHERE qid = (SELECT min(qid) FROM qrels)"""))
 def f8_judged_of_query(t: Tables):
     """F8: judged documents of one query (the smallest judged query id)."""
-    first = t.qrels.agg(F.min("qid").alias("qid"))
-    return t.qrels.join(F.broadcast(first), "qid")
+    return RU.judged_docs(t.qrels, t.qrels.agg(F.min("qid")).scalar())
 
 
 @register("f9_sorted", O.with_base(*DOT_RUN, final="SELECT qid, doc_id, rank, score FROM run ORDER BY doc_id, score DESC"))

@@ -49,12 +49,16 @@ class Store:
         return f"{self.root}/{name}-{hashlib.sha256(told.encode()).hexdigest()[:24]}"
 
     def _finished(self, place: str) -> str | None:
+        """Where the table's data are, if its write has ended.  The marker is looked for each time (a listing, no job), as the
+        folder may be cleared within a session; it is read once."""
         key = (self.spark.sparkContext.applicationId, place)
+        try:
+            done = self.spark.read.schema("data string").parquet(f"{place}/done")
+        except AnalysisException:      # nothing there
+            _FINISHED.pop(key, None)
+            return None
         if key not in _FINISHED:
-            try:
-                row = self.spark.read.schema("data string").parquet(f"{place}/done").first()
-            except AnalysisException:      # nothing there
-                row = None
+            row = done.first()
             if row is None:
                 return None
             _FINISHED[key] = row["data"]

@@ -126,6 +126,9 @@ def test_store_reuses_finished_tables_only(spark, tmpdir_path):
     place = store.place("u", ["documents"], {})
     spark.range(5).write.parquet(f"{place}/data-unfinished")  # a write that never ended has no marker
     assert store.table("u", ["documents"], build).count() == 3 and len(made) == 4
+    import shutil
+    shutil.rmtree(root)                                       # the shared folder was cleared within the session
+    assert rows() == [1, 3, 4] and len(made) == 5
 
 
 def test_bucketed_table_is_found_again_without_the_catalog(spark, tmpdir_path):
