@@ -282,7 +282,7 @@ def _grid_sql(configs: list, cand: str = "cand", prefix: str = "s") -> tuple[lis
         pooled_q = O.pooled_sql(f"SELECT * FROM {table[K.shape_of(c)]} WHERE psg < {c.n_psg}", cand, c.feature_names)
         rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, {O.dbl(w)} AS weight" for f, w in K.default_weights(c).items())
         rr = f"""(SELECT qid, doc_id, round(sum(weight * value), 6) AS score FROM ({pooled_q}) JOIN ({rows}) USING (feature) GROUP BY qid, doc_id)"""
-        parts.append(f"SELECT '{c.config_id}' AS config_id, * FROM ({O.summary_sql(rr)})")
+        parts.append(f"SELECT '{c.config_id}' AS config_id, * FROM ({O.summary_sql(rr)}) WHERE n_queries > 0")
     return ctes, " UNION ALL ".join(parts)
 
 
