@@ -46,3 +46,10 @@ def test_runs_exchange_no_pairs_of_query_and_document(spark):
                 R.vector_sweep(t.postings, t.query_impacts, t.lexicon, t.weight, [1, 2])):
         plan = run._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Exchange hashpartitioning\(qid#\d+, doc_id", plan)
+
+
+def test_documents_stay_together_behind_a_join(spark):
+    """The sweeps join the lengths on doc_id; the dealing by document must not be planned away."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = R.bm25(t, t.query_tokens, 100, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
