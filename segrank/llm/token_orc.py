@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,11 @@ PART_BYTES = 32 << 20      # text in a file
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-\xff]*")
+# How the byte-level pre-tokenizer spells the two UTF-8 bytes of the characters from 0xa1 on: bytes that print stand for themselves,
+# the others take the characters from 256 on, in order.
+SPELT = {b: chr(b) for b in [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]}
+SPELT |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SPELT)}
+BYTE_LEVEL = {c: "".join(SPELT[b] for b in chr(c).encode()) for c in range(0xa1, 0x100)}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -50,6 +57,14 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.known: dict[str, bytes] = {}
+        probe = PIECES.findall(bytes([*range(0x20, 0x7f), *range(0xa1, 0x100)]).decode("latin-1").lower() + " the 's x")
+        self.direct = dict(self.by_model(probe)) == dict(self.pieces(probe))
+
+    def by_model(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces from the tokenizer's model itself, which skips what was done already: normalising and splitting."""
+        tokenize = self.tokenizer.model.tokenize
+        for p in new:
+            yield p, array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(BYTE_LEVEL))]).tobytes()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes()
@@ -76,7 +91,7 @@ class Encoder:
                 self.known.clear()
                 new = set().union(*(p for p in pieces if p))
             new = list(new)
-            self.known.update(self.pieces(new))
+            self.known.update(self.by_model(new) if self.direct else self.pieces(new))
         get = self.known.__getitem__
         for t, p in zip(texts, pieces):
             if p is not None:
@@ -85,12 +100,18 @@ class Encoder:
                 yield (self.whole([t])[0] if t else b"") + self.end
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, end_id: int) -> Encoder:
+    """A Python worker's encoder: its pieces serve all tasks that the worker runs."""
+    return Encoder(path, end_id)
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, row_no, ids) from (doc_id, row_no, text)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
+        encoder = worker_encoder(path, end_id)
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
