@@ -160,3 +160,18 @@ def test_fit_weights_of_separable_and_empty_input(spark):
     w, _ = K.fit_fusion_weights(diffs, ["O_1", "O_2"])
     assert w["O_1"] > 0 and all(math.isfinite(x) for x in w.values())
     assert K.fit_fusion_weights(diffs.limit(0), ["O_1", "O_2"])[0] == {"O_1": 0.0, "O_2": 0.0}
+
+
+def test_expansion_is_read_for_the_terms_of_the_candidates_only(spark):
+    exp = spark.createDataFrame([("a", "a", 1.0), ("b", "a", 0.5), ("c", "a", 0.25), ("b", "b", 1.0), ("a", "b", 0.5), ("c", "z", 0.5), ("b", "d", -1.0)],
+                                "src_term string, term string, s double")
+    tokens = spark.createDataFrame([("q", 0, "a"), ("q", 1, "b"), ("q", 2, "a"), ("r", 0, "a"), ("r", 1, "d"), ("s", 0, "new")], "qid string, pos int, term string")
+    slots = K.query_slots(tokens, spark.createDataFrame([("a", 1.0), ("b", 2.0), ("d", 1.5)], "term string, scale double"))
+    psgs = spark.createDataFrame([("1", 0, ["b", "b", "x"]), ("1", 1, ["a"]), ("1", 2, ["c"]), ("2", 0, ["c", "a"])], "doc_id string, psg int, terms array<string>")
+    pairs = spark.createDataFrame([("q", "1"), ("r", "2"), ("q", "9"), ("q", "1")], "qid string, doc_id string")
+    wanted = K.candidate_terms(pairs, psgs, 2)
+    assert sorted(map(tuple, wanted.collect())) == [("q", "a"), ("q", "b"), ("q", "x"), ("r", "a"), ("r", "c")]
+    rows = lambda df: sorted((r.qid, r.q_len, r.term, sorted(map(tuple, r.cells))) for r in df.collect())
+    whole = K.query_expansion(slots, exp)
+    assert rows(K.expansion_of(wanted, slots, exp)) == rows(whole.join(wanted, ["qid", "term"], "left_semi"))
+    assert whole.count() > K.expansion_of(wanted, slots, exp).count() == 4
