@@ -168,3 +168,23 @@ def test_block_top_dots(spark, monkeypatch):
     for entries in (1000, 4):
         assert sorted(tuple(x) for x in V.block_top_dots(f, s, 7, entries=entries).collect()) == want
     assert V.block_top_dots(f.limit(0), s, 7).count() == 0
+
+
+def test_sweep_summary_exchanges_an_entry_once(spark):
+    from segrank.plans.catalog import build_all
+    plan = build_all()["a7_sweep_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange") == 2      # the other: a row a (mode, n)
+    imp = spark.createDataFrame([("d", 0, 3, "x", 2), ("d", 0, 3, "x", 4), ("d", 2, 3, "x", -9), ("e", 3, 4, "y", 5), (None, 1, 2, "x", 1)],
+                                "doc_id string, psg int, n_psg int, term string, w int")
+    got = {(r.mode, r.n, r.doc_id): r.w for r in A.aggregate_sweep(imp, 4).collect()}
+    assert got["max", 1, "d"] == 4.0 and got["sum", 3, "d"] == -3.0 and got["mean", 3, "d"] == -1.0 and got["mean", 2, "d"] == 3.0
+    assert ("max", 3, "e") not in got and got["sum", 4, "e"] == 5.0 and got["max", 4, None] == 1.0 and ("sum", 1, None) not in got
+
+
+def test_dense_rows_are_laid_out_in_linear_work(spark, monkeypatch):
+    monkeypatch.setattr(V, "DENSE_CELLS", 7)
+    vec = spark.createDataFrame([("a", "t2", 5), ("a", "t0", -1), ("b", "t1", 2), (None, "t1", 3), ("c", "zz", 1)], "doc_id string, term string, w int")
+    index = spark.createDataFrame([("t0", 0), ("t1", 1), ("t2", 2)], "term string, idx long")
+    dense = V.to_dense(vec, "doc_id", index, 3)
+    assert {r.doc_id: r.dense for r in dense.collect()} == {"a": [-1.0, 0.0, 5.0], "b": [0.0, 2.0, 0.0], None: [0.0, 3.0, 0.0]}
+    assert "element_at" not in dense._jdf.queryExecution().optimizedPlan().toString()
