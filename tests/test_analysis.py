@@ -68,3 +68,14 @@ def test_best_segments(spark):
     b = {r.doc_id: r for r in S.best_segments(run).collect()}
     assert (b["d"].max_segment, b["d"].second_segment, b["d"].diff) == (3, 1, 2.0)
     assert b["e"].second_segment is None and b["e"].diff is None
+
+
+def test_first_segments_leave_other_documents_where_they_are(spark):
+    from segrank.operators import segments as S
+    vec = spark.createDataFrame([("a", 1, "x", 1), ("a", 4, "x", 1), ("b", 1, "x", 1), ("c", 2, "y", 1), ("a", 1, "x", 1)], "doc_id string, segment int, term string, w int")
+    size = spark.createDataFrame([("a", 4), ("b", 3), ("c", 2), (None, 5), ("a", 4)], "doc_id string, n_seg int")
+    judged = spark.createDataFrame([("q", "a", 1), ("r", "a", 2), ("q", "c", 1), ("q", None, 1)], "qid string, doc_id string, rel int")
+    got = S.first_three_segments(vec, size, judged)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "x", 1)] * 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
