@@ -188,3 +188,24 @@ def test_dense_rows_are_laid_out_in_linear_work(spark, monkeypatch):
     dense = V.to_dense(vec, "doc_id", index, 3)
     assert {r.doc_id: r.dense for r in dense.collect()} == {"a": [-1.0, 0.0, 5.0], "b": [0.0, 2.0, 0.0], None: [0.0, 3.0, 0.0]}
     assert "element_at" not in dense._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_expansion_vectors_reduce_in_the_row(spark):
+    """E4 in the array layout: a row a text whose texts may go on in the next batch, with null and repeated keys; no cell is exchanged."""
+    exp = spark.createDataFrame([("a", "a", 1.0), ("b", "b", 1.0), ("c", "c", 1.0), ("a", "b", 0.9), ("b", "c", 0.4), ("c", "a", 0.001)],
+                                "src_term string, term string, s double")
+    texts = {("d1", 0): "abc", ("d1", 1): "a", (None, 0): "bc", ("d2", 7): "cz", ("d3", 0): "z"}
+    terms = spark.createDataFrame([(d, p, t) for (d, p), ts in texts.items() for t in ts + ts], "doc_id string, psg int, term string")
+    index = V.vocabulary_index(V.vocabulary(exp))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        vectors = V.expansion_vectors(terms, ["doc_id", "psg"], exp, index)
+        got = {(r.doc_id, r.psg): dict(zip(r.idx, r.w)) for r in vectors.collect()}
+        count = vectors.count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert count == len(got) == 4
+    assert got == {("d1", 0): {0: 69, 1: 69, 2: 69}, ("d1", 1): {0: 69, 1: 64}, (None, 0): {1: 69, 2: 69}, ("d2", 7): {2: 69}}
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "idx" in plan and "hashpartitioning(doc_id" not in plan
