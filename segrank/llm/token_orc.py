@@ -5,8 +5,8 @@ read in parallel, row indexes and a Bloom filter on doc_id, so that a lookup by
 Documents are range-partitioned by doc_id and sorted, so file order is document order, and ``row_no`` (part << 33 | row)
 states that order in the file itself.
 
-Encoding splits a text as the tokenizer's own pre-tokenizer does and looks each piece up in a cache that the
-tokenizers library fills.  Texts with characters for which the two could differ (outside printable Latin-1, or with a
+Encoding looks the words between white space up in a cache of pieces that the tokenizers library fills; most words are one
+piece, the others are split as the tokenizer's own pre-tokenizer does (no piece has white space).  Texts with characters for which the two could differ (outside printable Latin-1, or with a
 special token's string) are encoded whole by the library.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows that repeat an id are ordered by
@@ -47,6 +47,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict):
+    """The ids of pieces, and through them those of lower-cased words between white space.  Only pieces are kept."""
+
+    def __init__(self, ids_of):
+        self.ids_of = ids_of
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.piece(word)
+        core, last = word[:-1], word[-1]
+        if core.isalpha() and not last.isalnum():      # letters and one other character: two pieces
+            return self[core] + self[last]
+        pieces = PIECES.findall(word)
+        return b"".join(map(self.piece, pieces)) if len(pieces) > 1 else self.piece(word)
+
+    def piece(self, p: str) -> bytes:
+        ids = self.get(p)
+        if ids is None:
+            ids = self.ids_of(p)
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[p] = ids
+        return ids
+
+
 class Encoder:
     """Texts to packed little-endian unsigned 32-bit ids."""
 
@@ -55,14 +80,15 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize      # the property makes a new object each time
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.new_piece)
         probe = PIECES.findall(bytes([*range(0x20, 0x7f), *range(0xa1, 0x100)]).decode("latin-1").lower() + " the 's x")
         self.direct = dict(self.by_model(probe)) == dict(self.pieces(probe))
 
     def by_model(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         """The ids of pieces from the tokenizer's model itself, which skips what was done already: normalising and splitting."""
-        tokenize = self.tokenizer.model.tokenize
+        tokenize = self.tokenize
         for p in new:
             yield p, array("I", [t.id for t in tokenize(p if p.isascii() else p.translate(BYTE_LEVEL))]).tobytes()
 
@@ -82,20 +108,17 @@ class Encoder:
             edge = np.searchsorted(word, np.arange(len(part) + 1))
             yield from ((p, ids[a:b].tobytes()) for p, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist()))
 
+    def new_piece(self, p: str) -> bytes:
+        if self.direct:
+            return array("I", [t.id for t in self.tokenize(p if p.isascii() else p.translate(BYTE_LEVEL))]).tobytes()
+        return next(self.pieces([p]))[1]
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, the end id last."""
-        pieces = [PIECES.findall(t.lower()) if t and "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        new = set().union(*(p for p in pieces if p)).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known.clear()
-                new = set().union(*(p for p in pieces if p))
-            new = list(new)
-            self.known.update(self.by_model(new) if self.direct else self.pieces(new))
         get = self.known.__getitem__
-        for t, p in zip(texts, pieces):
-            if p is not None:
-                yield b"".join(map(get, p)) + self.end
+        for t in texts:
+            if t and "<|" not in t and PLAIN.fullmatch(t):
+                yield b"".join(map(get, t.lower().split())) + self.end
             else:
                 yield (self.whole([t])[0] if t else b"") + self.end
 
