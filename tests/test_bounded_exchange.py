@@ -28,3 +28,21 @@ def test_lower_bounds_leave_the_best_and_drop_most_of_the_rest(spark, monkeypatc
     found = run()
     assert rows(R.top_k(found, 40, ["variant", "qid"])) == want
     assert len(want) == 240 and found.count() < passed
+
+
+def test_triplets_texts_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_DOCS", 3)
+    rng = random.Random(2)
+    ids = [f"d{i}" for i in range(12)]
+    triplets = [(rng.choice(["a", "b", "c", None]), rng.choice([*ids, "x", None]), rng.choice([*ids, "y", None])) for _ in range(150)]
+    triplets = spark.createDataFrame(triplets + triplets[:20], "qid string, pos_id string, neg_id string")
+    queries = spark.createDataFrame([("a", "qa"), ("b", "qb"), ("b", "other"), ("c", None), (None, "n")], "qid string, text string")
+    corpus = spark.createDataFrame([(d, f"text {d}") for d in ids] + [("d1", "again"), (None, "none"), ("d2", None)], "doc_id string, text string")
+    d = corpus.select("doc_id", "text")
+    want = (triplets.join(queries.select("qid", F.col("text").alias("query")), "qid")
+            .join(d.select(F.col("doc_id").alias("pos_id"), F.col("text").alias("pos")), "pos_id")
+            .join(d.select(F.col("doc_id").alias("neg_id"), F.col("text").alias("neg")), "neg_id").select("qid", "pos_id", "neg_id", "query", "pos", "neg"))
+    found = K.text_triplets(triplets, queries, corpus)
+    assert found.columns == want.columns and rows(found) == rows(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning(neg_id" in line and "pos#" in line]
