@@ -62,3 +62,30 @@ def test_only_asked_pairs_are_counted(spark):
     found = {(r.src_term, r.term): r.c for r in V.window_pair_counts(forward, asked=V.asked_terms(sources, targets)).collect()}
     assert found.items() <= every.items() and {k: every[k] for k in asked if k in every} == {k: found[k] for k in asked if k in found}
     assert asked & every.keys() <= found.keys() <= asked | {(b, a) for a, b in asked}
+
+
+def test_pairs_of_a_query_are_counted_without_a_row_a_position(spark, monkeypatch):
+    from segrank.operators import postings as P
+    monkeypatch.setattr(P, "TOKENS_AT_ONCE", 40)
+    rng = random.Random(8)
+    docs = [(rng.choice([None, "d1", *(f"d{i}" for i in range(2, 9))]), [[rng.choice("abcdxy") for _ in range(rng.randint(0, 9))] for _ in range(rng.randint(0, 4))])
+            for _ in range(25)]
+    forward = P.forward_rows(spark.createDataFrame(docs + [("gone", None)], "doc_id string, psgs array<array<string>>"))
+    asked = [("a", "b"), ("b", "a"), ("c", "c"), ("a", "d"), ("a", "missing")]
+    pairs = spark.createDataFrame([("q", *p, 1.0) for p in asked] + [("r", "a", "b", 1.0)], "qid string, t1 string, t2 string, qweight double")
+    want: dict = {}
+    for doc_id, psgs in docs:
+        flat = [(t, k) for k, p in enumerate(psgs) for t in p]
+        for i, (x, _) in enumerate(flat):
+            for d, (z, k) in enumerate(flat[i + 1:i + 5]):
+                for t1, t2 in asked:
+                    for ahead in (True, False):
+                        if (x, z) == ((t1, t2) if ahead else (t2, t1)):
+                            c = want.setdefault((doc_id, len(flat), t1, t2), [0, 0, 0, 0])
+                            for v, inside in enumerate((True, k < 2)):
+                                c[2 * v] += inside and ahead and d == 0
+                                c[2 * v + 1] += inside
+    found = R.pair_counts(forward, pairs, [None, 2], 5)
+    assert rows(found) == sorted(((*k, *c) for k, c in want.items()), key=repr)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert not rows(R.pair_counts(forward, pairs.where("t2 = 'missing'"), [None], 5)) and not rows(R.pair_counts(forward, pairs.limit(0), [None], 5))
